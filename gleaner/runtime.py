@@ -15,10 +15,21 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only after its rows were counted and found to be fewer.
 BROADCAST_ROWS = 1_000_000
+ARROW_BATCH = "16m"
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts stay below ARROW_BATCH, unless the session sets a size of its own."""
+    if spark.conf.get("spark.gleaner.arrowBatch", None) is None:
+        spark.conf.set("spark.gleaner.arrowBatch", ARROW_BATCH)
+        if spark.conf.get(_ARROW, None) in (None, "67108864b"):
+            spark.conf.set(_ARROW, ARROW_BATCH)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The Parquet table `table` below `sf_dir`, on any file system Spark reads."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
