@@ -5,22 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Characters handled in one vectorised step; a longer text is a step of its own.
-STEP_CHARS = 1_500_000
+#: Bytes of text handled in one vectorised step; a longer text is a step of its own.
+STEP_BYTES = 500_000
 
 
-def steps(texts: list[str | None], limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts together stay below `limit` characters."""
-    begin = size = 0
-    for i, text in enumerate(texts):
-        n = len(text or "")
-        if i > begin and size + n > limit:
+def steps(*columns: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts in all `columns` together stay below `limit` bytes."""
+    size = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype("int64") for c in columns)
+    begin = total = 0
+    for i, n in enumerate(size.tolist()):
+        if i > begin and total + n > limit:
             yield begin, i
-            begin, size = i, 0
-        size += n
-    if len(texts) > begin:
-        yield begin, len(texts)
+            begin, total = i, 0
+        total += n
+    if len(size) > begin:
+        yield begin, len(size)
 
 
 def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -51,14 +52,3 @@ def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
             last = key
     if held:
         yield pa.Table.from_batches(held)
-
-
-def map_columns(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable:
-    """A mapInArrow function that applies `f` to each batch."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if (out := f(batch)) is not None:
-                yield out
-
-    return run

@@ -10,13 +10,13 @@ the profile's length where it is absent. The language at the least distance wins
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm._arrow import map_columns
 from gleaner.runtime import checked_join, materialise
 
 UNDETERMINED = "und"
@@ -122,15 +122,11 @@ def fold(doc_id):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
-    langs, grams, counts = [], [], []
-    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        g, c = ngram_counts(text)
-        langs += [lang] * len(g)
-        grams.append(g.view(np.int64))
-        counts.append(c)
-    flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return pa.record_batch([pa.array(langs, pa.string()), pa.array(flat(grams)), pa.array(flat(counts))], ["lang", "gram", "n"])
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lang, text in zip(batch.column(0), batch.column(1)):
+            g, n = ngram_counts(text.as_py())
+            yield pa.record_batch([pa.array([lang.as_py()] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", k: int = PROFILE, train_rows: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
@@ -146,7 +142,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= train_rows).select(F.col("lang"), F.col("id")).distinct()
     source = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = checked_join(source, materialise(ids, "sample"), ["lang", "id"], "left_semi").select("lang", "text")
-    counts = texts.mapInArrow(map_columns(_counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).collect()
     out: dict[str, list] = {}
@@ -180,7 +176,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "do
     def run(batches):
         judge = models().judge
         for batch in batches:
-            found = [judge(t) for t in batch.column(1).to_pylist()]
+            found = [judge(t.as_py()) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [id_col, "lang_pred", "score"])
 
     source = docs.select(F.col(id_col), F.col(text_col).alias("text"))
@@ -196,8 +192,8 @@ def keep_languages(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: s
         judge = models().judge
         for batch in batches:
             keep = []
-            for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
-                lang, score = judge(t)
+            for t in batch.column(batch.schema.get_field_index(text_col)):
+                lang, score = judge(t.as_py())
                 keep.append(lang != UNDETERMINED and score >= least_score and (wanted is None or lang in wanted))
             yield batch.filter(pa.array(keep, pa.bool_()))
 

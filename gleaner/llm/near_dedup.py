@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import _shingles as S
-from gleaner.llm._arrow import groups, map_columns, steps
+from gleaner.llm._arrow import groups, steps
 from gleaner.llm._graph import components
 from gleaner.runtime import checked_join, materialise, with_row_ids
 
@@ -47,6 +47,8 @@ LEAST_AGREEING = 54
 BLOCK = 256
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Once so few processes go on, this many of their next points are drawn at a time.
+_FEW, _DRAWS = 4_000, 16
 
 
 def signatures(hashes: np.ndarray, at: np.ndarray, m: int = COMPONENTS) -> np.ndarray:
@@ -81,19 +83,21 @@ def signatures(hashes: np.ndarray, at: np.ndarray, m: int = COMPONENTS) -> np.nd
             keep = todo[d]
             s, r, d, w, now = s[keep], r[keep], d[keep], w[:, keep], now[keep]
         while len(s):
-            s = s + _GOLD
-            z = S.mix(s)
-            now = now - np.log(((z >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0**-53) / r
-            keep = now < until[d]
-            s, r, d, w, now, z = s[keep], r[keep], d[keep], w[:, keep], now[keep], z[keep]
-            if not len(s):
-                break
-            z = S.mix(z ^ _GOLD)
-            component = ((z >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-            width = np.where(w[1] > 0, 1 << np.maximum(w[1] - 1, 0), 1)
-            height = np.where(w[1] > 0, width, 0) + (((z & np.uint64(0xFFFFFFFF)).astype(np.int64) * width) >> 32) + 1
-            seen = height <= w[0]
-            np.minimum.at(flat, d[seen] * m + component[seen].astype(np.int64), now[seen])
+            draws = 1 if len(s) > _FEW else _DRAWS
+            z = S.mix(s[:, None] + _GOLD * np.arange(1, draws + 1, dtype=np.uint64))
+            wait = -np.log(((z >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0**-53) / r[:, None]
+            wait[:, 0] += now
+            when = np.cumsum(wait, axis=1)
+            row, col = np.nonzero(when < until[d][:, None])
+            hit, moment = S.mix(z[row, col] ^ _GOLD), when[row, col]
+            component = (((hit >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
+            count, step = w[0][row], w[1][row]
+            width = 1 << np.maximum(step - 1, 0)
+            height = np.where(step > 0, width, 0) + (((hit & np.uint64(0xFFFFFFFF)).astype(np.int64) * width) >> 32) + 1
+            seen = height <= count
+            np.minimum.at(flat, d[row][seen] * m + component[seen], moment[seen])
+            keep = when[:, -1] < until[d]
+            s, r, d, w, now = s[keep] + np.uint64(draws * int(_GOLD) % (1 << 64)), r[keep], d[keep], w[:, keep], when[keep, -1]
         todo = todo & np.isinf(times).any(axis=1)
         spread *= 2
     times[size == 0] = 0
@@ -114,44 +118,39 @@ _FEATURES = "uid long, id long, content_key binary, weight long, signature binar
 
 
 def _features(k: int, m: int, rows: int):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(2).to_pylist()
-        keys, weight, sigs, bands = [], [], [], []
-        for a, b in steps(texts):
-            words, at = S.word_hashes(texts[a:b])
-            keys += S.content_keys(texts[a:b], words, at)
-            hashes, at = S.shingle_hashes(words, at, k)
-            sig = signatures(hashes, at, m)
-            size = np.diff(at)
-            weight.append(size)
-            sigs += [row.tobytes() for row in sig]
-            bands += [row if n else None for row, n in zip(band_keys(sig, rows), size)]
-        return pa.record_batch(
-            [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(np.concatenate(weight) if weight else [], pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            ["uid", "id", "content_key", "weight", "signature", "bands"],
-        )
-
-    return map_columns(run)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a, b in steps(whole.column(2)):
+                batch = whole.slice(a, b - a)
+                texts = batch.column(2).to_pylist()
+                words, at = S.word_hashes(texts)
+                keys = S.content_keys(texts, words, at)
+                hashes, at = S.shingle_hashes(words, at, k)
+                sig = signatures(hashes, at, m)
+                size = np.diff(at)
+                bands = [row if n else None for row, n in zip(band_keys(sig, rows), size)]
+                yield pa.record_batch(
+                    [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(size, pa.int64()), pa.array([row.tobytes() for row in sig], pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    ["uid", "id", "content_key", "weight", "signature", "bands"],
+                )
+
+    return run
 
 
 def _verified(k: int, threshold: float):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = [batch.column(0), batch.column(1)]
-        left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        score = np.zeros(len(left))
-        i = 0
-        for a, b in steps([x + y for x, y in zip(left, right)]):
-            own = list(dict.fromkeys([*left[a:b], *right[a:b]]))
-            place = {t: j for j, t in enumerate(own)}
-            hashes, at = S.shingle_hashes(*S.word_hashes(own), k)
-            sets = [S.occurrences(hashes[x:y]) for x, y in zip(at[:-1], at[1:])]
-            for x, y in zip(left[a:b], right[a:b]):
-                score[i] = S.overlap(sets[place[x]], sets[place[y]])
-                i += 1
-        keep = pa.array(score >= threshold)
-        return pa.record_batch([columns[0], columns[1], pa.array(score)], ["u", "v", "similarity"]).filter(keep)
-
-    return map_columns(run)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a, b in steps(whole.column(2), whole.column(3)):
+                batch = whole.slice(a, b - a)
+                left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                own = list(dict.fromkeys([*left, *right]))
+                place = {t: j for j, t in enumerate(own)}
+                hashes, at = S.shingle_hashes(*S.word_hashes(own), k)
+                sets = [S.occurrences(hashes[x:y]) for x, y in zip(at[:-1], at[1:])]
+                score = np.array([S.overlap(sets[place[x]], sets[place[y]]) for x, y in zip(left, right)])
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score)], ["u", "v", "similarity"]).filter(pa.array(score >= threshold))
+
+    return run
 
 
 def verify(pairs: DataFrame, rows: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
