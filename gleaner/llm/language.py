@@ -139,6 +139,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col) != 2))
     order = Window.partitionBy("lang").orderBy("h", "id")
     ids = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("h"))
+    # Only ids among the smallest hashes are ranked: four times as many as wanted, by each language's count.
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    near = F.col("h") / F.lit(2.0**64) + 0.5 <= F.lit(4.0 * train_rows) / F.col("rows")
+    ids = checked_join(ids, materialise(counts, "counts"), "lang", limit=10_000).where(near)
     ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= train_rows).select(F.col("lang"), F.col("id")).distinct()
     source = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = checked_join(source, materialise(ids, "sample"), ["lang", "id"], "left_semi").select("lang", "text")

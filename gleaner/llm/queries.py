@@ -7,15 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import language, mixing, near_dedup, packing, secrets
+from gleaner.llm import language, licences, mixing, near_dedup, packing, secrets, topk, url_filter, vector_dedup, warc
 from gleaner.runtime import read
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.fit(url_filter.labelled_urls(spark))
+    return url_filter.judge(read(spark, sf_dir, "pages"), model)
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
     return classes.select(F.col("id").alias("doc_id"), "class_id", "kept")
 
 
+def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context_size", "step_group")
@@ -27,6 +36,19 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (language.fold("doc_id") == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = licences.scan(docs, licences.word_weights(docs))
+    starts = F.transform("base", lambda x: x["start"].cast("long"))
+    names = lambda c: F.transform(c, lambda x: x["label"])
+    listed = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    cover = F.coalesce(F.array_max(F.transform("found", lambda x: x["cover"])), F.lit(0.0))
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        listed(names("base")).alias("base_labels"), listed(F.concat(names("base"), names("found"))).alias("labels"), F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.least(cover, F.lit(1.0))).alias("score"),
+    )
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(read(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -41,13 +63,27 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = warc.archive_and_read(read(spark, sf_dir, "pages"))
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": op1_url_filter,
         "op2_near_dedup": op2_near_dedup,
+        "op3_vector_dedup": op3_vector_dedup,
         "op4_packing": op4_packing,
         "op5_language": op5_language,
+        "op6_licences": op6_licences,
         "op7_secrets": op7_secrets,
         "op8_mixing": op8_mixing,
+        "op9_topk": op9_topk,
+        "op10_warc": op10_warc,
     }
 
 

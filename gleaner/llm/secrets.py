@@ -32,9 +32,10 @@ LITERAL = 3
 #: Significance of the merge test, and labelled strings made of each format.
 ALPHA = 0.05
 SAMPLES = 120
-#: Log-likelihood ratio against ordinary strings from which a candidate is a credential.
-LEAST_RATIO = 8.0
-_UNSEEN = 1e-6
+#: Log-likelihood ratio against ordinary strings from which a candidate is a credential: between labelled ones (-3 and more) and ordinary ones (-13 and less).
+LEAST_RATIO = -4.0
+#: Probabilities of a class, and of a leading character, that a state never saw.
+_UNSEEN, _UNSEEN_LITERAL = 2e-3, 1e-6
 #: An ordinary string is at least as likely as one of characters drawn from so many.
 _ALPHABET = 64
 
@@ -113,6 +114,11 @@ class Automaton:
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_states()
         self.log = [{s: math.log(n / sum(c.values())) for s, n in c.items()} for c in self.count]
+        often: dict[str, tuple[int, int]] = {}
+        for state in range(len(self.next)):
+            for s, t in self.next[state].items():
+                often[s] = max(often.get(s, (0, 0)), (self.count[state][s], t))
+        self.back = {s: t for s, (_, t) in often.items()}
 
     def _differ(self, a: int, b: int) -> bool:
         """Whether some continuation of two states differs beyond the bound."""
@@ -166,11 +172,11 @@ class Automaton:
                 queue.extend((blue, x) for x in sorted(self.next[blue]))
 
     def score(self, token: str) -> float:
-        """The log-likelihood of a token; a symbol not seen in a state costs a fixed amount and stays there."""
-        state, total, unseen = 0, 0.0, math.log(_UNSEEN)
+        """The log-likelihood of a token; a symbol not seen in a state costs a fixed amount and leads where it leads most often."""
+        state, total, unseen, strange = 0, 0.0, math.log(_UNSEEN), math.log(_UNSEEN_LITERAL)
         for s in symbols(token, self.literal):
-            total += self.log[state].get(s, unseen) + _WITHIN.get(s, 0.0)
-            state = self.next[state].get(s, state)
+            total += self.log[state].get(s, strange if len(s) > 1 else unseen) + _WITHIN.get(s, 0.0)
+            state = self.next[state].get(s, self.back.get(s, state))
         return total + self.log[state].get(_END, unseen)
 
 
