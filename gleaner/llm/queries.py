@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import language, licences, mixing, near_dedup, packing, secrets, topk, url_filter, vector_dedup, warc
+from gleaner.llm import language, licences, mixing, near_dedup, oracles, packing, secrets, topk, url_filter, vector_dedup, warc
 from gleaner.runtime import read
 
 
@@ -88,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
