@@ -45,8 +45,9 @@ def parse_timestamp(value: Column) -> Column:
 
 def content_timestamp(metadata: Column, mtime_ms: Column) -> Column:
     """The first parseable time field of a JSON text, else the file's time, else null."""
-    fields = [parse_timestamp(F.get_json_object(metadata, f"$['{k}']")) for k in TIME_FIELDS]
-    return F.coalesce(*fields, F.floor(mtime_ms).cast("long"))
+    fields = F.from_json(metadata, "map<string,string>")
+    wanted = F.transform(F.array(*(F.lit(k) for k in TIME_FIELDS)), lambda k: parse_timestamp(F.try_element_at(fields, k)))
+    return F.coalesce(F.get(F.filter(wanted, lambda t: t.isNotNull()), F.lit(0)), F.floor(mtime_ms).cast("long"))
 
 
 def matches_filters(metadata: Column, filters: dict[str, object] | None) -> Column:

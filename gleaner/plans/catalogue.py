@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import ranking
+from gleaner.plans import etl, ranking
 
-FAMILIES = (ranking,)
+FAMILIES = (ranking, etl)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
