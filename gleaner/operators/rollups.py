@@ -67,14 +67,14 @@ def tree_paths(nodes: DataFrame, id_col: str, parent_col: str, name_col: str, mo
     known = own.select(F.col("id").alias("parent")).distinct().withColumn("has", F.lit(True))
     marked = own.join(known, "parent", "left").withColumn("parent", F.when(F.col("has"), F.col("parent"))).select("id", "parent", "name")
     paths = spark.sql(
-        """
+        f"""
         WITH RECURSIVE walk(id, depth, path) AS (
-            SELECT id, 0, name FROM {nodes} WHERE parent IS NULL
+            SELECT id, 0, name FROM {{nodes}} WHERE parent IS NULL
             UNION ALL
-            SELECT n.id, w.depth + 1, concat(w.path, '/', n.name) FROM {nodes} n JOIN walk w ON n.parent = w.id WHERE w.depth < {most}
+            SELECT n.id, w.depth + 1, concat(w.path, '/', n.name) FROM {{nodes}} n JOIN walk w ON n.parent = w.id WHERE w.depth < {int(most_depth)}
         )
         SELECT id, cast(depth AS BIGINT) AS depth, path FROM walk""",
-        nodes=marked, most=F.lit(most_depth),
+        nodes=marked,
     )
     return paths.withColumnRenamed("id", id_col)
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import etl, ranking
+from gleaner.plans import etl, ranking, records
 
-FAMILIES = (ranking, etl)
+FAMILIES = (ranking, etl, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
