@@ -14,10 +14,15 @@ Signatures are cut into bands. Candidates come from shared bands without
 listing the pairs of a group:
 
 1. equal word sequences are one class from the start (partial aggregation);
-2. each class representative is compared with the smallest one it shares a
-   band with, which collapses large groups of near copies to components;
-3. bands that still hold several components compare, in blocks of bounded
-   size and by signature alone, the representatives of different components.
+2. each class representative is compared with one hub: of those that its bands
+   lead to, the one in the fullest bands whose signature agrees. A group's
+   original is nearer to its copies than they are to each other, so this
+   collapses large groups of near copies. The trees of hubs are families;
+3. bands that hold several families compare their representatives by signature,
+   in blocks of bounded size, and give only what joins families: then every pair
+   that shares a band and agrees lies within a family;
+4. a family that is still in several components compares them exactly, whole
+   texts against whole texts, in such blocks, and gives only what joins components.
 
 All pairs found are verified by the exact multiset overlap of whole texts.
 Components of the verified links are the classes.
@@ -42,9 +47,10 @@ THRESHOLD = 0.8
 #: 24 bands of 4 components miss a pair of similarity 0.8 with probability 3e-6.
 COMPONENTS = 96
 BAND_ROWS = 4
-#: Signatures that agree in fewer components belong to pairs of similarity 0.8 with probability 1e-8.
-LEAST_AGREEING = 54
-BLOCK = 256
+#: Signatures that agree in fewer components belong to pairs of similarity 0.8 with probability 3e-6.
+LEAST_AGREEING = 58
+#: Rows of a block of signatures, and of whole texts.
+BLOCK, TEXT_BLOCK = 256, 128
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Once so few processes go on, this many of their next points are drawn at a time.
@@ -166,53 +172,128 @@ def verify(pairs: DataFrame, rows: DataFrame, k: int = SHINGLE, threshold: float
     return joined.mapInArrow(_verified(k, threshold), "u long, v long, similarity double")
 
 
-def _block_pairs(least: int, ratio: float):
-    """Pairs of different components within each block unit whose signatures agree enough."""
+def _sides(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of either side of a block unit; one block is set against itself."""
+    if part.min() == part.max():
+        return np.arange(len(part)), np.arange(len(part))
+    return np.flatnonzero(part == part.max()), np.flatnonzero(part == part.min())
+
+
+def _spanning(a: np.ndarray, b: np.ndarray, pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pairs (i, j) that join groups a[i] and b[j] not yet joined by those before."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in pairs:
+        x, y = find(int(a[i])), find(int(b[j]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((i, j))
+    return out
+
+
+def _longs(u: list[int], v: list[int]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _joining_families(least: int, ratio: float):
+    """Within each unit of signatures, pairs of different families that agree enough: a spanning set of them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in groups(batches, ["unit"]):
-            uid, component, part, weight = (unit.column(c).to_numpy() for c in ("uid", "component", "part", "weight"))
+            uid, family, part, weight = (unit.column(c).to_numpy() for c in ("uid", "component", "part", "weight"))
             sig = np.stack([np.frombuffer(x, np.uint32) for x in unit.column("signature").to_pylist()])
-            one = len(np.unique(part)) == 1
-            a, b = (np.arange(len(uid)),) * 2 if one else (np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max()))
-            u, v = [], []
-            for i in a.tolist():
-                low, high = np.minimum(weight[b], weight[i]), np.maximum(weight[b], weight[i])
-                hit = b[((sig[b] == sig[i]).sum(axis=1) >= least) & (component[b] != component[i]) & (low >= ratio * high)]
-                u.append(np.minimum(uid[hit], uid[i]))
-                v.append(np.maximum(uid[hit], uid[i]))
-            yield pa.record_batch([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+            a, b = _sides(part)
+
+            def agreeing() -> Iterator[tuple[int, int]]:
+                for i in a.tolist():
+                    low, high = np.minimum(weight[b], weight[i]), np.maximum(weight[b], weight[i])
+                    for j in b[(family[b] != family[i]) & (low >= ratio * high) & ((sig[b] == sig[i]).sum(axis=1) >= least)].tolist():
+                        yield i, j
+
+            joined = _spanning(family, family, agreeing())
+            yield _longs([int(uid[i]) for i, _ in joined], [int(uid[j]) for _, j in joined])
+
+    return run
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray], columns: int = 8_192) -> np.ndarray:
+    """The sizes of all intersections of sets of `a` with sets of `b`, as products of slices of their incidence matrices."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    left, right = np.concatenate(a), np.concatenate(b)
+    known = np.intersect1d(left, right)
+    if not len(known):
+        return out
+    placed = []
+    for sets, flat in ((a, left), (b, right)):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+        keep = known[at] == flat
+        order = np.argsort(at[keep], kind="stable")
+        placed.append((row[keep][order], at[keep][order]))
+    for begin in range(0, len(known), columns):
+        end = min(begin + columns, len(known))
+        sides = []
+        for (row, at), n in zip(placed, (len(a), len(b))):
+            x, y = np.searchsorted(at, (begin, end))
+            dense = np.zeros((n, end - begin), np.float32)
+            dense[row[x:y], at[x:y] - begin] = 1
+            sides.append(dense)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _joining_links(k: int, threshold: float):
+    """Within each unit of whole texts, verified links that join different components: a spanning set of them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in groups(batches, ["unit"]):
+            uid, component, part = (unit.column(c).to_numpy() for c in ("uid", "component", "part"))
+            hashes, at = S.shingle_hashes(*S.word_hashes(unit.column("text").to_pylist()), k)
+            sets = [S.occurrences(hashes[x:y]) for x, y in zip(at[:-1], at[1:])]
+            a, b = _sides(part)
+            size = np.array([len(x) for x in sets])
+            both = _common([sets[i] for i in a], [sets[i] for i in b])
+            total = size[a][:, None] + size[b][None, :] - both
+            row, col = np.nonzero((both >= threshold * total) & (component[a][:, None] != component[b][None, :]) & (total > 0))
+            joined = _spanning(component, component, zip(a[row].tolist(), b[col].tolist()))
+            yield _longs([int(uid[i]) for i, _ in joined], [int(uid[j]) for _, j in joined])
 
     return run
 
 
-def _mixed_pairs(buckets: DataFrame, comps: DataFrame, reps: DataFrame, least: int, ratio: float) -> DataFrame | None:
-    """Candidate pairs across components within the buckets that hold several; None if no bucket does.
+def _units(members: DataFrame, payload: DataFrame, block: int, group: str = "group") -> DataFrame | None:
+    """Block units of the groups whose members are in several components; None if there are none.
 
-    In such a bucket the largest component is set against the rest, and the
-    rest against itself, in blocks of about BLOCK rows a side.
+    members is (group, component, uid, ...). In such a group the largest
+    component is set against the rest, and the rest against itself, in blocks
+    of about `block` rows a side: (unit, part, and the columns of both inputs),
+    sorted by unit within partitions.
     """
-    labelled = buckets.select("band", "uid").join(comps.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-    labelled = materialise(labelled, "labelled")
-    sizes = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
-    mixed = materialise(mixed.select("band", F.col("top.component").alias("top"), F.col("top.n").alias("n_top"), (F.col("total") - F.col("top.n")).alias("n_rest")), "mixed")
+    sizes = members.groupBy(group, "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy(group).agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
+    mixed = materialise(mixed.select(group, F.col("top.component").alias("top"), F.col("top.n").alias("n_top"), (F.col("total") - F.col("top.n")).alias("n_rest")), "mixed")
     if mixed.isEmpty():
         return None
-    inner = labelled.join(mixed, "band").withColumn("is_top", F.col("component") == F.col("top"))
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK)
-    block = F.pmod(F.xxhash64("uid"), F.when(F.col("is_top"), blocks("n_top")).otherwise(blocks("n_rest")))
+    inner = members.join(mixed, group).withColumn("is_top", F.col("component") == F.col("top"))
+    blocks = lambda n: F.ceil(F.col(n) / block)
+    own = F.pmod(F.xxhash64("uid"), F.when(F.col("is_top"), blocks("n_top")).otherwise(blocks("n_rest")))
     other = lambda n: F.sequence(F.lit(0).cast("long"), blocks(n) - 1)
-    unit = lambda kind, i, j: F.xxhash64("band", F.lit(kind), i, j)
+    unit = lambda kind, i, j: F.xxhash64(group, F.lit(kind), i, j)
     top = F.transform(other("n_rest"), lambda j: F.struct(unit("top", F.col("block"), j).alias("unit"), F.lit(0).alias("part")))
     rest = F.concat(
         F.transform(other("n_top"), lambda i: F.struct(unit("top", i, F.col("block")).alias("unit"), F.lit(1).alias("part"))),
         F.transform(other("n_rest"), lambda j: F.struct(unit("rest", F.least("block", j), F.greatest("block", j)).alias("unit"), F.when(j == F.col("block"), 0).when(j > F.col("block"), 1).otherwise(2).alias("part"))),
     )
-    dealt = inner.withColumn("block", block).select("uid", "component", F.explode(F.when(F.col("is_top"), top).otherwise(rest)).alias("x"))
-    dealt = dealt.select("uid", "component", "x.unit", "x.part").join(reps.select("uid", "weight", "signature"), "uid")
-    sorted_units = dealt.select("unit", "part", "uid", "component", "weight", "signature").repartition("unit").sortWithinPartitions("unit")
-    return sorted_units.mapInArrow(_block_pairs(least, ratio), "u long, v long").distinct()
+    dealt = inner.withColumn("block", own).withColumn("x", F.explode(F.when(F.col("is_top"), top).otherwise(rest)))
+    dealt = dealt.select("x.unit", "x.part", *members.columns).join(payload, "uid")
+    return dealt.repartition("unit").sortWithinPartitions("unit")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, rows: DataFrame | None = None) -> DataFrame:
@@ -239,21 +320,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     reps = found.where("bands IS NOT NULL").join(members.where("uid = head").select("uid"), "uid", "left_semi").select("uid", "weight", "signature", "bands")
     bands = reps.select("uid", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("uid").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "centre")
-    buckets = materialise(bands.join(shared, "band").select("band", "uid", "centre"), "buckets")
-    stars = buckets.where("uid <> centre").groupBy("uid").agg(F.min("centre").alias("u")).select("u", F.col("uid").alias("v"))
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    places = materialise(bands.join(shared, "band"), "places")
+    hubs = places.groupBy("uid").agg(F.sum("n").alias("hub"))
+    buckets = materialise(places.join(hubs, "uid").select("band", "uid", "hub"), "buckets")
+    centres = buckets.groupBy("band").agg(F.max(F.struct("hub", (-F.col("uid")).alias("centre"))).alias("top"))
+    led = buckets.join(centres, "band").select((-F.col("top.centre")).alias("u"), F.col("uid").alias("v"), F.col("top.hub").alias("hub")).where("u <> v").distinct()
     sig = reps.select("uid", "signature", "weight")
     agreeing = F.size(F.filter(F.sequence(F.lit(0), F.lit(COMPONENTS - 1)), lambda i: F.substring("a.signature", i * 4 + 1, 4) == F.substring("b.signature", i * 4 + 1, 4)))
     likely = (
-        stars.join(sig.alias("a"), F.col("u") == F.col("a.uid")).join(sig.alias("b"), F.col("v") == F.col("b.uid"))
-        .where(F.least("a.weight", "b.weight") >= F.lit(threshold) * F.greatest("a.weight", "b.weight")).where(agreeing >= LEAST_AGREEING).select("u", "v")
+        led.join(sig.alias("a"), F.col("u") == F.col("a.uid")).join(sig.alias("b"), F.col("v") == F.col("b.uid"))
+        .where(F.least("a.weight", "b.weight") >= F.lit(threshold) * F.greatest("a.weight", "b.weight")).where(agreeing >= LEAST_AGREEING)
     )
-    links = materialise(verify(materialise(likely, "stars"), rows, k, threshold), "links")
-    pairs = _mixed_pairs(buckets, components(links.select("u", "v")), reps, LEAST_AGREEING, threshold)
-    if pairs is not None:
-        more = materialise(verify(materialise(pairs, "pairs"), rows, k, threshold), "links")
-        links = links.unionByName(more)
-    comps = components(links.select("u", "v"))
+    stars = materialise(likely.groupBy("v").agg(F.max(F.struct("hub", (-F.col("u")).alias("u"))).alias("top")).select((-F.col("top.u")).alias("u"), "v"), "stars")
+    owner = lambda edges, name: components(edges).select(F.col("node").alias("uid"), F.col("component").alias(name))
+    links = materialise(verify(stars, rows, k, threshold).select("u", "v"), "links")
+    labelled = buckets.select(F.col("band").alias("group"), "uid").join(owner(stars, "family"), "uid", "left")
+    labelled = materialise(labelled.select("group", F.coalesce("family", "uid").alias("component"), "uid"), "labelled")
+    units = _units(labelled, sig, BLOCK)
+    if units is not None:
+        joins = units.select("unit", "part", "uid", "component", "weight", "signature").mapInArrow(_joining_families(LEAST_AGREEING, threshold), "u long, v long")
+        stars = materialise(stars.unionByName(joins), "stars")
+    own = owner(stars, "family").join(owner(links, "component"), "uid", "left").select(F.col("family").alias("group"), F.coalesce("component", "uid").alias("component"), "uid")
+    own = materialise(own, "own")
+    texts = checked_join(rows.select("uid", F.coalesce("text", F.lit("")).alias("text")), own.select("uid"), "uid", "left_semi")
+    units = _units(own, texts, TEXT_BLOCK)
+    if units is not None:
+        joins = units.select("unit", "part", "uid", "component", "text").mapInArrow(_joining_links(k, threshold), "u long, v long")
+        links = links.unionByName(materialise(joins, "links"))
+    comps = components(links)
     linked = members.where("uid = head").select("head", "head_id").join(comps, F.col("head") == F.col("node"))
     tops = linked.groupBy("component").agg(F.min(F.struct(F.coalesce("head_id", F.lit((1 << 63) - 1)).alias("order_id"), F.col("head").alias("class_uid"), F.col("head_id").alias("class_id"))).alias("top"))
     moved = materialise(comps.join(tops, "component").select(F.col("node").alias("head"), "top.class_uid", "top.class_id"), "classes")
