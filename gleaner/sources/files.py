@@ -20,7 +20,7 @@ def walk_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, mtime_ms, content) with whole UTF-8 contents; files that can't be read are skipped."""
+    """(path, size, mtime_ms, content) with whole UTF-8 contents; files that can't be read, and empty ones, are skipped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root)
     wanted = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*EXTENSIONS))
     below = F.substring_index(F.regexp_replace("path", r"/[^/]*$", ""), root.rstrip("/").split(":")[-1], -1)
