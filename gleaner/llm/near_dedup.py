@@ -313,7 +313,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = own.select("uid", "id", "text")
     found = materialise(rows.select("uid", "id", "text").mapInArrow(_features(k, COMPONENTS, BAND_ROWS), _FEATURES), "features")
     order = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("order_id"), F.col("uid").alias("head"), "id")
-    heads = found.where("content_key IS NOT NULL").groupBy("content_key").agg(F.min(order).alias("top")).select("content_key", F.col("top.head").alias("head"), F.col("top.id").alias("head_id"))
+    copies = found.where("content_key IS NOT NULL").groupBy("content_key").agg(F.min(order).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # A table of its own, so that the join deals both sides anew and AQE can split a group of many copies.
+    heads = materialise(copies.select("content_key", F.col("top.head").alias("head"), F.col("top.id").alias("head_id")), "heads")
     members = materialise(
         found.select("uid", "id", "content_key").join(heads, "content_key", "left").select("uid", "id", F.coalesce("head", "uid").alias("head"), F.when(F.col("head").isNull(), F.col("id")).otherwise(F.col("head_id")).alias("head_id")),
         "members",
