@@ -35,10 +35,12 @@ SAMPLE = 16_384
 MOST_CENTRES = 1_024
 #: Vectors meant for a centre; nearest centres that a vector is assigned to; vectors of a block.
 PER_CENTRE = 512
-OVERLAP = 3
-BLOCK = 2_048
+OVERLAP = 4
+BLOCK = 4_096
 #: Neighbours kept, the pool they are pruned from, the pruning factor, the beam, and how far below the threshold expansion goes.
 DEGREE, POOL, PRUNE, BEAM, SLACK = 24, 48, 1.2, 12, 0.03
+#: Groups of a block whose medoids searches enter at.
+MEDOIDS = 32
 #: Queries of the audit, and the recall it asks for.
 AUDIT, LEAST_RECALL = 256, 0.98
 
@@ -70,14 +72,38 @@ def pruned_graph(x: np.ndarray, degree: int = DEGREE, pool: int = POOL, factor:
     return out
 
 
+def medoids(x: np.ndarray, most: int = MEDOIDS) -> np.ndarray:
+    """Rows nearest to the means of `most` groups of unit vectors, around evenly spaced pivots: where searches enter."""
+    pivots = np.linspace(0, len(x) - 1, min(most, len(x))).astype(int)
+    group = (x @ x[pivots].T).argmax(axis=1)
+    total = np.zeros((len(pivots), x.shape[1]))
+    np.add.at(total, group, x)
+    sims = np.where(group[:, None] == np.arange(len(pivots)), x @ total.T, -np.inf)
+    best = sims.argmax(axis=0)
+    return np.where(np.isfinite(sims[best, np.arange(len(pivots))]), best, pivots)
+
+
+def _undirected(adjacency: np.ndarray) -> np.ndarray:
+    """Neighbour rows in either direction (n x widest, n where there are fewer): a row that none points at is reached from those it points at."""
+    n = len(adjacency)
+    u, col = np.nonzero(adjacency >= 0)
+    v = adjacency[u, col]
+    u, v = np.divmod(np.unique(np.concatenate((u * n + v, v * n + u))), max(n, 1))
+    first = np.searchsorted(u, np.arange(n))
+    out = np.full((n, max(1, int(np.bincount(u, minlength=1).max()) if len(u) else 1)), n)
+    out[u, np.arange(len(u)) - first[u]] = v
+    return out
+
+
 def range_search(q: np.ndarray, x: np.ndarray, adjacency: np.ndarray, starts: np.ndarray, threshold: float, beam: int = BEAM, slack: float = SLACK) -> list[np.ndarray]:
     """For each query the rows of `x` found with cosine >= threshold.
 
     adjacency is (n x m) with -1 for none; starts is (queries x s) rows, -1 for
     none. A beam search runs for all queries side by side; each then expands
-    over neighbours within `threshold - slack`.
+    over neighbours, in either direction, within `threshold - slack`.
     """
     n, out = len(x), []
+    both = _undirected(adjacency)
     for a in range(0, len(q), 256):
         own = q[a : a + 256]
         m = len(own)
@@ -114,9 +140,9 @@ def range_search(q: np.ndarray, x: np.ndarray, adjacency: np.ndarray, starts: np
             known = sims[i, :n]
             front = np.flatnonzero(known >= threshold - slack)
             while len(front):
-                near = np.unique(adjacency[front])
-                near = near[(near >= 0)]
-                near = near[np.isinf(known[near])]
+                reached = np.zeros(n + 1, bool)
+                reached[both[front].reshape(-1)] = True
+                near = np.flatnonzero(reached[:n] & np.isinf(known))
                 known[near] = x[near] @ own[i]
                 front = near[known[near] >= threshold - slack]
             out.append(np.flatnonzero(known >= threshold))
@@ -232,8 +258,8 @@ def _linked(threshold: float):
             for i, own in enumerate(local):
                 adjacency[i, : len(own)] = own
             y = x[nodes]
-            medoid = int((y @ y.mean(axis=0)).argmax())
-            starts = np.concatenate((np.full((len(asks), 1), medoid), place[asks][:, None] if same else adjacency[asks]), axis=1)
+            entries = np.broadcast_to(medoids(y), (len(asks), min(len(y), MEDOIDS)))
+            starts = np.concatenate((entries, place[asks][:, None] if same else adjacency[asks]), axis=1)
             hits = range_search(x[asks], y, adjacency[nodes], starts, threshold)
             u = np.repeat(asks, [len(h) for h in hits])
             v = nodes[np.concatenate(hits)] if hits else np.zeros(0, np.int64)
