@@ -23,7 +23,7 @@ UNDETERMINED = "und"
 #: Length of profiles, of documents and of languages.
 PROFILE = 300
 ORDERS = (1, 2, 3)
-#: At most so many labelled documents of a language are learned from, those with the smallest hashes of their ids.
+#: At most so many labelled documents of a language are learned from, those with the smallest MD5 of their ids.
 TRAIN_ROWS = 1_000
 #: A text whose n-grams are further than this from every profile is in no learned language.
 LEAST_SCORE = 0.05
@@ -132,16 +132,16 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", k: int = PROFILE, train_rows: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
     """Profiles of all languages in `docs`, from labelled documents that are not held out.
 
-    Of each language the `train_rows` documents with the smallest hash of their
+    Of each language the `train_rows` documents with the smallest MD5 of their
     id are learned from, with their whole texts; what comes to the driver is
     `k` n-grams for each language.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col) != 2))
     order = Window.partitionBy("lang").orderBy("h", "id")
-    ids = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("h"))
+    ids = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("h"))
     # Only ids among the smallest hashes are ranked: four times as many as wanted, by each language's count.
     counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    near = F.col("h") / F.lit(2.0**64) + 0.5 <= F.lit(4.0 * train_rows) / F.col("rows")
+    near = F.conv(F.substring("h", 1, 13), 16, 10).cast("long") / F.lit(2.0**52) <= F.lit(4.0 * train_rows) / F.col("rows")
     ids = checked_join(ids, materialise(counts, "counts"), "lang", limit=10_000).where(near)
     ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= train_rows).select(F.col("lang"), F.col("id")).distinct()
     source = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))

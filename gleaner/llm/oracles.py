@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import licences, mixing
+from gleaner.llm import language, licences, mixing
 
 _COMPONENTS = """
     reach(id, other) AS (
@@ -71,6 +71,33 @@ MIXING = f"""
     SELECT doc_id, text, lang, source, n_chars, unnest(range(0, n))::INTEGER AS copy FROM copies"""
 
 
+_CRC32 = """xor(4294967295, list_reduce(flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END, 4294967295::BIGINT))"""
+
+LANGUAGE = f"""
+    WITH folded AS (SELECT doc_id, text, lang, {_CRC32} % 4 AS fold FROM documents),
+    cleaned AS (SELECT *, string_split(regexp_replace(' ' || regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', ' ', 'g') || ' ', ' +', ' ', 'g'), '') AS a FROM folded),
+    chosen AS (
+        SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) AS n FROM folded WHERE lang IS NOT NULL AND text IS NOT NULL AND fold <> 2)
+        WHERE n <= {language.TRAIN_ROWS}
+    ),
+    letters AS (SELECT doc_id, unnest(a) AS x, unnest(a[2:]) AS y, unnest(a[3:]) AS z FROM cleaned WHERE len(a) > 1),
+    grams AS (
+        SELECT doc_id, x AS g FROM letters WHERE x <> ' ' UNION ALL SELECT doc_id, x || y FROM letters WHERE y IS NOT NULL UNION ALL SELECT doc_id, x || y || z FROM letters WHERE z IS NOT NULL
+    ),
+    counted AS (SELECT doc_id, g, count(*) AS n FROM grams GROUP BY ALL),
+    own AS (SELECT * FROM (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, g) - 1 AS i FROM counted) WHERE i < {language.PROFILE}),
+    learned AS (SELECT lang, g, sum(n) AS n FROM counted JOIN chosen USING (doc_id) JOIN folded USING (doc_id) GROUP BY lang, g),
+    profile AS (SELECT * FROM (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) - 1 AS r FROM learned) WHERE r < {language.PROFILE}),
+    distances AS (
+        SELECT o.doc_id, l.lang, sum(coalesce(abs(r - i), {language.PROFILE})) AS d, count(*) AS size
+        FROM own o CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN profile p ON p.lang = l.lang AND p.g = o.g GROUP BY o.doc_id, l.lang
+    ),
+    nearest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY d, lang) AS n FROM distances) WHERE n = 1)
+    SELECT f.doc_id, fold = 2 AS held_out, coalesce(n.lang, '{language.UNDETERMINED}') AS lang_pred, CASE WHEN n.lang IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - d::DOUBLE / ({language.PROFILE} * size) END AS score
+    FROM folded f LEFT JOIN nearest n ON n.doc_id = f.doc_id"""
+
+
 def _licences() -> str:
     quoted = lambda x: "'" + x + "'"
     word_rows = []
@@ -120,6 +147,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_near_dedup": NEAR_DEDUP,
         "op3_vector_dedup": VECTOR_DEDUP,
+        "op5_language": LANGUAGE,
         "op6_licences": _licences(),
         "op8_mixing": MIXING,
         "op9_topk": TOPK,
