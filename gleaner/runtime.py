@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only after its rows were counted and found to be fewer.
 BROADCAST_ROWS = 1_000_000
-ARROW_BATCH = "16m"
+ARROW_BATCH = "4m"
 _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
