@@ -1,15 +1,19 @@
 """Candidate generation and ranking: exact vectors, keywords, late interaction, fusion.
 
-Vector arithmetic is unrolled to one generated expression for a query vector of
-up to UNROLL components, which stays in whole-stage code generation; longer
-ones fold arrays. Every top-k has a total order.
+Vector arithmetic is unrolled to one generated expression for queries of up to
+UNROLL components in all, which stays in whole-stage code generation; larger
+ones go to matrix products over Arrow batches, which hand back only what may
+still win: the best rows, or the maxima of each page. Every top-k has a total order.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,12 +56,38 @@ def cosine(vector: Column, query: list[float]) -> Column:
     return F.when((own == 0) | F.lit(size == 0), 0.0).otherwise(dot(vector, query) / (own * F.lit(size or 1.0)))
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one batch, in double precision; the rows have no null."""
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _nearest(query: list[float], k: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = np.array(query)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column(1)) - q
+            distance = np.sqrt(np.einsum("ij,ij->i", x, x))
+            # All ties of the k-th are kept, so that ids decide among them later.
+            keep = distance <= np.partition(distance, k - 1)[k - 1] if len(distance) > k else np.ones(len(distance), bool)
+            yield pa.record_batch([batch.column(0), pa.array(distance)], [batch.schema.names[0], "distance"]).filter(pa.array(keep))
+
+    return run
+
+
 def knn(rows: DataFrame, query: list[float], k: int, id_col: str, vector_col: str = "embedding") -> DataFrame:
     """(id_col, distance) of the k rows nearest to `query`; rows without a vector take no part.
 
-    One scan of two columns into a bounded heap for each task.
+    One scan of two columns; a task keeps a bounded heap, or the best of each batch.
     """
-    found = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col), l2_distance(F.col(vector_col), query).alias("distance"))
+    known = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col), F.col(vector_col))
+    if len(query) <= UNROLL:
+        found = known.select(F.col(id_col), l2_distance(F.col(vector_col), query).alias("distance"))
+    else:
+        kind = known.schema[0].dataType.simpleString()
+        found = known.where(F.size(vector_col) == len(query)).mapInArrow(_nearest(query, k), f"`{id_col}` {kind}, distance double")
     return found.orderBy("distance", id_col).limit(k)
 
 
@@ -144,14 +174,44 @@ def rrf(lanes: DataFrame, id_col: str = "id", k: int = RRF_K) -> DataFrame:
     return ranks.groupBy(id_col).agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("rrf_score"))
 
 
+def _page_maxima(query: list[list[float]]):
+    """For each page of a batch, the best cosine of each query vector."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = np.array(query, np.float64)
+        size = np.sqrt((q * q).sum(axis=1, keepdims=True))
+        q = np.divide(q, size, out=np.zeros_like(q), where=size > 0).T
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column(1))
+            own = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+            sims = np.divide(x @ q, own, out=np.zeros((len(x), q.shape[1])), where=own > 0)
+            pages = batch.column(0).dictionary_encode()
+            code = pages.indices.fill_null(len(pages.dictionary)).to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], np.diff(code[order]) != 0)))
+            best = np.maximum.reduceat(sims[order], first, axis=0)
+            yield pa.record_batch([batch.column(0).take(pa.array(order[first])), pa.array(list(best), pa.list_(pa.float64()))], [batch.schema.names[0], "best"])
+
+    return run
+
+
 def maxsim(pages: DataFrame, query: list[list[float]], page_col: str, vector_col: str = "embedding") -> DataFrame:
     """(page_col, score): for each query vector the best cosine on a page, added over query vectors.
 
     Maxima are combined before the shuffle, so a page's vectors never meet in one place.
     """
-    sims = pages.where(F.col(vector_col).isNotNull()).select(F.col(page_col), *(cosine(F.col(vector_col), q).alias(f"s{j}") for j, q in enumerate(query)))
-    best = sims.groupBy(page_col).agg(*(F.max(f"s{j}").alias(f"s{j}") for j in range(len(query))))
-    return best.select(page_col, _sum([F.col(f"s{j}") for j in range(len(query))]).alias("score"))
+    known = pages.where(F.col(vector_col).isNotNull()).select(F.col(page_col), F.col(vector_col))
+    names = [f"s{j}" for j in range(len(query))]
+    if sum(map(len, query)) <= UNROLL:
+        sims = known.select(F.col(page_col), *(cosine(F.col(vector_col), q).alias(n) for q, n in zip(query, names)))
+    else:
+        kind = known.schema[0].dataType.simpleString()
+        parts = known.where(F.size(vector_col) == len(query[0])).mapInArrow(_page_maxima(query), f"`{page_col}` {kind}, best array<double>")
+        sims = parts.select(F.col(page_col), *(F.get("best", F.lit(j)).alias(n) for j, n in enumerate(names)))
+    best = sims.groupBy(page_col).agg(*(F.max(n).alias(n) for n in names))
+    return best.select(page_col, _sum([F.col(n) for n in names]).alias("score"))
 
 
 def keep_best(rows: DataFrame, keys: list[str], score: str, *ties: str) -> DataFrame:

@@ -35,6 +35,26 @@ def test_maxsim(spark):
     assert {r.page: r.score for r in R.maxsim(pages, own, "page").collect()} == {"p": 2.0, "q": 0.0}
 
 
+def test_large_queries_take_the_matrix_path(spark):
+    rng = random.Random(2)
+    rows = [(f"p{i % 7}" if i % 11 else None, i, [rng.gauss(0, 1) for _ in range(300)]) for i in range(200)] + [("p0", 900, None), ("p1", 901, [0.0] * 300), ("p2", 902, [1.0])]
+    df = spark.createDataFrame(rows, "page string, id int, embedding array<float>")
+    import numpy as np
+
+    x = {i: np.array(v, np.float32).astype(float) for _, i, v in rows if v and len(v) == 300}
+    q = rows[5][2]
+    want = sorted((float(np.linalg.norm(v - np.array(q))), i) for i, v in x.items())[:9]
+    assert [(round(r.distance, 9), r.id) for r in R.knn(df, q, 9, "id").collect()] == [(round(d, 9), i) for d, i in want]
+    query = [rows[5][2], rows[6][2], [0.0] * 300]
+    unit = lambda v: v / np.linalg.norm(v) if np.linalg.norm(v) else v * 0
+    best = {}
+    for page, i, v in rows:
+        if i in x:
+            best.setdefault(page, []).append([float(unit(x[i]) @ unit(np.array(u))) for u in query])
+    got = {r.page: r.score for r in R.maxsim(df, query, "page").collect()}
+    assert got == pytest.approx({p: float(np.max(s, axis=0).sum()) for p, s in best.items()})
+
+
 def test_keywords(spark):
     assert R.query_phrases('foo-bar  "baz" --') == [["foo", "bar"], ["baz"]]
     assert R.fts_query('a "b') == '"a" OR """b"'
