@@ -118,7 +118,7 @@ class Profiles:
 
 
 def fold(doc_id):
-    """crc32 of the id as text, modulo 4; documents at 2 are held out, as are those without an id."""
+    """crc32 of the id as text (a null one as the empty text), modulo 4; documents at 2 are held out."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4
 
 
