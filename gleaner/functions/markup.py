@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import LEAST, TARGET, paragraph_chunks, strip
+from gleaner.functions.text import LEAST, TARGET, let, paragraph_chunks, strip
 
 _BLOCKS = "p|div|h[1-6]|li|tr|blockquote"
 # The entities that are decoded, in the order in which they are.
@@ -40,10 +40,11 @@ def is_html(c: Column) -> Column:
 
 def remove_quoted_replies(c: Column) -> Column:
     """Lines before the first `On ... wrote:`, without those that are quoted by `>`."""
-    lines = F.filter(F.split(c, "\n"), lambda x: ~strip(x).startswith(">"))
-    flags = F.transform(lines, lambda x: strip(x).rlike(r"(?i)\AOn .+wrote:\s*\z"))
-    stop = F.array_position(flags, True)
-    return strip(F.array_join(F.when(stop > 0, F.slice(lines, F.lit(1), (stop - 1).cast("int"))).otherwise(lines), "\n"))
+    def before_stop(lines: Column) -> Column:
+        flags = F.transform(lines, lambda x: strip(x).rlike(r"(?i)\AOn .+wrote:\s*\z"))
+        return let(F.array_position(flags, True), lambda stop: strip(F.array_join(F.when(stop > 0, F.slice(lines, F.lit(1), (stop - 1).cast("int"))).otherwise(lines), "\n")))
+
+    return let(F.filter(F.split(c, "\n"), lambda x: ~strip(x).startswith(">")), before_stop)
 
 
 def thread_messages(body: Column) -> Column:
@@ -66,14 +67,20 @@ def message_context(subject: Column, sender: Column, date: Column) -> Column:
 
 def message_chunks(body: Column, subject: Column, sender: Column, date: Column) -> Column:
     """array<struct<content, section_context>> of one mail; parts of a long one are numbered before short ones are dropped."""
-    clean = remove_quoted_replies(F.when(is_html(body), strip_html(body)).otherwise(body))
-    context = message_context(subject, sender, date)
     made = lambda ctx, text: F.struct(F.concat(F.lit("["), ctx, F.lit("]\n"), text).alias("content"), ctx.alias("section_context"))
-    parts = paragraph_chunks(clean)
-    numbered = F.transform(parts, lambda p, i: F.struct(p.alias("text"), F.when(F.size(parts) > 1, F.concat(context, F.lit(" (part "), (i + 1).cast("string"), F.lit(")"))).otherwise(context).alias("context")))
-    long = F.transform(F.filter(numbered, lambda x: F.length(strip(x["text"])) >= LEAST), lambda x: made(x["context"], x["text"]))
-    none = F.filter(F.array(made(context, clean)), lambda x: F.lit(False))
-    return F.when(F.length(clean) < LEAST, none).when(F.length(clean) <= TARGET, F.array(made(context, clean))).otherwise(long)
+
+    def numbered(context: Column, parts: Column) -> Column:
+        many = F.size(parts) > 1
+        named = F.transform(parts, lambda p, i: F.struct(p.alias("text"), F.when(many, F.concat(context, F.lit(" (part "), (i + 1).cast("string"), F.lit(")"))).otherwise(context).alias("context")))
+        return F.transform(F.filter(named, lambda x: F.length(strip(x["text"])) >= LEAST), lambda x: made(x["context"], x["text"]))
+
+    def cut(m: Column) -> Column:
+        none = F.filter(F.array(made(m["context"], m["clean"])), lambda x: F.lit(False))
+        size = F.length(m["clean"])
+        return F.when(size < LEAST, none).when(size <= TARGET, F.array(made(m["context"], m["clean"]))).otherwise(let(paragraph_chunks(m["clean"]), lambda parts: numbered(m["context"], parts)))
+
+    clean = let(body, lambda b: remove_quoted_replies(F.when(is_html(b), strip_html(b)).otherwise(b)))
+    return let(F.struct(clean.alias("clean"), message_context(subject, sender, date).alias("context")), cut)
 
 
 def mail_format(metadata: Column) -> Column:

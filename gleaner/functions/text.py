@@ -6,6 +6,8 @@ includes the no-break space and the byte-order mark.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ _HEADING = rf"#{{1,4}}(?:(?!\n)[{BLANK}])+{_INLINE}+(?=\n|\z)"
 _strings = "array<string>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once for a row, however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Both ends without white space of any kind."""
     return F.regexp_replace(c, rf"\A[{BLANK}]+|[{BLANK}]+\z", "")
@@ -104,12 +111,13 @@ def paragraph_chunks(text: Column) -> Column:
 def document_chunks(title_: Column, body: Column) -> Column:
     """array<struct<content, section_context>> of a document; short chunks are dropped, the rest carry their context in brackets."""
 
-    def of_section(s: Column) -> Column:
-        context = F.nullif(F.concat_ws(" § ", F.nullif(title_, F.lit("")), F.nullif(s["heading"], F.lit(""))), F.lit(""))
+    def of_section(name: Column, s: Column) -> Column:
+        context = F.nullif(F.concat_ws(" § ", F.nullif(name, F.lit("")), F.nullif(s["heading"], F.lit(""))), F.lit(""))
         kept = F.filter(paragraph_chunks(s["content"]), lambda c: F.length(strip(c)) >= LEAST)
-        return F.transform(kept, lambda c: F.struct(F.concat(F.coalesce(F.concat(F.lit("["), context, F.lit("] ")), F.lit("")), c).alias("content"), context.alias("section_context")))
+        made = lambda ctx: F.transform(kept, lambda c: F.struct(F.concat(F.coalesce(F.concat(F.lit("["), ctx, F.lit("] ")), F.lit("")), c).alias("content"), ctx.alias("section_context")))
+        return let(context, made)
 
-    return F.flatten(F.transform(sections(body), of_section))
+    return let(F.struct(title_.alias("title"), body.alias("body")), lambda d: F.flatten(F.transform(sections(d["body"]), lambda s: of_section(d["title"], s))))
 
 
 def sha256(c: Column) -> Column:

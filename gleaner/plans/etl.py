@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import markup, scoring, text
-from gleaner.runtime import read
+from gleaner.runtime import read, spread
 
 
 def _exploded(rows: DataFrame, key: str, chunks: Column) -> DataFrame:
@@ -25,40 +25,40 @@ def _spaced() -> Column:
 
 
 def split_sections(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "documents").select("doc_id", F.posexplode(text.sections(_headed())).alias("section", "s"))
+    rows = spread(read(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")).select("doc_id", F.posexplode(text.sections(_headed())).alias("section", "s"))
     return rows.select("doc_id", F.col("section").cast("long").alias("section"), F.col("s.heading").alias("heading"), text.sha256(F.col("s.content")).alias("content_hash"))
 
 
 def chunk_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return _exploded(read(spark, d, "documents"), "doc_id", text.sentence_chunks(F.col("text")))
+    return _exploded(spread(read(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")), "doc_id", text.sentence_chunks(F.col("text")))
 
 
 def chunk_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return _exploded(read(spark, d, "documents"), "doc_id", text.paragraph_chunks(_spaced()))
+    return _exploded(spread(read(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")), "doc_id", text.paragraph_chunks(_spaced()))
 
 
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     """Whole chunking: title, sections, paragraphs, the least length and the context prefix."""
     raw = F.concat(F.lit("---\nsource: "), F.col("source"), F.lit("\n---\n"), _headed())
-    rows = read(spark, d, "documents").select("doc_id", text.frontmatter_parts(raw).alias("p"))
+    rows = spread(read(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")).select("doc_id", text.frontmatter_parts(raw).alias("p"))
     rows = rows.select("doc_id", F.posexplode(text.document_chunks(text.title(F.lit(None).cast("string"), F.col("p.body")), F.col("p.body"))).alias("chunk_index", "c"))
     return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "c.section_context", text.sha256(F.col("c.content")).alias("content_hash"))
 
 
 def frontmatter_split(spark: SparkSession, d: str) -> DataFrame:
     raw = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("---\nlang: "), F.col("lang"), F.lit("\nsource: "), F.col("source"), F.lit("\n---\n\n"), F.col("text")))
-    rows = read(spark, d, "documents").select("doc_id", text.frontmatter_parts(raw).alias("p"))
+    rows = spread(read(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")).select("doc_id", text.frontmatter_parts(raw).alias("p"))
     return rows.select("doc_id", F.col("p.yaml").alias("yaml"), text.sha256(F.col("p.body")).alias("body_hash"))
 
 
 def document_title(spark: SparkSession, d: str) -> DataFrame:
     meta = F.when(F.col("doc_id") % 4 == 0, F.to_json(F.struct(F.lit("").alias("title"), F.col("source").alias("name")))).when(F.col("doc_id") % 4 == 1, F.to_json(F.struct(F.col("source").alias("identifier"))))
-    return read(spark, d, "documents").select("doc_id", text.title(meta, _headed()).alias("title"))
+    return spread(read(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")).select("doc_id", text.title(meta, _headed()).alias("title"))
 
 
 def strip_html(spark: SparkSession, d: str) -> DataFrame:
     clean = markup.strip_html(F.col("html"))
-    return read(spark, d, "pages").select("page_id", markup.is_html(F.col("html")).alias("is_html"), text.sha256(clean).alias("text_hash"), F.length(clean).cast("long").alias("n_chars"))
+    return spread(read(spark, d, "pages").select("page_id", "html")).select("page_id", markup.is_html(F.col("html")).alias("is_html"), text.sha256(clean).alias("text_hash"), F.length(clean).cast("long").alias("n_chars"))
 
 
 def _quoted() -> Column:
@@ -79,7 +79,7 @@ def mail_thread_split(spark: SparkSession, d: str) -> DataFrame:
 
 def mail_chunks(spark: SparkSession, d: str) -> DataFrame:
     chunks = markup.message_chunks(_spaced(), F.concat(F.lit("Note "), F.col("doc_id").cast("string")), F.col("source"), F.lit("2024-01-05"))
-    rows = read(spark, d, "documents").select("doc_id", F.posexplode(chunks).alias("chunk_index", "c"))
+    rows = spread(read(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")).select("doc_id", F.posexplode(chunks).alias("chunk_index", "c"))
     return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "c.section_context", text.sha256(F.col("c.content")).alias("content_hash"))
 
 

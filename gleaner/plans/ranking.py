@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import scoring
 from gleaner.operators import ranking as R
-from gleaner.runtime import read
+from gleaner.runtime import read, spread
 
 NOW_MS = 1_709_251_200_000
 EPOCH_MS = 1_704_067_200_000
@@ -51,7 +51,7 @@ def page_vector_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25(read(spark, d, "documents"), QUERY, "doc_id", F.col("text"))
+    return R.bm25(spread(read(spark, d, "documents").select("doc_id", "text")), QUERY, "doc_id", F.col("text"))
 
 
 def bm25_top200(spark: SparkSession, d: str) -> DataFrame:
@@ -60,12 +60,12 @@ def bm25_top200(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
-    found = R.bm25(read(spark, d, "documents"), "rights-reserved license", "doc_id", F.col("text"))
+    found = R.bm25(spread(read(spark, d, "documents").select("doc_id", "text")), "rights-reserved license", "doc_id", F.col("text"))
     return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def inverted_index_stats(spark: SparkSession, d: str) -> DataFrame:
-    posts = R.postings(read(spark, d, "documents"), "doc_id", F.col("text"))
+    posts = R.postings(spread(read(spark, d, "documents").select("doc_id", "text")), "doc_id", F.col("text"))
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf"))
 
 

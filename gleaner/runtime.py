@@ -33,6 +33,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt over all cores where it has fewer partitions than there are; a large input is left as it is.
+
+    For row functions that cost far more than moving their rows, such as chunking and tokenising.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, named by spark.checkpoint.dir.
 
