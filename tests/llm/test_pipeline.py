@@ -1,4 +1,6 @@
 import collections
+import random
+import string
 
 import corpus_pipeline
 from gleaner.llm import language, mixing, near_dedup, packing, secrets
@@ -51,3 +53,29 @@ def test_clean_documents_stay(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 200")
     kept = corpus_pipeline.identify_language(spark, docs, sf_dir)
     assert kept.count() >= 0.98 * docs.count()
+
+
+def test_texts_in_no_learned_language_go(spark, sf_dir):
+    rng = random.Random(5)
+    letters = string.ascii_letters + string.digits + "+/"
+    foreign = [
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza. Ad ogni individuo spettano tutti i diritti e tutte le libertà enunciate nella presente Dichiarazione, senza distinzione alcuna.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        " ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(3, 9))) for _ in range(300)),
+        "".join(rng.choices(letters, k=3000)),
+    ]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    short = ["the and of", "the of and to in key", "Le de la et les."]
+    planted = [(20_000 + i, t, "en", "s", len(t)) for i, t in enumerate(foreign)] + [(30_000 + i, t, None, "s", len(t)) for i, t in enumerate(short)]
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.unionByName(spark.createDataFrame(planted, DOCS)), sf_dir).select("doc_id").collect()}
+    assert not [i for i in range(len(foreign)) if 20_000 + i in kept]
+    assert all(30_000 + i in kept for i in range(len(short)))
+    assert {r.doc_id for r in docs.where(F.col("text").rlike("[a-z]")).select("doc_id").collect()} <= kept
+
+
+def test_the_threshold_follows_the_labelled_scores(spark):
+    texts = spark.createDataFrame([("en", "the and of to")] * 9 + [("en", "zq xj")], "lang string, text string")
+    assert language.least_score(texts, language.profiles_of(texts)) == language.LEAST_SCORE
+    assert language.least_score(texts, language.profiles_of(texts.where("text LIKE 'zq%'"))) < language.LEAST_SCORE
+    assert language.least_score(texts.limit(0), {}) == language.LEAST_SCORE
