@@ -3,9 +3,11 @@
 Labelled credentials of a kind are read as strings of character classes (their
 first letters as themselves), laid into a prefix tree, and states whose
 continuations do not differ significantly (Hoeffding bound) are merged, breadth
-first, into a probabilistic automaton. Every candidate token of a text is
-scored by the likelihood of its format under each automaton against that under
-an automaton of ordinary strings; a kind whose ratio beats the threshold gives a span. Spans of fixed patterns come besides.
+first, into a probabilistic automaton. Every candidate token of a text, and
+every part of one that begins and ends at separators, is scored by the
+likelihood of its format under each automaton against that under an automaton
+of ordinary strings; of overlapping parts that beat the threshold the best
+gives a span. Spans of fixed patterns come besides.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 BASE_KINDS = ("assign", "access", "hex")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.-]{16,}={0,2}")
+#: Characters of a candidate beside which a credential may begin or end, and the least length of one.
+SEPARATORS = frozenset("+/_.-")
+LEAST_LENGTH = 16
 #: Letters at the front of a token that are read as themselves.
 LITERAL = 3
 #: Significance of the merge test, and labelled strings made of each format.
@@ -119,6 +124,10 @@ class Automaton:
             for s, t in self.next[state].items():
                 often[s] = max(often.get(s, (0, 0)), (self.count[state][s], t))
         self.back = {s: t for s, (_, t) in often.items()}
+        #: Separators that tokens hold behind their leading characters.
+        self.holds = {c for seen in self.count for c in seen if c in SEPARATORS}
+        # What a symbol adds to the log-likelihood against characters drawn from _ALPHABET, by state.
+        self.gain = [{s: p + _WITHIN.get(s, 0.0) + math.log(_ALPHABET) for s, p in log.items()} for log in self.log]
 
     def _differ(self, a: int, b: int) -> bool:
         """Whether some continuation of two states differs beyond the bound."""
@@ -180,6 +189,66 @@ class Automaton:
         return total + self.log[state].get(_END, unseen)
 
 
+    def parts(self, token: str, classes: list[str], least: float) -> list[tuple[float, bool, int, int]]:
+        """(ratio, known, start, end) of a token's parts between separators whose likelihood beats drawn characters by `least`.
+
+        A part is known if its leading characters were all seen. No part goes
+        over a separator that no labelled token holds. Parts that have come to
+        one state go on alike: of those the likeliest is followed, and of known
+        ones also earlier ones that beat drawn characters so far.
+        """
+        found: list[tuple[float, bool, int, int]] = []
+        live: list[tuple[int, float, bool, int]] = []
+        unseen, strange, size, n = math.log(_UNSEEN), math.log(_UNSEEN_LITERAL), math.log(_ALPHABET), len(token)
+        gain, following, back, literal = self.gain, self.next, self.back, self.literal
+        for i in range(n + 1):
+            c = token[i] if i < n else ""
+            cut = c in SEPARATORS
+            if i == n or cut or c == "=":
+                for state, ratio, known, start in live:
+                    if i - start >= LEAST_LENGTH and (r := ratio + self.log[state].get(_END, unseen)) >= least:
+                        found.append((r, known, start, i))
+            if i == n:
+                break
+            if not i or cut or token[i - 1] in SEPARATORS:
+                live.append((0, 0.0, True, i))
+            own = classes[i]
+            foreign = cut and own not in self.holds
+            moved: list[tuple[int, float, bool, int]] = []
+            best: dict[tuple[int, bool], float] = {}
+            for state, ratio, known, start in live:
+                first = i - start < literal
+                s = f"={c}" if first else own
+                g = gain[state].get(s)
+                if g is None:
+                    if foreign and not first:
+                        continue
+                    known = known and not first
+                    g = (strange if first else unseen) + _WITHIN.get(s, 0.0) + size
+                t = following[state].get(s)
+                if t is None:
+                    t = back.get(s, state)
+                ratio += g
+                if i - start >= LEAST_LENGTH:
+                    top = best.get((t, known), -math.inf)
+                    if known and ratio <= top:
+                        continue
+                    best[t, known] = max(top, ratio)
+                moved.append((t, ratio, known, start))
+            live = moved if len(moved) < 2 else [h for h in moved if i - h[3] < LEAST_LENGTH or (h[2] and h[1] >= least) or h[1] >= best[h[0], h[2]]]
+        return found
+
+    def prefixes(self, classes: list[str], ends: set[int]) -> dict[int, float]:
+        """The log-likelihood of the prefixes of the given lengths, for an automaton that reads no literals."""
+        state, total, unseen, out = 0, 0.0, math.log(_UNSEEN), {}
+        for i, s in enumerate(classes):
+            if i in ends:
+                out[i] = total + self.log[state].get(_END, unseen)
+            total += self.log[state].get(s, unseen) + _WITHIN.get(s, 0.0)
+            state = self.next[state].get(s, self.back.get(s, state))
+        return out | {len(classes): total + self.log[state].get(_END, unseen)}
+
+
 def learn(labelled: list[tuple[str, str]]) -> dict[str, Automaton]:
     """An automaton for each kind of a small labelled table; '' is the kind of ordinary strings."""
     kinds: dict[str, list[str]] = {}
@@ -195,6 +264,39 @@ def format_kind(token: str, automata: dict[str, Automaton], least: float = LEAST
     return kind if best - ordinary >= least else None
 
 
+def credentials(token: str, automata: dict[str, Automaton], least: float = LEAST_RATIO) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the credentials in a candidate token, none overlapping another.
+
+    Parts with known leading characters come first, from left to right, each to
+    its last possible end, so that no tail of a credential is left; then the
+    token as a whole; then other parts, the likeliest first.
+    """
+    classes = [_CLASS.get(c, c) for c in token]
+    likely = [(kind, *part) for kind, a in automata.items() if kind for part in a.parts(token, classes, least)]
+    ends: dict[int, set[int]] = {}
+    for _, _, _, start, end in likely:
+        ends.setdefault(start, set()).add(end - start)
+    ordinary = {start: automata[""].prefixes(classes[start : start + max(n)], n) for start, n in ends.items()} if "" in automata else {}
+    scored: dict[tuple[bool, int, str], tuple[float, int]] = {}
+    for kind, ratio, known, start, end in likely:
+        value = ratio - max(0.0, ordinary[start][end - start] + (end - start) * math.log(_ALPHABET)) if ordinary else ratio
+        if value >= least:
+            top, last = scored.get((known, start, kind), (-math.inf, 0))
+            scored[known, start, kind] = max(top, value), max(last, end)
+    whole = token if token[-1] == "=" else token.rstrip("".join(SEPARATORS))
+    order = sorted((start, -value, kind, end) for (known, start, kind), (value, end) in scored.items() if known)
+    parts = [(kind, start, end) for start, _, kind, end in order]
+    if len(whole) >= LEAST_LENGTH and (kind := format_kind(whole, automata, least)):
+        parts.append((kind, 0, len(whole)))
+    order = sorted((-value, start, kind, end) for (known, start, kind), (value, end) in scored.items() if not known)
+    parts += [(kind, start, end) for _, start, kind, end in order]
+    out: list[tuple[str, int, int]] = []
+    for kind, start, end in parts:
+        if all(end <= a or b <= start for _, a, b in out):
+            out.append((kind, start, end))
+    return out
+
+
 def spans(text: str | None, automata: dict[str, Automaton]) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a whole text, by start and then kind, base kinds first; code points, end exclusive."""
     if not text:
@@ -203,9 +305,7 @@ def spans(text: str | None, automata: dict[str, Automaton]) -> list[tuple[str, i
     found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     for m in CANDIDATE.finditer(text):
-        token = m[0].rstrip(".-_/+") if m[0][-1] in ".-_/+" else m[0]
-        if len(token) >= 16 and (kind := format_kind(token, automata)):
-            found.append((kind, m.start(), m.start() + len(token)))
+        found += [(kind, m.start() + a, m.start() + b) for kind, a, b in credentials(m[0], automata)]
     order = {k: i for i, k in enumerate(BASE_KINDS)}
     return sorted(found, key=lambda x: (x[1], order.get(x[0], len(order)), x[0]))
 

@@ -202,6 +202,22 @@ def test_automata_tell_unseen_credentials_from_ordinary_strings():
     assert len(reachable) <= 7
 
 
+def test_credentials_inside_runs():
+    automata = secrets.learn(secrets.labelled_credentials())
+    for token, kind in secrets.labelled_credentials(seed=99, samples=5):
+        for before in ("", "/", "x/", "https://host/verify/", "key_", "a-b.") if kind else ():
+            for after in ("", "/repo", ".git", "-x", "_old", "+", ", end"):
+                text = before + token + after
+                found = [s for s in secrets.spans(text, automata) if s[0] not in secrets.BASE_KINDS]
+                assert [k for k, a, b in found if a == len(before) and b >= len(before) + len(token)] == [kind], text
+                if after[:1] in ("", "/", "+", ","):
+                    assert found == [(kind, len(before), len(before) + len(token))]
+    token = "ghp_" + "aB3dE5gH7jK9mN1pQ3rS5tU7vW9xY1zA3bC5"
+    assert secrets.spans(f"see x/{token}/{token}.", automata) == [("github", 6, 46), ("github", 47, 87)]
+    assert secrets.credentials("some/path_of/words.and-more/12/lib_x.y", automata) == []
+    assert len(secrets.credentials("eyJab-" * 8_000, automata)) < 8_000
+
+
 def test_secret_query_digests(spark, tmp_path):
     docs = rows_of(spark, ['x token = "abcdefghijklm0123" deadbeefdeadbeef', "clean"])
     docs.write.parquet(str(tmp_path / "documents.parquet"))
