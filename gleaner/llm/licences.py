@@ -1,8 +1,8 @@
 """Operator 6: licence scans by a positional rare-token index [native].
 
 The licence words of all templates are weighted by their inverse document
-frequency over the corpus. Each template is posted, with positions, under its
-rarest words. A file's occurrences of those words are looked up, each giving a
+frequency over the corpus. Each template is posted, with its position, under the
+rarest word of its mandatory key phrase, which no place of it can lack. A file's occurrences of those words are looked up, each giving a
 template and the place where it would begin; at each place the words of the
 template are intersected by relative position, and where enough of their weight
 stands there, and the mandatory key phrase stands in full, the label is given.
@@ -34,7 +34,7 @@ TEMPLATES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
 )
-#: Words of a template that it is posted under: the rarest ones.
+#: Rarest words of a template of which the checking SQL wants one in place; the scan itself misses no place for lack of them.
 ANCHORS = 3
 #: Share of a template's weight that has to stand in place.
 LEAST_COVER = 0.75
@@ -71,10 +71,11 @@ def scan(docs: DataFrame, weights: dict[str, float], templates=TEMPLATES, id_col
     tie on equal terms and all places are kept; other columns are not looked at.
     """
     postings: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, text, _) in enumerate(templates):
-        own = text.split()
-        for p in sorted(range(len(own)), key=lambda p: (-weights[own[p]], p))[:ANCHORS]:
-            postings.setdefault(own[p], []).append((t, p))
+    for t, (_, text, key) in enumerate(templates):
+        own, phrase = text.split(), key.split()
+        k = next(i for i in range(len(own)) if own[i : i + len(phrase)] == phrase)
+        p = min(range(k, k + len(phrase)), key=lambda p: (-weights[own[p]], p))
+        postings.setdefault(own[p], []).append((t, p))
     base_anchor = {"cc": 0, "general": 0, "reserved": 2}
     looked_up = sorted({*postings, *base_anchor})
     words, text = F.col("words"), F.col(text_col)

@@ -174,6 +174,16 @@ def test_licences_equal_brute_force(spark):
     assert licences.scan(df.limit(0), licences.word_weights(df.limit(0))).count() == 0
 
 
+def test_licences_without_their_rarest_words(spark):
+    label, template, key = licences.TEMPLATES[7]
+    weights = {w: 1.0 for _, t, _ in licences.TEMPLATES for w in t.split()}
+    own = template.split()
+    texts = ["x x x " + " ".join(own[3:]), " ".join(own[3:]), " ".join(w for w in own if w not in key.split())]
+    got = licences.scan(rows_of(spark, texts), weights).collect()
+    assert label == "isc" and [[(f.label, f.start) for f in r.found] for r in got] == [[("isc", 0)], [("isc", -3)], []]
+    assert all(f.cover == pytest.approx(1 - 3 / len(own)) for r in got[:2] for f in r.found)
+
+
 # ---- secrets
 
 def test_secret_patterns(spark):
