@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.runtime import checked_join
-
-#: Depth at which trees of blocks and pages are cut.
-MOST_DEPTH = 20
+from gleaner.runtime import checked_join, materialise
 
 
 def ordered(rows: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:
@@ -60,23 +57,23 @@ def collision_suffix(rows: DataFrame, slug: str, id_col: str, out: str) -> DataF
     return rows.withColumn(out, F.when(place == 1, F.col(slug)).otherwise(F.concat_ws("--", slug, F.col(id_col).cast("string"))))
 
 
-def tree_paths(nodes: DataFrame, id_col: str, parent_col: str, name_col: str, most_depth: int = MOST_DEPTH) -> DataFrame:
-    """(id_col, depth, path) of all nodes reachable from a root (a node whose parent is null or absent), by a recursive query."""
-    spark = nodes.sparkSession
+def tree_paths(nodes: DataFrame, id_col: str, parent_col: str, name_col: str, most_depth: int | None = None) -> DataFrame:
+    """(id_col, depth, path) of all nodes reachable from a root (a node whose parent is null or absent), level by level.
+
+    A node is not visited below itself, so repeated ids that make a cycle end.
+    """
     own = nodes.select(F.col(id_col).cast("string").alias("id"), F.col(parent_col).cast("string").alias("parent"), F.col(name_col).alias("name"))
     known = own.select(F.col("id").alias("parent")).distinct().withColumn("has", F.lit(True))
-    marked = own.join(known, "parent", "left").withColumn("parent", F.when(F.col("has"), F.col("parent"))).select("id", "parent", "name")
-    paths = spark.sql(
-        f"""
-        WITH RECURSIVE walk(id, depth, path) AS (
-            SELECT id, 0, name FROM {{nodes}} WHERE parent IS NULL
-            UNION ALL
-            SELECT n.id, w.depth + 1, concat(w.path, '/', n.name) FROM {{nodes}} n JOIN walk w ON n.parent = w.id WHERE w.depth < {int(most_depth)}
-        )
-        SELECT id, cast(depth AS BIGINT) AS depth, path FROM walk""",
-        nodes=marked,
-    )
-    return paths.withColumnRenamed("id", id_col)
+    marked = materialise(own.join(known, "parent", "left").withColumn("parent", F.when(F.col("has"), F.col("parent"))).select("id", "parent", "name"), "nodes")
+    children = marked.where(F.col("parent").isNotNull()).withColumnRenamed("id", "child")
+    level = materialise(marked.where(F.col("parent").isNull()).select("id", F.lit(0).cast("long").alias("depth"), F.col("name").alias("path"), F.array("id").alias("trail")), "level")
+    paths, depth = level, 0
+    while (most_depth is None or depth < most_depth) and not level.isEmpty():
+        depth += 1
+        below = children.join(level, F.col("parent") == F.col("id")).where(~F.coalesce(F.array_contains("trail", F.col("child")), F.lit(False)))
+        level = materialise(below.select(F.col("child").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), "name").alias("path"), F.concat("trail", F.array("child")).alias("trail")), "level")
+        paths = paths.unionByName(level)
+    return paths.select(F.col("id").alias(id_col), "depth", "path")
 
 
 def inverse_relations(relations: DataFrame, source: str, target: str, kind: str, inverse: dict[str, str]) -> DataFrame:

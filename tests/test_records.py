@@ -155,6 +155,14 @@ def test_orphans_are_roots_and_paths_are_whole(spark):
     assert {r.id: (r.depth, r.path) for r in rollups.tree_paths(nodes, "id", "parent", "name").collect()} == {"a": (0, "A"), "b": (1, "A/B"), "c": (2, "A/B/C"), "o": (0, "O")}
 
 
+def test_deep_trees_are_whole_and_cycles_end(spark):
+    chain = [(str(i), str(i - 1) if i else None, f"n{i}") for i in range(25)]
+    nodes = spark.createDataFrame([*chain, ("x", "0", "X"), ("y", "x", "Y"), ("x", "y", "X"), ("p", "q", "P"), ("q", "p", "Q")], "id string, parent string, name string")
+    got = rollups.tree_paths(nodes, "id", "parent", "name").collect()
+    assert {(r.id, r.depth) for r in got} == {(str(i), i) for i in range(25)} | {("x", 1), ("y", 2)} and len(got) == 27
+    assert max(got, key=lambda r: r.depth).path == "/".join(f"n{i}" for i in range(25))
+
+
 def test_dumps(spark, tmp_path):
     raw = [{"id": "U1", "name": "n", "profile": {"display_name": ""}}, {"id": "U2", "real_name": "R", "is_bot": True}]
     (tmp_path / "users.jsonl").write_text("\n".join(map(json.dumps, raw)) + "\n")
