@@ -118,8 +118,7 @@ def _licences() -> str:
         SELECT t, label, q, template.word, is_key, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (coalesce(df, 0) + 1)) + 0.001 AS idf
         FROM template LEFT JOIN df ON df.word = template.word
     ),
-    anchors AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY idf DESC, q) AS r FROM weighed) WHERE r <= {licences.ANCHORS}),
-    begins AS (SELECT DISTINCT doc_id, t, p - q AS start FROM lexical JOIN anchors ON anchors.word = lexical.word),
+    begins AS (SELECT DISTINCT doc_id, t, p - q AS start FROM lexical JOIN weighed ON weighed.word = lexical.word WHERE is_key = 1),
     totals AS (SELECT t, sum(idf) AS total, sum(is_key) AS keys FROM weighed GROUP BY t),
     covers AS (
         SELECT b.doc_id, b.t, b.start, any_value(x.label) AS label, sum(idf) / any_value(total) AS cover, sum(is_key) AS met, any_value(keys) AS keys

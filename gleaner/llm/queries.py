@@ -37,8 +37,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    found = licences.scan(docs, licences.word_weights(docs))
+    found = licences.licences(read(spark, sf_dir, "documents"))
     starts = F.transform("base", lambda x: x["start"].cast("long"))
     names = lambda c: F.transform(c, lambda x: x["label"])
     listed = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")

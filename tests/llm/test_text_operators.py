@@ -140,7 +140,7 @@ def test_language_cases(spark, sf_dir):
 
 def brute_licences(texts):
     words = [re.findall(licences.WORD, "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
-    vocabulary = {w for _, t, _ in licences.TEMPLATES for w in t.split()}
+    vocabulary = set(licences.vocabulary())
     df = collections.Counter(w for own in words for w in set(own) & vocabulary)
     idf = {w: np.log((len(texts) + 1) / (df[w] + 1)) + 1e-3 for w in vocabulary}
     out = []
@@ -149,11 +149,8 @@ def brute_licences(texts):
         found = set()
         for label, text, key in licences.TEMPLATES:
             t, k = text.split(), key.split()
-            anchors = sorted(range(len(t)), key=lambda p: (-idf[t[p]], p))[: licences.ANCHORS]
             for start in range(-len(t), len(own)):
                 at = lambda i: own[i] if 0 <= i < len(own) else None
-                if not any(at(start + p) == t[p] for p in anchors):
-                    continue
                 cover = sum(idf[t[p]] for p in range(len(t)) if at(start + p) == t[p]) / sum(idf[w] for w in t)
                 off = next(i for i in range(len(t)) if t[i : i + len(k)] == k)
                 if cover >= licences.LEAST_COVER and all(at(start + off + i) == w for i, w in enumerate(k)):
@@ -170,23 +167,35 @@ def test_licences_equal_brute_force(spark):
         own = template.split()
         texts += [" ".join(rng.choices(filler, k=9) + own + rng.choices(filler, k=9)), " ".join(own[2:]), " ".join(w if rng.random() > 0.2 else "x" for w in own)]
     texts.append(" ".join(rng.choices(filler, k=20_000)))
-    df = rows_of(spark, texts).withColumn("words", F.lit("clash")).withColumn("base", F.lit(1))
-    got = licences.scan(df, licences.word_weights(df)).collect()
-    want = brute_licences(texts)
-    assert [(r.n_words, sorted((b.label, b.start) for b in r.base), sorted({(f.label, f.start, round(f.cover, 9)) for f in r.found})) for r in got] == want
-    assert licences.scan(df.limit(0), licences.word_weights(df.limit(0))).count() == 0
+    texts += ["  Cc-By.", "K" + "cc by", "cc bY \u212A cc by\u212A", "\u0130cc by", "ÀCC BY", " ", "é", "\ncc by\n"]
+    df = spark.createDataFrame([(i % 7 or None, t, "clash", 1) for i, t in enumerate(texts)], "doc_id long, text string, words string, base int")
+    got = licences.licences(df).collect()
+    want = collections.Counter((i % 7 or None, repr(w)) for i, w in enumerate(brute_licences(texts)))
+    rows = [(r.n_words, sorted((b.label, b.start) for b in r.base), sorted({(f.label, f.start, round(f.cover, 9)) for f in r.found})) for r in got]
+    assert collections.Counter((r.doc_id, repr(w)) for r, w in zip(got, rows)) == want
+    assert licences.licences(df.limit(0)).count() == 0
 
 
 def test_licences_without_their_rarest_words(spark):
     label, template, key = licences.TEMPLATES[7]
-    weights = {w: 1.0 for _, t, _ in licences.TEMPLATES for w in t.split()}
+    weights = {w: 1.0 for w in licences.vocabulary()}
     own = template.split()
     texts = ["x x x " + " ".join(own[3:]), " ".join(own[3:]), " ".join(w for w in own if w not in key.split())]
-    got = licences.scan(rows_of(spark, texts), weights).collect()
+    got = licences.scan(licences.positions(rows_of(spark, texts)), weights).orderBy("doc_id").collect()
     assert label == "isc" and [[(f.label, f.start) for f in r.found] for r in got] == [[("isc", 0)], [("isc", -3)], []]
     assert all(f.cover == pytest.approx(1 - 3 / len(own)) for r in got[:2] for f in r.found)
 
 
+def test_licences_in_long_texts_take_time_in_proportion(spark):
+    own = licences.TEMPLATES[9][1]
+    texts = ["licensed apache license " * 33_334, f"{own} cc by " * 12_500, "license " * 100_000, "x " * 300_000 + own]
+    began = time.perf_counter()
+    got = licences.licences(rows_of(spark, texts)).orderBy("doc_id").collect()
+    assert time.perf_counter() - began < 30
+    assert [len(r.found) for r in got[1:]] == [12_500, 0, 1] and got[0].n_words == 100_002
+    assert len(got[1].base) == 12_500 and got[3].found[0].start == 300_000 and got[2].n_words == 100_000
+
+
 # ---- secrets
 
 def test_secret_patterns(spark):
