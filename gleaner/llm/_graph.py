@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.runtime import materialise
+from gleaner.runtime import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,4 +32,5 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
         small = large.join(low, "u").select(star.alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        known = materialise(small, "edges")
+        known, old = materialise(small, "edges"), known
+        discard(old)

@@ -21,11 +21,15 @@ listing the pairs of a group:
 3. bands that hold several families compare their representatives by signature,
    in blocks of bounded size, and give only what joins families: then every pair
    that shares a band and agrees lies within a family;
-4. a family that is still in several components compares them exactly, whole
-   texts against whole texts, in such blocks, and gives only what joins components.
+4. a family that is still in several components compares them in such blocks,
+   first by signature. Only texts with an agreeing partner in a block are sent
+   there, are compared exactly, and give only what joins components.
 
 All pairs found are verified by the exact multiset overlap of whole texts.
-Components of the verified links are the classes.
+Components of the verified links are the classes. A hub's members are dealt
+over salts, so a hub's text or signature travels once for each salt and no key
+gathers a group. Blocks are as large as a task holds: a family of n rows in b
+blocks is sent b times, which a family of some ten thousand texts makes about ten.
 """
 
 from __future__ import annotations
@@ -34,13 +38,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import _shingles as S
 from gleaner.llm._arrow import groups, steps
 from gleaner.llm._graph import components
-from gleaner.runtime import checked_join, materialise, with_row_ids
+from gleaner.runtime import checked_join, discard, materialise, private, with_row_ids
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -49,8 +53,8 @@ COMPONENTS = 96
 BAND_ROWS = 4
 #: Signatures that agree in fewer components belong to pairs of similarity 0.8 with probability 3e-6.
 LEAST_AGREEING = 58
-#: Rows of a block of signatures, and of whole texts.
-BLOCK, TEXT_BLOCK = 256, 128
+#: Rows of a block of signatures; rows and shingles of a block of whole texts; rows compared at a time.
+BLOCK, TEXT_ROWS, TEXT_WEIGHT, TILE = 4_096, 2_048, 1_000_000, 512
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Once so few processes go on, this many of their next points are drawn at a time.
@@ -159,16 +163,28 @@ def _verified(k: int, threshold: float):
     return run
 
 
+def with_both(pairs: DataFrame, payload: DataFrame, column: str, name: str) -> DataFrame:
+    """`pairs` (u, v, ...), a table, with `column` of the rows u and v of `payload` as `name`_u and `name`_v.
+
+    A hub is a u of many pairs. These are dealt over as many salts as the root
+    of all pairs, and the hub's value is sent once to each salt that has some.
+    """
+    salts = max(1, int(pairs.count() ** 0.5))
+    salt = F.pmod(F.xxhash64("v"), F.lit(salts)).alias("salt")
+    hubs = payload.select(F.col("uid").alias("u"), F.col(column).alias(name + "_u"))
+    members = payload.select(F.col("uid").alias("v"), F.col(column).alias(name + "_v"))
+    sent = pairs.select("u", salt).distinct().join(hubs, "u")
+    return pairs.join(members, "v").select("*", salt).join(sent, ["u", "salt"]).drop("salt")
+
+
 def verify(pairs: DataFrame, rows: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (u, v) of row ids whose whole texts overlap by at least `threshold`, with their similarity.
+    """The pairs (u, v), a table, of row ids whose whole texts overlap by at least `threshold`, with their similarity.
 
     Only the texts of documents in some pair are moved.
     """
     ids = materialise(pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct(), "ids")
     texts = checked_join(rows.select("uid", F.coalesce("text", F.lit("")).alias("text")), ids, "uid", "left_semi")
-    left = texts.select(F.col("uid").alias("u"), F.col("text").alias("left_text"))
-    right = texts.select(F.col("uid").alias("v"), F.col("text").alias("right_text"))
-    joined = pairs.join(left, "u").join(right, "v").select("u", "v", "left_text", "right_text")
+    joined = with_both(pairs.select("u", "v"), texts, "text", "text").select("u", "v", "text_u", "text_v")
     return joined.mapInArrow(_verified(k, threshold), "u long, v long, similarity double")
 
 
@@ -223,7 +239,27 @@ def _joining_families(least: int, ratio: float):
     return run
 
 
-def _common(a: list[np.ndarray], b: list[np.ndarray], columns: int = 8_192) -> np.ndarray:
+def _agreeing_rows(least: int, ratio: float):
+    """The rows of each unit of signatures that agree enough with some row of another component on the other side."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in groups(batches, ["unit"]):
+            component, part, weight = (unit.column(c).to_numpy() for c in ("component", "part", "weight"))
+            sig = np.stack([np.frombuffer(x, np.uint32) for x in unit.column("signature").to_pylist()])
+            a, b = _sides(part)
+            some = np.zeros(len(part), bool)
+            for i in a.tolist():
+                low, high = np.minimum(weight[b], weight[i]), np.maximum(weight[b], weight[i])
+                near = b[(component[b] != component[i]) & (low >= ratio * high)]
+                near = near[(sig[near] == sig[i]).sum(axis=1) >= least]
+                some[near] = True
+                some[i] |= len(near) > 0
+            yield from unit.select(["unit", "part", "uid", "component"]).filter(pa.array(some)).to_batches()
+
+    return run
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2_048) -> np.ndarray:
     """The sizes of all intersections of sets of `a` with sets of `b`, as products of slices of their incidence matrices."""
     out = np.zeros((len(a), len(b)), np.float32)
     left, right = np.concatenate(a), np.concatenate(b)
@@ -257,43 +293,61 @@ def _joining_links(k: int, threshold: float):
             uid, component, part = (unit.column(c).to_numpy() for c in ("uid", "component", "part"))
             hashes, at = S.shingle_hashes(*S.word_hashes(unit.column("text").to_pylist()), k)
             sets = [S.occurrences(hashes[x:y]) for x, y in zip(at[:-1], at[1:])]
-            a, b = _sides(part)
-            size = np.array([len(x) for x in sets])
-            both = _common([sets[i] for i in a], [sets[i] for i in b])
-            total = size[a][:, None] + size[b][None, :] - both
-            row, col = np.nonzero((both >= threshold * total) & (component[a][:, None] != component[b][None, :]) & (total > 0))
-            joined = _spanning(component, component, zip(a[row].tolist(), b[col].tolist()))
+            size = np.diff(at)
+            left, right = _sides(part)
+
+            def linked() -> Iterator[tuple[int, int]]:
+                for x in range(0, len(left), TILE):
+                    for y in range(0, len(right), TILE):
+                        a, b = left[x : x + TILE], right[y : y + TILE]
+                        both = _common([sets[i] for i in a], [sets[i] for i in b])
+                        total = size[a][:, None] + size[b][None, :] - both
+                        other = component[a][:, None] != component[b][None, :]
+                        row, col = np.nonzero((both >= threshold * total) & other & (total > 0))
+                        yield from zip(a[row].tolist(), b[col].tolist())
+
+            joined = _spanning(component, component, linked())
             yield _longs([int(uid[i]) for i, _ in joined], [int(uid[j]) for _, j in joined])
 
     return run
 
 
-def _units(members: DataFrame, payload: DataFrame, block: int, group: str = "group") -> DataFrame | None:
+def _units(members: DataFrame, rows: int, weight: int | None = None) -> DataFrame | None:
     """Block units of the groups whose members are in several components; None if there are none.
 
-    members is (group, component, uid, ...). In such a group the largest
-    component is set against the rest, and the rest against itself, in blocks
-    of about `block` rows a side: (unit, part, and the columns of both inputs),
-    sorted by unit within partitions.
+    members is (group, component, uid, weight, ...). In such a group the
+    largest component is set against the rest, and the rest against itself, in
+    blocks of about `rows` rows, or of `weight` in all, a side: (unit, part,
+    and the columns of members), sorted by unit within partitions.
     """
-    sizes = members.groupBy(group, "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy(group).agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
-    mixed = materialise(mixed.select(group, F.col("top.component").alias("top"), F.col("top.n").alias("n_top"), (F.col("total") - F.col("top.n")).alias("n_rest")), "mixed")
+    sizes = members.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    top = F.max(F.struct("n", "component", "w")).alias("top")
+    mixed = sizes.groupBy("group").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("w").alias("w"), top).where("parts > 1")
+    blocks = lambda n, w: F.ceil(F.greatest(n / rows, w / weight) if weight else n / rows).cast("long")
+    mixed = mixed.select(
+        "group", F.col("top.component").alias("top"), blocks(F.col("top.n"), F.col("top.w")).alias("n_top"),
+        blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("n_rest"),
+    )
+    mixed = materialise(mixed, "mixed")
     if mixed.isEmpty():
         return None
-    inner = members.join(mixed, group).withColumn("is_top", F.col("component") == F.col("top"))
-    blocks = lambda n: F.ceil(F.col(n) / block)
-    own = F.pmod(F.xxhash64("uid"), F.when(F.col("is_top"), blocks("n_top")).otherwise(blocks("n_rest")))
-    other = lambda n: F.sequence(F.lit(0).cast("long"), blocks(n) - 1)
-    unit = lambda kind, i, j: F.xxhash64(group, F.lit(kind), i, j)
+    inner = checked_join(members, mixed, "group").withColumn("is_top", F.col("component") == F.col("top"))
+    own = F.pmod(F.xxhash64("uid"), F.when(F.col("is_top"), F.col("n_top")).otherwise(F.col("n_rest")))
+    other = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    unit = lambda kind, i, j: F.xxhash64("group", F.lit(kind), i, j)
     top = F.transform(other("n_rest"), lambda j: F.struct(unit("top", F.col("block"), j).alias("unit"), F.lit(0).alias("part")))
+    side = lambda j: F.when(j == F.col("block"), 0).when(j > F.col("block"), 1).otherwise(2)
     rest = F.concat(
         F.transform(other("n_top"), lambda i: F.struct(unit("top", i, F.col("block")).alias("unit"), F.lit(1).alias("part"))),
-        F.transform(other("n_rest"), lambda j: F.struct(unit("rest", F.least("block", j), F.greatest("block", j)).alias("unit"), F.when(j == F.col("block"), 0).when(j > F.col("block"), 1).otherwise(2).alias("part"))),
+        F.transform(other("n_rest"), lambda j: F.struct(unit("rest", F.least("block", j), F.greatest("block", j)).alias("unit"), side(j).alias("part"))),
     )
     dealt = inner.withColumn("block", own).withColumn("x", F.explode(F.when(F.col("is_top"), top).otherwise(rest)))
-    dealt = dealt.select("x.unit", "x.part", *members.columns).join(payload, "uid")
-    return dealt.repartition("unit").sortWithinPartitions("unit")
+    return dealt.select("x.unit", "x.part", *members.columns).repartition("unit").sortWithinPartitions("unit")
+
+
+def integral_id(docs: DataFrame, id_col: str) -> Column:
+    """An id as a long; null where it is none."""
+    return F.col(id_col).try_cast("long") if dict(docs.dtypes)[id_col] == "string" else F.col(id_col).cast("long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, rows: DataFrame | None = None) -> DataFrame:
@@ -304,12 +358,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without words, the empty one included, link only with equal texts; a text
     of fewer than k words links only with texts of the same words; of rows that
     repeat an id, or have none, one stays for each class (null ids come after
-    others); an empty table gives no rows; other columns are not looked at.
+    others); an id that is no integer counts as a null one; a text of any length
+    is compared whole, and the task that has it holds its shingles; an empty
+    table gives no rows; other columns are not looked at.
 
     `rows` may give the documents with unique ids as (uid, id, text).
     """
     if rows is None:
-        own = with_row_ids(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "uid")
+        own = with_row_ids(docs.select(integral_id(docs, id_col).alias("id"), F.col(text_col).alias("text")), "id", "uid")
         rows = own.select("uid", "id", "text")
     found = materialise(rows.select("uid", "id", "text").mapInArrow(_features(k, COMPONENTS, BAND_ROWS), _FEATURES), "features")
     order = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("order_id"), F.col("uid").alias("head"), "id")
@@ -327,33 +383,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = places.groupBy("uid").agg(F.sum("n").alias("hub"))
     buckets = materialise(places.join(hubs, "uid").select("band", "uid", "hub"), "buckets")
     centres = buckets.groupBy("band").agg(F.max(F.struct("hub", (-F.col("uid")).alias("centre"))).alias("top"))
-    led = buckets.join(centres, "band").select((-F.col("top.centre")).alias("u"), F.col("uid").alias("v"), F.col("top.hub").alias("hub")).where("u <> v").distinct()
+    led = buckets.join(centres, "band").select((-F.col("top.centre")).alias("u"), F.col("uid").alias("v"), F.col("top.hub").alias("hub"))
+    led = materialise(led.where("u <> v").distinct(), "led")
     sig = reps.select("uid", "signature", "weight")
-    agreeing = F.size(F.filter(F.sequence(F.lit(0), F.lit(COMPONENTS - 1)), lambda i: F.substring("a.signature", i * 4 + 1, 4) == F.substring("b.signature", i * 4 + 1, 4)))
-    likely = (
-        led.join(sig.alias("a"), F.col("u") == F.col("a.uid")).join(sig.alias("b"), F.col("v") == F.col("b.uid"))
-        .where(F.least("a.weight", "b.weight") >= F.lit(threshold) * F.greatest("a.weight", "b.weight")).where(agreeing >= LEAST_AGREEING)
-    )
-    stars = materialise(likely.groupBy("v").agg(F.max(F.struct("hub", (-F.col("u")).alias("u"))).alias("top")).select((-F.col("top.u")).alias("u"), "v"), "stars")
+    part = lambda c, i: F.substring(f"sig_{c}.signature", i * 4 + 1, 4)
+    agreeing = F.size(F.filter(F.sequence(F.lit(0), F.lit(COMPONENTS - 1)), lambda i: part("u", i) == part("v", i)))
+    alike = F.least("sig_u.weight", "sig_v.weight") >= F.lit(threshold) * F.greatest("sig_u.weight", "sig_v.weight")
+    likely = with_both(led, sig.select("uid", F.struct("signature", "weight").alias("sig")), "sig", "sig").where(alike).where(agreeing >= LEAST_AGREEING)
+    best = F.max(F.struct("hub", (-F.col("u")).alias("u"))).alias("top")
+    stars = materialise(likely.groupBy("v").agg(best).select((-F.col("top.u")).alias("u"), "v"), "stars")
     owner = lambda edges, name: components(edges).select(F.col("node").alias("uid"), F.col("component").alias(name))
     links = materialise(verify(stars, rows, k, threshold).select("u", "v"), "links")
     labelled = buckets.select(F.col("band").alias("group"), "uid").join(owner(stars, "family"), "uid", "left")
-    labelled = materialise(labelled.select("group", F.coalesce("family", "uid").alias("component"), "uid"), "labelled")
-    units = _units(labelled, sig, BLOCK)
+    labelled = materialise(labelled.select("group", F.coalesce("family", "uid").alias("component"), "uid").join(sig, "uid"), "labelled")
+    units = _units(labelled, BLOCK)
     if units is not None:
         joins = units.select("unit", "part", "uid", "component", "weight", "signature").mapInArrow(_joining_families(LEAST_AGREEING, threshold), "u long, v long")
         stars = materialise(stars.unionByName(joins), "stars")
-    own = owner(stars, "family").join(owner(links, "component"), "uid", "left").select(F.col("family").alias("group"), F.coalesce("component", "uid").alias("component"), "uid")
-    own = materialise(own, "own")
-    texts = checked_join(rows.select("uid", F.coalesce("text", F.lit("")).alias("text")), own.select("uid"), "uid", "left_semi")
-    units = _units(own, texts, TEXT_BLOCK)
+    own = owner(stars, "family").join(owner(links, "component"), "uid", "left").join(sig, "uid")
+    own = materialise(own.select(F.col("family").alias("group"), F.coalesce("component", "uid").alias("component"), "uid", "weight", "signature"), "own")
+    units = _units(own, TEXT_ROWS, TEXT_WEIGHT)
     if units is not None:
-        joins = units.select("unit", "part", "uid", "component", "text").mapInArrow(_joining_links(k, threshold), "u long, v long")
-        links = links.unionByName(materialise(joins, "links"))
+        sent = units.select("unit", "part", "uid", "component", "weight", "signature").mapInArrow(_agreeing_rows(LEAST_AGREEING, threshold), "unit long, part int, uid long, component long")
+        sent = materialise(sent, "sent")
+        ids = materialise(sent.select("uid").distinct(), "ids")
+        texts = checked_join(rows.select("uid", F.coalesce("text", F.lit("")).alias("text")), ids, "uid", "left_semi")
+        units = sent.join(texts, "uid").select("unit", "part", "uid", "component", "text").repartition("unit").sortWithinPartitions("unit")
+        links = links.unionByName(materialise(units.mapInArrow(_joining_links(k, threshold), "u long, v long"), "links"))
+        discard(sent, ids)
     comps = components(links)
     linked = members.where("uid = head").select("head", "head_id").join(comps, F.col("head") == F.col("node"))
     tops = linked.groupBy("component").agg(F.min(F.struct(F.coalesce("head_id", F.lit((1 << 63) - 1)).alias("order_id"), F.col("head").alias("class_uid"), F.col("head_id").alias("class_id"))).alias("top"))
     moved = materialise(comps.join(tops, "component").select(F.col("node").alias("head"), "top.class_uid", "top.class_id"), "classes")
+    discard(found, heads, places, buckets, led, labelled, own)
     joined = members.join(moved, "head", "left")
     class_uid = F.coalesce("class_uid", "head")
     return joined.select("uid", "id", F.when(F.col("class_uid").isNull(), F.col("head_id")).otherwise(F.col("class_id")).alias("class_id"), class_uid.alias("class_uid"), (F.col("uid") == class_uid).alias("kept"))
@@ -362,8 +424,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each near-duplicate class (see near_duplicates), all columns as they were."""
     names = docs.columns
-    tagged = with_row_ids(docs, id_col, "__gleaner_uid")
-    rows = tagged.select(F.col("__gleaner_uid").alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    (uid,) = private(docs, "uid")
+    tagged = with_row_ids(docs, id_col, uid)
+    rows = tagged.select(F.col(uid).alias("uid"), integral_id(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     classes = near_duplicates(docs, id_col, text_col, rows=rows)
-    gone = materialise(classes.where("NOT kept").select(F.col("uid").alias("__gleaner_uid")), "gone")
-    return checked_join(tagged, gone, "__gleaner_uid", "left_anti").select(*names)
+    gone = materialise(classes.where("NOT kept").select(F.col("uid").alias(uid)), "gone")
+    return checked_join(tagged, gone, uid, "left_anti").select(*(F.col(f"`{c}`") for c in names))

@@ -126,6 +126,31 @@ def test_one_large_family_does_not_list_its_pairs(spark):
     assert {r.id: r.class_id for r in N.near_duplicates(df).collect()} == brute_classes(docs)
 
 
+def test_blocks_of_a_family_below_the_threshold(spark, monkeypatch):
+    """A family whose members are not linked to each other but for a few, over many small blocks."""
+    monkeypatch.setattr(N, "BLOCK", 7)
+    monkeypatch.setattr(N, "TEXT_ROWS", 9)
+    monkeypatch.setattr(N, "TEXT_WEIGHT", 1500)
+    monkeypatch.setattr(N, "TILE", 4)
+    rng = random.Random(11)
+    base, docs = words(rng, 110), []
+    for i in range(90):
+        own = list(base)
+        for j in rng.sample(range(110), 3 + i % 4):
+            own[j] = words(rng, 1)[0]
+        docs.append((i, " ".join(own)))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], DOCS)
+    assert {r.id: r.class_id for r in N.near_duplicates(df).collect()} == brute_classes(docs)
+
+
+def test_ids_that_are_no_integers_and_clashing_names(spark):
+    long = " ".join(words(random.Random(2), 50))
+    df = spark.createDataFrame([("7", long, "a", 1), ("x", long, "b", 2), ("3", "other", None, 3), (None, None, "c", 4)], "doc_id string, text string, __uid string, _gone int")
+    assert sorted((r.id or -1, r.class_id or -1) for r in N.near_duplicates(df).collect()) == [(-1, -1), (-1, 7), (3, 3), (7, 7)]
+    kept = N.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted(r._gone for r in kept.collect()) == [1, 3, 4]
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 6000 + i) for i in range(50)]
