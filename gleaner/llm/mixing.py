@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from gleaner.runtime import checked_join
+from gleaner.runtime import checked_join, private
 
 SEED = 20250101
 #: Sources that have no given weight share the rest in proportion to the square root of their rows.
@@ -48,7 +48,8 @@ def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, to
     Given weights are relative to each other and to the rest, whose weights
     are rows ** temper. `total` is the rows wanted over the rows there are.
     """
-    counts = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("mix_source")).agg(F.count(F.lit(1)).alias("mix_n"))
+    own = docs.select(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("mix_source"))
+    counts = own.groupBy("mix_source").agg(F.count(F.lit(1)).alias("mix_n"))
     weight = F.pow(F.col("mix_n").cast("double"), F.lit(float(temper)))
     for source, w in (weights or {}).items():
         weight = F.when(F.col("mix_source") == source, F.lit(float(w))).otherwise(weight)
@@ -60,28 +61,36 @@ def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, to
     return weighted.withColumn("mix_rate", F.col("mix_w") * F.lit(wanted) / F.col("mix_n")).select("mix_source", "mix_n", "mix_rate")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float = 1.0, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED, temper: float = TEMPER, copy_col: str | None = "copy") -> DataFrame:
+def mix(
+    docs: DataFrame, weights: dict[str, float] | None = None, total: float = 1.0, id_col: str = "doc_id", source_col: str = "source",
+    seed: int = SEED, temper: float = TEMPER, copy_col: str | None = "copy",
+) -> DataFrame:
     """`docs` replicated to the target weights and shuffled globally; `copy_col` (0, 1, ...) is added unless None.
 
     Source counts are partial sums; the few sources are joined by broadcast
-    after their number was checked. The shuffle deals rows by a hash of id and
+    after they were measured. The shuffle deals rows by a hash of id and
     copy, so no source or id makes an uneven partition, and sorts within
-    partitions by it (and by the plain columns, should ids repeat). Defined cases: null sources count as source ''; a null id
-    draws as the text 'null'; repeated rows draw the same count; an empty table
-    gives no rows; a column of the copy's name in `docs` is replaced.
+    partitions by it (and by the plain columns, should ids repeat). Defined
+    cases: null sources count as source ''; a null id draws as the text 'null';
+    repeated rows draw the same count; a text of any length is carried whole
+    and never looked into; an empty table gives no rows; a column of the copy's
+    name in `docs` is replaced, and other columns keep their names and values,
+    whatever they are.
     """
     names = [c for c in docs.columns if c != copy_col]
+    source, key, copy, count, cdf, parts = private(docs, "source", "key", "copy", "count", "cdf", "parts")
     table = rates(docs, source_col, weights, total, temper)
-    parts = F.greatest(F.ceil(F.col("mix_rate") / _PART), F.lit(1)).cast("int")
-    table = table.withColumn("mix_parts", parts).withColumn("mix_cdf", _poisson_cdf(F.col("mix_rate") / F.col("mix_parts"))).drop("mix_n", "mix_rate")
-    keyed = docs.select(*names).withColumn("mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    joined = checked_join(keyed, table, "mix_source", "inner", limit=10_000)
-    draw = lambda u: F.size(F.filter("mix_cdf", lambda c: c <= u))
+    shares = F.greatest(F.ceil(F.col("mix_rate") / _PART), F.lit(1)).cast("int")
+    table = table.select(F.col("mix_source").alias(source), shares.alias(parts), "mix_rate")
+    table = table.withColumn(cdf, _poisson_cdf(F.col("mix_rate") / F.col(parts))).drop("mix_rate")
+    keyed = docs.select(*names).withColumn(source, F.coalesce(F.col(source_col).cast("string"), F.lit("")))
+    joined = checked_join(keyed, table, source, "inner", limit=10_000)
+    draw = lambda u: F.size(F.filter(cdf, lambda c: c <= u))
     one = draw(uniform(seed, F.col(id_col)))
-    many = F.aggregate(F.sequence(F.lit(1), F.col("mix_parts")), F.lit(0), lambda n, i: n + draw(uniform(seed, F.col(id_col), i)))
-    counted = joined.withColumn("mix_count", F.when(F.col("mix_parts") == 1, one).otherwise(many)).where("mix_count > 0")
-    copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_count") - 1)))
+    many = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda n, i: n + draw(uniform(seed, F.col(id_col), i)))
+    counted = joined.withColumn(count, F.when(F.col(parts) == 1, one).otherwise(many)).where(F.col(count) > 0)
+    copies = counted.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(count) - 1)))
     plain = [f.name for f in docs.schema if f.name in names and isinstance(f.dataType, AtomicType)]
-    keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), F.col("mix_copy"), *plain))
-    dealt = keyed.repartition("mix_key").sortWithinPartitions("mix_key")
-    return dealt.select(*names, *([F.col("mix_copy").alias(copy_col)] if copy_col else []))
+    keyed = copies.withColumn(key, F.xxhash64(F.lit(seed), F.col(copy), *plain))
+    dealt = keyed.repartition(key).sortWithinPartitions(key)
+    return dealt.select(*names, *([F.col(copy).alias(copy_col)] if copy_col else []))
