@@ -133,17 +133,22 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(lang, text) of the documents learned from: of each language the `train_rows` labelled ones, not held out, with the smallest MD5 of their id."""
+    """(lang, text) of the documents learned from: of each language the `train_rows` labelled ones, not held out, with the smallest MD5 of their id.
+
+    A null id counts as the empty text. Rows that repeat an id and text are
+    learned from once; of different texts with one id the smaller hashes come first.
+    """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col) != 2))
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    ids = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("h"))
-    # Only ids among the smallest hashes are ranked: four times as many as wanted, by each language's count.
-    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    near = F.conv(F.substring("h", 1, 13), 16, 10).cast("long") / F.lit(2.0**52) <= F.lit(4.0 * train_rows) / F.col("rows")
-    ids = checked_join(ids, materialise(counts, "counts"), "lang", limit=10_000).where(near)
-    ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= train_rows).select(F.col("lang"), F.col("id")).distinct()
-    source = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return checked_join(source, materialise(ids, "sample"), ["lang", "id"], "left_semi").select("lang", "text")
+    order_key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    labelled = labelled.select(F.col(lang_col).alias("lang"), order_key.alias("h"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    keys = labelled.select("lang", "h", "t")
+    # Only rows among the smallest hashes are ranked: four times as many as wanted, by each language's number of ids.
+    counts = keys.groupBy("lang").agg(F.approx_count_distinct("h").alias("ids"))
+    near = F.conv(F.substring("h", 1, 13), 16, 10).cast("long") / F.lit(2.0**52) <= F.lit(4.0 * train_rows) / F.col("ids")
+    keys = checked_join(keys, materialise(counts, "counts"), "lang", limit=10_000).where(near).select("lang", "h", "t").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
+    keys = materialise(keys.withColumn("n", place).where(F.col("n") <= train_rows).drop("n"), "sample")
+    return checked_join(labelled, keys, ["lang", "h", "t"], "left_semi").dropDuplicates(["lang", "h", "t"]).select("lang", "text")
 
 
 def profiles_of(texts: DataFrame, k: int = PROFILE) -> dict[str, np.ndarray]:
@@ -180,7 +185,9 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "do
 
     Defined cases: a null text, one without a letter, or any text when no
     language was learned is `und` with score 0; of equally near languages the
-    first by name wins; repeated rows are judged alike; an empty table gives no rows.
+    first by name wins; repeated rows are judged alike; a text of any length is
+    judged whole, and its task holds its n-grams; ids are passed through, null
+    or repeated; an empty table gives no rows.
     """
     models = _shipped(profiles, k)
 
