@@ -136,6 +136,15 @@ def test_language_cases(spark, sf_dir):
     assert language.learn(df.limit(0).withColumn("lang", F.lit("en"))) == {} and language.learn(df.withColumn("lang", F.lit(None).cast("string"))) == {}
 
 
+def test_language_learns_from_null_and_repeated_ids(spark):
+    rows = [(None, f"the and of to in word{'abcdefghij'[i % 10]}", "en") for i in range(50)] + [(8, "el perro de la casa", "es")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert zlib.crc32(b"") % 4 != 2 and zlib.crc32(b"8") % 4 != 2
+    assert sorted(language.learn(df)) == ["en", "es"]
+    chosen = language.sample(df, train_rows=4).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in chosen} == {"en": 4, "es": 1}
+
+
 # ---- licences
 
 def brute_licences(texts):
@@ -286,6 +295,17 @@ def test_mixing_cases(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_with_clashing_names_and_long_texts(spark):
+    names = ["mix_source", "mix_key", "mix_copy", "mix_count", "mix_cdf", "mix_parts", "mix_rate", "mix_n", "_source", "_key", "__cdf", "key", "count", "parts"]
+    df = spark.createDataFrame([(i, "x" * 3_000_000 if i == 3 else "t", "en", "ab"[i % 2], 1) for i in range(40)], DOCS)
+    want = mixing.mix(df, total=3.0).groupBy("doc_id").count().orderBy("doc_id").collect()
+    for n in names:
+        df = df.withColumn(n, F.concat(F.lit(n), "doc_id"))
+    out = mixing.mix(df, total=3.0)
+    assert out.columns == [*df.columns, "copy"] and out.groupBy("doc_id").count().orderBy("doc_id").collect() == want
+    assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names) and out.where("length(text) = 3000000 AND doc_id <> 3").count() == 0
+
+
 # ---- packing
 
 def library_ids(text):

@@ -101,12 +101,12 @@ def brute_topk(rows, k, every):
     return out
 
 
-@pytest.mark.parametrize("shard, block", [(4096, 4096), (64, 3)])
-def test_topk_equals_brute_force(spark, shard, block):
+@pytest.mark.parametrize("shard, block, chain", [(4096, 4096, 4), (64, 3, 2), (16, 7, 100)])
+def test_topk_equals_brute_force(spark, shard, block, chain):
     rng = random.Random(4)
     rows = vectors(5, 200) + [(800 + i, [float(rng.randrange(2)) for _ in range(24)], 0) for i in range(60)] + BROKEN
     df = spark.createDataFrame(rows, VECTORS).withColumn("score", F.lit("clash"))
-    got = topk.top_k(df, F.col("vec_id") % 10 == 0, shard=shard, query_block=block).collect()
+    got = topk.top_k(df, F.col("vec_id") % 10 == 0, shard=shard, query_block=block, chain=chain).collect()
     mine = {}
     for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
         mine.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -119,10 +119,25 @@ def test_topk_cases(spark):
     assert len(got) == 8 and [(r.vec_id, r["rank"]) for r in got if r["rank"] == 1] == [(3, 1)] * 2
     huge = topk.top_k(spark.createDataFrame([(0, [2e6, 1.0], 0), (1, [2e6, 1.0], 0)], VECTORS), F.col("vec_id") == 0).first()
     assert huge.score == (2_000_000 * 1024) ** 2 + 1024**2
+    doubles = VECTORS.replace("float", "double")
+    far = spark.createDataFrame([(0, [1.0, 1.0], 0), (1, [1e300, 0.0], 0), (2, [-1e300, 5.0], 0), (3, [2.0, 0.0], 0), (4, [1e16, 0.0], 0), (5, [8e15, 8e15], 0), (6, [1.7e308, 0.0], 0)], doubles)
+    got = [(r.query_id, r.vec_id, r.score) for r in topk.top_k(far.withColumn("_uid", F.lit("clash")), F.col("vec_id") % 5 == 0, shard=2).orderBy("query_id", "rank").collect()]
+    most = (1 << 63) - 1
+    assert got == [(0, 5, most), (0, 3, 2 * 1024 * 1024), (5, 0, most), (5, 3, most)]
     assert topk.top_k(spark.createDataFrame([], VECTORS), F.lit(True)).count() == 0
     assert topk.top_k(spark.createDataFrame(BROKEN[:2] + [(0, [1.0], 0)], VECTORS), F.lit(True)).count() == 0
 
 
+def test_a_floor_from_another_shard_stops_the_walk():
+    rng = np.random.default_rng(2)
+    x = np.floor(100 * rng.normal(size=(2000, 4)))
+    order, q = np.argsort(-x, axis=0, kind="stable").T, np.array([3.0, -1.0, 2.0, 0.0])
+    want = sorted((-s, i) for i, s in enumerate((x @ q).tolist()))
+    for floor in (want[0][0] * -1 + 1, -want[0][0], -want[3][0], -want[50][0]):
+        rows, scores = topk.threshold_search(x, order, np.arange(2000), q, 10, floor=floor)
+        assert list(zip(scores.tolist(), rows.tolist())) == [(-s, i) for s, i in want[:10] if -s >= floor]
+
+
 def test_threshold_search_stops_early():
     rng = np.random.default_rng(0)
     x = np.abs(rng.normal(size=(4000, 3))) ** 4
