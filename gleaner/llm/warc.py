@@ -4,25 +4,31 @@ Records are written by Spark's text writer with the record separator as line
 separator, so archives land on any file system that Spark writes. Of pages with
 equal payloads, from a least size on, one is a response and the others revisit
 it. The first index level holds a line for each capture, sorted by reversed-host
-URL key and cut into compressed blocks; the second, sparse one names the first
-key of each block. A look-up binary-searches the directory, reads one block (or
-the few that a key spans), binary-searches its lines, and reads the record's
-byte range. Whole archives are read back by the same index, range by range.
+URL key, cut into compressed blocks that stand one behind the other in files;
+the second, sparse one, the directory, names the first and last key of each
+block with its file and byte range.
+
+Look-ups are a sorted merge. Keys are dealt to the index files by the files'
+first and last keys, of which there are as many as the index has partitions. A
+task has its file's part of the directory and its keys in order; for each it
+binary-searches the directory, reads the block's byte range, and binary-searches
+its lines. The captures found are dealt by file and stretch, and their byte
+ranges of the archives are read. Reading all pages back is such a look-up.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm._arrow import groups
-from gleaner.runtime import checked_join, materialise, scratch_path
+from gleaner.runtime import checked_join, discard, materialise, scratch_path
 
 #: Equal payloads below this size are stored again.
 LEAST_REVISIT = 100
@@ -30,6 +36,7 @@ LEAST_REVISIT = 100
 FILE_RECORDS = 20_000
 BLOCK_LINES = 1_000
 _CRLF = "\r\n"
+_CONTROL = re.compile(r"[\x00-\x20\x7F]")
 _DATE = "2025-01-01T00:00:00Z"
 
 
@@ -41,6 +48,11 @@ def surt(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (rest[cut:] or "/")
 
 
+def cleaned(url: str | None) -> str:
+    """A URL as a header holds it: without control characters and blanks; empty for null."""
+    return _CONTROL.sub("%20", url or "")
+
+
 def _records(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int) -> DataFrame:
     """One text for each page: its WARC record without the trailing separator."""
     html = F.coalesce(F.col(html_col), F.lit(""))
@@ -52,7 +64,7 @@ def _records(pages: DataFrame, id_col: str, url_col: str, html_col: str, least:
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), "size", F.lit(_CRLF * 2))
     block = F.length(http) + F.when(F.col("revisit"), 0).otherwise(F.col("size"))
-    uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")  # a header is one line
+    uri = F.regexp_replace("url", _CONTROL.pattern, "%20")  # a header is one line
     head = F.concat(
         F.lit(f"WARC/1.1{_CRLF}WARC-Type: "), F.when(F.col("revisit"), "revisit").otherwise("response"),
         F.lit(f"{_CRLF}WARC-Record-ID: "), name(F.col("page_id")), F.lit(f"{_CRLF}WARC-Date: {_DATE}{_CRLF}WARC-Target-URI: "), uri,
@@ -129,21 +141,58 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(keys), pa.array(paths), pa.array(at, pa.int64()), pa.array(size, pa.int64())], ["key", "path", "at", "size"])
 
 
-def _blocks(lines: int):
+def _make(path: str):
+    """A new binary file of any store that pyarrow knows."""
+    import os
+
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        local = "/" + path.removeprefix("file:").lstrip("/")
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        return open(local, "wb")
+    store, inner = fs.FileSystem.from_uri(path)
+    store.create_dir(os.path.dirname(inner), recursive=True)
+    return store.open_output_stream(inner)
+
+
+_DIRECTORY = "first_key string, last_key string, n long, file string, at long, size long"
+
+
+def _blocks(lines: int, folder: str):
+    """Writes the sorted captures of a partition as one file of blocks; gives its rows of the directory.
+
+    The file's name is of this attempt alone, so that what a lost or repeated
+    task has left is never named by the directory.
+    """
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        path = f"{folder}/{uuid.uuid4().hex}.idx"
         held: list[tuple[str, str, int, int]] = []
+        directory: list[tuple] = []
+        out, end = None, 0
 
-        def block(rows):
-            raw = "\n".join(f"{_quoted(k)} {p} {a} {s}" for k, p, a, s in rows).encode()
-            return pa.record_batch([pa.array([rows[0][0]]), pa.array([rows[-1][0]]), pa.array([len(rows)], pa.int64()), pa.array([zlib.compress(raw)], pa.binary())], ["first_key", "last_key", "n", "block"])
+        def write(rows: list[tuple]) -> None:
+            nonlocal out, end
+            raw = zlib.compress("\n".join(f"{_quoted(k)} {p} {a} {s}" for k, p, a, s in rows).encode())
+            out = out or _make(path)
+            out.write(raw)
+            directory.append((rows[0][0], rows[-1][0], len(rows), path, end, len(raw)))
+            end += len(raw)
 
         for batch in batches:
             held += zip(*(c.to_pylist() for c in batch.columns))
             while len(held) >= lines:
-                yield block(held[:lines])
+                write(held[:lines])
                 held = held[lines:]
         if held:
-            yield block(held)
+            write(held)
+        if out is not None:
+            out.close()
+            names = ["first_key", "last_key", "n", "file", "at", "size"]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*directory)], names)
 
     return run
 
@@ -167,7 +216,7 @@ def _parsed(block: bytes) -> list[tuple[str, str, int, int]]:
 
 
 def build_index(spark: SparkSession, archives: str, path: str, block_lines: int = BLOCK_LINES) -> None:
-    """Index all archives below `archives`: blocks sorted by key at path/blocks, their directory at path/directory.
+    """Index all archives below `archives`: blocks sorted by key in files below path/blocks, their directory at path/directory.
 
     Archives are read by header only. Keys are range-partitioned with the
     place of the record as tie-breaker, so a host or URL of any number of
@@ -178,15 +227,8 @@ def build_index(spark: SparkSession, archives: str, path: str, block_lines: int
     captures = materialise(files.repartition(n, "path").mapInArrow(_captures, "key string, path string, at long, size long"), "captures")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = captures.repartitionByRange(parts, "key", "path", "at").sortWithinPartitions("key", "path", "at")
-    ordered.mapInArrow(_blocks(block_lines), "first_key string, last_key string, n long, block binary").write.parquet(f"{path}/blocks")
-    blocks = spark.read.parquet(f"{path}/blocks")
-    blocks.select("first_key", "last_key", "n", F.input_file_name().alias("file")).write.parquet(f"{path}/directory")
-
-
-def _located(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block in batch.column(0):
-            yield _rows(_parsed(block.as_py()))
+    ordered.mapInArrow(_blocks(block_lines, f"{path}/blocks"), _DIRECTORY).write.parquet(f"{path}/directory")
+    discard(captures)
 
 
 _PAGE = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -237,49 +279,90 @@ def _fetched(with_payload: bool):
     return run
 
 
-def read_archives(spark: SparkSession, index: str, with_payload: bool = True) -> DataFrame:
-    """All records by the index: blocks give the ranges, which are dealt by file and stretch and read in order of place."""
-    ranges = spark.read.parquet(f"{index}/blocks").select("block").mapInArrow(_located, "key string, path string, at long, size long").drop("key")
-    dealt = ranges.repartition("path", F.floor(F.col("at") / (1 << 23))).sortWithinPartitions("path", "at")
-    return dealt.mapInArrow(_fetched(with_payload), _PAGE)
-
-
-class Lookup:
-    """Point look-ups by URL: the sparse directory is searched, then a block, then a byte range is read."""
-
-    def __init__(self, spark: SparkSession, index: str):
-        self.spark, self.index = spark, index
-        rows = spark.read.parquet(f"{index}/directory").orderBy("first_key", "last_key").collect()
-        self.first, self.last = [r.first_key for r in rows], [r.last_key for r in rows]
-
-    def captures(self, url: str) -> list[tuple[str, int, int]]:
-        """(file, offset, length) of all captures of a URL."""
-        key = surt(url)
-        low, high = bisect_left(self.last, key), bisect_right(self.first, key)
-        if low >= high:
-            return []
-        blocks = self.spark.read.parquet(f"{self.index}/blocks").where((F.col("first_key") <= key) & (F.col("last_key") >= key)).select("block").collect()
-        out = []
-        for b in blocks:
-            rows = _parsed(b.block)
-            keys = [r[0] for r in rows]
-            out += [r[1:] for r in rows[bisect_left(keys, key) : bisect_right(keys, key)]]
-        return sorted(out)
-
-    def records(self, url: str) -> list[dict]:
-        """The records of all captures of a URL."""
-        out = []
-        for path, at, size in self.captures(url):
-            with _open(path) as f:
-                f.seek(at)
-                out.append(parse_record(f.read(size)))
-        return out
+class Index:
+    """Look-ups by URL in the index at `path`."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.directory = spark.read.schema(_DIRECTORY).parquet(f"{path}/directory")
+        # One row for each index file; there are no more than the partitions that wrote them.
+        ends = self.directory.groupBy("file").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last"))
+        rows = sorted((r["first"], r["last"], r["file"]) for r in ends.collect())
+        self.first, self.last, self.files = ([r[i] for r in rows] for i in range(3))
+
+    def captures(self, urls: DataFrame, url_col: str = "url") -> DataFrame:
+        """(key, path, at, size) of all captures of the URLs in a column; a URL that is given often is looked up once."""
+        first, last, files = self.first, self.last, self.files
+
+        def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                file, keys = [], []
+                for url in batch.column(0).to_pylist():
+                    key = surt(cleaned(url))
+                    own = files[bisect_left(last, key) : bisect_right(first, key)]
+                    file += own
+                    keys += [key] * len(own)
+                yield pa.record_batch([pa.array(file, pa.string()), pa.array(keys, pa.string())], ["file", "key"])
+
+        asked = urls.select(F.col(url_col).alias("url")).distinct().mapInArrow(dealt, "file string, key string").distinct()
+        asked = asked.select("file", "key", F.lit(None).cast("string").alias("last_key"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("size"))
+        entries = self.directory.select("file", F.col("first_key").alias("key"), "last_key", "at", "size")
+        both = asked.unionByName(entries).withColumn("is_key", F.col("at").isNull())
+        merged = both.repartition("file").sortWithinPartitions("file", "is_key", "key", "at")
+        return merged.mapInArrow(_looked_up, "key string, path string, at long, size long")
+
+    def records(self, urls: DataFrame, url_col: str = "url", with_payload: bool = True) -> DataFrame:
+        """The records of all captures of the URLs in a column."""
+        ranges = self.captures(urls, url_col).drop("key")
+        dealt = ranges.repartition("path", F.floor(F.col("at") / (1 << 23))).sortWithinPartitions("path", "at")
+        return dealt.mapInArrow(_fetched(with_payload), _PAGE)
+
+
+def _looked_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a file's directory, then keys in order: the captures of each key, from the blocks that may hold it."""
+    name, file = None, None
+    last: list[str] = []
+    first: list[str] = []
+    ranges: list[tuple[int, int]] = []
+    # Blocks that the last key needed; keys come in order, so others are done with.
+    opened: dict[int, list[tuple[str, str, int, int]]] = {}
+    found: list[tuple] = []
+    for batch in batches:
+        columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("file", "key", "last_key", "at", "size", "is_key"))
+        for path, key, end, at, size, is_key in zip(*columns):
+            if path != name:
+                if file is not None:
+                    file.close()
+                name, file, first, last, ranges, opened = path, None, [], [], [], {}
+            if not is_key:
+                first.append(key)
+                last.append(end)
+                ranges.append((at, size))
+                continue
+            file = file or _open(path)
+            blocks = range(bisect_left(last, key), bisect_right(first, key))
+            opened = {i: block for i, block in opened.items() if i in blocks}
+            for i in blocks:
+                if i not in opened:
+                    file.seek(ranges[i][0])
+                    opened[i] = _parsed(file.read(ranges[i][1]))
+                keys = opened[i]
+                a = bisect_left(keys, key, key=lambda r: r[0])
+                b = bisect_right(keys, key, key=lambda r: r[0])
+                found += keys[a:b]
+                if len(found) >= 10_000:
+                    yield _rows(found)
+                    found = []
+    if found:
+        yield _rows(found)
+    if file is not None:
+        file.close()
 
 
 def archive_and_read(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", with_payload: bool = False) -> DataFrame:
-    """Write `pages` as archives in shared scratch, index them and read everything back by the index."""
+    """Write `pages` as archives in shared scratch, index them, and look every page's URL up to read its records back."""
     spark = pages.sparkSession
     root = scratch_path(spark, "warc")
     write_archives(pages, f"{root}/archives", id_col, url_col, html_col)
     build_index(spark, f"{root}/archives", f"{root}/index")
-    return read_archives(spark, f"{root}/index", with_payload)
+    return Index(spark, f"{root}/index").records(pages, url_col, with_payload)

@@ -170,8 +170,9 @@ def test_archives_round_trip(spark, tmp_path):
     archives, index = f"file://{tmp_path}/archives", f"file://{tmp_path}/index"
     warc.write_archives(df, archives, file_records=4)
     warc.build_index(spark, archives, index, block_lines=3)
-    got = {(r.page_id, r.record_type): r for r in warc.read_archives(spark, index).collect()}
-    assert warc.read_archives(spark, index).count() == len(rows)
+    look = warc.Index(spark, index)
+    assert look.records(df).count() == len(rows) and look.records(df.unionByName(df)).count() == len(rows)
+    got = {(r.page_id, r.record_type): r for r in look.records(df).collect()}
     import hashlib
 
     for i, url, html in rows:
@@ -180,9 +181,10 @@ def test_archives_round_trip(spark, tmp_path):
         r = got[i, "revisit" if revisit else "response"]
         assert (r.payload_bytes, r.payload_digest, r.refers_to) == (len(raw), hashlib.sha256(raw).hexdigest(), 2 if revisit else None)
         assert r.payload == (None if revisit else raw)
-    look = warc.Lookup(spark, index)
-    assert sorted(r["page_id"] for r in look.records("https://example.com/a")) == [2, 2, 4]
-    assert look.records("https://www.example.com/b?x=1")[0]["page_id"] == 1 and look.records("https://none.example") == []
+    urls = lambda *u: spark.createDataFrame([(x,) for x in u], "url string")
+    assert sorted(r.page_id for r in look.records(urls("https://example.com/a", "https://none.example")).collect()) == [2, 2, 4]
+    assert [r.page_id for r in look.records(urls("https://www.example.com/b?x=1")).collect()] == [1]
+    assert look.records(urls("https://none.example", "a")).count() == 0 and look.records(urls(None)).count() == 1
     assert warc.surt("https://www.Example.com/b?x=1") == "com,example,www)/b?x=1" and warc.surt(None) == ")/"
     directory = spark.read.parquet(f"{index}/directory").orderBy("first_key").collect()
     assert sum(r.n for r in directory) == len(rows) and all(r.n <= 3 for r in directory)
@@ -190,6 +192,18 @@ def test_archives_round_trip(spark, tmp_path):
         assert path.read_bytes().startswith(b"WARC/1.1\r\n") and path.read_bytes().endswith(b"\r\n\r\n")
 
 
+def test_a_key_of_many_captures_and_blocks_spans_files(spark, tmp_path):
+    rows = [(i, "https://hot.org/" if i % 3 else f"https://h{i % 50}.org/{i}", f"<p>{i}</p>") for i in range(600)]
+    df = spark.createDataFrame(rows, PAGES)
+    warc.write_archives(df, f"file://{tmp_path}/a")
+    warc.build_index(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/i", block_lines=16)
+    look = warc.Index(spark, f"file://{tmp_path}/i")
+    assert len(look.files) > 1 and sum(r.n for r in look.directory.collect()) == 600
+    for url, n in (("https://hot.org/", 400), ("https://h0.org/0", 1), ("https://h1.org/0", 0)):
+        assert look.captures(spark.createDataFrame([(url,)], "url string")).count() == n
+    assert sorted(r.page_id for r in look.records(df).collect()) == list(range(600))
+
+
 def test_an_empty_table_has_no_records(spark):
     assert warc.archive_and_read(spark.createDataFrame([], PAGES)).count() == 0
 
