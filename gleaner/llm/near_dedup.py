@@ -315,15 +315,17 @@ def _joining_links(k: int, threshold: float):
 def _units(members: DataFrame, rows: int, weight: int | None = None) -> DataFrame | None:
     """Block units of the groups whose members are in several components; None if there are none.
 
-    members is (group, component, uid, weight, ...). In such a group the
-    largest component is set against the rest, and the rest against itself, in
-    blocks of about `rows` rows, or of `weight` in all, a side: (unit, part,
-    and the columns of members), sorted by unit within partitions.
+    members is (group, component, uid, load). In such a group the largest
+    component is set against the rest, and the rest against itself, in blocks
+    of at most about `rows` rows, or of `weight` as their load, a side: (unit,
+    part, component, uid). Smaller groups are cut too, into an eighth of the
+    root of their rows, so that their units spread over tasks.
     """
-    sizes = members.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    sizes = members.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("load").alias("w"))
     top = F.max(F.struct("n", "component", "w")).alias("top")
     mixed = sizes.groupBy("group").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("w").alias("w"), top).where("parts > 1")
-    blocks = lambda n, w: F.ceil(F.greatest(n / rows, w / weight) if weight else n / rows).cast("long")
+    most = lambda n, w: F.greatest(n / rows, F.sqrt(n) / 8, *([w / weight] if weight else []))
+    blocks = lambda n, w: F.ceil(most(n, w)).cast("long")
     mixed = mixed.select(
         "group", F.col("top.component").alias("top"), blocks(F.col("top.n"), F.col("top.w")).alias("n_top"),
         blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("n_rest"),
@@ -342,7 +344,12 @@ def _units(members: DataFrame, rows: int, weight: int | None = None) -> DataFram
         F.transform(other("n_rest"), lambda j: F.struct(unit("rest", F.least("block", j), F.greatest("block", j)).alias("unit"), side(j).alias("part"))),
     )
     dealt = inner.withColumn("block", own).withColumn("x", F.explode(F.when(F.col("is_top"), top).otherwise(rest)))
-    return dealt.select("x.unit", "x.part", *members.columns).repartition("unit").sortWithinPartitions("unit")
+    return dealt.select("x.unit", "x.part", "component", "uid")
+
+
+def _dealt(units: DataFrame, payload: DataFrame) -> DataFrame:
+    """Units with the columns of `payload` by uid, each unit in one partition and together in it."""
+    return units.join(payload, "uid").repartition("unit").sortWithinPartitions("unit")
 
 
 def integral_id(docs: DataFrame, id_col: str) -> Column:
@@ -395,21 +402,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     owner = lambda edges, name: components(edges).select(F.col("node").alias("uid"), F.col("component").alias(name))
     links = materialise(verify(stars, rows, k, threshold).select("u", "v"), "links")
     labelled = buckets.select(F.col("band").alias("group"), "uid").join(owner(stars, "family"), "uid", "left")
-    labelled = materialise(labelled.select("group", F.coalesce("family", "uid").alias("component"), "uid").join(sig, "uid"), "labelled")
+    labelled = materialise(labelled.select("group", F.coalesce("family", "uid").alias("component"), "uid", F.lit(0).alias("load")), "labelled")
     units = _units(labelled, BLOCK)
     if units is not None:
-        joins = units.select("unit", "part", "uid", "component", "weight", "signature").mapInArrow(_joining_families(LEAST_AGREEING, threshold), "u long, v long")
+        joins = _dealt(units, sig).mapInArrow(_joining_families(LEAST_AGREEING, threshold), "u long, v long")
         stars = materialise(stars.unionByName(joins), "stars")
-    own = owner(stars, "family").join(owner(links, "component"), "uid", "left").join(sig, "uid")
-    own = materialise(own.select(F.col("family").alias("group"), F.coalesce("component", "uid").alias("component"), "uid", "weight", "signature"), "own")
+    own = owner(stars, "family").join(owner(links, "component"), "uid", "left").join(sig.select("uid", F.col("weight").alias("load")), "uid")
+    own = materialise(own.select(F.col("family").alias("group"), F.coalesce("component", "uid").alias("component"), "uid", "load"), "own")
     units = _units(own, TEXT_ROWS, TEXT_WEIGHT)
     if units is not None:
-        sent = units.select("unit", "part", "uid", "component", "weight", "signature").mapInArrow(_agreeing_rows(LEAST_AGREEING, threshold), "unit long, part int, uid long, component long")
+        sent = _dealt(units, sig).mapInArrow(_agreeing_rows(LEAST_AGREEING, threshold), "unit long, part int, uid long, component long")
         sent = materialise(sent, "sent")
         ids = materialise(sent.select("uid").distinct(), "ids")
         texts = checked_join(rows.select("uid", F.coalesce("text", F.lit("")).alias("text")), ids, "uid", "left_semi")
-        units = sent.join(texts, "uid").select("unit", "part", "uid", "component", "text").repartition("unit").sortWithinPartitions("unit")
-        links = links.unionByName(materialise(units.mapInArrow(_joining_links(k, threshold), "u long, v long"), "links"))
+        joins = _dealt(sent, texts).mapInArrow(_joining_links(k, threshold), "u long, v long")
+        links = links.unionByName(materialise(joins, "links"))
         discard(sent, ids)
     comps = components(links)
     linked = members.where("uid = head").select("head", "head_id").join(comps, F.col("head") == F.col("node"))
