@@ -53,9 +53,12 @@ def brute_links(rows, threshold=0.95):
     return {i: (degree[i], label[i], label[i] == i) for i in label}
 
 
-@pytest.mark.parametrize("block", [2048, 60])
-def test_links_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, dense", [(2048, 0.1), (60, 0.1), (60, 0.0)])
+def test_links_equal_brute_force(spark, monkeypatch, block, dense):
+    """In one block a shard; with shards split level by level; with block pairs alone."""
     monkeypatch.setattr(vector_dedup, "BLOCK", block)
+    monkeypatch.setattr(vector_dedup, "DENSE", dense)
+    monkeypatch.setattr(vector_dedup, "SEED_ROWS", 16)
     monkeypatch.setattr(vector_dedup, "PER_CENTRE", 64)
     rows = vectors(3) + BROKEN
     got = vector_dedup.near_vectors(spark.createDataFrame(rows, VECTORS).withColumn("links", F.lit("clash"))).collect()
@@ -81,6 +84,27 @@ def test_graph_search_finds_what_brute_force_finds():
     assert [h.tolist() for h in hits] == [np.flatnonzero(x @ v >= 0.95).tolist() for v in x]
 
 
+def test_owned_links_are_those_of_the_least_common_shard():
+    rng = random.Random(1)
+    shards = [sorted(rng.sample(range(9), rng.randint(1, 4))) for _ in range(50)]
+    u, v = (np.array([rng.randrange(50) for _ in range(400)]) for _ in range(2))
+    for shard in range(9):
+        both = np.array([shard in shards[a] and shard in shards[b] for a, b in zip(u, v)])
+        got = vector_dedup._owned(u[both], v[both], shards, shard)
+        assert got.tolist() == [min(set(shards[a]) & set(shards[b])) == shard for a, b in zip(u[both], v[both])]
+
+
+def test_graphs_of_a_whole_block_find_what_brute_force_finds():
+    rng = np.random.default_rng(7)
+    base = [unit(rng, 64) for _ in range(600)]
+    x = np.stack(base + [near(rng, base[i % 60], 0.02) for i in range(1500)] + [near(rng, base[0], 0.015) for _ in range(400)])
+    graph = vector_dedup.pruned_graph(x)
+    entries = np.broadcast_to(vector_dedup.medoids(x), (len(x), vector_dedup.MEDOIDS))
+    hits = vector_dedup.range_search(x, x, graph, np.concatenate((entries, np.arange(len(x))[:, None]), axis=1), 0.95)
+    share = [len(h) / (x @ v >= 0.95).sum() for h, v in zip(hits, x)]
+    assert np.mean(share) > 0.98
+
+
 def test_a_low_recall_doubles_the_overlap(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(vector_dedup, "PER_CENTRE", 16)
