@@ -7,14 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import is_blank
-from gleaner.operators.rollups import lookup
+from gleaner.functions.text import is_blank, slugify, strip
+from gleaner.runtime import materialise, private
 
 # The subtypes of messages that a channel writes itself.
 SYSTEM_SUBTYPES = (
     "channel_join", "channel_leave", "channel_topic", "channel_purpose", "channel_name", "channel_archive", "channel_unarchive", "pinned_item", "unpinned_item",
     "group_join", "group_leave", "group_topic", "group_purpose", "group_name", "group_archive", "group_unarchive",
 )
+# How bots' deploy notices begin.
 _BOT_NOISE = r"(?i)^(DEPLOYING|BUILDING|DEPLOYED|SUCCESS|FAILED|ROLLING BACK)\b"
 
 def _schema() -> str:
@@ -83,6 +84,7 @@ def blocks_to_text(blocks_json: Column, fallback: Column) -> Column:
 
 def _plain_mentions(c: Column) -> Column:
     """All angle-bracket forms that need no look-up."""
+    # The forms of the message format.
     steps = (
         (r"<@[A-Z0-9]+\|([^>]+)>", "@$1"), (r"<#[A-Z0-9]+\|([^>]+)>", "#$1"), (r"<(https?://[^|>]+)\|([^>]+)>", "[$2]($1)"), (r"<(https?://[^|>]+)>", "$1"), (r"<mailto:[^|>]+\|([^>]+)>", "$1"), (r"<mailto:([^|>]+)>", "$1"),
         (r"<!(here|channel|everyone)>", "@$1"), (r"<!subteam\^[A-Z0-9]+\|([^>]+)>", "@$1"), (r"<!subteam\^[A-Z0-9]+>", "@group"),
@@ -90,20 +92,42 @@ def _plain_mentions(c: Column) -> Column:
     return reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, c)
 
 
-def resolve_mentions(rows: DataFrame, id_col: str, text_col: str, users: DataFrame, user_id: str, user_name: str, channels: DataFrame | None = None, channel_id: str = "id", channel_name: str = "name") -> DataFrame:
+def mention_ids(text: Column) -> Column:
+    """The distinct `@id` and `#id` of a text's mentions that need a look-up."""
+    return F.array_distinct(F.regexp_extract_all(_plain_mentions(text), F.lit("<([@#][A-Z0-9]+)>"), F.lit(1)))
+
+
+def resolve_mentions(
+    rows: DataFrame, text_col: str, users: DataFrame, user_id: str, user_names: list[str], channels: DataFrame | None = None, channel_id: str = "id", channel_name: str = "name"
+) -> DataFrame:
     """`rows` with mentions in `text_col` as names; unknown ids stay as they are.
 
-    Texts are cut at the ids that need a look-up, the pieces joined with the
-    (small or large) dimension, and put together again in order.
+    A user is shown by the first filled of `user_names`. Only rows with a
+    mention meet the dimensions: their ids are joined, and the names of a row
+    come back as one small map, under a row number that no other row has.
     """
-    names = users.select(F.concat(F.lit("<@"), F.col(user_id), F.lit(">")).alias("tag"), F.concat(F.lit("@"), F.col(user_name)).alias("name"))
+    names = users.select(F.concat(F.lit("@"), F.col(user_id)).alias("tag"), F.concat(F.lit("@"), F.coalesce(*(_filled(F.col(c)) for c in user_names), F.col(user_id))).alias("name"))
     if channels is not None:
-        names = names.unionByName(channels.select(F.concat(F.lit("<#"), F.col(channel_id), F.lit(">")).alias("tag"), F.concat(F.lit("#"), F.col(channel_name)).alias("name")))
-    pieces = rows.select(id_col, F.posexplode(F.split(_plain_mentions(F.col(text_col)), r"(?=<[@#][A-Z0-9]+>)|(?<=<[@#][A-Z0-9]{1,40}>)")).alias("place", "piece"))
-    found = lookup(pieces, names, "piece", "tag", "name", "said")
-    found = found.withColumn("said", F.when(F.col("said") == F.col("piece"), F.regexp_replace("piece", r"^<([@#][A-Z0-9]+)>$", "$1")).otherwise(F.col("said")))
-    whole = found.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "said"))), lambda x: x["said"]), "").alias(text_col))
-    return rows.drop(text_col).join(whole, id_col, "left")
+        names = names.unionByName(channels.select(F.concat(F.lit("#"), F.col(channel_id)).alias("tag"), F.concat(F.lit("#"), F.coalesce(_filled(F.col(channel_name)), F.col(channel_id))).alias("name")))
+    row, tags, tag, found, plain = private(rows, "row", "tags", "tag", "found", "plain")
+    numbered = materialise(rows.withColumn(plain, _plain_mentions(F.col(text_col))).withColumn(tags, mention_ids(F.col(text_col))).withColumn(row, F.monotonically_increasing_id()), "mentions")
+    pairs = numbered.where(F.size(tags) > 0).select(row, F.explode(tags).alias(tag))
+    known = pairs.join(names.dropDuplicates(["tag"]), F.col(tag) == F.col("tag"))
+    known = known.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(tag, "name"))).alias(found))
+    joined = numbered.join(known, row, "left")
+    # Texts are cut before and behind each tag; the cuts keep every character.
+    pieces = F.split(F.col(plain), r"(?=<[@#][A-Z0-9]+>)|(?<=<[@#][A-Z0-9]{1,40}>)")
+    bare = lambda p: F.regexp_extract(p, r"\A<([@#][A-Z0-9]+)>\z", 1)
+    said = F.transform(pieces, lambda p: F.when(bare(p) == "", p).otherwise(F.coalesce(F.try_element_at(F.col(found), bare(p)), bare(p))))
+    whole = F.when(F.size(tags) > 0, F.array_join(said, "")).otherwise(F.col(plain))
+    return joined.select(*(whole.alias(c) if c == text_col else F.col(f"`{c}`") for c in rows.columns))
+
+
+def render_messages(messages: DataFrame, users: DataFrame, channels: DataFrame, out: str = "said") -> DataFrame:
+    """`messages` with `out`: what each says as Markdown, from its blocks or else its text, with mentions as names."""
+    said = messages.withColumn(out, blocks_to_text(F.col("blocks"), F.coalesce("text", F.lit(""))))
+    named = resolve_mentions(said, out, users, "id", ["displayName", "name"], channels)
+    return named.withColumn(out, to_markdown(F.col(out)))
 
 
 def to_markdown(c: Column) -> Column:
@@ -133,9 +157,14 @@ def render_system(subtype: Column, author: Column, text: Column) -> Column:
 
 
 def should_skip(subtype: Column, text: Column, has_files: Column, is_bot: Column) -> Column:
-    """Whether a message is left out of a channel's page: system ones, bare uploads, and bots' deploy notices."""
-    bare_upload = has_files & is_blank(F.coalesce(text, F.lit("")))
-    return is_system(subtype) | bare_upload | (is_bot & F.coalesce(text, F.lit("")).rlike(_BOT_NOISE))
+    """Whether a message is left out of a channel's page: system and deleted ones, bare uploads, and bots' deploy notices."""
+    said = F.coalesce(text, F.lit(""))
+    noise = is_system(subtype) | is_deleted(subtype) | (has_files & is_blank(said)) | (is_bot & strip(said).rlike(_BOT_NOISE))
+    return F.coalesce(noise, F.lit(False))
+
+
+def is_deleted(subtype: Column) -> Column:
+    return F.coalesce(subtype == "message_deleted", F.lit(False))
 
 
 def is_thread_parent(ts: Column, thread_ts: Column, reply_count: Column) -> Column:
@@ -157,3 +186,12 @@ def clock_time(ts: Column) -> Column:
 
 def date_group(ts: Column) -> Column:
     return F.coalesce(F.date_format(F.timestamp_seconds(seconds(ts)), "yyyy-MM-dd"), ts)
+
+
+def channel_slug(kind: Column, id_: Column, name: Column, partner: Column) -> Column:
+    """A channel's slug before collisions: `dm--` and the partner's name, `mpim--` and the members' sorted names, or its own name."""
+    own = F.coalesce(_filled(name), id_)
+    members = F.array_sort(F.filter(F.transform(F.split(F.regexp_extract(own, r"\Ampdm-(.*)-\d+\z", 1), "--"), lambda m: slugify(m)), lambda m: m != ""))
+    group = F.when(own.rlike(r"\Ampdm-.+-\d+\z"), F.array_join(members, "--")).otherwise(slugify(own))
+    alone = slugify(F.coalesce(_filled(partner), own))
+    return F.when(kind == "im", F.concat(F.lit("dm--"), alone)).when(kind == "mpim", F.concat(F.lit("mpim--"), group)).otherwise(slugify(own))

@@ -1,16 +1,54 @@
-"""Issue-tracker records: frontmatter and bodies of issues, cycles, relations, attachments."""
+"""Issue-tracker records: typed issues, frontmatter and bodies of issues and projects, cycles, relations, attachments."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import slugify
-from gleaner.operators.rollups import inverse_relations, lookup_array
+from gleaner.functions.text import sanitize_filename
+from gleaner.operators.rollups import inverse_relations
 
 # Labels of priorities, and the inverse of each relation type.
 PRIORITIES = {0: "None", 1: "Urgent", 2: "High", 3: "Medium", 4: "Low"}
-INVERSE = {"blocks": "blocked_by", "blocked_by": "blocks", "duplicate": "duplicate_of", "duplicate_of": "duplicate", "related": "related"}
+INVERSE = {"blocks": "blocked-by", "blocked-by": "blocks", "duplicate": "duplicate-of", "duplicate-of": "duplicate", "related": "related"}
+
+_REF = "struct<id: string>"
+#: An issue as the tracker's API gives it.
+ISSUE_NODE = (
+    "id string, identifier string, title string, description string, priority int, estimate double, dueDate string, createdAt string, updatedAt string, archivedAt string, completedAt string, canceledAt string, "
+    f"state struct<id: string, name: string, type: string>, team {_REF}, assignee {_REF}, creator {_REF}, project {_REF}, cycle {_REF}, parent struct<id: string, identifier: string>, labels struct<nodes: array<{_REF}>>, "
+    f"comments struct<nodes: array<struct<id: string, body: string, createdAt: string, updatedAt: string, user: {_REF}>>>, attachments struct<nodes: array<struct<id: string, title: string, url: string, sourceType: string, createdAt: string>>>, "
+    "relations struct<nodes: array<struct<type: string, relatedIssue: struct<id: string, identifier: string>>>>, inverseRelations struct<nodes: array<struct<type: string, issue: struct<id: string, identifier: string>>>>"
+)
+
+
+def _inverse(kind: Column) -> Column:
+    named = F.create_map(*(F.lit(x) for pair in INVERSE.items() for x in pair))
+    return F.coalesce(F.try_element_at(named, kind), kind)
+
+
+def typed_issues(raw: DataFrame, since: str | None = None) -> DataFrame:
+    """Issues in one flat shape; with `since` only those updated after it, a filter that reaches the scan.
+
+    Relations come from both directions: outgoing ones, then the others with
+    their type's inverse (unknown types as they are).
+    """
+    if since is not None:
+        raw = raw.where(F.col("updatedAt") > since)
+    link = lambda kind, issue: F.struct(kind.alias("type"), issue["id"].alias("relatedIssueId"), issue["identifier"].alias("relatedIssueIdentifier"))
+    nodes = lambda name, made, kind: F.coalesce(F.transform(F.col(f"{name}.nodes"), made), F.array().cast(f"array<{kind}>"))
+    link_type = "struct<type: string, relatedIssueId: string, relatedIssueIdentifier: string>"
+    outgoing = nodes("relations", lambda r: link(r["type"], r["relatedIssue"]), link_type)
+    incoming = nodes("inverseRelations", lambda r: link(_inverse(r["type"]), r["issue"]), link_type)
+    comment = lambda c: F.struct(c["id"].alias("id"), c["body"].alias("body"), F.coalesce(c["user"]["id"], F.lit("")).alias("userId"), c["createdAt"].alias("createdAt"))
+    attachment = lambda a: F.struct(a["id"].alias("id"), a["title"].alias("title"), a["url"].alias("url"), a["sourceType"].alias("sourceType"))
+    return raw.select(
+        "id", "identifier", "title", "description", F.col("state.id").alias("stateId"), F.col("state.name").alias("stateName"), F.col("state.type").alias("stateType"), "priority",
+        F.col("assignee.id").alias("assigneeId"), F.col("creator.id").alias("creatorId"), F.col("team.id").alias("teamId"), F.col("project.id").alias("projectId"), F.col("cycle.id").alias("cycleId"),
+        nodes("labels", lambda x: x["id"], "string").alias("labelIds"), F.col("parent.identifier").alias("parentIdentifier"), "estimate", "dueDate", "createdAt", "updatedAt", "archivedAt", "completedAt", "canceledAt",
+        F.concat(outgoing, incoming).alias("relations"), nodes("comments", comment, "struct<id: string, body: string, userId: string, createdAt: string>").alias("comments"),
+        nodes("attachments", attachment, "struct<id: string, title: string, url: string, sourceType: string>").alias("attachments"),
+    )
 
 
 def priority_label(priority: Column) -> Column:
@@ -29,34 +67,77 @@ def relations(rows: DataFrame) -> DataFrame:
     return inverse_relations(rows, "issue_id", "related_id", "type", INVERSE)
 
 
+def _named(rows: DataFrame, id_col: str, dimension: DataFrame, name: Column, out: str) -> DataFrame:
+    names = dimension.select(F.col("id").alias("_id"), F.nullif(name, F.lit("")).alias(out)).dropDuplicates(["_id"])
+    return rows.join(names, F.col(id_col) == F.col("_id"), "left").drop("_id")
+
+
+def _named_array(rows: DataFrame, ids: str, dimension: DataFrame, name: str, out: str) -> DataFrame:
+    """`rows`, one for each id, with the names of an array of ids in its order; ids without a name are dropped."""
+    names = dimension.select(F.col("id").alias("_id"), F.nullif(F.col(name), F.lit("")).alias("_name")).dropDuplicates(["_id"])
+    places = rows.select("id", F.posexplode(ids).alias("_at", "_id")).join(names, "_id").where("_name IS NOT NULL")
+    found = places.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_name"))), lambda x: x["_name"]).alias(out))
+    return rows.join(found, "id", "left")
+
+
 def enriched(issues: DataFrame, users: DataFrame, teams: DataFrame, projects: DataFrame, cycles: DataFrame, labels: DataFrame) -> DataFrame:
-    """`issues` with the names their ids stand for, each by a left join; scalars without a match are null, labels without one dropped."""
+    """`issues` (typed) with the names their ids stand for, each by a left join; what has no match is null, labels without one are dropped."""
     out = issues
     for id_col, dim, name, new in (
-        ("assigneeId", users, "name", "assignee"), ("creatorId", users, "name", "creator"), ("teamId", teams, "key", "team"), ("projectId", projects, "name", "project"),
+        ("assigneeId", users, F.col("displayName"), "assignee"), ("creatorId", users, F.col("displayName"), "creator"), ("teamId", teams, F.col("name"), "team"),
+        ("projectId", projects, F.col("name"), "project"), ("cycleId", cycles, cycle_name(F.col("name"), F.col("number")), "cycle"),
     ):
-        names = dim.select(F.col("id").alias(f"_{new}"), F.col(name).alias(new)).dropDuplicates([f"_{new}"])
-        out = out.join(names, F.col(id_col) == F.col(f"_{new}"), "left").drop(f"_{new}")
-    named = cycles.select(F.col("id").alias("_cycle"), cycle_name(F.col("name"), F.col("number")).alias("cycle")).dropDuplicates(["_cycle"])
-    out = out.join(named, F.col("cycleId") == F.col("_cycle"), "left").drop("_cycle")
-    return lookup_array(out, labels, "id", "labelIds", "id", "name", "labels")
-
-
-def frontmatter(issue: DataFrame) -> DataFrame:
-    """`issue` (as enriched) with `frontmatter`: a JSON object without the keys that have no value."""
-    fields = F.struct(
-        "id", "identifier", "title", F.col("stateName").alias("state"), F.col("stateType").alias("stateType"), priority_label(F.col("priority")).alias("priority"), "assignee", "creator", "team", "project", "cycle",
-        F.when(F.size("labels") > 0, F.col("labels")).alias("labels"), F.col("parentIdentifier").alias("parent"), "estimate", "dueDate", "createdAt", "updatedAt", "archivedAt", "completedAt", "canceledAt",
-    )
-    return issue.withColumn("frontmatter", F.to_json(fields))
+        out = _named(out, id_col, dim, name, new)
+    return _named_array(out, "labelIds", labels, "name", "labels")
+
+
+def frontmatter() -> Column:
+    """The head of an enriched issue: a JSON object without the keys that have no value."""
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    some = lambda c: F.when(F.size(c) > 0, c)
+    related = F.transform("relations", lambda r: F.struct(r["type"].alias("type"), r["relatedIssueIdentifier"].alias("issue")))
+    attached = F.transform("attachments", lambda a: F.struct(a["title"].alias("title"), a["url"].alias("url")))
+    return F.to_json(F.struct(
+        "id", "identifier", "title", F.col("stateName").alias("state"), "stateType", "priority", priority_label(F.col("priority")).alias("priorityLabel"), "assignee", "creator", "team", "project", "cycle",
+        some(F.col("labels")).alias("labels"), filled("parentIdentifier").alias("parent"), "estimate", filled("dueDate").alias("dueDate"), "createdAt", "updatedAt", F.col("archivedAt").isNotNull().alias("archived"),
+        filled("completedAt").alias("completedAt"), filled("canceledAt").alias("canceledAt"), filled("archivedAt").alias("archivedAt"), some(related).alias("relations"), some(attached).alias("attachments"),
+    ))
+
+
+def body(users: Column) -> Column:
+    """The page of an issue: its title, description, and comments in stored order; `users` maps ids to names."""
+    def comment(c: Column) -> Column:
+        who = F.coalesce(F.try_element_at(users, F.nullif(c["userId"], F.lit(""))), F.lit("Unknown"))
+        return F.concat(F.lit("\n\n### "), who, F.lit(" --- "), F.coalesce(c["createdAt"], F.lit("")), F.lit("\n\n"), F.coalesce(c["body"], F.lit("")))
 
+    said = F.when(F.size("comments") > 0, F.concat(F.lit("\n\n---\n\n## Comments"), F.array_join(F.transform("comments", comment), ""))).otherwise("")
+    described = F.when(F.coalesce("description", F.lit("")) == "", "").otherwise(F.concat(F.lit("\n"), "description"))
+    return F.concat(F.lit("# "), "identifier", F.lit(": "), "title", F.lit("\n"), described, said)
 
-def body(title: Column, description: Column, comments: Column, users: Column) -> Column:
-    """The page of an issue: title, description, and its comments in stored order; users maps ids to names."""
-    one = lambda c: F.concat(F.lit("### "), F.coalesce(F.try_element_at(users, c["userId"]), F.lit("Unknown")), F.lit(" ("), F.coalesce(c["createdAt"], F.lit("")), F.lit(")\n\n"), F.coalesce(c["body"], F.lit("")))
-    said = F.when(F.size(comments) > 0, F.concat(F.lit("\n\n## Comments\n\n"), F.array_join(F.transform(comments, one), "\n\n"))).otherwise("")
-    described = F.when(F.coalesce(description, F.lit("")) == "", "").otherwise(F.concat(F.lit("\n\n"), description))
-    return F.concat(F.lit("# "), title, described, said)
+
+def comment_names(issues: DataFrame, users: DataFrame) -> DataFrame:
+    """(id, names): for each issue with comments a map of its writers' ids to their names."""
+    names = users.select(F.col("id").alias("_id"), F.col("displayName").alias("_name")).dropDuplicates(["_id"])
+    writers = issues.select("id", F.explode(F.array_distinct(F.transform("comments", lambda c: c["userId"]))).alias("_id")).join(names, "_id").where("_name IS NOT NULL")
+    return writers.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("_id", "_name"))).alias("names"))
+
+
+def documents(issues: DataFrame, users: DataFrame, teams: DataFrame, projects: DataFrame, cycles: DataFrame, labels: DataFrame) -> DataFrame:
+    """(path, frontmatter, body) of typed issues."""
+    rows = enriched(issues, users, teams, projects, cycles, labels).join(comment_names(issues, users), "id", "left")
+    keys = teams.select(F.col("id").alias("_team"), F.col("key").alias("_key")).dropDuplicates(["_team"])
+    rows = rows.join(keys, F.col("teamId") == F.col("_team"), "left")
+    names = F.coalesce("names", F.create_map().cast("map<string,string>"))
+    return rows.select(issue_path(F.coalesce("_key", F.lit("")), F.col("identifier")).alias("path"), frontmatter().alias("frontmatter"), body(names).alias("body"))
+
+
+def project_documents(projects: DataFrame, users: DataFrame, teams: DataFrame) -> DataFrame:
+    """(path, frontmatter, body) of projects (id, name, slug, state, description, leadId, teamIds, startDate, targetDate)."""
+    rows = _named_array(_named(projects, "leadId", users, F.col("displayName"), "lead"), "teamIds", teams, "name", "teams")
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    head = F.struct("id", "name", "slug", "state", "lead", "teams", filled("startDate").alias("startDate"), filled("targetDate").alias("targetDate"))
+    page = F.concat(F.lit("# "), "name", F.lit("\n\n"), F.coalesce("description", F.lit("")))
+    return rows.select(F.concat(F.lit("projects/"), project_slug(F.col("slug"), F.col("name")), F.lit(".md")).alias("path"), F.to_json(head).alias("frontmatter"), page.alias("body"))
 
 
 def issue_path(team_key: Column, identifier: Column) -> Column:
@@ -64,7 +145,8 @@ def issue_path(team_key: Column, identifier: Column) -> Column:
 
 
 def project_slug(slug: Column, name: Column) -> Column:
-    return F.coalesce(F.nullif(slug, F.lit("")), slugify(name))
+    """The slug, or the lower-case name with hyphens for blanks as a file name."""
+    return F.coalesce(F.nullif(slug, F.lit("")), sanitize_filename(F.regexp_replace(F.lower(name), r"\s+", "-")))
 
 
 def is_downloadable(source_type: Column) -> Column:
@@ -73,9 +155,22 @@ def is_downloadable(source_type: Column) -> Column:
 
 
 def filename_from_url(url: Column) -> Column:
-    """The last segment of a URL's path, or `attachment`."""
-    last = F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"([^/]+)/*$", 1)
-    return F.coalesce(F.nullif(F.when(url.rlike("^[a-z]+://[^/]+/"), last), F.lit("")), F.lit("attachment"))
+    """The last segment of a URL's path, percent-decoded, if it has a dot; else null."""
+    path = F.regexp_extract(url, r"\A[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    last = F.regexp_extract(path, r"([^/]+)/*\z", 1)
+    # A plus stands for itself in a path.
+    return F.when(F.contains(last, F.lit(".")), F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))))
+
+
+def attachment_title(title: Column) -> Column:
+    """A title as a file name of any length; `attachment` if nothing is left."""
+    return F.coalesce(F.nullif(sanitize_filename(title, 1 << 30), F.lit("")), F.lit("attachment"))
+
+
+def attachment_path(identifier: Column, url: Column, title: Column) -> Column:
+    """Where an issue's attachment is stored."""
+    name = F.coalesce(F.nullif(sanitize_filename(filename_from_url(url)), F.lit("")), attachment_title(title))
+    return F.concat(F.lit("attachments/"), identifier, F.lit("/"), name)
 
 
 def team_filter(teams: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ includes the no-break space and the byte-order mark.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -129,26 +130,36 @@ def chunk_hash(content: Column, model: str) -> Column:
     return F.sha2(F.concat(content, F.lit("\0"), F.lit(model)).cast("binary"), 256)
 
 
-# Latin letters with marks and their plain letters.
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżžǎǐǒǔ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzzaiou"
+def _plain_letters() -> tuple[str, str]:
+    """All characters that decompose into an ASCII letter or digit and combining marks, and what they decompose into."""
+    marked, plain = [], []
+    for code in range(0x80, 0x30000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        rest = [c for c in parts if not 0x300 <= ord(c) <= 0x36F]
+        if len(parts) > 1 and len(rest) == 1 and rest[0].isascii() and rest[0].isalnum():
+            marked.append(chr(code))
+            plain.append(rest[0])
+    return "".join(marked), "".join(plain)
+
+
+_MARKED, _PLAIN = _plain_letters()
 
 
 def unmarked(c: Column) -> Column:
-    """Lower-case Latin letters without their marks; combining marks are dropped."""
+    """Letters without their marks; combining marks are dropped."""
     return F.regexp_replace(F.translate(c, _MARKED, _PLAIN), r"[\u0300-\u036F]", "")
 
 
-def slugify(text: Column, most: int = 80) -> Column:
-    hyphens = F.regexp_replace(F.regexp_replace(unmarked(F.lower(text)), rf"[{BLANK}_]+", "-"), r"[^a-z0-9-]", "")
-    slug = F.regexp_replace(F.regexp_replace(hyphens, "-+", "-"), r"\A-|-\z", "")
-    return F.regexp_replace(F.substring(slug, 1, most), r"-+\z", "")
+def slugify(text: Column, most: int | Column = 80) -> Column:
+    plain = F.regexp_replace(F.regexp_replace(unmarked(F.lower(text)), rf"[{BLANK}_]+", "-"), r"[^a-z0-9-]", "")
+    slug = F.regexp_replace(F.regexp_replace(plain, "-+", "-"), r"\A-|-\z", "")
+    return F.regexp_replace(F.substring(slug, F.lit(1), F.lit(most) if isinstance(most, int) else most), r"-+\z", "")
 
 
 def unique_slug(text: Column, id_: Column, most: int = 80) -> Column:
     """A slug with the first eight characters of the id, which stay whole."""
     short = F.substring(F.regexp_replace(id_, "-", ""), 1, 8)
-    slug = slugify(text, most - 9)
+    slug = slugify(text, F.lit(most - 1) - F.length(short))
     return F.when(slug == "", short).otherwise(F.concat_ws("-", slug, short))
 
 

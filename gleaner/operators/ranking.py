@@ -78,16 +78,16 @@ def _nearest(query: list[float], k: int):
 
 
 def knn(rows: DataFrame, query: list[float], k: int, id_col: str, vector_col: str = "embedding") -> DataFrame:
-    """(id_col, distance) of the k rows nearest to `query`; rows without a vector take no part.
+    """(id_col, distance) of the k rows nearest to `query`; rows without a vector, or with one of another width, take no part.
 
     One scan of two columns; a task keeps a bounded heap, or the best of each batch.
     """
-    known = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col), F.col(vector_col))
+    known = rows.where(F.size(vector_col) == len(query)).select(F.col(id_col), F.col(vector_col))
     if len(query) <= UNROLL:
         found = known.select(F.col(id_col), l2_distance(F.col(vector_col), query).alias("distance"))
     else:
         kind = known.schema[0].dataType.simpleString()
-        found = known.where(F.size(vector_col) == len(query)).mapInArrow(_nearest(query, k), f"`{id_col}` {kind}, distance double")
+        found = known.mapInArrow(_nearest(query, k), f"`{id_col}` {kind}, distance double")
     return found.orderBy("distance", id_col).limit(k)
 
 
@@ -201,14 +201,15 @@ def maxsim(pages: DataFrame, query: list[list[float]], page_col: str, vector_col
     """(page_col, score): for each query vector the best cosine on a page, added over query vectors.
 
     Maxima are combined before the shuffle, so a page's vectors never meet in one place.
+    Vectors that are null or of another width take no part.
     """
-    known = pages.where(F.col(vector_col).isNotNull()).select(F.col(page_col), F.col(vector_col))
+    known = pages.where(F.size(vector_col) == len(query[0])).select(F.col(page_col), F.col(vector_col))
     names = [f"s{j}" for j in range(len(query))]
     if sum(map(len, query)) <= UNROLL:
         sims = known.select(F.col(page_col), *(cosine(F.col(vector_col), q).alias(n) for q, n in zip(query, names)))
     else:
         kind = known.schema[0].dataType.simpleString()
-        parts = known.where(F.size(vector_col) == len(query[0])).mapInArrow(_page_maxima(query), f"`{page_col}` {kind}, best array<double>")
+        parts = known.mapInArrow(_page_maxima(query), f"`{page_col}` {kind}, best array<double>")
         sims = parts.select(F.col(page_col), *(F.get("best", F.lit(j)).alias(n) for j, n in enumerate(names)))
     best = sims.groupBy(page_col).agg(*(F.max(n).alias(n) for n in names))
     return best.select(page_col, _sum([F.col(n) for n in names]).alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.runtime import checked_join, materialise
+from gleaner.runtime import checked_join, discard, materialise
 
 
 def ordered(rows: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:
@@ -58,22 +58,30 @@ def collision_suffix(rows: DataFrame, slug: str, id_col: str, out: str) -> DataF
 
 
 def tree_paths(nodes: DataFrame, id_col: str, parent_col: str, name_col: str, most_depth: int | None = None) -> DataFrame:
-    """(id_col, depth, path) of all nodes reachable from a root (a node whose parent is null or absent), level by level.
-
-    A node is not visited below itself, so repeated ids that make a cycle end.
+    """(id_col, depth, path) of all nodes below a root (a node whose parent is null or absent).
+
+    By pointer doubling: each round hangs what lies above a node's known stretch
+    of path before it, so the rounds grow with the logarithm of the depth, and
+    a parent of any number of children is one skewed join that AQE splits.
+    Nodes on a cycle, and below one, hang from no root and give no row; of rows
+    that repeat an id the one with the smallest parent counts, a root first; a
+    null name is empty.
     """
-    own = nodes.select(F.col(id_col).cast("string").alias("id"), F.col(parent_col).cast("string").alias("parent"), F.col(name_col).alias("name"))
+    own = nodes.select(F.col(id_col).cast("string").alias("id"), F.col(parent_col).cast("string").alias("parent"), F.coalesce(F.col(name_col), F.lit("")).alias("name"))
+    own = own.groupBy("id").agg(F.min(F.struct("parent", "name")).alias("row")).select("id", "row.*")
     known = own.select(F.col("id").alias("parent")).distinct().withColumn("has", F.lit(True))
-    marked = materialise(own.join(known, "parent", "left").withColumn("parent", F.when(F.col("has"), F.col("parent"))).select("id", "parent", "name"), "nodes")
-    children = marked.where(F.col("parent").isNotNull()).withColumnRenamed("id", "child")
-    level = materialise(marked.where(F.col("parent").isNull()).select("id", F.lit(0).cast("long").alias("depth"), F.col("name").alias("path"), F.array("id").alias("trail")), "level")
-    paths, depth = level, 0
-    while (most_depth is None or depth < most_depth) and not level.isEmpty():
-        depth += 1
-        below = children.join(level, F.col("parent") == F.col("id")).where(~F.coalesce(F.array_contains("trail", F.col("child")), F.lit(False)))
-        level = materialise(below.select(F.col("child").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), "name").alias("path"), F.concat("trail", F.array("child")).alias("trail")), "level")
-        paths = paths.unionByName(level)
-    return paths.select(F.col("id").alias(id_col), "depth", "path")
+    marked = own.join(known, "parent", "left").select("id", F.when(F.col("has"), F.col("parent")).alias("up"), F.array("name").alias("names"))
+    state = materialise(marked, "paths")
+    steps, most = 1, state.count()
+    while steps <= most and not state.where("up IS NOT NULL").isEmpty():
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("names").alias("before"))
+        moved = state.where("up IS NOT NULL").join(above, "up").select("id", F.col("next").alias("up"), F.concat("before", "names").alias("names"))
+        state, old = materialise(state.where("up IS NULL").unionByName(moved), "paths"), state
+        discard(old)
+        steps *= 2
+    depth = (F.size("names") - 1).cast("long")
+    found = state.where("up IS NULL").select(F.col("id").alias(id_col), depth.alias("depth"), F.array_join("names", "/").alias("path"))
+    return found if most_depth is None else found.where(F.col("depth") <= most_depth)
 
 
 def inverse_relations(relations: DataFrame, source: str, target: str, kind: str, inverse: dict[str, str]) -> DataFrame:

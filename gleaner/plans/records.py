@@ -117,10 +117,11 @@ def tree_paths(spark: SparkSession, d: str) -> DataFrame:
     return R.tree_paths(regions.unionByName(nations).unionByName(suppliers), "id", "parent", "name")
 
 
-def inverse_relations(spark: SparkSession, d: str) -> DataFrame:
-    lines = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
-    found = R.inverse_relations(lines, "l_orderkey", "l_partkey", "l_returnflag", {"A": "blocked", "N": "duplicate"})
-    return found.groupBy("kind", "direction").agg(F.count(F.lit(1)).alias("n"), F.sum("source").alias("sources"))
+def tree_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Paths in chains of a hundred nodes, each below the one before."""
+    k = F.col("c_custkey")
+    rows = read(spark, d, "customer").select(k.alias("id"), F.when(k % 100 != 0, k - 1).alias("parent"), F.col("c_mktsegment").alias("name"))
+    return R.tree_paths(rows, "id", "parent", "name").select("id", "depth", sha256(F.col("path")).alias("path_hash"))
 
 
 def slug_collisions(spark: SparkSession, d: str) -> DataFrame:
@@ -140,17 +141,18 @@ def system_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def noise_filter(spark: SparkSession, d: str) -> DataFrame:
-    said = F.concat(F.when(F.col("conv_id") % 4 == 0, "deploying ").when(F.col("conv_id") % 4 == 1, "Success: ").otherwise(""), F.col("text"))
-    rows = read(spark, d, "conversations").select("conv_id", "turn", said.alias("text"), (F.col("role") == "assistant").alias("is_bot"))
-    return rows.where(~chat.should_skip(F.lit(None).cast("string"), F.col("text"), F.lit(False), F.col("is_bot"))).select("conv_id", "turn")
+    said = F.concat(F.when(F.col("conv_id") % 4 == 0, "  deploying ").when(F.col("conv_id") % 4 == 1, "Success: ").otherwise(""), F.col("text"))
+    subtype = F.when(F.col("turn") == 2, "message_deleted").when(F.col("turn") == 4, "bot_message")
+    rows = read(spark, d, "conversations").select("conv_id", "turn", said.alias("text"), subtype.alias("subtype"), (F.col("role") == "assistant").alias("is_bot"))
+    return rows.where(~chat.should_skip(F.col("subtype"), F.col("text"), F.lit(False), F.col("is_bot"))).select("conv_id", "turn")
 
 
 def mention_resolve(spark: SparkSession, d: str) -> DataFrame:
     """Users, channels, links and groups of chat text resolved by look-up."""
     users = read(spark, d, "customer").select(F.concat(F.lit("U"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"))
     said = F.concat(F.lit("hi <@U"), F.col("user_id").cast("string"), F.lit("> and <@U"), F.col("event_id").cast("string"), F.lit("|bob>, see <#C1|general> <https://a.example/x|site> <https://b.example> <mailto:a@b.c|a@b.c> <!here> <!subteam^S1|ops>"))
-    rows = read(spark, d, "events").select("event_id", said.alias("text"))
-    return chat.resolve_mentions(rows, "event_id", "text", users, "id", "name").select("event_id", F.col("text").alias("resolved"))
+    rows = read(spark, d, "events").select((F.col("event_id") % 100).alias("event_id"), said.alias("text"))
+    return chat.resolve_mentions(rows, "text", users, "id", ["name"]).select("event_id", F.col("text").alias("resolved"))
 
 
 def markdown_from_chat(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +174,7 @@ def sum_in_window(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", "user_id", us.alias("us")).select("event_id", F.count(F.lit(1)).over(window).alias("used"))
 
 
-QUERIES = {f.__name__: f for f in (thread_rollup, participants, first_last, day_groups, numbered_runs, lookup_enrich, lookup_chain, label_array_resolve, index_diff, index_diff_mtime, index_prune, embedding_cache, cdc_apply, label_changes, hwm_increment, set_diff_resume, tree_paths, inverse_relations, slug_collisions, author_fallback, system_filter, noise_filter, mention_resolve, markdown_from_chat, index_stats, sum_in_window)}
+QUERIES = {f.__name__: f for f in (thread_rollup, participants, first_last, day_groups, numbered_runs, lookup_enrich, lookup_chain, label_array_resolve, index_diff, index_diff_mtime, index_prune, embedding_cache, cdc_apply, label_changes, hwm_increment, set_diff_resume, tree_paths, tree_chain, slug_collisions, author_fallback, system_filter, noise_filter, mention_resolve, markdown_from_chat, index_stats, sum_in_window)}
 
 _STORED = "(SELECT doc_id, sha256(text) AS hash, doc_id * 10 AS mtime FROM documents WHERE doc_id % 10 <> 0)"
 _CURRENT = "(SELECT doc_id, sha256(CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END) AS hash, doc_id * 10 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS mtime FROM documents WHERE doc_id % 7 <> 0)"
@@ -209,20 +211,22 @@ SQL = {
         SELECT 'r' || r_regionkey AS id, 0::BIGINT AS depth, r_name AS path FROM region
         UNION ALL SELECT 'n' || n_nationkey, 1, r_name || '/' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey
         UNION ALL SELECT 's' || s_suppkey, 2, r_name || '/' || n_name || '/' || s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""",
-    "inverse_relations": """
-        SELECT kind, direction, count(*) AS n, sum(source)::BIGINT AS sources FROM (
-            SELECT l_orderkey AS source, l_returnflag AS kind, 0 AS direction FROM lineitem
-            UNION ALL SELECT l_partkey, CASE l_returnflag WHEN 'A' THEN 'blocked' WHEN 'N' THEN 'duplicate' ELSE l_returnflag END, 1 FROM lineitem) GROUP BY kind, direction""",
+    "tree_chain": """
+        WITH RECURSIVE t AS (
+            SELECT c_custkey AS k, 0::BIGINT AS depth, c_mktsegment AS path FROM customer WHERE c_custkey % 100 = 0 OR c_custkey - 1 NOT IN (SELECT c_custkey FROM customer)
+            UNION ALL SELECT c_custkey, depth + 1, path || '/' || c_mktsegment FROM t JOIN customer ON c_custkey = k + 1 AND c_custkey % 100 <> 0
+        )
+        SELECT k::VARCHAR AS id, depth, sha256(path) AS path_hash FROM t""",
     "slug_collisions": "SELECT c_custkey, lower(c_mktsegment) || CASE WHEN row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) = 1 THEN '' ELSE '--' || c_custkey END AS unique_slug FROM customer",
     "author_fallback": """
         SELECT event_id, CASE WHEN c_custkey % 2 = 0 THEN c_name WHEN c_custkey % 3 = 0 THEN c_mktsegment WHEN event_id % 5 = 0 THEN event_type WHEN event_id % 7 = 0 THEN 'bot:' || event_id ELSE 'unknown' END AS author
         FROM events LEFT JOIN customer ON c_custkey = user_id""",
     "system_filter": "SELECT event_id, CASE event_id % 5 WHEN 2 THEN 'bot_message' ELSE 'thread_broadcast' END AS subtype FROM events WHERE event_id % 5 IN (2, 3)",
     "noise_filter": """
-        SELECT conv_id, turn FROM (SELECT *, CASE conv_id % 4 WHEN 0 THEN 'deploying ' WHEN 1 THEN 'Success: ' ELSE '' END || text AS t FROM conversations)
-        WHERE NOT (role = 'assistant' AND regexp_matches(t, '(?i)^(DEPLOYING|BUILDING|DEPLOYED|SUCCESS|FAILED|ROLLING BACK)\\b'))""",
+        SELECT conv_id, turn FROM (SELECT *, CASE conv_id % 4 WHEN 0 THEN '  deploying ' WHEN 1 THEN 'Success: ' ELSE '' END || text AS t FROM conversations)
+        WHERE turn <> 2 AND NOT (role = 'assistant' AND regexp_matches(t, '(?i)^\\s*(DEPLOYING|BUILDING|DEPLOYED|SUCCESS|FAILED|ROLLING BACK)\\b'))""",
     "mention_resolve": """
-        SELECT event_id, 'hi @' || coalesce(u.c_name, 'U' || user_id) || ' and @bob, see #general [site](https://a.example/x) https://b.example a@b.c @here @ops' AS resolved
+        SELECT event_id % 100 AS event_id, 'hi @' || coalesce(u.c_name, 'U' || user_id) || ' and @bob, see #general [site](https://a.example/x) https://b.example a@b.c @here @ops' AS resolved
         FROM events LEFT JOIN customer u ON u.c_custkey = user_id""",
     "markdown_from_chat": "SELECT event_id, '**' || event_type || '** and ~~gone~~ ' || event_id || '**2**3' AS markdown FROM events",
     "index_stats": "SELECT count(*) AS total_files, count(DISTINCT source) AS sources, (SELECT count(*) FROM embeddings) AS total_chunks FROM documents",

@@ -93,18 +93,6 @@ class SyncState:
         self.checkpoint()
 
 
-def chat_pages(messages: DataFrame, channel: str = "channelId") -> DataFrame:
-    """(channel, message_count, content): rendered messages (author, time, said, ts, day, is_reply) of each channel in order, with a heading for each day."""
-    from gleaner.operators.rollups import group_breaks, ordered
-
-    rows = group_breaks(messages, [channel], ["ts"], F.col("day"))
-    line = F.concat(F.lit("**"), "author", F.lit("** ("), "time", F.lit("):\n"), "said")
-    line = F.when(F.col("is_reply"), F.concat(F.lit("> "), F.replace(line, F.lit("\n"), F.lit("\n> ")))).otherwise(line)
-    line = F.when(F.col("is_break"), F.concat(F.lit("## "), "day", F.lit("\n\n"), line)).otherwise(line)
-    packed = ordered(rows.withColumn("line", line), [channel], ["ts"], ["line"])
-    return packed.select(channel, F.size("items").cast("long").alias("message_count"), F.array_join(F.transform("items", lambda x: x["line"]), "\n\n").alias("content"))
-
-
 def split_attachments(attachments: DataFrame, most_bytes: int) -> tuple[DataFrame, DataFrame]:
     """Attachments to store, and those too large with the reason."""
     large = F.coalesce(F.col("size"), F.lit(0)) > most_bytes

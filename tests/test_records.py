@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import chat, issues, mime
 from gleaner.functions.blocks import Renderer, page_title, property_value, render_pages, rich_text, tree
-from gleaner.operators import rollups
+from gleaner.operators import channels, rollups
 from gleaner.sources import dumps, sinks
 
 C = F.col("c")
@@ -92,10 +92,10 @@ def test_chat_rules(column):
 
 def test_mentions(spark):
     users = spark.createDataFrame([("U1", "Ann")], "id string, name string")
-    rows = spark.createDataFrame([(1, "<@U1><@U2> <@U3|Cy> <#C1> <!subteam^S1> <https://x.y|l>"), (2, ""), (3, "plain")], "id int, text string")
-    channels = spark.createDataFrame([("C1", "general")], "id string, name string")
-    got = {r.id: r.text for r in chat.resolve_mentions(rows, "id", "text", users, "id", "name", channels).collect()}
-    assert got == {1: "@Ann@U2 @Cy #general @group [l](https://x.y)", 2: "", 3: "plain"}
+    rows = spark.createDataFrame([(1, "<@U1><@U2> <@U3|Cy> <#C1> <!subteam^S1> <https://x.y|l>"), (1, "b <@U1>"), (2, ""), (3, "plain"), (4, None)], "id int, text string").withColumn("_row", F.lit("clash"))
+    channels_ = spark.createDataFrame([("C1", "general")], "id string, name string")
+    got = sorted((r.id, r.text) for r in chat.resolve_mentions(rows, "text", users, "id", ["name"], channels_).collect() if r.id != 4)
+    assert got == [(1, "@Ann@U2 @Cy #general @group [l](https://x.y)"), (1, "b @Ann"), (2, ""), (3, "plain")]
 
 
 def _b64(text, charset="utf-8"):
@@ -126,20 +126,34 @@ def test_mail_threads(spark):
 
 
 def test_issues(spark, column):
-    issue = spark.createDataFrame([("i1", "T-1", "Title", "u1", "u9", "t1", None, "c1", ["l2", "lx", "l1"], 1)], "id string, identifier string, title string, assigneeId string, creatorId string, teamId string, projectId string, cycleId string, labelIds array<string>, priority int")
-    for name in ("stateName", "stateType", "parentIdentifier", "dueDate", "createdAt", "updatedAt", "archivedAt", "completedAt", "canceledAt"):
-        issue = issue.withColumn(name, F.lit("x" if name == "createdAt" else None).cast("string"))
-    issue = issue.withColumn("estimate", F.lit(None).cast("double"))
-    named = lambda *rows: spark.createDataFrame(rows, "id string, name string, key string, number int")
-    rows = issues.enriched(issue, named(("u1", "Ann", None, None)), named(("t1", None, "TM", None)), named(("p", "P", None, None)), named(("c1", None, None, 7)), named(("l1", "bug", None, None), ("l2", "ui", None, None)))
-    got = json.loads(issues.frontmatter(rows).first().frontmatter)
-    assert got == {"id": "i1", "identifier": "T-1", "title": "Title", "priority": "Urgent", "assignee": "Ann", "team": "TM", "cycle": "Cycle 7", "labels": ["ui", "bug"], "createdAt": "x"}
-    assert column(issues.filename_from_url(C), c="https://a.b/c/d.png?x=1") == "d.png" and column(issues.filename_from_url(C), c="https://a.b") == "attachment"
+    node = {
+        "id": "i", "identifier": "TM-1", "title": "Fix", "description": "Desc", "priority": 1, "createdAt": "c", "updatedAt": "2024-01-02", "archivedAt": None, "state": {"id": "s", "name": "Todo", "type": "unstarted"}, "team": {"id": "t1"},
+        "assignee": {"id": "u1"}, "creator": {"id": "u9"}, "project": {"id": "p"}, "cycle": {"id": "c1"}, "labels": {"nodes": [{"id": "l2"}, {"id": "x"}, {"id": "l1"}]}, "estimate": None, "dueDate": "",
+        "comments": {"nodes": [{"id": "k", "body": "hey", "createdAt": "t", "user": {"id": "u1"}}, {"id": "k2", "body": "yo", "createdAt": "t2", "user": None}]},
+        "attachments": {"nodes": [{"id": "a", "title": "T", "url": "https://x.y/z"}]}, "relations": {"nodes": [{"type": "blocks", "relatedIssue": {"id": "r", "identifier": "TM-2"}}]},
+        "inverseRelations": {"nodes": [{"type": "blocks", "issue": {"id": "r", "identifier": "TM-3"}}, {"type": "duplicate", "issue": {"id": "r", "identifier": "TM-4"}}, {"type": "odd", "issue": {"id": "r", "identifier": "TM-5"}}]},
+    }
+    plain = {"id": "j", "identifier": "TM-9", "title": "Bare", "priority": 9, "createdAt": "c", "updatedAt": "2024-01-01", "archivedAt": "z", "team": {"id": "none"}}
+    raw = spark.read.schema(issues.ISSUE_NODE).json(spark.sparkContext.parallelize([json.dumps(node), json.dumps(plain)]))
+    users = spark.createDataFrame([("u1", "Ann")], "id string, displayName string")
+    teams = spark.createDataFrame([("t1", "TM", "Team")], "id string, key string, name string")
+    named = lambda *rows: spark.createDataFrame(rows, "id string, name string, number int")
+    docs = {r.path: r for r in issues.documents(issues.typed_issues(raw), users, teams, named(("p", "P", None)), named(("c1", "", 7)), named(("l1", "bug", None), ("l2", "ui", None))).collect()}
+    full, bare = docs["issues/TM/TM-1.md"], docs["issues//TM-9.md"]
+    assert json.loads(full.frontmatter) == {
+        "id": "i", "identifier": "TM-1", "title": "Fix", "state": "Todo", "stateType": "unstarted", "priority": 1, "priorityLabel": "Urgent", "assignee": "Ann", "team": "Team", "project": "P", "cycle": "Cycle 7", "labels": ["ui", "bug"],
+        "createdAt": "c", "updatedAt": "2024-01-02", "archived": False, "attachments": [{"title": "T", "url": "https://x.y/z"}],
+        "relations": [{"type": "blocks", "issue": "TM-2"}, {"type": "blocked-by", "issue": "TM-3"}, {"type": "duplicate-of", "issue": "TM-4"}, {"type": "odd", "issue": "TM-5"}],
+    }
+    assert full.body == "# TM-1: Fix\n\nDesc\n\n---\n\n## Comments\n\n### Ann --- t\n\nhey\n\n### Unknown --- t2\n\nyo" and bare.body == "# TM-9: Bare\n"
+    assert json.loads(bare.frontmatter) == {"id": "j", "identifier": "TM-9", "title": "Bare", "priority": 9, "priorityLabel": "None", "createdAt": "c", "updatedAt": "2024-01-01", "archived": True, "archivedAt": "z"}
+    assert [r.id for r in issues.typed_issues(raw, "2024-01-01").collect()] == ["i"]
+    names = {"https://a.b/c/d%20e.png?x=1": "d e.png", "https://a.b": None, "https://a.b/c/d": None, "no url.png": None, "https://a.b/c/x.y/": "x.y", "https://a.b/a+b.c": "a+b.c", "https://a.b/%zz.c": None}
+    assert {u: column(issues.filename_from_url(C), c=u) for u in names} == names
     assert [column(issues.is_downloadable(C), c=x) for x in (None, "", "upload", "github")] == [True, True, True, False]
-    body = issues.body(F.lit("T"), F.lit("D"), F.array(F.struct(F.lit("u1").alias("userId"), F.lit("t").alias("createdAt"), F.lit("hey").alias("body"))), F.create_map(F.lit("u1"), F.lit("Ann")))
-    assert column(body) == "# T\n\nD\n\n## Comments\n\n### Ann (t)\n\nhey"
-    rel = spark.createDataFrame([("a", "b", "blocks"), ("c", "d", "odd")], "issue_id string, related_id string, type string")
-    assert {(r.source, r.kind) for r in issues.relations(rel).collect()} == {("a", "blocks"), ("b", "blocked_by"), ("c", "odd"), ("d", "odd")}
+    assert column(issues.project_slug(F.lit(""), C), c="My  Big/Plan") == "my-big_plan" and column(issues.attachment_title(C), c="") == "attachment"
+    rel = spark.createDataFrame([("a", "b", "blocks"), ("c", "d", "odd"), ("e", "f", "duplicate-of")], "issue_id string, related_id string, type string")
+    assert {(r.source, r.kind) for r in issues.relations(rel).collect()} == {("a", "blocks"), ("b", "blocked-by"), ("c", "odd"), ("d", "odd"), ("e", "duplicate-of"), ("f", "duplicate")}
 
 
 def test_change_logs(spark):
@@ -193,7 +207,38 @@ def test_sinks(spark, tmp_path):
     assert "[0.50 | today] i/f § S" in text and text.rstrip().endswith('..."') and sinks.format_results([], "q", 0) == 'No results found for "q".'
 
 
-def test_chat_pages_break_by_day(spark):
-    rows = spark.createDataFrame([("c", "1", "Ann", "09:00 AM", "hi", "d1", False), ("c", "2", "Bo", "09:01 AM", "re\nply", "d1", True), ("c", "3", "Ann", "10:00 AM", "x", "d2", False)], "channelId string, ts string, author string, time string, said string, day string, is_reply boolean")
-    page = sinks.chat_pages(rows).first()
-    assert page.message_count == 3 and page.content == "## d1\n\n**Ann** (09:00 AM):\nhi\n\n> **Bo** (09:01 AM):\n> re\n> ply\n\n## d2\n\n**Ann** (10:00 AM):\nx"
+def test_trees_of_a_long_chain_and_of_a_wide_root(spark):
+    chain = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent"), F.lit("n").alias("name"))
+    assert rollups.tree_paths(chain, "id", "parent", "name").agg(F.max("depth"), F.count("*")).first()[:] == (999, 1000)
+    wide = spark.range(1_200_000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") > 0, F.lit("0")).alias("parent"), F.lit("n").alias("name"))
+    assert rollups.tree_paths(wide, "id", "parent", "name").where("path = 'n/n' AND depth = 1").count() == 1_199_999
+
+
+def test_channel_documents(spark):
+    users = dumps.chat_users(spark.read.schema(dumps.CHAT_USER).json(spark.sparkContext.parallelize(['{"id": "U1", "name": "ann", "profile": {"display_name": "Ann"}}', '{"id": "U2", "name": "bob"}'])))
+    lines = [{"id": "C1", "name": "general"}, {"id": "C2", "name": "Général"}, {"id": "C3", "name": "U1", "is_im": True}, {"id": "C4", "name": "mpdm-zed--ann-1", "is_mpim": True}, {"id": "C5", "name": "empty"}]
+    rooms = dumps.chat_channels(spark.read.schema(dumps.CHAT_CHANNEL).json(spark.sparkContext.parallelize([json.dumps(x) for x in lines])))
+    said = [
+        {"ts": "1700000000.000100", "channel": "C1", "user": "U1", "text": "*hey* <@U2> <@U9>", "thread_ts": "1700000000.000100", "reactions": [{"name": "ok", "count": 2}, {"name": "no", "count": 1}]},
+        {"ts": "1700000001.000100", "channel": "C1", "user": "U2", "text": "", "files": [{"id": "F", "name": "a.txt", "size": 10}]},
+        {"ts": "1700000002.000100", "channel": "C1", "user": "U2", "text": "see", "files": [{"id": "F", "size": 10}]},
+        {"ts": "1700000003.000100", "channel": "C1", "user": "U2", "text": "gone", "subtype": "message_deleted"},
+        {"ts": "1700000004.000100", "channel": "C1", "bot_id": "B", "text": "  Deploying x"},
+        {"ts": "1700100000.000100", "channel": "C1", "user": "U9", "text": "next day"},
+    ]
+    replies = [said[0], {"ts": "1700000009.000100", "channel": "C1", "user": "U2", "text": "a\nb", "thread_ts": "1700000000.000100"}]
+    typed = lambda rows: channels.prepared(dumps.chat_messages(spark.read.schema(dumps.CHAT_MESSAGE).json(spark.sparkContext.parallelize([json.dumps(x) for x in rows]))), users, rooms)
+    messages, answers = typed(said), typed(replies)
+    page = {r.id: r.content for r in channels.pages(rooms, messages, answers).collect()}
+    assert page["C5"] == "_No messages._\n" and page["C1"] == (
+        "## 2023-11-14\n\n**Ann** (10:13 PM):\n**hey** @bob @U9\n[:ok: (2) :no: (1)]\n\n> **bob** (10:13 PM) [thread]:\n> a\n> b\n\n"
+        "**bob** (10:13 PM):\nsee\n[File: untitled (10 B)]\n\n\n## 2023-11-16\n\n**unknown** (02:00 AM):\nnext day\n"
+    )
+    records = [json.loads(r.value) for r in channels.records(messages).orderBy("ts").collect()]
+    assert len(records) == 5 and set(records[0]) == {"ts", "user", "userName", "text", "threadTs", "reactions", "files", "edited", "date"} and records[5 - 1]["edited"] is None
+    thread = channels.thread_documents(rooms, answers, users, "now").first()
+    assert (thread.started_by, thread.participants, thread.reply_count) == ("Ann", ["Ann", "bob"], 1)
+    assert thread.body == "# Thread in #general\n\n**Ann** started this thread:\n\n**hey** @bob @U9\n\n---\n\n**bob** (2023-11-14 10:13 PM):\na\nb\n"
+    assert {r.id: r.slug for r in channels.slugs(rooms, users).collect()} == {"C1": "general", "C2": "general--C2", "C3": "dm--ann", "C4": "mpim--ann--zed", "C5": "empty"}
+    meta = {r.channelId: r for r in channels.summaries(rooms, messages, "now").collect()}
+    assert (meta["C1"].messageCount, meta["C5"].messageCount, meta["C5"].oldestMessage) == (5, 0, None)

@@ -57,6 +57,12 @@ def test_slugify(column, raw, want):
     assert column(text.slugify(C), c=raw) == want
 
 
+def test_slugs_of_marked_letters(column):
+    for raw, want in (("Tiếng Việt", "tieng-viet"), ("Ångström ǅ Ḟoo", "angstrom-foo"), ("ﬁ ½ x²", "x"), ("İstanbul", "istanbul"), ("Ｋ", "")):
+        assert column(text.slugify(C), c=raw) == want, raw
+    assert column(text.unique_slug(C, F.lit("a-b")), c="x" * 100) == "x" * 77 + "-ab"
+
+
 def test_names(column):
     assert column(text.unique_slug(C, F.lit("abc-def-123-456")), c="Hello World") == "hello-world-abcdef12"
     assert column(text.sanitize_filename(C), c='file/name:with*bad"chars') == "file_name_with_bad_chars"
