@@ -131,12 +131,12 @@ def chunk_hash(content: Column, model: str) -> Column:
 
 
 def _plain_letters() -> tuple[str, str]:
-    """All characters that decompose into an ASCII letter or digit and combining marks, and what they decompose into."""
+    """All characters that decompose into one letter or digit and combining marks, and what they decompose into."""
     marked, plain = [], []
     for code in range(0x80, 0x30000):
         parts = unicodedata.normalize("NFD", chr(code))
         rest = [c for c in parts if not 0x300 <= ord(c) <= 0x36F]
-        if len(parts) > 1 and len(rest) == 1 and rest[0].isascii() and rest[0].isalnum():
+        if len(parts) > 1 and len(rest) == 1 and rest[0].isalnum():
             marked.append(chr(code))
             plain.append(rest[0])
     return "".join(marked), "".join(plain)

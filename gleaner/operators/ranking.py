@@ -9,6 +9,7 @@ still win: the best rows, or the maxima of each page. Every top-k has a total or
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import unmarked
+
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 FTS_CANDIDATES = 200
 RRF_K = 60
@@ -93,7 +96,7 @@ def knn(rows: DataFrame, query: list[float], k: int, id_col: str, vector_col: st
 
 def query_phrases(query: str) -> list[list[str]]:
     """The phrases of a keyword query: each blank-separated term is one, of the tokens inside it."""
-    out = [[t for t in re.split(r"[\W_]+", term.lower()) if t] for term in query.split()]
+    out = [[t for t in re.split(r"[\W_]+", fold(term)) if t] for term in query.split()]
     return [p for p in out if p]
 
 
@@ -102,8 +105,16 @@ def fts_query(query: str) -> str:
     return " OR ".join('"' + t.replace('"', '""') + '"' for t in query.split())
 
 
+def fold(text: str) -> str:
+    """A query as `tokens` reads it."""
+    return re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", text.lower()))
+
+
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), TOKEN), lambda t: t != "")
+    """The tokens of a text: runs of letters and digits, in lower case and without marks."""
+    low = F.lower(text)
+    plain = F.when(low.rlike(r"[^\x00-\x7F]"), unmarked(low)).otherwise(low)
+    return F.filter(F.split(plain, TOKEN), lambda t: t != "")
 
 
 def _frequency(words: Column, phrase: list[str]) -> Column:
@@ -130,9 +141,16 @@ def bm25(rows: DataFrame, query: str, id_col: str, text: Column) -> DataFrame:
     if not phrases:
         return rows.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
     counts = term_counts(rows, id_col, text, phrases)
-    stats = counts.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.array(*(F.count(F.when(F.get("tf", F.lit(j)) > 0, 1)) for j in range(len(phrases)))).alias("df"),
-    )
+    stats = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *_frequencies(len(phrases)))
+    return _scored(counts.where(F.exists("tf", lambda x: x > 0)), stats, len(phrases))
+
+
+def _frequencies(phrases: int) -> list[Column]:
+    return [F.array(*(F.count(F.when(F.get("tf", F.lit(j)) > 0, 1)) for j in range(phrases))).alias("df")]
+
+
+def _scored(held: DataFrame, stats: DataFrame, phrases: int) -> DataFrame:
+    """(id, score) of rows (id, dl, tf) by one row of corpus statistics (n, avgdl, df)."""
     n, dl = F.col("n").cast("double"), F.col("dl")
 
     def part(j: int) -> Column:
@@ -140,12 +158,36 @@ def bm25(rows: DataFrame, query: str, id_col: str, text: Column) -> DataFrame:
         idf = F.greatest(F.lit(IDF_FLOOR), F.log((n - df + 0.5) / (df + 0.5)))
         return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
 
-    held = counts.where(F.exists("tf", lambda x: x > 0))
-    return held.crossJoin(F.broadcast(stats)).select("id", _sum([part(j) for j in range(len(phrases))]).alias("score"))
+    return held.crossJoin(F.broadcast(stats)).select("id", _sum([part(j) for j in range(phrases)]).alias("score"))
+
+
+def bm25_stored(stored: DataFrame, sizes: DataFrame, query: str) -> DataFrame:
+    """bm25 from a stored inverted index: postings (term, id, tf, positions) and document lengths (id, dl).
+
+    Only the query's terms are read of the postings, a filter that reaches a
+    scan sorted by term; lengths are read for the corpus statistics and joined
+    to the documents that hold some term.
+    """
+    phrases = query_phrases(query)
+    if not phrases:
+        return sizes.select("id", F.lit(0.0).alias("score")).limit(0)
+    terms = sorted({t for p in phrases for t in p})
+    found = stored.where(F.col("term").isin(terms)).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    none = F.array().cast("array<int>")
+    places = lambda t: F.coalesce(F.try_element_at("at", F.lit(t)), none)
+
+    def frequency(phrase: list[str]) -> Column:
+        here = lambda i: reduce(lambda a, b: a & b, [F.array_contains(places(t), i + j) for j, t in enumerate(phrase[1:], 1)])
+        return F.size(places(phrase[0])) if len(phrase) == 1 else F.size(F.filter(places(phrase[0]), here))
+
+    counts = found.select("id", F.array(*map(frequency, phrases)).alias("tf")).where(F.exists("tf", lambda x: x > 0))
+    corpus = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    stats = corpus.crossJoin(F.broadcast(counts.agg(*_frequencies(len(phrases)))))
+    return _scored(counts.join(sizes, "id"), stats, len(phrases))
 
 
 def postings(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(term, id, tf, positions): the inverted index, combined within rows before the shuffle is chosen by the writer."""
+    """(term, id, tf, positions): the inverted index; a row's tokens meet in its own groups only."""
     words = rows.select(F.col(id_col).alias("id"), F.posexplode(tokens(F.coalesce(text, F.lit("")))).alias("position", "term"))
     return words.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
 

@@ -5,27 +5,34 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import markup, scoring, text
 from gleaner.functions.embedding import TextAdapter, embed
 from gleaner.functions.frontmatter import yaml_to_json
+from gleaner.operators import ranking as R
 from gleaner.operators.rollups import diff_status
+from gleaner.runtime import discard, materialise
 
 SCHEMA_VERSION = 5
 FILES = "path string, content_hash string, size bigint, mtime_ms bigint, indexed_at string, metadata string"
 CHUNKS = "path string, chunk_index bigint, content string, embedding array<float>, content_hash string, section_context string, content_timestamp_ms bigint"
 PAGES = "document_id string, page_number int, image_hash string, adapter_name string, num_vectors int, source_path string, indexed_at string"
 PAGE_VECTORS = "document_id string, page_number int, vector_index int, embedding array<float>"
-_SCHEMAS = {"files": FILES, "chunks": CHUNKS, "page_images": PAGES, "page_vectors": PAGE_VECTORS}
+POSTINGS = "term string, path string, chunk_index bigint, tf bigint, positions array<int>"
+LENGTHS = "path string, chunk_index bigint, dl int"
+_SCHEMAS = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "lengths": LENGTHS, "page_images": PAGES, "page_vectors": PAGE_VECTORS}
 
 
 class Index:
     """One index below a root that all executors share.
 
-    A write makes a new generation of a table and then swaps the pointer file
-    over to it, so readers see the old or the new one, never a mixture.
+    A write makes a new generation of a table and then a new pointer file, which
+    names the current generation of every table and holds the index's meta
+    values. Pointers are numbered and made by renaming a finished file; the
+    newest counts, so a crash leaves the old state or the new one. The pointer
+    and the generations before the last are kept for readers that began earlier.
     """
 
     def __init__(self, spark: SparkSession, root: str, name: str):
@@ -34,53 +41,65 @@ class Index:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _read_text(self, path: str) -> str | None:
-        at = self._path(path)
+    def _pointers(self) -> list[int]:
+        at = self._path(f"{self.path}/pointers")
         if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
+            return []
+        names = (s.getPath().getName() for s in self._fs.listStatus(at))
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
+
+    def _state(self, number: int | None = None) -> dict[str, dict[str, str]]:
+        numbers = self._pointers() if number is None else [number]
+        if not numbers:
+            return {"tables": {}, "meta": {}}
+        stream = self._fs.open(self._path(f"{self.path}/pointers/{numbers[-1]:09d}.json"))
         try:
-            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _write_text(self, path: str, content: str) -> None:
-        temporary = self._path(f"{path}.{uuid.uuid4().hex}")
+    def _commit(self, tables: dict[str, str], meta: dict[str, str]) -> None:
+        numbers = self._pointers()
+        state = self._state()
+        fresh = {"tables": state["tables"] | tables, "meta": state["meta"] | meta}
+        number = (numbers[-1] if numbers else 0) + 1
+        temporary = self._path(f"{self.path}/pointers/.{uuid.uuid4().hex}.tmp")
         stream = self._fs.create(temporary, True)
-        stream.write(bytearray(content.encode()))
+        stream.write(bytearray(json.dumps(fresh, indent=2).encode()))
         stream.close()
-        self._fs.delete(self._path(path), False)
-        if not self._fs.rename(temporary, self._path(path)):
-            raise OSError(f"could not replace {path}")
+        if not self._fs.rename(temporary, self._path(f"{self.path}/pointers/{number:09d}.json")):
+            raise OSError(f"another writer has made pointer {number} of {self.path}")
+        kept = [state["tables"], fresh["tables"]]
+        for old in numbers[:-1]:
+            for name, at in self._state(old)["tables"].items():
+                if all(k.get(name) != at for k in kept):
+                    self._fs.delete(self._path(f"{self.path}/{name}/{at}"), True)
+            self._fs.delete(self._path(f"{self.path}/pointers/{old:09d}.json"), False)
 
     @property
     def exists(self) -> bool:
-        return self._fs.exists(self._path(f"{self.path}/meta.json"))
+        return bool(self._pointers())
 
     def meta(self) -> dict[str, str]:
-        return json.loads(self._read_text(f"{self.path}/meta.json") or "{}")
+        return self._state()["meta"]
 
     def set_meta(self, **values: object) -> None:
-        self._write_text(f"{self.path}/meta.json", json.dumps(self.meta() | {k: str(v) for k, v in values.items()}, indent=2))
+        self._commit({}, {k: str(v) for k, v in values.items()})
 
     def table(self, name: str) -> DataFrame:
         """The current generation of a table; an empty one where none was written. Columns added since read as null."""
-        at = json.loads(self._read_text(f"{self.path}/current.json") or "{}").get(name)
+        at = self._state()["tables"].get(name)
         if at is None:
             return self.spark.createDataFrame([], _SCHEMAS[name])
         return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.path}/{name}/{at}")
 
-    def replace(self, **tables: DataFrame) -> None:
-        """Write new generations of the tables, then swap to all of them at once; older generations are removed."""
-        current = json.loads(self._read_text(f"{self.path}/current.json") or "{}")
+    def replace(self, meta: dict[str, object] | None = None, **tables: DataFrame) -> None:
+        """Write new generations of the tables, then swap to all of them and to the new meta values at once."""
         fresh = {}
         for name, df in tables.items():
             fresh[name] = uuid.uuid4().hex
             df.write.parquet(f"{self.path}/{name}/{fresh[name]}")
-        self._write_text(f"{self.path}/current.json", json.dumps(current | fresh))
-        for name, at in current.items():
-            if name in fresh:
-                self._fs.delete(self._path(f"{self.path}/{name}/{at}"), True)
+        self._commit(fresh, {k: str(v) for k, v in (meta or {}).items()})
 
     def delete(self) -> None:
         self._fs.delete(self._path(self.path), True)
@@ -107,8 +126,8 @@ def parsed(documents: DataFrame) -> DataFrame:
 
 
 def chunked(documents: DataFrame) -> DataFrame:
-    """(path, chunk_index, content, section_context, content_timestamp_ms): documents by the chunker of their format."""
-    docs = parsed(documents).withColumn("_format", markup.mail_format(F.col("metadata")))
+    """(path, chunk_index, content, section_context, content_timestamp_ms): `parsed` documents by the chunker of their format."""
+    docs = documents.withColumn("_format", markup.mail_format(F.col("metadata")))
     field = lambda k: F.coalesce(F.get_json_object("metadata", f"$.{k}"), F.lit(""))
     subject = F.coalesce(F.nullif(field("subject"), F.lit("")), text.title(F.col("metadata"), F.col("body")), F.lit(""))
     blocks = F.transform(markup.thread_messages(F.col("body")), markup.message_block)
@@ -120,32 +139,53 @@ def chunked(documents: DataFrame) -> DataFrame:
     return rows.select("path", F.col("chunk_index").cast("long").alias("chunk_index"), "c.content", "c.section_context", "content_timestamp_ms")
 
 
+def _inverted(index: Index, chunks: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:
+    """The keyword tables after paths have `gone` and `chunks` (path, chunk_index, content) have come; postings sorted by term."""
+    key = F.struct("path", "chunk_index")
+    rows = chunks.select(key.alias("key"), F.concat_ws(" ", "content", "path").alias("text"))
+    posts = R.postings(rows, "key", F.col("text")).select("term", "id.*", "tf", "positions")
+    sizes = rows.select("key.*", F.size(R.tokens(F.col("text"))).alias("dl"))
+    postings = index.table("postings").join(gone, "path", "left_anti").unionByName(posts)
+    return {
+        "postings": postings.repartitionByRange("term", "path").sortWithinPartitions("term", "path", "chunk_index"),
+        "lengths": index.table("lengths").join(gone, "path", "left_anti").unionByName(sizes),
+    }
+
+
 def update(index: Index, documents: DataFrame, adapter: TextAdapter, now_iso: str, source: str = "") -> dict[str, int]:
     """Bring an index up to `documents` (path, size, mtime_ms, content): prune, skip, touch, re-chunk, embed what is new.
 
     Each text is embedded once, and only if its hash has no vector yet. A file
-    that became empty loses its chunks. Returns how many files had each status.
+    that became empty loses its chunks. Without a change nothing is written.
+    Returns how many files had each status.
     """
     stored_files, stored_chunks = index.table("files"), index.table("chunks")
     own = F.col("path").startswith("pdf://")
     current = documents.withColumn("content_hash", text.sha256(F.col("content")))
-    status = diff_status(stored_files.where(~own), current, "path", "content_hash", "mtime_ms").persist()
+    status = materialise(diff_status(stored_files.where(~own), current, "path", "content_hash", "mtime_ms"), "status")
     counts = {r.status: r["count"] for r in status.groupBy("status").count().collect()}
+    if index.exists and not set(counts) - {"unchanged"}:
+        index.set_meta(last_indexed_at=now_iso)
+        return counts
     work = current.join(status.where("status IN ('new', 'changed')").select("path"), "path", "left_semi")
-    chunks = chunked(work.select("path", "content", "mtime_ms")).withColumn("content_hash", text.chunk_hash(F.col("content"), adapter.name))
+    docs = materialise(parsed(work), "parsed")
+    chunks = chunked(docs).withColumn("content_hash", text.chunk_hash(F.col("content"), adapter.name))
+    chunks = materialise(chunks, "chunks")
     known = stored_chunks.where("embedding IS NOT NULL").groupBy("content_hash").agg(F.first("embedding").alias("embedding"))
-    fresh = embed(chunks.select("content_hash", "content").dropDuplicates(["content_hash"]).join(known, "content_hash", "left_anti"), "content", adapter).select("content_hash", "embedding")
+    wanted = chunks.select("content_hash", "content").dropDuplicates(["content_hash"])
+    fresh = embed(wanted.join(known, "content_hash", "left_anti"), "content", adapter).select("content_hash", "embedding")
     vectors = known.join(chunks.select("content_hash").distinct(), "content_hash", "left_semi").unionByName(fresh)
     made = chunks.join(vectors, "content_hash", "left").select(*stored_chunks.columns)
     gone = status.where("status IN ('changed', 'pruned')").select("path")
     kept = stored_chunks.join(gone, "path", "left_anti")
-    meta = parsed(work.select("path", "content", "mtime_ms")).select("path", "metadata")
-    files = work.join(meta, "path").select("path", "content_hash", "size", "mtime_ms", F.lit(now_iso).alias("indexed_at"), "metadata")
-    touched = stored_files.drop("mtime_ms", "size").join(current.join(status.where("status = 'touched'").select("path"), "path", "left_semi").select("path", "mtime_ms", "size"), "path").select(*stored_files.columns)
+    files = docs.select("path", "content_hash", "size", "mtime_ms", F.lit(now_iso).alias("indexed_at"), "metadata")
+    touched = current.join(status.where("status = 'touched'").select("path"), "path", "left_semi").select("path", "mtime_ms", "size")
+    touched = stored_files.drop("mtime_ms", "size").join(touched, "path").select(*stored_files.columns)
     still = stored_files.join(status.where("status IN ('changed', 'pruned', 'touched')").select("path"), "path", "left_anti")
-    index.replace(files=still.unionByName(touched).unionByName(files), chunks=kept.unionByName(made))
-    status.unpersist()
-    index.set_meta(schema_version=SCHEMA_VERSION, index_name=index.name, source_directory=source or index.meta().get("source_directory", ""), model_id=adapter.name, last_indexed_at=now_iso, total_files=index.table("files").count(), total_chunks=index.table("chunks").count())
+    meta = {"schema_version": SCHEMA_VERSION, "index_name": index.name, "source_directory": source or index.meta().get("source_directory", ""), "model_id": adapter.name, "last_indexed_at": now_iso}
+    index.replace(meta, files=still.unionByName(touched).unionByName(files), chunks=kept.unionByName(made), **_inverted(index, chunks, gone))
+    discard(status, docs, chunks)
+    index.set_meta(total_files=index.table("files").count(), total_chunks=index.table("chunks").count())
     return counts
 
 
@@ -169,7 +209,11 @@ def add_page_texts(index: Index, texts: DataFrame, model: str, now_iso: str) ->
     chunks = rows.select("path", (F.col("page_number") - 1).cast("long").alias("chunk_index"), "content", F.lit(None).cast("array<float>").alias("embedding"), text.chunk_hash(F.col("content"), model).alias("content_hash"), F.lit(None).cast("string").alias("section_context"), F.lit(None).cast("long").alias("content_timestamp_ms"))
     files = rows.groupBy("path").agg(text.sha256(F.array_join(F.array_sort(F.collect_list("content")), "\n")).alias("content_hash"), F.sum(F.octet_length("content")).cast("long").alias("size")).select("path", "content_hash", "size", F.lit(0).cast("long").alias("mtime_ms"), F.lit(now_iso).alias("indexed_at"), F.lit(None).cast("string").alias("metadata"))
     old_files, old_chunks = index.table("files"), index.table("chunks")
-    index.replace(files=old_files.join(files.select("path"), "path", "left_anti").unionByName(files), chunks=old_chunks.join(files.select("path"), "path", "left_anti").unionByName(chunks))
+    own = files.select("path")
+    index.replace(
+        files=old_files.join(own, "path", "left_anti").unionByName(files), chunks=old_chunks.join(own, "path", "left_anti").unionByName(chunks),
+        **_inverted(index, chunks, own),
+    )
 
 
 def reindex(spark: SparkSession, root: str, documents_of, adapter: TextAdapter, now_iso: str, name: str | None = None) -> dict[str, object]:
@@ -183,3 +227,16 @@ def reindex(spark: SparkSession, root: str, documents_of, adapter: TextAdapter,
             except Exception as error:
                 out[str(status["name"])] = error
     return out
+
+
+def freshness(spark: SparkSession, root: str, now_ms: int, most_days: float = 7.0) -> DataFrame:
+    """(name, indexed_at, age_days, status) of each index below a root: `fresh`, `stale` beyond `most_days`, or `never` indexed."""
+    rows = [(str(s["name"]), s.get("last_indexed_at")) for s in list_indexes(spark, root)]
+    table = spark.createDataFrame(rows, "name string, indexed_at string")
+    return table.select("name", "indexed_at", *index_age(F.col("indexed_at"), now_ms, most_days))
+
+
+def index_age(indexed_at: Column, now_ms: int, most_days: float = 7.0) -> tuple[Column, Column]:
+    """The age in days of a time of indexing, and what it amounts to."""
+    age = (F.lit(now_ms) - F.unix_millis(F.try_to_timestamp(indexed_at))) / F.lit(86_400_000.0)
+    return age.alias("age_days"), F.when(age.isNull(), "never").when(age > most_days, "stale").otherwise("fresh").alias("status")

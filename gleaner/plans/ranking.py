@@ -134,7 +134,7 @@ def per_index_max(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (knn_l2_topk, knn_score, cosine_similarity, maxsim_by_label, page_vector_counts, bm25_top200, bm25_phrase, inverted_index_stats, hybrid_text_topk, rrf_fusion, recency_boost, recency_score, relative_age, metadata_filter, threshold_cut, dedup_best, per_index_cut, per_index_max)}
 
-_TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
+_TOKENS = r"list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 _BM25 = f"""
     words AS (SELECT doc_id, unnest(t) AS term, len(t) AS dl FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)),
     sizes AS (SELECT doc_id, len({_TOKENS}) AS dl FROM documents),

@@ -25,17 +25,27 @@ def _result(rows: DataFrame) -> DataFrame:
 
 
 def _lane(index: Index, query: str, vector: list[float], top_k: int, now_ms: int, weight: float, half_life: float, filters: dict | None, prefilter: bool) -> DataFrame:
-    """The best 2 top_k chunks of one index: both candidate sets, then filters, then scores."""
+    """The best 2 top_k chunks of one index: both candidate sets, then filters, then scores.
+
+    Keyword candidates come from the stored postings and vector candidates from
+    two columns of the chunks; contents and metadata are joined to candidates only.
+    """
     meta = index.meta()
-    chunks = index.table("chunks").join(index.table("files").select("path", "metadata"), "path").withColumn("id", F.concat_ws("\0", "path", F.col("chunk_index").cast("string")))
-    if prefilter:
-        chunks = chunks.where(scoring.matches_filters(F.col("metadata"), filters))
-    keyword = R.fts_candidates(R.bm25(chunks, query, "id", F.concat_ws(" ", "content", "path")))
-    near = R.knn(chunks, vector, 20 * top_k, "id").select("id", scoring.distance_score(F.col("distance")).alias("vec_score"))
-    both = R.hybrid_candidates(keyword, near).join(chunks, "id").where(scoring.matches_filters(F.col("metadata"), filters))
+    key = F.struct("path", "chunk_index").alias("id")
+    files, chunks = index.table("files").select("path", "metadata"), index.table("chunks")
+    postings, lengths, vectors = index.table("postings"), index.table("lengths"), chunks.select("path", "chunk_index", "embedding")
+    if prefilter and filters:
+        allowed = files.where(scoring.matches_filters(F.col("metadata"), filters)).select("path")
+        postings, lengths, vectors = (t.join(allowed, "path", "left_semi") for t in (postings, lengths, vectors))
+    scores = R.bm25_stored(postings.select("term", key, "tf", "positions"), lengths.select(key, "dl"), query)
+    near = R.knn(vectors.select(key, "embedding"), vector, 20 * top_k, "id").select("id", scoring.distance_score(F.col("distance")).alias("vec_score"))
+    both = R.hybrid_candidates(R.fts_candidates(scores), near).select("id.*", "vec_score", "fts_score", "semantic_score")
+    # At most FTS_CANDIDATES + 20 top_k rows.
+    both = F.broadcast(both).join(chunks.drop("embedding"), ["path", "chunk_index"]).join(files, "path").where(scoring.matches_filters(F.col("metadata"), filters))
     boost = scoring.recency_boost(F.col("content_timestamp_ms"), now_ms, half_life)
     scored = both.withColumn("score", scoring.recency_weighted(F.col("semantic_score"), boost, weight)).withColumn("index_name", F.lit(index.name))
-    scored = scored.withColumn("relative_path", text.relative_path(F.lit(meta.get("source_directory") or "\0"), F.col("path"))).withColumnRenamed("path", "file_path").withColumn("result_type", F.lit("text"))
+    relative = text.relative_path(F.lit(meta.get("source_directory") or "\0"), F.col("path"))
+    scored = scored.withColumn("relative_path", relative).withColumnRenamed("path", "file_path").withColumn("result_type", F.lit("text"))
     return _result(R.cut_per_index(scored, 2 * top_k, "score", "file_path", "chunk_index"))
 
 

@@ -64,12 +64,10 @@ def index_stream(documents: DataFrame, index: Index, adapter, now_iso: Callable[
     """Upsert a stream of documents (path, size, mtime_ms, content) into an index; what is not in a batch stays."""
 
     def each(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
         newest = latest(batch, ["path"], ["mtime_ms"])
         stored = index.table("files").join(newest.select("path"), "path", "left_anti")
         # Files that the batch does not hold take part with what is stored of them, so that they are not pruned.
         same = stored.select("path", "size", "mtime_ms", F.lit(None).cast("string").alias("content"))
         update(index, newest.select("path", "size", "mtime_ms", "content").unionByName(same), adapter, now_iso())
-        spark.catalog.clearCache()
 
     return _start(documents, each, checkpoint, every)
