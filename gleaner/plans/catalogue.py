@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import connectors, etl, ranking, records
+from gleaner.plans import connectors, engine, etl, ranking, records
 
-FAMILIES = (ranking, etl, records, connectors)
+FAMILIES = (ranking, etl, records, connectors, engine)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
