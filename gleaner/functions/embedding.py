@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.errors import retried
+
 BATCH = 32
 
 
@@ -96,14 +98,40 @@ def finite(values: list[float]) -> list[float]:
 
 
 def embed(rows: DataFrame, text_col: str, adapter: TextAdapter, out: str = "embedding", batch: int = BATCH) -> DataFrame:
-    """`rows` with an embedding of each text; the adapter goes to the executors once a worker and sees batches of texts."""
+    """`rows` with an embedding of each text; the adapter goes to the executors once a worker and sees batches of texts, again after connection errors."""
 
     def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             found: list[list[float]] = []
             for i in range(0, len(texts), batch):
-                found += [finite(v) for v in adapter.embed_documents(texts.iloc[i : i + batch].fillna("").tolist())]
+                part = texts.iloc[i : i + batch].fillna("").tolist()
+                found += [finite(v) for v in retried(lambda part=part: adapter.embed_documents(part))]
             yield pd.Series(found)
 
     vectors.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return rows.withColumn(out, F.pandas_udf(vectors, "array<float>")(F.col(text_col)))
+
+
+def embed_images(pages: DataFrame, image_col: str, adapter: VisionAdapter, batch: int = 2) -> DataFrame:
+    """(all but the image, vector_index, embedding): the vectors of each page image, a few images at a time.
+
+    A batch whose vectors are not all finite is embedded once more; components
+    that still are not become 0.
+    """
+    names = [c for c in pages.columns if c != image_col]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != image_col)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for i in range(0, len(pdf), batch):
+                images = [bytes(x) for x in pdf[image_col].iloc[i : i + batch]]
+                found = retried(lambda images=images: adapter.embed_images(images))
+                if any(finite(v) != list(v) for vectors in found for v in vectors):
+                    found = adapter.embed_images(images)
+                for at, vectors in enumerate(found):
+                    keys = [pdf[c].iloc[i + at] for c in names]
+                    rows += [(*keys, n, finite(v)) for n, v in enumerate(vectors)]
+            yield pd.DataFrame(rows, columns=[*names, "vector_index", "embedding"])
+
+    return pages.mapInPandas(run, f"{kinds}, vector_index int, embedding array<float>")

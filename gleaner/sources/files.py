@@ -8,23 +8,27 @@ from pyspark.sql import functions as F
 EXTENSIONS = ("md", "markdown", "txt")
 
 
+def _documents(spark: SparkSession, root: str) -> DataFrame:
+    """Binary files below `root` that are text documents; names count in any letter case."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    any_case = ["".join(f"[{c}{c.upper()}]" for c in e) for e in EXTENSIONS]
+    files = found.option("pathGlobFilter", "*.{" + ",".join(any_case) + "}").load(root)
+    below = F.substring_index(F.regexp_replace("path", r"/[^/]*$", ""), root.rstrip("/").split(":")[-1], -1)
+    return files.where(~below.rlike(r"/[._]"))
+
+
 def walk_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, size, mtime_ms) of all text documents below `root`; folders that begin with `_` or `.` are left out.
 
-    Lists by Spark's own readers, so the listing of a large tree is distributed.
+    Lists by Spark's own readers, so the listing of a large tree is distributed;
+    they skip files whose own names begin so, too.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,markdown,txt,MD,MARKDOWN,TXT,Md,Txt}").load(root)
-    inner = F.regexp_replace(F.col("path"), r"/[^/]*$", "")
-    below = F.substring_index(inner, root.rstrip("/").split(":")[-1], -1)
-    return files.where(~below.rlike(r"/[._]")).select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"))
+    return _documents(spark, root).select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"))
 
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
     """(path, size, mtime_ms, content) with whole UTF-8 contents; files that can't be read, and empty ones, are skipped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root)
-    wanted = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*EXTENSIONS))
-    below = F.substring_index(F.regexp_replace("path", r"/[^/]*$", ""), root.rstrip("/").split(":")[-1], -1)
-    return wanted.where(~below.rlike(r"/[._]")).select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), F.decode("content", "UTF-8").alias("content"))
+    return _documents(spark, root).select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), F.decode("content", "UTF-8").alias("content"))
 
 
 def guarded(spark: SparkSession, root: str) -> DataFrame:
