@@ -44,6 +44,21 @@ def test_run_equals_the_operators_one_by_one(spark, sf_dir):
     assert all(n == size for (_, size), n in sequences.items())
 
 
+def test_stages_with_clashing_names_and_repeated_rows(spark, sf_dir):
+    names = ["lang_pred", "score", "uid", "_uid", "spans", "mix_key", "copy", "ids", "start", "length"]
+    rows = [(i // 2, f"the and of to in that is for with key{i // 2} token = abcdefghijklmnop{i // 2} " * 3, "en", "ab"[i % 2], 1) for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, sf_dir), name)
+        assert docs.columns == [*DOCS.replace(" long", "").replace(" string", "").split(", "), *names] and all(r[n] == n for r in docs.collect() for n in names)
+        sizes.append(docs.count())
+    assert sizes[0] == 40 and sizes[1] <= 20 and docs.where(F.col("text").contains("abcdefghijklmnop")).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() > 0
+
+
 def test_empty_tables_pass_through(spark, sf_dir, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
