@@ -142,6 +142,36 @@ def _licences() -> str:
     FROM files f LEFT JOIN based b ON b.doc_id = f.doc_id LEFT JOIN listed l ON l.doc_id = f.doc_id LEFT JOIN best ON best.doc_id = f.doc_id"""
 
 
+URL_RULES = """
+    WITH parts AS (SELECT page_id, regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1) AS raw, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    page AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM parts),
+    rules(said, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+    fits AS (SELECT page_id, said, r.host || r.path AS rule FROM page p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)),
+    best AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(said, length(rule)) AS ruled FROM fits GROUP BY page_id)
+    SELECT p.page_id, host, path, rule, ruled FROM page p LEFT JOIN best b ON b.page_id = p.page_id"""
+
+
+def _secret_base() -> str:
+    """Matches are framed by a control character; a match's place is the length of all that stands before it."""
+    kinds = (
+        ("assign", """(?i:(?:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?[A-Za-z0-9+/_.=-]+)"""), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"),
+    )
+    value = """(?i:(?:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?)"""
+    parts = []
+    for i, (kind, pattern) in enumerate(kinds):
+        size = {"assign": f"length(m) - length(regexp_extract(m, '^{value}')) >= 12", "access": "length(m) >= 18", "hex": "length(m) >= 16"}[kind]
+        parts.append(f"""
+            SELECT doc_id, {i} AS place, '{kind}' AS kind, a, a + length(m) AS b FROM (
+                SELECT doc_id, p[i] AS m, list_sum(list_transform(p[1:i - 1], lambda x: length(x)))::BIGINT AS a
+                FROM (SELECT doc_id, string_split(regexp_replace(t, '({pattern})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS p FROM docs), unnest(range(2, len(p) + 1, 2)) r(i)
+            ) WHERE {size}""")
+    return f"""
+    WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    spans AS ({' UNION ALL '.join(parts)}),
+    joined AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place) AS s FROM spans GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(s, '')) AS base_sha256 FROM docs d LEFT JOIN joined j ON j.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_near_dedup": NEAR_DEDUP,
@@ -151,4 +181,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_mixing": MIXING,
         "op9_topk": TOPK,
         "op10_warc": WARC,
+        "url_rules": URL_RULES,
+        "secret_base": _secret_base(),
     }

@@ -16,6 +16,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), model)
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op1 that SQL can follow: host, path and rule of every url, and the verdict where a rule gives it."""
+    judged = op1_url_filter(spark, sf_dir)
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
     return classes.select(F.col("id").alias("doc_id"), "class_id", "kept")
@@ -58,6 +64,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op7 that SQL can follow: the spans of the fixed patterns."""
+    return op7_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -83,6 +94,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_topk": op9_topk,
         "op10_warc": op10_warc,
+        "url_rules": url_rules,
+        "secret_base": secret_base,
     }
 
 

@@ -330,8 +330,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id_col, spans) for each row of `docs`; spans is an array of (kind, start, end) over the whole text.
 
     Defined cases: a null or empty text has no spans; an id is passed through,
-    null or repeated; equal spans of different kinds are all kept; an empty
-    table gives no rows; other columns are not looked at.
+    null or repeated; equal spans of different kinds are all kept; a text of any
+    length is scanned whole, and its task holds it; an empty table gives no
+    rows; other columns are not looked at.
     """
     automata = _learner(labelled)
     source = docs.select(F.col(id_col), F.col(text_col).alias("text"))
