@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import scoring
 from gleaner.operators import ranking as R
-from gleaner.runtime import read, spread
+from gleaner.runtime import checked_join, read, spread
 
 NOW_MS = 1_709_251_200_000
 EPOCH_MS = 1_704_067_200_000
@@ -126,10 +126,11 @@ def per_index_cut(spark: SparkSession, d: str) -> DataFrame:
 
 
 def per_index_max(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
+    """Lengths as shares of the longest of their source; the maxima are combined first, so no source gathers its rows."""
     docs = read(spark, d, "documents").select("doc_id", F.col("source").alias("index_name"), "n_chars")
-    return docs.withColumn("share", F.round(F.col("n_chars") / F.max("n_chars").over(Window.partitionBy("index_name")), 6))
+    top = docs.groupBy("index_name").agg(F.max("n_chars").alias("most"))
+    shares = checked_join(docs, top, "index_name", "left").withColumn("share", F.round(F.col("n_chars") / F.col("most"), 6))
+    return shares.select("doc_id", "index_name", "n_chars", "share")
 
 
 QUERIES = {f.__name__: f for f in (knn_l2_topk, knn_score, cosine_similarity, maxsim_by_label, page_vector_counts, bm25_top200, bm25_phrase, inverted_index_stats, hybrid_text_topk, rrf_fusion, recency_boost, recency_score, relative_age, metadata_filter, threshold_cut, dedup_best, per_index_cut, per_index_max)}

@@ -6,11 +6,12 @@ what reads it, page by page or incrementally, and types it.
 
 from __future__ import annotations
 
+import io
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 CHAT_USER = "id string, name string, real_name string, deleted boolean, is_bot boolean, profile struct<display_name: string, real_name: string, email: string, image_72: string>"
 CHAT_CHANNEL = "id string, name string, is_im boolean, is_mpim boolean, is_private boolean, is_group boolean, is_archived boolean, num_members int, created bigint, `user` string, topic struct<value: string>, purpose struct<value: string>"
@@ -58,9 +59,70 @@ def chat_messages(raw: DataFrame) -> DataFrame:
     )
 
 
-class _Lines(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+#: Bytes of a dump that one task reads.
+RANGE_BYTES = 64 << 20
+
+
+def _store(path: str):
+    """The file system and inner path of a URI, on any store that pyarrow knows."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+    return fs.FileSystem.from_uri(path)
+
+
+def _sizes(paths: str) -> dict[str, int]:
+    """The size of each file of comma-separated files and folders; files named with `_` or `.` are left out."""
+    from pyarrow import fs
+
+    out = {}
+    for path in paths.split(","):
+        store, inner = _store(path)
+        info = store.get_file_info(inner)
+        if info.type == fs.FileType.Directory:
+            for f in store.get_file_info(fs.FileSelector(inner, recursive=True)):
+                if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")):
+                    out[f"{path.rstrip('/')}{f.path[len(inner.rstrip('/')):]}"] = f.size
+        elif info.type == fs.FileType.File:
+            out[path] = info.size
+        else:
+            raise FileNotFoundError(path)
+    return out
+
+
+class _Range(InputPartition):
+    """The lines that begin at bytes `begin` up to `end` of a file."""
+
+    def __init__(self, path: str, begin: int, end: int):
+        self.path, self.begin, self.end = path, begin, end
+
+
+def _ranges(path: str, begin: int, end: int) -> list[_Range]:
+    return [_Range(path, at, min(at + RANGE_BYTES, end)) for at in range(begin, end, RANGE_BYTES)]
+
+
+def _rows(part: _Range, fields: list[str]):
+    """The wanted fields of each JSON line of a range; a line belongs to the range that it begins in."""
+    store, inner = _store(part.path)
+    with io.BufferedReader(store.open_input_file(inner), 1 << 20) as f:
+        at = part.begin
+        if at:
+            f.seek(at - 1)
+            at += len(f.readline()) - 1
+        else:
+            f.seek(0)
+        while at < part.end:
+            line = f.readline()
+            if not line:
+                return
+            at += len(line)
+            try:
+                record = json.loads(line)
+            except ValueError:
+                continue
+            if isinstance(record, dict):
+                yield tuple(None if (v := record.get(k)) is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k in fields)
 
 
 class _Reader(DataSourceReader):
@@ -68,48 +130,44 @@ class _Reader(DataSourceReader):
         self.options, self.fields = options, fields
 
     def partitions(self):
-        return [_Lines(p) for p in self.options["path"].split(",")]
+        return [r for path, size in sorted(_sizes(self.options["path"]).items()) for r in _ranges(path, 0, size)]
 
     def read(self, partition):
-        with open(partition.path.removeprefix("file:"), encoding="utf-8") as f:
-            for line in f:
-                try:
-                    record = json.loads(line)
-                except ValueError:
-                    continue
-                yield tuple(None if (v := record.get(k)) is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k in self.fields)
+        return _rows(partition, self.fields)
 
 
-class _Stream(SimpleDataSourceStreamReader):
-    """Reads a growing dump from its byte offset on; a line is read once it is complete."""
+class _Stream(DataSourceStreamReader):
+    """Reads growing dumps from their byte offsets on, in ranges; a line is read once it is complete."""
 
     def __init__(self, options: dict, fields: list[str]):
-        self.path, self.fields = options["path"].removeprefix("file:"), fields
+        self.path, self.fields = options["path"], fields
 
     def initialOffset(self):
-        return {"at": 0}
-
-    def read(self, start):
-        with open(self.path, "rb") as f:
-            f.seek(start["at"])
-            data = f.read()
-        end = data.rfind(b"\n") + 1
-        return iter(self._rows(data[:end])), {"at": start["at"] + end}
-
-    def readBetweenOffsets(self, start, end):
-        with open(self.path, "rb") as f:
-            f.seek(start["at"])
-            return iter(self._rows(f.read(end["at"] - start["at"])))
-
-    def _rows(self, data: bytes) -> list[tuple]:
-        out = []
-        for line in data.decode("utf-8", "replace").splitlines():
-            try:
-                record = json.loads(line)
-            except ValueError:
-                continue
-            out.append(tuple(None if (v := record.get(k)) is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k in self.fields))
-        return out
+        return {}
+
+    def latestOffset(self):
+        return {path: _last_line_end(path, size) for path, size in _sizes(self.path).items()}
+
+    def partitions(self, start, end):
+        return [r for path, size in sorted(end.items()) for r in _ranges(path, start.get(path, 0), size)]
+
+    def read(self, partition):
+        return _rows(partition, self.fields)
+
+
+def _last_line_end(path: str, size: int, step: int = 1 << 16) -> int:
+    """The byte behind the last line break among a file's first `size` bytes."""
+    store, inner = _store(path)
+    with store.open_input_file(inner) as f:
+        end = size
+        while end > 0:
+            begin = max(0, end - step)
+            f.seek(begin)
+            found = f.read(end - begin).rfind(b"\n")
+            if found >= 0:
+                return begin + found + 1
+            end = begin
+    return 0
 
 
 class DumpSource(DataSource):
@@ -128,7 +186,7 @@ class DumpSource(DataSource):
     def reader(self, schema):
         return _Reader(self.options, self._fields())
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return _Stream(self.options, self._fields())
 
 

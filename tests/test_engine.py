@@ -4,11 +4,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions import embedding as E
 from gleaner.functions.embedding import HashingAdapter, by_kind, clear, embed, finite, get, names, register
 from gleaner.operators import ranking as R
 from gleaner.plans import index as I
+from gleaner.plans import sync
 from gleaner.plans.search import fuse, merge_text, search
-from gleaner.sources import files
+from gleaner.sources import dumps, files, sinks
 from gleaner.streaming import incremental
 
 NOW = 1_700_000_000_000
@@ -224,3 +226,84 @@ def test_windows_close_by_watermark(spark, tmp_path):
     q = incremental.windowed_counts(incremental.deduplicated(rows, ["t", "k"]), "t", "1 minute", ["k"]).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.k, r.n) for r in spark.read.parquet(str(tmp_path / "o")).collect()] == [("x", 2)]
+
+
+class _Source:
+    def __init__(self, name, fail=False):
+        self.name, self.fail, self.modes = name, fail, []
+
+    def sync(self, mode, state):
+        self.modes.append(mode)
+        state["cursors"]["at"] = len(self.modes)
+        if self.fail:
+            raise RuntimeError("down")
+        return {"written": 2}
+
+
+def test_syncs_are_apart_and_save_only_what_ended_well(tmp_path):
+    path = str(tmp_path / "state.json")
+    good, bad = _Source("good"), _Source("bad", fail=True)
+    done = []
+    for _ in range(2):
+        results = sync.sync_all([bad, good], sinks.SyncState(path), "now", then=done.append)
+        assert [(r.adapter, r.error) for r in results] == [("bad", "down"), ("good", None)]
+    assert good.modes == ["full", "incremental"] and bad.modes == ["full", "full"] and [r.counts for r in done] == [{"written": 2}] * 2
+    assert sinks.SyncState(path).adapter("good")["lastSyncAt"] == "now" and sinks.SyncState(path).adapter("bad")["lastSyncAt"] is None
+    assert [sync.retry_delay(n, jitter=lambda: 0.0) for n in (0, 1, 5)] == [1.0, 2.0, 30.0]
+
+
+def test_rate_limits():
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    limit = sync.RateLimit(delay=1.0, requests=3, window=10.0, units=6, unit_window=4.0, clock=lambda: now[0], sleep=sleep)
+    at = []
+    for cost in (5, 1, 5, 1):
+        limit.acquire(cost)
+        at.append(now[0])
+    assert at == [0.0, 1.0, 4.0, 10.0]
+    limit.back_off(7.0)
+    limit.acquire()
+    assert now[0] == 17.0
+
+
+def test_dumps_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dumps, "RANGE_BYTES", 37)
+    (tmp_path / "sub").mkdir()
+    rows = [json.dumps({"id": str(i), "n": "x" * (i % 50)}) for i in range(200)]
+    (tmp_path / "a.jsonl").write_text("\n".join(rows[:150]) + "\n")
+    (tmp_path / "sub" / "b.jsonl").write_text("no json\n" + "\n".join(rows[150:]))
+    (tmp_path / "_skip").write_text(rows[0])
+    parts = dumps._Reader({"path": f"file://{tmp_path}"}, ["id", "n"]).partitions()
+    assert len(parts) > 20
+    found = [r for p in parts for r in dumps._rows(p, ["id", "n"])]
+    assert sorted(found) == sorted((str(i), "x" * (i % 50)) for i in range(200))
+    assert dumps._last_line_end(str(tmp_path / "sub" / "b.jsonl"), 11, step=2) == 8
+
+
+def test_page_images_are_embedded_again_where_vectors_are_not_finite(spark):
+    class Once:
+        kind, name, asked = "vision", "once", 0
+
+        def embed_images(self, images):
+            self.asked += 1
+            return [[[float("nan") if self.asked == 1 else 1.0, float("inf")]] for _ in images]
+
+    pages = spark.createDataFrame([(1, b"x")], "page int, image binary").coalesce(1)
+    row = E.embed_images(pages, "image", Once()).first()
+    assert (row.page, row.vector_index, row.embedding) == (1, 0, [1.0, 0.0])
+
+
+def test_crashes_between_pointers_lose_nothing(spark, tmp_path):
+    index = I.Index(spark, f"file://{tmp_path}", "p")
+    rows = spark.createDataFrame([("a", "h", 1, 1, "t", None)], I.FILES)
+    index.replace({"x": 1}, files=rows)
+    before = index.table("files")
+    index.replace(files=rows.unionByName(rows))
+    (tmp_path / "p" / "pointers" / ".half.tmp").write_text("{")
+    assert before.count() == 1 and index.table("files").count() == 2 and index.meta() == {"x": "1"}
+    index.replace(files=rows)
+    assert index.table("files").count() == 1 and len(index._pointers()) == 2

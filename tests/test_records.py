@@ -194,7 +194,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_documents(rows, f"file://{tmp_path}")
     sinks.write_documents(rows, f"file://{tmp_path}")
     assert (tmp_path / "a/b.md").read_text() == "A" and (tmp_path / "c.md").read_text() == "é"
-    sinks.remove_documents(["c.md", "c.md"], str(tmp_path))
+    sinks.remove_documents(spark.createDataFrame([("c.md",), ("c.md",)], "path string"), str(tmp_path))
     assert not (tmp_path / "c.md").exists()
     state = sinks.SyncState(str(tmp_path / "state.json"))
     state.adapter("x")["cursors"]["k"] = "v"
