@@ -56,6 +56,11 @@ def walk_parts(payload: dict | None) -> dict:
     return out
 
 
+def attachments_below(payload: dict | None) -> list[dict]:
+    """The attachments among a payload's parts, at any depth, but not of the payload itself, as the command-line reader lists them."""
+    return [a for part in (payload or {}).get("parts") or [] for a in walk_parts(part)["attachments"]]
+
+
 class _Markdown(HTMLParser):
     _WRAP = {"strong": "**", "b": "**", "em": "_", "i": "_", "code": "`"}
     _BREAK = {"p", "div", "table", "ul", "ol", "blockquote", "pre", "section", "article"}

@@ -123,3 +123,25 @@ def row_heads(rows: DataFrame) -> DataFrame:
     side = F.to_json(F.struct("id", "title", "url", "createdTime", "lastEditedTime", "archived"))
     made = rows.select("id", "url", F.to_json("properties").alias("properties")).mapInPandas(run, "id string, frontmatter string")
     return made.join(rows.select("id", side.alias("sidecar")), "id")
+
+
+COMMENT = "id string, created_time string, created_by struct<id: string>, parent struct<page_id: string>, rich_text array<struct<plain_text: string>>"
+
+
+def page_comments(comments: DataFrame) -> DataFrame:
+    """(page_id, comments): the comments (typed as COMMENT) of each page in order of time."""
+    said = F.array_join(F.transform("rich_text", lambda t: F.coalesce(t["plain_text"], F.lit(""))), "")
+    rows = comments.select(F.col("parent.page_id").alias("page_id"), F.struct(F.col("created_time").alias("createdTime"), "id", F.col("created_by.id").alias("createdBy"), said.alias("text")).alias("c"))
+    return rows.groupBy("page_id").agg(F.array_sort(F.collect_list("c")).alias("comments"))
+
+
+def page_documents(heads: DataFrame, bodies: DataFrame, paths: DataFrame, comments: DataFrame | None = None) -> DataFrame:
+    """(path, frontmatter, body, sidecar) of pages (heads as page_heads makes them, bodies (id, markdown), paths (id, path)).
+
+    A page without blocks has an empty body; comments, where they are known, go to the sidecar.
+    """
+    rows = heads.join(bodies, "id", "left").join(paths, "id")
+    rows = rows.join(comments.withColumnRenamed("page_id", "id"), "id", "left") if comments is not None else rows.withColumn("comments", F.lit(None).cast("array<struct<id: string>>"))
+    head = F.struct("id", "title", "url", F.col("createdTime").alias("created_time"), F.col("lastEditedTime").alias("last_edited_time"), F.when(F.col("archived"), True).alias("archived"), F.nullif(F.col("icon.emoji"), F.lit("")).alias("icon"))
+    side = F.struct("id", "title", "url", "createdTime", "lastEditedTime", "parentId", "parentType", "archived", "createdBy", "lastEditedBy", "icon", "cover", "comments")
+    return rows.select(F.concat("path", F.lit("/index.md")).alias("path"), F.to_json(head).alias("frontmatter"), F.coalesce("markdown", F.lit("")).alias("body"), F.to_json(side).alias("sidecar"))

@@ -110,13 +110,33 @@ def index_postings(spark: SparkSession, d: str) -> DataFrame:
     return I.Index(spark, root, "suppliers").table("postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+def index_page_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword-only chunks of page texts beside documents; an update of the documents leaves them."""
+    root, adapter = _index(spark, d)
+    index = I.Index(spark, root, "suppliers")
+    texts = read(spark, d, "region").select(F.lit("/data/doc.pdf").alias("path"), (F.col("r_regionkey") + 1).cast("int").alias("page_number"), F.when(F.col("r_regionkey") != 3, F.col("r_name")).otherwise("  ").alias("text"))
+    I.add_page_texts(index, texts, "none", NOW)
+    I.update(index, _files(spark, d).drop("s_suppkey").withColumn("mtime_ms", F.col("mtime_ms") + 1), adapter, NOW)
+    return index.table("chunks").where("path LIKE 'pdf://%'").select("path", "chunk_index", "content", F.col("embedding").isNull().alias("bare"))
+
+
+def index_list(spark: SparkSession, d: str) -> DataFrame:
+    """The indexes below a root after one of three was deleted."""
+    root, _ = _index(spark, d)
+    for name in ("a", "b"):
+        I.Index(spark, root, name).set_meta(index_name=name, total_files=0)
+    I.Index(spark, root, "a").delete()
+    rows = [(str(s["name"]), str(s.get("total_files"))) for s in I.list_indexes(spark, root)]
+    return spark.createDataFrame(rows, "name string, total_files string")
+
+
 def index_freshness(spark: SparkSession, d: str) -> DataFrame:
     """The age of an index for each supplier's time of indexing, and whether it is stale."""
     at = F.when(F.col("s_suppkey") % 6 != 0, F.date_format(F.timestamp_millis(F.lit(NOW_MS) - F.col("s_suppkey") * DAY_MS), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
     return read(spark, d, "supplier").select("s_suppkey", *I.index_age(at, NOW_MS))
 
 
-QUERIES = {f.__name__: f for f in (search_text, search_vision, search_hybrid, index_update, index_chunks, index_postings, index_freshness)}
+QUERIES = {f.__name__: f for f in (search_text, search_vision, search_hybrid, index_update, index_chunks, index_postings, index_page_texts, index_list, index_freshness)}
 
 _FILES = f"""
     files AS (
@@ -168,5 +188,7 @@ SQL = {
         UNION ALL SELECT x, (SELECT count(*) FROM s WHERE status <> 'pruned') FROM (VALUES ('again'), ('total')) t(x)""",
     "index_chunks": f"WITH {_FILES} SELECT path, 0::BIGINT AS chunk_index, sha256(content || chr(0) || 'vowels') AS content_hash, round(v[1], 6) AS first, ms AS content_timestamp_ms FROM files JOIN units USING (k)",
     "index_postings": f"WITH {_FILES}, x AS (SELECT k, unnest(t) AS term FROM words) SELECT term, count(DISTINCT k) AS df, count(*) AS cf FROM x GROUP BY term",
+    "index_page_texts": "SELECT 'pdf:///data/doc.pdf' AS path, r_regionkey::BIGINT AS chunk_index, '[Page ' || (r_regionkey + 1) || '] ' || r_name AS content, true AS bare FROM region WHERE r_regionkey <> 3",
+    "index_list": "SELECT 'b' AS name, '0' AS total_files UNION ALL SELECT 'suppliers', count(*)::VARCHAR FROM supplier",
     "index_freshness": "SELECT s_suppkey, CASE WHEN s_suppkey % 6 <> 0 THEN s_suppkey::DOUBLE END AS age_days, CASE WHEN s_suppkey % 6 = 0 THEN 'never' WHEN s_suppkey > 7 THEN 'stale' ELSE 'fresh' END AS status FROM supplier",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import blocks, chat, errors, markup, mime, pages, scoring
+from gleaner.functions import blocks, chat, errors, issues, markup, mime, pages, scoring
 from gleaner.functions import text as T
 from gleaner.functions.embedding import embed_images
 from gleaner.functions.frontmatter import yaml_to_json
@@ -216,9 +216,49 @@ def filter_options(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").where(scoring.matches_filters(F.col("props"), {key: value})).select("event_id")
 
 
+def page_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with their bodies, the paths of the tree, and comments."""
+    heads = pages.page_heads(pages.discovered(_results(spark, d))[0])
+    k = F.col("c_custkey")
+    customers = read(spark, d, "customer")
+    bodies = customers.where(k % 2 == 0).select(F.concat(F.lit("p"), _s(k)).alias("id"), F.concat(F.lit("body "), _s(k)).alias("markdown"))
+    paths = customers.select(F.concat(F.lit("p"), _s(k)).alias("id"), F.concat(F.lit("notes/"), _s(k)).alias("path"))
+    said = customers.where(k % 10 == 0).select(F.explode(F.array(F.lit(2), F.lit(1))).alias("n"), k.alias("k")).select(
+        F.concat(F.lit("c"), _s("n")).alias("id"), F.concat(F.lit("t"), _s("n")).alias("created_time"), F.struct(F.lit("w").alias("id")).alias("created_by"), F.struct(F.concat(F.lit("p"), _s("k")).alias("page_id")).alias("parent"),
+        F.array(F.struct(F.lit("a").alias("plain_text")), F.struct(F.lit("b").alias("plain_text"))).alias("rich_text"),
+    )
+    found = pages.page_documents(heads, bodies, paths, pages.page_comments(said))
+    return found.select("path", F.get_json_object("frontmatter", "$.archived").alias("archived"), F.get_json_object("frontmatter", "$.icon").alias("icon"), "body", F.get_json_object("sidecar", "$.comments").alias("comments"), F.get_json_object("sidecar", "$.parentType").alias("parent_type"))
+
+
+def dimension_files(spark: SparkSession, d: str) -> DataFrame:
+    """Teams of wanted keys as one JSON array."""
+    teams = read(spark, d, "nation").select(_s("n_nationkey").alias("id"), F.concat(F.lit("K"), _s(F.col("n_nationkey") % 5)).alias("key"), F.col("n_name").alias("name"))
+    return sinks.json_array(issues.team_filter(teams, ["K1", "K3"]), "id")
+
+
+def result_lines(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    rows = read(spark, d, "part").select(
+        k, (k % 100 / 97).alias("score"), F.lit("ix").alias("index_name"), F.concat(F.lit("/r/"), _s(k)).alias("file_path"), F.when(k % 2 == 0, F.concat(F.lit("rel/"), _s(k))).alias("relative_path"), F.when(k % 3 == 0, "A § B").alias("section_context"),
+        F.repeat(F.lit("word\n"), (k % 60).cast("int")).alias("content"), F.when(k % 5 == 0, F.lit(1_700_000_000_000) - k * 86_400_000).alias("content_timestamp_ms"), F.when(k % 7 == 0, "vision").otherwise("text").alias("result_type"),
+    )
+    return sinks.result_lines(rows, 1_700_000_000_000).select("p_partkey", T.sha256(F.col("line")).alias("line_hash"))
+
+
+def chat_increment(spark: SparkSession, d: str) -> DataFrame:
+    """Messages newer than their channel's mark, and replies newer than their thread's, by text as chat times compare."""
+    k, t = F.col("conv_id"), F.col("turn")
+    rows = read(spark, d, "conversations").select(F.concat(F.lit("C"), _s(k % 7)).alias("channel"), F.when(k % 3 == 0, _s(k)).alias("thread"), F.concat(_s(F.lit(1_700_000_000) + k * 10 + t), F.lit(".000100")).alias("ts"))
+    old = rows.where("substring(ts, 10, 1) < '5'")
+    messages = R.since(rows.where("thread IS NULL"), R.high_water(old.where("thread IS NULL"), "channel", "ts"), "channel", "ts")
+    replies = R.since(rows.where("thread IS NOT NULL"), R.high_water(old.where("thread IS NOT NULL"), "thread", "ts"), "thread", "ts")
+    return messages.select("channel", "ts").unionByName(replies.select("channel", "ts"))
+
+
 QUERIES = {f.__name__: f for f in (
     mail_parsed, mail_documents, mail_cli_documents, mail_threads, attachments_split, history_changes, history_labels, history_mark, page_heads, database_heads, database_rows, page_slugs, page_changes, asset_names, block_pages,
-    chat_blocks, chat_times, error_classes, mail_formats, yaml_metadata, files_round_trip, page_vectors, filter_options,
+    chat_blocks, chat_times, error_classes, mail_formats, yaml_metadata, files_round_trip, page_vectors, filter_options, page_documents, dimension_files, result_lines, chat_increment,
 )}
 
 _BODY = "CASE WHEN conv_id % 3 = 1 THEN 'So **' || conv_id || '**' ELSE text END"
@@ -280,4 +320,20 @@ SQL = {
         SELECT 'f' || s_suppkey || CASE s_suppkey % 3 WHEN 0 THEN '.mD' ELSE '.txt' END AS name, strlen(s_name || ' é')::BIGINT AS size, s_name || ' é' AS content, true AS walked FROM supplier WHERE s_suppkey % 5 > 1 AND s_suppkey % 3 < 2""",
     "page_vectors": "SELECT r_regionkey AS page_number, n::INTEGER AS vector_index, CASE WHEN r_regionkey = 2 THEN 0 ELSE length(r_name) END::DOUBLE AS a, n::DOUBLE AS b FROM region, (VALUES (0), (1)) t(n)",
     "filter_options": "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '7'",
+    "page_documents": """
+        SELECT 'notes/' || c_custkey || '/index.md' AS path, CASE WHEN c_custkey % 2 = 0 THEN 'true' END AS archived, CASE WHEN c_custkey % 4 = 0 THEN '!' END AS icon, CASE WHEN c_custkey % 2 = 0 THEN 'body ' || c_custkey ELSE '' END AS body,
+            CASE WHEN c_custkey % 10 = 0 THEN '[{"createdTime":"t1","id":"c1","createdBy":"w","text":"ab"},{"createdTime":"t2","id":"c2","createdBy":"w","text":"ab"}]' END AS comments, CASE c_custkey % 3 WHEN 0 THEN 'database_id' WHEN 1 THEN 'workspace' ELSE 'page_id' END AS parent_type
+        FROM customer""",
+    "dimension_files": """SELECT '[' || string_agg('{"id":"' || n_nationkey || '","key":"K' || (n_nationkey % 5) || '","name":"' || n_name || '"}', ',' ORDER BY n_nationkey::VARCHAR) || ']' AS value FROM nation WHERE n_nationkey % 5 IN (1, 3)""",
+    "result_lines": """
+        WITH x AS (
+            SELECT p_partkey AS k, p_partkey % 100 / 97.0::DOUBLE AS s, repeat('word' || chr(10), (p_partkey % 60)::INT) AS c,
+                CASE WHEN k % 5 = 0 THEN CASE WHEN k < 1 THEN 'today' WHEN k = 1 THEN '1d ago' WHEN k < 30 THEN k || 'd ago' WHEN k // 30 < 12 THEN (k // 30) || 'mo ago' ELSE (k // 365) || 'y ago' END END AS age FROM part
+        )
+        SELECT k AS p_partkey, sha256('[' || CASE WHEN age IS NULL THEN printf('%.3f', s) ELSE printf('%.2f', s) || ' | ' || age END || '] ix/' || CASE WHEN k % 2 = 0 THEN 'rel/' ELSE '/r/' END || k || CASE WHEN k % 3 = 0 THEN ' § A § B' ELSE '' END
+            || CASE WHEN k % 7 = 0 THEN ' [vision]' ELSE '' END || chr(10) || '  "' || substr(replace(c, chr(10), ' '), 1, 200) || CASE WHEN length(c) > 200 THEN '...' ELSE '' END || '"' || chr(10)) AS line_hash FROM x""",
+    "chat_increment": """
+        WITH x AS (SELECT 'C' || (conv_id % 7) AS channel, CASE WHEN conv_id % 3 = 0 THEN conv_id END AS thread, (1700000000 + conv_id * 10 + turn) || '.000100' AS ts FROM conversations),
+        m AS (SELECT channel, max(ts) AS h FROM x WHERE thread IS NULL AND substr(ts, 10, 1) < '5' GROUP BY channel), r AS (SELECT thread, max(ts) AS h FROM x WHERE thread IS NOT NULL AND substr(ts, 10, 1) < '5' GROUP BY thread)
+        SELECT x.channel, ts FROM x LEFT JOIN m ON m.channel = x.channel WHERE thread IS NULL AND (h IS NULL OR ts > h) UNION ALL SELECT x.channel, ts FROM x LEFT JOIN r ON r.thread = x.thread WHERE x.thread IS NOT NULL AND (h IS NULL OR ts > h)""",
 }

@@ -142,3 +142,24 @@ def format_results(rows: list, query: str, now_ms: int) -> str:
 def results_json(rows: DataFrame) -> DataFrame:
     """One JSON text for each result; fields without a value are left out."""
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
+def json_array(rows: DataFrame, *order: str) -> DataFrame:
+    """(value): a small dimension, such as teams or labels, as one JSON array in order."""
+    fields = [c for c in rows.columns if c not in order]
+    items = F.array_sort(F.collect_list(F.struct(*order, *fields)))
+    return rows.agg(F.to_json(F.transform(items, lambda x: F.struct(*(x[c].alias(c) for c in rows.columns)))).alias("value"))
+
+
+def result_lines(rows: DataFrame, now_ms: int) -> DataFrame:
+    """`rows` of search results with `line`: score and age, place, and a line of content, as the text format shows them."""
+    from gleaner.functions.scoring import relative_age
+
+    age = relative_age(F.col("content_timestamp_ms"), now_ms)
+    score = F.when(age.isNotNull(), F.concat(F.format_string("%.2f", "score"), F.lit(" | "), age)).otherwise(F.format_string("%.3f", "score"))
+    content = F.coalesce("content", F.lit(""))
+    context = F.when(F.coalesce("section_context", F.lit("")) != "", F.concat(F.lit(" § "), "section_context")).otherwise("")
+    tag = F.when(F.col("result_type") == "vision", " [vision]").otherwise("")
+    place = F.concat(F.lit("["), score, F.lit("] "), "index_name", F.lit("/"), F.coalesce(F.nullif("relative_path", F.lit("")), "file_path"), context, tag)
+    snippet = F.concat(F.lit('  "'), F.substring(F.replace(content, F.lit("\n"), F.lit(" ")), 1, 200), F.when(F.length(content) > 200, "...").otherwise(""), F.lit('"\n'))
+    return rows.withColumn("line", F.concat(place, F.lit("\n"), snippet))
