@@ -161,12 +161,17 @@ def update(index: Index, documents: DataFrame, adapter: TextAdapter, now_iso: st
     """
     stored_files, stored_chunks = index.table("files"), index.table("chunks")
     own = F.col("path").startswith("pdf://")
+    if index.exists:
+        # Times alone, without a content read, tell whether there is anything to do.
+        then = stored_files.where(~own).select("path", F.col("mtime_ms").alias("then"))
+        both = documents.select("path", "mtime_ms").join(then, "path", "full")
+        n, differ = both.agg(F.count(F.lit(1)), F.count_if(~F.col("then").eqNullSafe(F.col("mtime_ms")))).first()
+        if not differ:
+            index.set_meta(last_indexed_at=now_iso)
+            return {"unchanged": n} if n else {}
     current = documents.withColumn("content_hash", text.sha256(F.col("content")))
     status = materialise(diff_status(stored_files.where(~own), current, "path", "content_hash", "mtime_ms"), "status")
     counts = {r.status: r["count"] for r in status.groupBy("status").count().collect()}
-    if index.exists and not set(counts) - {"unchanged"}:
-        index.set_meta(last_indexed_at=now_iso)
-        return counts
     work = current.join(status.where("status IN ('new', 'changed')").select("path"), "path", "left_semi")
     docs = materialise(parsed(work), "parsed")
     chunks = chunked(docs).withColumn("content_hash", text.chunk_hash(F.col("content"), adapter.name))
