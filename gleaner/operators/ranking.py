@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import unmarked
+from gleaner.runtime import checked_join, materialise, private
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 FTS_CANDIDATES = 200
@@ -210,6 +211,34 @@ def ranked(rows: DataFrame, score: str, *ties: str, by: tuple[str, ...] = ()) ->
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), *ties)).cast("long"))
 
 
+def global_rank(rows: DataFrame, order: list[Column], by: tuple[str, ...] = (), out: str = "rank") -> DataFrame:
+    """`rows` with `out`, their long rank from 1 in `order` within `by`, for groups of any size.
+
+    `ranked` sorts a group in one task; here the rows are dealt by ranges of
+    (by, order, place in the input), so that neither a large group nor a large
+    tie has to fit a task, and are written once in sorted order. A row's place in its
+    partition is then known; what earlier partitions hold of its group is added
+    from a table of one row for each partition and group in it. Equal rows get
+    different ranks. Nulls of `by` are a group; nulls of `order` are placed as it says.
+    """
+    tie, at, part, before, *keys = private(rows, "tie", "at", "part", "before", *(f"by{i}" for i in range(len(by))))
+    placed = rows.withColumn(tie, F.monotonically_increasing_id())
+    sort = [*(F.col(f"`{c}`") for c in by), *order, F.col(tie)]
+    placed = placed.repartitionByRange(*sort).sortWithinPartitions(*sort).drop(tie)
+    table = materialise(placed.withColumn(at, F.monotonically_increasing_id()), "ranked")
+    # The upper bits of `at` are the partition, the lower 33 the place in it.
+    table = table.withColumn(part, F.shiftright(at, 33))
+    groups = table.groupBy(F.col(part), *(F.col(f"`{c}`").alias(k) for c, k in zip(by, keys))).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first"))
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # At most one group of a partition began in an earlier one, so a group meets as many rows here as it fills partitions.
+    offsets = materialise(groups.select(F.col(part).alias(f"{part}_"), *keys, (earlier - F.col("_first") + 1).alias(before)), "offsets")
+    on = F.col(part) == F.col(f"{part}_")
+    for c, k in zip(by, keys):
+        on = on & F.col(f"`{c}`").eqNullSafe(F.col(k))
+    found = checked_join(table, offsets, on)
+    return found.select(*(F.col(f"`{c}`") for c in rows.columns), (F.col(at) + F.col(before)).alias(out))
+
+
 def rrf(lanes: DataFrame, id_col: str = "id", k: int = RRF_K) -> DataFrame:
     """(id, rrf_score) from (lane, id, score): reciprocal ranks added over lanes; ids that repeat within a lane add up."""
     ranks = ranked(lanes, "score", id_col, by=("lane",))
