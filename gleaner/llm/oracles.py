@@ -172,6 +172,71 @@ def _secret_base() -> str:
     SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(s, '')) AS base_sha256 FROM docs d LEFT JOIN joined j ON j.doc_id = d.doc_id"""
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _importance() -> str:
+    """Each distinct feature's CRC32 is taken byte by byte over its bytes, with a table made by the polynomial."""
+    runs = " UNION ALL ".join(
+        f"SELECT origin, doc_id, len(w) AS size, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS f FROM words WHERE len(w) >= {k}" for k in (1, 2, 3)
+    )
+    return f"""
+    WITH bytes AS MATERIALIZED (
+        SELECT list(list_reduce([v, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY v) AS crc FROM (SELECT unnest(range(256)) AS v)
+    ),
+    texts AS (SELECT 's' AS origin, doc_id, {_LOWER} AS t FROM documents UNION ALL SELECT 't', NULL, {_LOWER} FROM benchmark),
+    words AS MATERIALIZED (SELECT origin, doc_id, regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts),
+    runs AS ({runs}),
+    counted AS MATERIALIZED (SELECT origin, doc_id, f, count(*) AS n FROM runs GROUP BY ALL),
+    hexed AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)),
+    bucketed AS MATERIALIZED (
+        SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: ('0x' || h[i:i + 1])::BIGINT)),
+            lambda x, y: xor(x >> 8, crc[(xor(x, y) & 255) + 1]))) % 10000 AS b
+        FROM hexed, bytes
+    ),
+    held AS (SELECT b, sum(n) FILTER (origin = 's') AS s, sum(n) FILTER (origin = 't') AS t FROM counted JOIN bucketed USING (f) GROUP BY b),
+    every AS (SELECT b, coalesce(s, 0)::BIGINT AS s, coalesce(t, 0)::BIGINT AS t FROM held),
+    sums AS (SELECT sum(s)::BIGINT AS s_all, sum(t)::BIGINT AS t_all FROM every),
+    gain AS (SELECT b, floor(1000 * ln(((t + 1) * (s_all + 10000))::DOUBLE / ((s + 1) * (t_all + 10000))::DOUBLE))::BIGINT AS g FROM every, sums),
+    weighed AS (SELECT doc_id, sum(n * g)::BIGINT AS weight FROM counted JOIN bucketed USING (f) JOIN gain USING (b) WHERE origin = 's' GROUP BY doc_id),
+    docs AS (
+        SELECT w.doc_id, len(w) AS n_words, (len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0))::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+            ('0x' || substr(sha256('42:' || w.doc_id), 1, 8))::BIGINT AS h
+        FROM words w LEFT JOIN weighed x ON x.doc_id = w.doc_id WHERE origin = 's'
+    ),
+    marked AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM docs),
+    placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, (count(*) OVER ()) * 5 // 100 AS drawn FROM marked WHERE n_words >= 20)
+    SELECT m.doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM marked m LEFT JOIN placed p ON p.doc_id = m.doc_id"""
+
+
+LINE_DEDUP = """
+    WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+    keyed AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+    gone AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+    told AS (SELECT doc_id, line, i, key IN (SELECT key FROM gone) AS drop FROM keyed)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (drop) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT drop), '')) AS kept_sha256
+    FROM told GROUP BY doc_id"""
+
+COLLOCATIONS = f"""
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+    words AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pieces),
+    total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+    runs AS (
+        {" UNION ALL ".join(f"SELECT lang, {k} AS size, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS phrase FROM words WHERE len(w) >= {k}" for k in (1, 2, 3, 4))}
+    ),
+    f AS MATERIALIZED (SELECT lang, phrase, size, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 30),
+    cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+    cuts AS (SELECT lang, phrase, a, w, unnest(range(1, size)) AS k FROM cand),
+    parts AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a // (x.a + y.a))::BIGINT AS score FROM cuts c
+        JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')),
+    best AS (SELECT lang, phrase, a, arg_min(struct_pack(l := l, r := r, score := score), score * 10 + k) AS x FROM parts GROUP BY ALL),
+    inside AS (SELECT lang, a, array_to_string(w[i:j], ' ') AS phrase FROM (SELECT *, unnest(range(1, size)) AS i FROM cand), unnest(range(2, 5)) r(j) WHERE j > i AND j <= size AND j - i + 1 < size),
+    longest AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY ALL),
+    kept AS (SELECT b.* FROM best b LEFT JOIN longest s ON s.lang = b.lang AND s.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 80 * b.a),
+    ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY x.score DESC, a DESC, phrase) AS rank, phrase, a, x.l AS l, x.r AS r, x.score AS score FROM kept)
+    SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN total t ON t.lang = r.lang WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_near_dedup": NEAR_DEDUP,
@@ -181,6 +246,9 @@ def oracle_sql() -> dict[str, str]:
         "op8_mixing": MIXING,
         "op9_topk": TOPK,
         "op10_warc": WARC,
+        "op11_importance": _importance(),
+        "op12_line_dedup": LINE_DEDUP,
+        "op13_collocations": COLLOCATIONS,
         "url_rules": URL_RULES,
         "secret_base": _secret_base(),
     }
