@@ -110,6 +110,31 @@ def index_postings(spark: SparkSession, d: str) -> DataFrame:
     return I.Index(spark, root, "suppliers").table("postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+def _updated(spark: SparkSession, d: str) -> I.Index:
+    """An index after an update that changes one file in fifty, and prunes and touches as many."""
+    root, adapter = _index(spark, d)
+    index, k = I.Index(spark, root, "suppliers"), F.col("s_suppkey") % 50
+    files = _files(spark, d).where(k != 1).withColumn("content", F.when(k == 0, F.concat("content", F.lit("More."))).otherwise(F.col("content")))
+    files = files.withColumn("mtime_ms", F.col("mtime_ms") + F.when(k.isin(0, 2), 1).otherwise(0)).withColumn("size", F.octet_length("content").cast("long"))
+    I.update(index, files.drop("s_suppkey"), adapter, NOW)
+    return index
+
+
+def index_segments(spark: SparkSession, d: str) -> DataFrame:
+    """What each commit to an index has written: rows of each table, and tombstones."""
+    state = _updated(spark, d).snapshot().state
+    rows = [(p["seq"], name, p["rows"]) for name, parts in state["tables"].items() for p in parts]
+    rows += [(g["seq"], f"gone_{family}", g["rows"]) for family, graves in state["gone"].items() for g in graves]
+    return spark.createDataFrame(rows, "segment int, name string, n long")
+
+
+def index_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The inverted index after an update, when its segments have been merged."""
+    index = _updated(spark, d)
+    index.compact(full=True)
+    return index.table("postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
 def index_page_texts(spark: SparkSession, d: str) -> DataFrame:
     """Keyword-only chunks of page texts beside documents; an update of the documents leaves them."""
     root, adapter = _index(spark, d)
@@ -136,7 +161,7 @@ def index_freshness(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "supplier").select("s_suppkey", *I.index_age(at, NOW_MS))
 
 
-QUERIES = {f.__name__: f for f in (search_text, search_vision, search_hybrid, index_update, index_chunks, index_postings, index_page_texts, index_list, index_freshness)}
+QUERIES = {f.__name__: f for f in (search_text, search_vision, search_hybrid, index_update, index_chunks, index_postings, index_segments, index_merged, index_page_texts, index_list, index_freshness)}
 
 _FILES = f"""
     files AS (
@@ -147,6 +172,9 @@ _FILES = f"""
     raw AS (SELECT k, path, list_transform(['a', 'e', 'i', 'o', 'u'], lambda v: (length(content) - length(replace(content, v, '')))::DOUBLE) || [1.0::DOUBLE] AS c FROM files),
     units AS (SELECT k, list_transform(c, lambda x: (x / sqrt(list_sum(list_transform(c, lambda y: y * y))))::FLOAT::DOUBLE) AS v FROM raw),
     words AS (SELECT k, list_filter(regexp_split_to_array(lower(content || ' ' || path), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS t FROM files)"""
+_UPDATED = f"""{_FILES},
+    later AS (SELECT k, path, CASE WHEN k % 50 = 0 THEN content || 'More.' ELSE content END AS content FROM files WHERE k % 50 <> 1),
+    terms AS (SELECT k, 1 AS segment, unnest(t) AS term FROM words UNION ALL SELECT k, 2, unnest(list_filter(regexp_split_to_array(lower(content || ' ' || path), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) FROM later)"""
 _QC = [QUERY.count(v) for v in "aeiou"] + [1]
 _QV = "[" + ", ".join(f"{x / math.sqrt(sum(y * y for y in _QC))!r}::DOUBLE" for x in _QC) + "]"
 _LANES = f"""{_FILES},
@@ -188,6 +216,14 @@ SQL = {
         UNION ALL SELECT x, (SELECT count(*) FROM s WHERE status <> 'pruned') FROM (VALUES ('again'), ('total')) t(x)""",
     "index_chunks": f"WITH {_FILES} SELECT path, 0::BIGINT AS chunk_index, sha256(content || chr(0) || 'vowels') AS content_hash, round(v[1], 6) AS first, ms AS content_timestamp_ms FROM files JOIN units USING (k)",
     "index_postings": f"WITH {_FILES}, x AS (SELECT k, unnest(t) AS term FROM words) SELECT term, count(DISTINCT k) AS df, count(*) AS cf FROM x GROUP BY term",
+    "index_segments": f"""
+        WITH {_UPDATED}, rows AS (
+            SELECT 1 AS segment, unnest(['files', 'chunks', 'lengths']) AS name FROM supplier
+            UNION ALL SELECT 1, 'postings' FROM (SELECT DISTINCT k, term FROM terms WHERE segment = 1) UNION ALL SELECT 2, 'postings' FROM (SELECT DISTINCT k, term FROM terms WHERE segment = 2 AND k % 50 = 0)
+            UNION ALL SELECT 2, unnest(CASE s_suppkey % 50 WHEN 0 THEN ['files', 'chunks', 'lengths', 'gone_files', 'gone_content'] WHEN 1 THEN ['gone_files', 'gone_content'] ELSE ['files', 'gone_files'] END) FROM supplier WHERE s_suppkey % 50 < 3
+        )
+        SELECT segment, name, count(*) AS n FROM rows GROUP BY ALL""",
+    "index_merged": f"WITH {_UPDATED} SELECT term, count(DISTINCT k) AS df, count(*) AS cf FROM terms WHERE segment = 2 GROUP BY term",
     "index_page_texts": "SELECT 'pdf:///data/doc.pdf' AS path, r_regionkey::BIGINT AS chunk_index, '[Page ' || (r_regionkey + 1) || '] ' || r_name AS content, true AS bare FROM region WHERE r_regionkey <> 3",
     "index_list": "SELECT 'b' AS name, '0' AS total_files UNION ALL SELECT 'suppliers', count(*)::VARCHAR FROM supplier",
     "index_freshness": "SELECT s_suppkey, CASE WHEN s_suppkey % 6 <> 0 THEN s_suppkey::DOUBLE END AS age_days, CASE WHEN s_suppkey % 6 = 0 THEN 'never' WHEN s_suppkey > 7 THEN 'stale' ELSE 'fresh' END AS status FROM supplier",

@@ -1,10 +1,7 @@
-"""Indexes: named folders of Parquet tables, replaced generation by generation, and their incremental upkeep."""
+"""Incremental upkeep of indexes: files, chunks with vectors, an inverted index, and pages."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,99 +10,11 @@ from gleaner.functions.embedding import TextAdapter, embed
 from gleaner.functions.frontmatter import yaml_to_json
 from gleaner.operators import ranking as R
 from gleaner.operators.rollups import diff_status
-from gleaner.runtime import discard, materialise
-
-SCHEMA_VERSION = 5
-FILES = "path string, content_hash string, size bigint, mtime_ms bigint, indexed_at string, metadata string"
-CHUNKS = "path string, chunk_index bigint, content string, embedding array<float>, content_hash string, section_context string, content_timestamp_ms bigint"
-PAGES = "document_id string, page_number int, image_hash string, adapter_name string, num_vectors int, source_path string, indexed_at string"
-PAGE_VECTORS = "document_id string, page_number int, vector_index int, embedding array<float>"
-POSTINGS = "term string, path string, chunk_index bigint, tf bigint, positions array<int>"
-LENGTHS = "path string, chunk_index bigint, dl int"
-_SCHEMAS = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "lengths": LENGTHS, "page_images": PAGES, "page_vectors": PAGE_VECTORS}
-
-
-class Index:
-    """One index below a root that all executors share.
-
-    A write makes a new generation of a table and then a new pointer file, which
-    names the current generation of every table and holds the index's meta
-    values. Pointers are numbered and made by renaming a finished file; the
-    newest counts, so a crash leaves the old state or the new one. The pointer
-    and the generations before the last are kept for readers that began earlier.
-    """
+from gleaner.plans.segments import FILES, Index, Snapshot
+from gleaner.runtime import checked_join, discard, materialise
 
-    def __init__(self, spark: SparkSession, root: str, name: str):
-        self.spark, self.name, self.path = spark, name, f"{root.rstrip('/')}/{name}"
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _pointers(self) -> list[int]:
-        at = self._path(f"{self.path}/pointers")
-        if not self._fs.exists(at):
-            return []
-        names = (s.getPath().getName() for s in self._fs.listStatus(at))
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
-
-    def _state(self, number: int | None = None) -> dict[str, dict[str, str]]:
-        numbers = self._pointers() if number is None else [number]
-        if not numbers:
-            return {"tables": {}, "meta": {}}
-        stream = self._fs.open(self._path(f"{self.path}/pointers/{numbers[-1]:09d}.json"))
-        try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _commit(self, tables: dict[str, str], meta: dict[str, str]) -> None:
-        numbers = self._pointers()
-        state = self._state()
-        fresh = {"tables": state["tables"] | tables, "meta": state["meta"] | meta}
-        number = (numbers[-1] if numbers else 0) + 1
-        temporary = self._path(f"{self.path}/pointers/.{uuid.uuid4().hex}.tmp")
-        stream = self._fs.create(temporary, True)
-        stream.write(bytearray(json.dumps(fresh, indent=2).encode()))
-        stream.close()
-        if not self._fs.rename(temporary, self._path(f"{self.path}/pointers/{number:09d}.json")):
-            raise OSError(f"another writer has made pointer {number} of {self.path}")
-        kept = [state["tables"], fresh["tables"]]
-        for old in numbers[:-1]:
-            for name, at in self._state(old)["tables"].items():
-                if all(k.get(name) != at for k in kept):
-                    self._fs.delete(self._path(f"{self.path}/{name}/{at}"), True)
-            self._fs.delete(self._path(f"{self.path}/pointers/{old:09d}.json"), False)
-
-    @property
-    def exists(self) -> bool:
-        return bool(self._pointers())
-
-    def meta(self) -> dict[str, str]:
-        return self._state()["meta"]
-
-    def set_meta(self, **values: object) -> None:
-        self._commit({}, {k: str(v) for k, v in values.items()})
-
-    def table(self, name: str) -> DataFrame:
-        """The current generation of a table; an empty one where none was written. Columns added since read as null."""
-        at = self._state()["tables"].get(name)
-        if at is None:
-            return self.spark.createDataFrame([], _SCHEMAS[name])
-        return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.path}/{name}/{at}")
-
-    def replace(self, meta: dict[str, object] | None = None, **tables: DataFrame) -> None:
-        """Write new generations of the tables, then swap to all of them and to the new meta values at once."""
-        fresh = {}
-        for name, df in tables.items():
-            fresh[name] = uuid.uuid4().hex
-            df.write.parquet(f"{self.path}/{name}/{fresh[name]}")
-        self._commit(fresh, {k: str(v) for k, v in (meta or {}).items()})
-
-    def delete(self) -> None:
-        self._fs.delete(self._path(self.path), True)
-
-    def status(self) -> dict[str, object]:
-        return {"name": self.name, **self.meta()} if self.exists else {"name": self.name, "error": "no such index"}
+SCHEMA_VERSION = 6
+__all__ = ["FILES", "Index", "add_page_texts", "chunked", "freshness", "index_age", "list_indexes", "parsed", "reindex", "update", "update_pages"]
 
 
 def list_indexes(spark: SparkSession, root: str) -> list[dict[str, object]]:
@@ -139,73 +48,104 @@ def chunked(documents: DataFrame) -> DataFrame:
     return rows.select("path", F.col("chunk_index").cast("long").alias("chunk_index"), "c.content", "c.section_context", "content_timestamp_ms")
 
 
-def _inverted(index: Index, chunks: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:
-    """The keyword tables after paths have `gone` and `chunks` (path, chunk_index, content) have come; postings sorted by term."""
+def _inverted(chunks: DataFrame) -> dict[str, DataFrame]:
+    """The postings and lengths of `chunks` (path, chunk_index, content)."""
     key = F.struct("path", "chunk_index")
     rows = chunks.select(key.alias("key"), F.concat_ws(" ", "content", "path").alias("text"))
-    posts = R.postings(rows, "key", F.col("text")).select("term", "id.*", "tf", "positions")
-    sizes = rows.select("key.*", F.size(R.tokens(F.col("text"))).alias("dl"))
-    postings = index.table("postings").join(gone, "path", "left_anti").unionByName(posts)
     return {
-        "postings": postings.repartitionByRange("term", "path").sortWithinPartitions("term", "path", "chunk_index"),
-        "lengths": index.table("lengths").join(gone, "path", "left_anti").unionByName(sizes),
+        "postings": R.postings(rows, "key", F.col("text")).select("term", "id.*", "tf", "positions"),
+        "lengths": rows.select("key.*", F.size(R.tokens(F.col("text"))).alias("dl")),
     }
 
 
-def update(index: Index, documents: DataFrame, adapter: TextAdapter, now_iso: str, source: str = "") -> dict[str, int]:
+def _own(path: str = "path") -> Column:
+    """Whether a file's rows come from page texts."""
+    return F.col(path).startswith("pdf://")
+
+
+def _vectors(stored: DataFrame, chunks: DataFrame, adapter: TextAdapter) -> DataFrame:
+    """(content_hash, embedding) of all texts of `chunks`: stored vectors, and new ones for hashes that have none.
+
+    Only stored vectors of wanted hashes are moved; those wanted are broadcast where few.
+    """
+    wanted = materialise(chunks.select("content_hash", "content").dropDuplicates(["content_hash"]), "wanted")
+    known = checked_join(stored.where("embedding IS NOT NULL").select("content_hash", "embedding"), wanted.select("content_hash"), "content_hash", "left_semi")
+    known = materialise(known.dropDuplicates(["content_hash"]), "known")
+    fresh = embed(wanted.join(known, "content_hash", "left_anti"), "content", adapter).select("content_hash", "embedding")
+    return known.unionByName(fresh)
+
+
+def _counted(snap: Snapshot, counts: dict[str, int], gone: DataFrame, chunks: DataFrame) -> dict[str, int]:
+    """The totals after an update, from those before and what it changes; lengths have one row for each chunk."""
+    lost = checked_join(snap.table("lengths").select("path"), gone, "path", "left_semi").count() if "changed" in counts or "pruned" in counts else 0
+    files = int(snap.meta.get("total_files", 0)) + counts.get("new", 0) - counts.get("pruned", 0)
+    return {"total_files": files, "total_chunks": int(snap.meta.get("total_chunks", 0)) - lost + chunks.count()}
+
+
+def update(index: Index, documents: DataFrame, adapter: TextAdapter, now_iso: str, source: str = "", prune: bool = True) -> dict[str, int]:
     """Bring an index up to `documents` (path, size, mtime_ms, content): prune, skip, touch, re-chunk, embed what is new.
 
     Each text is embedded once, and only if its hash has no vector yet. A file
-    that became empty loses its chunks. Without a change nothing is written.
-    Returns how many files had each status.
+    that became empty loses its chunks. Without a change nothing is written;
+    else one segment of what changed, and tombstones of what it replaces. With `prune`
+    off, `documents` are a batch, and files that it does not hold stay. Returns how
+    many files had each status. Raises `segments.Conflict` if another writer has changed the same tables.
     """
-    stored_files, stored_chunks = index.table("files"), index.table("chunks")
-    own = F.col("path").startswith("pdf://")
-    if index.exists:
+    snap = index.snapshot()
+    stored_files = snap.table("files").where(~_own())
+    if not prune:
+        stored_files = checked_join(stored_files, materialise(documents.select("path").distinct(), "batch"), "path", "left_semi")
+    if snap.version:
         # Times alone, without a content read, tell whether there is anything to do.
-        then = stored_files.where(~own).select("path", F.col("mtime_ms").alias("then"))
+        then = stored_files.select("path", F.col("mtime_ms").alias("then"))
         both = documents.select("path", "mtime_ms").join(then, "path", "full")
         n, differ = both.agg(F.count(F.lit(1)), F.count_if(~F.col("then").eqNullSafe(F.col("mtime_ms")))).first()
         if not differ:
             index.set_meta(last_indexed_at=now_iso)
             return {"unchanged": n} if n else {}
     current = documents.withColumn("content_hash", text.sha256(F.col("content")))
-    status = materialise(diff_status(stored_files.where(~own), current, "path", "content_hash", "mtime_ms"), "status")
+    status = materialise(diff_status(stored_files, current, "path", "content_hash", "mtime_ms"), "status")
     counts = {r.status: r["count"] for r in status.groupBy("status").count().collect()}
-    work = current.join(status.where("status IN ('new', 'changed')").select("path"), "path", "left_semi")
-    docs = materialise(parsed(work), "parsed")
+    of = lambda *kinds: status.where(F.col("status").isin(*kinds)).select("path")
+    docs = materialise(parsed(current.join(of("new", "changed"), "path", "left_semi")), "parsed")
     chunks = chunked(docs).withColumn("content_hash", text.chunk_hash(F.col("content"), adapter.name))
     chunks = materialise(chunks, "chunks")
-    known = stored_chunks.where("embedding IS NOT NULL").groupBy("content_hash").agg(F.first("embedding").alias("embedding"))
-    wanted = chunks.select("content_hash", "content").dropDuplicates(["content_hash"])
-    fresh = embed(wanted.join(known, "content_hash", "left_anti"), "content", adapter).select("content_hash", "embedding")
-    vectors = known.join(chunks.select("content_hash").distinct(), "content_hash", "left_semi").unionByName(fresh)
-    made = chunks.join(vectors, "content_hash", "left").select(*stored_chunks.columns)
-    gone = status.where("status IN ('changed', 'pruned')").select("path")
-    kept = stored_chunks.join(gone, "path", "left_anti")
+    made = chunks.join(_vectors(snap.table("chunks"), chunks, adapter), "content_hash", "left").select(*index.empty("chunks").columns)
     files = docs.select("path", "content_hash", "size", "mtime_ms", F.lit(now_iso).alias("indexed_at"), "metadata")
-    touched = current.join(status.where("status = 'touched'").select("path"), "path", "left_semi").select("path", "mtime_ms", "size")
-    touched = stored_files.drop("mtime_ms", "size").join(touched, "path").select(*stored_files.columns)
-    still = stored_files.join(status.where("status IN ('changed', 'pruned', 'touched')").select("path"), "path", "left_anti")
-    meta = {"schema_version": SCHEMA_VERSION, "index_name": index.name, "source_directory": source or index.meta().get("source_directory", ""), "model_id": adapter.name, "last_indexed_at": now_iso}
-    index.replace(meta, files=still.unionByName(touched).unionByName(files), chunks=kept.unionByName(made), **_inverted(index, chunks, gone))
+    touched = current.join(of("touched"), "path", "left_semi").select("path", "mtime_ms", "size")
+    touched = checked_join(stored_files.drop("mtime_ms", "size"), materialise(touched, "touched"), "path").select(*files.columns)
+    gone = of("changed", "pruned")
+    meta = {"schema_version": SCHEMA_VERSION, "index_name": index.name, "source_directory": source or snap.meta.get("source_directory", ""), "model_id": adapter.name, "last_indexed_at": now_iso}
+    index.commit(
+        snap, append={"files": files.unionByName(touched), "chunks": made, **_inverted(chunks)}, gone={"files": of("changed", "pruned", "touched"), "content": gone},
+        meta=meta | _counted(snap, counts, gone, chunks), reads=("files", "chunks", "lengths"),
+    )
     discard(status, docs, chunks)
-    index.set_meta(total_files=index.table("files").count(), total_chunks=index.table("chunks").count())
+    index.compact()
     return counts
 
 
 def update_pages(index: Index, pages: DataFrame, vectors: DataFrame, adapter_name: str, now_iso: str) -> None:
     """Upsert page images (document_id, page_number, image_hash, source_path) and their vectors; pages with the same image stay."""
-    stored, stored_vectors = index.table("page_images"), index.table("page_vectors")
-    keys = ["document_id", "page_number"]
-    fresh = pages.join(stored.select(*keys, "image_hash"), [*keys, "image_hash"], "left_anti")
-    counted = vectors.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("num_vectors"))
+    snap = index.snapshot()
+    stored, keys = snap.table("page_images"), ["document_id", "page_number"]
+    fresh = materialise(pages.join(stored.select(*keys, "image_hash"), [*keys, "image_hash"], "left_anti"), "fresh")
+    own = checked_join(vectors, fresh.select(*keys), keys, "left_semi").select(*index.empty("page_vectors").columns)
+    own = materialise(own, "vectors")
+    counted = own.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("num_vectors"))
     rows = fresh.join(counted, keys, "left").select(*keys, "image_hash", F.lit(adapter_name).alias("adapter_name"), F.coalesce("num_vectors", F.lit(0)).alias("num_vectors"), "source_path", F.lit(now_iso).alias("indexed_at"))
-    index.replace(
-        page_images=stored.join(fresh.select(*keys), keys, "left_anti").unionByName(rows),
-        page_vectors=stored_vectors.join(fresh.select(*keys), keys, "left_anti").unionByName(vectors.join(fresh.select(*keys), keys, "left_semi").select(*stored_vectors.columns)),
+    lost = checked_join(stored.select(*keys, "num_vectors"), fresh.select(*keys), keys, "left_semi")
+    pages_lost, vectors_lost = lost.agg(F.count(F.lit(1)), F.sum("num_vectors")).first()
+    before = lambda k: int(snap.meta.get(k, 0))
+    index.commit(
+        snap, append={"page_images": rows, "page_vectors": own}, gone={"pages": fresh}, reads=("page_images", "page_vectors"),
+        meta={
+            "vision_adapter": adapter_name, "last_vision_indexed_at": now_iso, "total_pages": before("total_pages") - pages_lost + fresh.count(),
+            "total_page_vectors": before("total_page_vectors") - (vectors_lost or 0) + own.count(),
+        },
     )
-    index.set_meta(vision_adapter=adapter_name, last_vision_indexed_at=now_iso, total_pages=index.table("page_images").count(), total_page_vectors=index.table("page_vectors").count())
+    discard(fresh, own)
+    index.compact()
 
 
 def add_page_texts(index: Index, texts: DataFrame, model: str, now_iso: str) -> None:
@@ -213,12 +153,12 @@ def add_page_texts(index: Index, texts: DataFrame, model: str, now_iso: str) ->
     rows = texts.where(~text.is_blank(F.col("text"))).select(F.concat(F.lit("pdf://"), "path").alias("path"), F.col("page_number"), F.format_string("[Page %d] %s", "page_number", "text").alias("content"))
     chunks = rows.select("path", (F.col("page_number") - 1).cast("long").alias("chunk_index"), "content", F.lit(None).cast("array<float>").alias("embedding"), text.chunk_hash(F.col("content"), model).alias("content_hash"), F.lit(None).cast("string").alias("section_context"), F.lit(None).cast("long").alias("content_timestamp_ms"))
     files = rows.groupBy("path").agg(text.sha256(F.array_join(F.array_sort(F.collect_list("content")), "\n")).alias("content_hash"), F.sum(F.octet_length("content")).cast("long").alias("size")).select("path", "content_hash", "size", F.lit(0).cast("long").alias("mtime_ms"), F.lit(now_iso).alias("indexed_at"), F.lit(None).cast("string").alias("metadata"))
-    old_files, old_chunks = index.table("files"), index.table("chunks")
-    own = files.select("path")
-    index.replace(
-        files=old_files.join(own, "path", "left_anti").unionByName(files), chunks=old_chunks.join(own, "path", "left_anti").unionByName(chunks),
-        **_inverted(index, chunks, own),
-    )
+    own = materialise(texts.select(F.concat(F.lit("pdf://"), "path").alias("path")).distinct(), "own")
+    snap = index.snapshot()
+    counts = {"new": files.count(), "pruned": checked_join(snap.table("files").select("path"), own, "path", "left_semi").count()}
+    index.commit(snap, append={"files": files, "chunks": chunks, **_inverted(chunks)}, gone={"files": own, "content": own}, meta=_counted(snap, counts, own, chunks), reads=("files", "lengths"))
+    discard(own)
+    index.compact()
 
 
 def reindex(spark: SparkSession, root: str, documents_of, adapter: TextAdapter, now_iso: str, name: str | None = None) -> dict[str, object]:

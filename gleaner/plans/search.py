@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import scoring, text
 from gleaner.operators import ranking as R
-from gleaner.plans.index import Index
+from gleaner.plans.segments import Index, Snapshot
 
 #: All fields of a result, with their types, in order.
 RESULT = (
@@ -24,13 +24,13 @@ def _result(rows: DataFrame) -> DataFrame:
     return rows.select(*(F.col(n) if n in have else F.lit(None).cast(t).alias(n) for n, t in RESULT))
 
 
-def _lane(index: Index, query: str, vector: list[float], top_k: int, now_ms: int, weight: float, half_life: float, filters: dict | None, prefilter: bool) -> DataFrame:
+def _lane(index: Snapshot, query: str, vector: list[float], top_k: int, now_ms: int, weight: float, half_life: float, filters: dict | None, prefilter: bool) -> DataFrame:
     """The best 2 top_k chunks of one index: both candidate sets, then filters, then scores.
 
     Keyword candidates come from the stored postings and vector candidates from
     two columns of the chunks; contents and metadata are joined to candidates only.
     """
-    meta = index.meta()
+    meta = index.meta
     key = F.struct("path", "chunk_index").alias("id")
     files, chunks = index.table("files").select("path", "metadata"), index.table("chunks")
     postings, lengths, vectors = index.table("postings"), index.table("lengths"), chunks.select("path", "chunk_index", "embedding")
@@ -43,18 +43,18 @@ def _lane(index: Index, query: str, vector: list[float], top_k: int, now_ms: int
     # At most FTS_CANDIDATES + 20 top_k rows.
     both = F.broadcast(both).join(chunks.drop("embedding"), ["path", "chunk_index"]).join(files, "path").where(scoring.matches_filters(F.col("metadata"), filters))
     boost = scoring.recency_boost(F.col("content_timestamp_ms"), now_ms, half_life)
-    scored = both.withColumn("score", scoring.recency_weighted(F.col("semantic_score"), boost, weight)).withColumn("index_name", F.lit(index.name))
+    scored = both.withColumn("score", scoring.recency_weighted(F.col("semantic_score"), boost, weight)).withColumn("index_name", F.lit(index.index.name))
     relative = text.relative_path(F.lit(meta.get("source_directory") or "\0"), F.col("path"))
     scored = scored.withColumn("relative_path", relative).withColumnRenamed("path", "file_path").withColumn("result_type", F.lit("text"))
     return _result(R.cut_per_index(scored, 2 * top_k, "score", "file_path", "chunk_index"))
 
 
-def _vision(index: Index, query: list[list[float]], top_k: int) -> DataFrame | None:
-    if not index.meta().get("vision_adapter"):
+def _vision(index: Snapshot, query: list[list[float]], top_k: int) -> DataFrame | None:
+    if not index.meta.get("vision_adapter"):
         return None
     page = F.concat_ws("\0", "document_id", F.col("page_number").cast("string"))
     best = R.maxsim(index.table("page_vectors").withColumn("page", page), query, "page")
-    rows = best.join(index.table("page_images").withColumn("page", page), "page").withColumn("index_name", F.lit(index.name)).withColumn("result_type", F.lit("vision")).withColumn("file_path", F.col("source_path"))
+    rows = best.join(index.table("page_images").withColumn("page", page), "page").withColumn("index_name", F.lit(index.index.name)).withColumn("result_type", F.lit("vision")).withColumn("file_path", F.col("source_path"))
     return _result(R.cut_per_index(rows, 2 * top_k, "score", "page"))
 
 
@@ -90,8 +90,8 @@ def search(
     top_k, threshold = top_k or 10, threshold or 0.0
     found = []
     for name in index_names:
-        index = Index(spark, root, name)
-        if index.exists:
+        index = Index(spark, root, name).snapshot()
+        if index.version:
             found.append(index)
         else:
             warnings.warn(f"no index {name!r}", stacklevel=2)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gleaner.operators.rollups import apply_changes, latest
-from gleaner.plans.index import Index, update
+from gleaner.plans.index import update
+from gleaner.plans.segments import FAMILY, KEYS, Index
+from gleaner.runtime import discard, materialise
 
 
 def stream_json(spark: SparkSession, path: str, schema: str, per_trigger: int = 1000) -> DataFrame:
@@ -52,10 +54,23 @@ def append_stream(rows: DataFrame, target: str, keys: list[str], checkpoint: str
 
 
 def apply_changes_stream(log: DataFrame, index: Index, table: str, keys: list[str], order: list[str], checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Keep a table of an index up to a change log (its columns, `op`, and the order); applying a batch twice changes nothing."""
+    """Keep a table of an index up to a change log (its columns, `op`, and the order); applying a batch twice changes nothing.
+
+    The last operation of each key counts. A batch is one segment and its
+    tombstones; by other keys than the table's own, the table is written anew.
+    """
+    family = FAMILY[table]
 
     def each(batch: DataFrame, n: int) -> None:
-        index.replace(**{table: apply_changes(index.table(table), batch, keys, order)})
+        if keys != KEYS[family]:
+            snap = index.snapshot()
+            index.replace(base=snap, **{table: apply_changes(snap.table(table), batch, keys, order)})
+            return
+        last = materialise(latest(batch, keys, order), "changes")
+        puts = last.where("op <> 'delete'").select(*index.empty(table).columns)
+        index.commit(index.snapshot(), append={table: puts}, gone={family: last})
+        discard(last)
+        index.compact()
 
     return _start(log, each, checkpoint, every)
 
@@ -64,10 +79,8 @@ def index_stream(documents: DataFrame, index: Index, adapter, now_iso: Callable[
     """Upsert a stream of documents (path, size, mtime_ms, content) into an index; what is not in a batch stays."""
 
     def each(batch: DataFrame, n: int) -> None:
-        newest = latest(batch, ["path"], ["mtime_ms"])
-        stored = index.table("files").join(newest.select("path"), "path", "left_anti")
-        # Files that the batch does not hold take part with what is stored of them, so that they are not pruned.
-        same = stored.select("path", "size", "mtime_ms", F.lit(None).cast("string").alias("content"))
-        update(index, newest.select("path", "size", "mtime_ms", "content").unionByName(same), adapter, now_iso())
+        newest = materialise(latest(batch, ["path"], ["mtime_ms"]).select("path", "size", "mtime_ms", "content"), "batch")
+        update(index, newest, adapter, now_iso(), prune=False)
+        discard(newest)
 
     return _start(documents, each, checkpoint, every)

@@ -306,4 +306,6 @@ def test_crashes_between_pointers_lose_nothing(spark, tmp_path):
     (tmp_path / "p" / "pointers" / ".half.tmp").write_text("{")
     assert before.count() == 1 and index.table("files").count() == 2 and index.meta() == {"x": "1"}
     index.replace(files=rows)
+    assert index.table("files").count() == 1 and len(index._pointers()) == 3 and before.count() == 1
+    index.vacuum(0)
     assert index.table("files").count() == 1 and len(index._pointers()) == 2
