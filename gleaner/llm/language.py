@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.ranking import global_rank
 from gleaner.runtime import checked_join, materialise
 
 UNDETERMINED = "und"
@@ -146,8 +147,9 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     counts = keys.groupBy("lang").agg(F.approx_count_distinct("h").alias("ids"))
     near = F.conv(F.substring("h", 1, 13), 16, 10).cast("long") / F.lit(2.0**52) <= F.lit(4.0 * train_rows) / F.col("ids")
     keys = checked_join(keys, materialise(counts, "counts"), "lang", limit=10_000).where(near).select("lang", "h", "t").distinct()
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
-    keys = materialise(keys.withColumn("n", place).where(F.col("n") <= train_rows).drop("n"), "sample")
+    # Many texts may share one id, or have none: no task ranks a whole language.
+    places = global_rank(keys, [F.asc("h"), F.asc("t")], by=("lang",), out="n")
+    keys = materialise(places.where(F.col("n") <= train_rows).drop("n"), "sample")
     return checked_join(labelled, keys, ["lang", "h", "t"], "left_semi").dropDuplicates(["lang", "h", "t"]).select("lang", "text")
 
 

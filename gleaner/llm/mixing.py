@@ -68,22 +68,24 @@ def mix(
     """`docs` replicated to the target weights and shuffled globally; `copy_col` (0, 1, ...) is added unless None.
 
     Source counts are partial sums; the few sources are joined by broadcast
-    after they were measured. The shuffle deals rows by a hash of id and
-    copy, so no source or id makes an uneven partition, and sorts within
-    partitions by it (and by the plain columns, should ids repeat). Defined
+    after they were measured. The shuffle deals rows by a hash of their plain
+    columns, copy and place in the table, so that no source, id or repeated row makes
+    an uneven partition, and sorts within partitions by it. `docs` should be a table,
+    whose rows come in the same order should a task run again. Defined
     cases: null sources count as source ''; a null id draws as the text 'null';
     repeated rows draw the same count; a text of any length is carried whole
     and never looked into; an empty table gives no rows; a column of the copy's
-    name in `docs` is replaced, and other columns keep their names and values,
+    name in `docs`, in whatever case, is replaced, and other columns keep their names and values,
     whatever they are.
     """
-    names = [c for c in docs.columns if c != copy_col]
-    source, key, copy, count, cdf, parts = private(docs, "source", "key", "copy", "count", "cdf", "parts")
+    names = [c for c in docs.columns if copy_col is None or c.lower() != copy_col.lower()]
+    source, key, copy, count, cdf, parts, place = private(docs, "source", "key", "copy", "count", "cdf", "parts", "place")
     table = rates(docs, source_col, weights, total, temper)
     shares = F.greatest(F.ceil(F.col("mix_rate") / _PART), F.lit(1)).cast("int")
     table = table.select(F.col("mix_source").alias(source), shares.alias(parts), "mix_rate")
     table = table.withColumn(cdf, _poisson_cdf(F.col("mix_rate") / F.col(parts))).drop("mix_rate")
-    keyed = docs.select(*names).withColumn(source, F.coalesce(F.col(source_col).cast("string"), F.lit("")))
+    placed = docs.select(*names).withColumn(place, F.monotonically_increasing_id())
+    keyed = placed.withColumn(source, F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     joined = checked_join(keyed, table, source, "inner", limit=10_000)
     draw = lambda u: F.size(F.filter(cdf, lambda c: c <= u))
     one = draw(uniform(seed, F.col(id_col)))
@@ -91,6 +93,6 @@ def mix(
     counted = joined.withColumn(count, F.when(F.col(parts) == 1, one).otherwise(many)).where(F.col(count) > 0)
     copies = counted.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(count) - 1)))
     plain = [f.name for f in docs.schema if f.name in names and isinstance(f.dataType, AtomicType)]
-    keyed = copies.withColumn(key, F.xxhash64(F.lit(seed), F.col(copy), *plain))
+    keyed = copies.withColumn(key, F.xxhash64(F.lit(seed), F.col(copy), F.col(place), *plain))
     dealt = keyed.repartition(key).sortWithinPartitions(key)
     return dealt.select(*names, *([F.col(copy).alias(copy_col)] if copy_col else []))

@@ -29,15 +29,38 @@ _GOOD_PATHS = ("/en/101", "/de/archive/7", "/fr/222.html", "/es/9/", "/articles/
 _BAD_PATHS = ("/en/101", "/de/33", "/fr/222.html", "/es/9/", "/buy-cheap-now", "/free-bonus/claim", "/xxx/pics", "/win/prize.php")
 
 
+# Syllables of the made-up names of ordinary hosts.
+_SYLLABLES = ("an", "ber", "co", "del", "en", "fi", "gor", "hat", "in", "kel", "lor", "mon", "ner", "ol", "per", "ri", "sen", "tor", "ul", "ver", "wes", "th", "er", "on", "st", "re", "ti", "ble", "ing", "ou", "sh", "ly")
+ORDINARY = 400
+
+
+def _names() -> list[str]:
+    """Names of ordinary hosts: two to four syllables each, all different."""
+    size, out = len(_SYLLABLES), []
+    for i in range(ORDINARY):
+        n = 2 + i % 3
+        picks = [(i * (2 * j + 3) + (i // size) * (5 * j + 1) + 7 * j) % size for j in range(n)]
+        out.append("".join(_SYLLABLES[p] for p in picks))
+    return list(dict.fromkeys(out))
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table (url, label): hosts of two words and paths of either kind, label 1 for those to block."""
+    """The small labelled table (url, label, word): label 1 for those to block.
+
+    Ordinary hosts are most of them, as they are of the web: real words in pairs, and
+    made-up names of many shapes. Hosts to block are pairs of words of advertising.
+    Paths of either kind go with both, more often with their own. `word` is the host's
+    first word, by which hosts can be held out.
+    """
+    hosts = [(f"{first}-{words[(i + j) % len(words)]}", first, label, i + j) for words, label in ((_GOOD_WORDS, 0), (_BAD_WORDS, 1)) for i, first in enumerate(words) for j in (1, 3, 6)]
+    hosts += [(name, name, 0, i) for i, name in enumerate(_names())]
     rows = []
-    for words, paths, label in ((_GOOD_WORDS, _GOOD_PATHS, 0), (_BAD_WORDS, _BAD_PATHS, 1)):
-        for i, first in enumerate(words):
-            for j in (1, 3, 6):
-                host = f"{_FRONTS[(i + j) % len(_FRONTS)]}{first}-{words[(i + j) % len(words)]}.{_TAILS[(i + j) % len(_TAILS)]}"
-                rows += [f"('https://{host}{paths[(i + j + n) % len(paths)]}', {label})" for n in range(2)]
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(url, label)")
+    for host, word, label, i in hosts:
+        own, other = (_BAD_PATHS, _GOOD_PATHS) if label else (_GOOD_PATHS, _BAD_PATHS)
+        for n in range(2):
+            paths = other if (i + n) % 5 == 4 else own
+            rows.append(f"('https://{_FRONTS[i % len(_FRONTS)]}{host}.{_TAILS[i % len(_TAILS)]}{paths[(i + n) % len(paths)]}', {label}, '{word}')")
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(url, label, word)")
 
 
 def host_of(url: Column) -> Column:

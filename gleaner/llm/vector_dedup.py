@@ -516,8 +516,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         if recall >= least_recall:
             break
         if overlap >= widest:
-            _log.warning("recall %.4f stays below %.2f though every vector is in every shard", recall, least_recall)
-            break
+            raise RuntimeError(f"recall {recall:.4f} stays below {least_recall:.2f} though every vector is in every shard; no incomplete result is returned")
         overlap *= 2
     reached = components(parts.where("uid <> low").select(F.col("uid").alias("u"), F.col("low").alias("v")))
     ids = heads.select("uid", "low_id").join(reached, F.col("uid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "uid"))

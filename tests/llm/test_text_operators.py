@@ -76,6 +76,19 @@ def test_url_model_is_right_on_held_out_hosts(spark):
     assert np.mean(right) >= 0.9
 
 
+def test_url_model_allows_ordinary_hosts_of_words_it_has_not_seen(spark, sf_dir):
+    labelled = url_filter.labelled_urls(spark).withColumn("fold", F.pmod(F.xxhash64("word"), F.lit(4)))
+    blocked = []
+    for fold in range(4):
+        model = url_filter.fit(labelled.where(F.col("fold") != fold))
+        held = labelled.where((F.col("fold") == fold) & (F.col("label") == 0)).select(F.lit(1).alias("page_id"), "url")
+        blocked += [r.verdict == "block" for r in url_filter.judge(held, model, rules=()).collect()]
+    assert len(blocked) > 500 and np.mean(blocked) <= 0.1
+    bad = ("cheap-pills", "casino-win", "adult-x")
+    judged = [r for r in queries.op1_url_filter(spark, sf_dir).collect() if r.rule is None and r.host]
+    assert np.mean([r.verdict == "block" for r in judged if not any(b in r.host for b in bad)]) <= 0.1
+
+
 def test_url_query_on_its_whole_table(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").collect()
     got = {r.page_id: r for r in queries.op1_url_filter(spark, sf_dir).collect()}
@@ -505,3 +518,22 @@ def test_fast_tokeniser_equals_the_plain_one(text):
 @settings(max_examples=200, deadline=None)
 def test_fast_tokeniser_equals_the_plain_one_on_any_mixture(text):
     assert packing.tokenizer()(text).tolist() == library_ids(text)
+
+
+def test_mixing_spreads_equal_rows_and_replaces_a_clashing_name(spark, tmp_path):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"), F.lit("s").alias("source"), F.lit(1).alias("Copy"))
+    out = mixing.mix(df, total=3.0)
+    assert [c for c in out.columns if c.lower() == "copy"] == ["copy"]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 1.2 * sum(sizes) / len(sizes)
+    out.write.parquet(str(tmp_path / "mixed"))
+
+
+def test_language_learns_from_many_texts_without_an_id(spark):
+    rows = [(None, f"les mots de la langue numéro {i}", "fr") for i in range(300)] + [(i, f"the words of tongue number {i}", "en") for i in range(60)]
+    texts = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_rows=40).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in texts} == {"fr": 40, "en": 40}
