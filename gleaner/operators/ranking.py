@@ -8,6 +8,7 @@ still win: the best rows, or the maxima of each page. Every top-k has a total or
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import unmarked
-from gleaner.runtime import checked_join, materialise, private
+from gleaner.runtime import checked_join, discard, materialise, private
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 FTS_CANDIDATES = 200
@@ -174,14 +175,7 @@ def bm25_stored(stored: DataFrame, sizes: DataFrame, query: str) -> DataFrame:
         return sizes.select("id", F.lit(0.0).alias("score")).limit(0)
     terms = sorted({t for p in phrases for t in p})
     found = stored.where(F.col("term").isin(terms)).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
-    none = F.array().cast("array<int>")
-    places = lambda t: F.coalesce(F.try_element_at("at", F.lit(t)), none)
-
-    def frequency(phrase: list[str]) -> Column:
-        here = lambda i: reduce(lambda a, b: a & b, [F.array_contains(places(t), i + j) for j, t in enumerate(phrase[1:], 1)])
-        return F.size(places(phrase[0])) if len(phrase) == 1 else F.size(F.filter(places(phrase[0]), here))
-
-    counts = found.select("id", F.array(*map(frequency, phrases)).alias("tf")).where(F.exists("tf", lambda x: x > 0))
+    counts = found.select("id", F.array(*map(_phrase_count, phrases)).alias("tf")).where(F.exists("tf", lambda x: x > 0))
     corpus = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     stats = corpus.crossJoin(F.broadcast(counts.agg(*_frequencies(len(phrases)))))
     return _scored(counts.join(sizes, "id"), stats, len(phrases))
@@ -193,6 +187,118 @@ def postings(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
     return words.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
 
 
+#: Documents of a block of postings; blocks listed by number in a filter, and the intervals that they are joined to there.
+BLOCK, LISTED, INTERVALS = 64, 10_000, 32
+IMPACTS = "term string, block bigint, n bigint, max_tf bigint, min_dl int"
+
+
+def blocked(posts: DataFrame, sizes: DataFrame, ids: list[str], size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(postings with `block` and `dl`, impacts) from postings (term, ids, ...) and lengths (ids, dl).
+
+    A block is a run of `size` documents in the order of their ids, so that documents
+    of one folder share blocks. Impacts tell of each term and block how many documents
+    hold it, its highest frequency, and their smallest length: together they
+    bound the score of any document of the block, whatever the corpus statistics become.
+    """
+    placed = sizes.repartitionByRange(*ids).sortWithinPartitions(*ids).withColumn("block", F.floor(F.monotonically_increasing_id() / size))
+    found = posts.join(materialise(placed, "placed"), ids)
+    impacts = found.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").cast("int").alias("min_dl"))
+    return found, impacts
+
+
+def _impact(tf: Column, dl: Column, avgdl: float) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avgdl)))
+
+
+def _idf(n: int, df: int) -> float:
+    return max(IDF_FLOOR, math.log((n - df + 0.5) / (df + 0.5)))
+
+
+class BlockSearch:
+    """The best rows of a keyword query by BM25 from blocks of postings, exactly, without reading all of them.
+
+    `postings` (term, id, positions, part, block, dl) and `impacts` are sorted by
+    (term, block) in each part, a segment; `n` and `avgdl` are of the whole corpus.
+    `dead` has the postings (term) of rows that are gone but counted in impacts. A few blocks of
+    the highest bounds give a score that the k-th best cannot fall below; blocks
+    whose bound is lower are never read. `blocks` and `blocks_read` tell how many
+    blocks hold a term of the query and how many were read for scores.
+    """
+
+    def __init__(self, postings: DataFrame, impacts: DataFrame, n: int, avgdl: float, dead: DataFrame | None = None):
+        self.postings, self.impacts, self.n, self.avgdl, self.dead = postings, impacts, n, avgdl, dead
+        self.blocks = self.blocks_read = 0
+
+    def _counts(self, phrases: list[list[str]], blocks: DataFrame | None) -> DataFrame:
+        """(id, dl, tf) of the rows that hold some phrase, in some blocks only."""
+        found = self.postings.where(F.col("term").isin(sorted({t for p in phrases for t in p})))
+        if blocks is not None:
+            found = checked_join(found.where(_near(blocks)), blocks.select("part", "block"), ["part", "block"], "left_semi")
+        at = found.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.first("dl").alias("dl"))
+        return at.select("id", "dl", F.array(*(_phrase_count(p) for p in phrases)).alias("tf")).where(F.exists("tf", lambda x: x > 0))
+
+    def _score(self, counts: DataFrame, idf: list[float]) -> DataFrame:
+        return counts.select("id", _sum([F.lit(w) * _impact(F.get("tf", F.lit(j)), F.col("dl"), self.avgdl) for j, w in enumerate(idf)]).alias("score"))
+
+    def top(self, query: str, k: int, pilot: int = 8) -> DataFrame:
+        """(id, score) of the best k rows, ties to the smaller id."""
+        phrases = query_phrases(query)
+        none = self.postings.select("id", F.lit(0.0).alias("score")).limit(0)
+        if not phrases or not self.n:
+            return none
+        terms = sorted({t for p in phrases for t in p})
+        held = materialise(self.impacts.where(F.col("term").isin(terms)), "impacts")
+        df = {r.term: r.n for r in held.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        if self.dead is not None:
+            for r in self.dead.where(F.col("term").isin(terms)).groupBy("term").count().collect():
+                df[r.term] -= r["count"]
+        # A block's frequency of each phrase is at most that of its rarest term there, and only where all are.
+        by_term = F.map_from_entries(F.collect_list(F.struct("term", F.struct("max_tf", "min_dl"))))
+        bounds = held.groupBy("part", "block").agg(by_term.alias("at"))
+        for j, p in enumerate(phrases):
+            own = [F.try_element_at("at", F.lit(t)) for t in p]
+            some = reduce(lambda a, b: a & b, [x.isNotNull() for x in own])
+            # Repeated, so that both functions have two arguments at least.
+            tf, dl = F.least(*(x["max_tf"] for x in own * 2)), F.greatest(*(x["min_dl"] for x in own * 2))
+            bounds = bounds.withColumn(f"b{j}", F.when(some, _impact(tf, dl, self.avgdl)))
+        bounds = materialise(bounds.drop("at"), "bounds")
+        idf = []
+        for j, p in enumerate(phrases):
+            frequency = df.get(p[0], 0) if len(p) == 1 else self._counts([p], bounds.where(F.col(f"b{j}").isNotNull()).select("part", "block")).count()
+            idf.append(_idf(self.n, frequency))
+        # A rounding error of bounds must not lose a row.
+        bound = _sum([F.coalesce(F.col(f"b{j}"), F.lit(0.0)) * w for j, w in enumerate(idf)]) * (1 + 1e-12)
+        ranges = materialise(bounds.select("part", "block", bound.alias("bound")).where("bound > 0"), "ranges")
+        self.blocks = ranges.count()
+        first = materialise(ranges.orderBy(F.desc("bound"), "part", "block").limit(pilot + -(-k // BLOCK)), "pilot")
+        best = [r.score for r in self._score(self._counts(phrases, first), idf).orderBy(F.desc("score")).limit(k).collect()]
+        wanted = materialise(ranges.where(F.col("bound") >= (best[-1] if len(best) == k else 0.0)), "wanted")
+        self.blocks_read = wanted.count()
+        found = self._score(self._counts(phrases, wanted), idf).orderBy(F.desc("score"), "id").limit(k)
+        found = materialise(found, "best")
+        discard(held, bounds, ranges, first, wanted)
+        return found
+
+
+def _near(blocks: DataFrame) -> Column:
+    """A filter that a sorted scan can use: intervals of each part that hold its wanted blocks, split at the widest gaps."""
+    rows = blocks.select("part", "block").limit(LISTED + 1).collect()
+    if len(rows) > LISTED:
+        return F.lit(True)
+    rows = sorted((r.part, r.block) for r in rows)
+    gaps = sorted(((b[1] - a[1], i) for i, (a, b) in enumerate(zip(rows, rows[1:])) if a[0] == b[0]), reverse=True)
+    cuts = sorted({i for _, i in gaps[:INTERVALS]} | {i for i, (a, b) in enumerate(zip(rows, rows[1:])) if a[0] != b[0]} | ({len(rows) - 1} if rows else set()))
+    spans = [(rows[a + 1], rows[b]) for a, b in zip([-1, *cuts], cuts)]
+    return reduce(lambda x, y: x | y, [(F.col("part") == low[0]) & F.col("block").between(low[1], high[1]) for low, high in spans], F.lit(False))
+
+
+def _phrase_count(phrase: list[str]) -> Column:
+    """How often a phrase stands in a row, from the positions of its terms in the map `at`."""
+    places = lambda t: F.coalesce(F.try_element_at("at", F.lit(t)), F.array().cast("array<int>"))
+    here = lambda i: reduce(lambda a, b: a & b, [F.array_contains(places(t), i + j) for j, t in enumerate(phrase[1:], 1)])
+    return F.size(places(phrase[0])) if len(phrase) == 1 else F.size(F.filter(places(phrase[0]), here))
+
+
 def fts_candidates(scores: DataFrame, most: int = FTS_CANDIDATES) -> DataFrame:
     """The best keyword candidates with their scores normalised by the best one's."""
     best = scores.orderBy(F.desc("score"), "id").limit(most)

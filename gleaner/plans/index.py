@@ -54,7 +54,7 @@ def _inverted(chunks: DataFrame) -> dict[str, DataFrame]:
     rows = chunks.select(key.alias("key"), F.concat_ws(" ", "content", "path").alias("text"))
     return {
         "postings": R.postings(rows, "key", F.col("text")).select("term", "id.*", "tf", "positions"),
-        "lengths": rows.select("key.*", F.size(R.tokens(F.col("text"))).alias("dl")),
+        "lengths": materialise(rows.select("key.*", F.size(R.tokens(F.col("text"))).alias("dl")), "lengths"),
     }
 
 
@@ -75,11 +75,16 @@ def _vectors(stored: DataFrame, chunks: DataFrame, adapter: TextAdapter) -> Data
     return known.unionByName(fresh)
 
 
-def _counted(snap: Snapshot, counts: dict[str, int], gone: DataFrame, chunks: DataFrame) -> dict[str, int]:
+def _counted(snap: Snapshot, counts: dict[str, int], gone: DataFrame, lengths: DataFrame) -> dict[str, int]:
     """The totals after an update, from those before and what it changes; lengths have one row for each chunk."""
-    lost = checked_join(snap.table("lengths").select("path"), gone, "path", "left_semi").count() if "changed" in counts or "pruned" in counts else 0
-    files = int(snap.meta.get("total_files", 0)) + counts.get("new", 0) - counts.get("pruned", 0)
-    return {"total_files": files, "total_chunks": int(snap.meta.get("total_chunks", 0)) - lost + chunks.count()}
+    sums = lambda df: tuple(x or 0 for x in df.agg(F.count(F.lit(1)), F.sum("dl")).first())
+    lost, lost_dl = sums(checked_join(snap.table("lengths"), gone, "path", "left_semi")) if "changed" in counts or "pruned" in counts else (0, 0)
+    made, made_dl = sums(lengths)
+    before = lambda k: int(snap.meta.get(k, 0))
+    return {
+        "total_files": before("total_files") + counts.get("new", 0) - counts.get("pruned", 0),
+        "total_chunks": before("total_chunks") - lost + made, "total_dl": before("total_dl") - lost_dl + made_dl,
+    }
 
 
 def update(index: Index, documents: DataFrame, adapter: TextAdapter, now_iso: str, source: str = "", prune: bool = True) -> dict[str, int]:
@@ -116,9 +121,10 @@ def update(index: Index, documents: DataFrame, adapter: TextAdapter, now_iso: st
     touched = checked_join(stored_files.drop("mtime_ms", "size"), materialise(touched, "touched"), "path").select(*files.columns)
     gone = of("changed", "pruned")
     meta = {"schema_version": SCHEMA_VERSION, "index_name": index.name, "source_directory": source or snap.meta.get("source_directory", ""), "model_id": adapter.name, "last_indexed_at": now_iso}
+    keywords = _inverted(chunks)
     index.commit(
-        snap, append={"files": files.unionByName(touched), "chunks": made, **_inverted(chunks)}, gone={"files": of("changed", "pruned", "touched"), "content": gone},
-        meta=meta | _counted(snap, counts, gone, chunks), reads=("files", "chunks", "lengths"),
+        snap, append={"files": files.unionByName(touched), "chunks": made, **keywords}, gone={"files": of("changed", "pruned", "touched"), "content": gone},
+        meta=meta | _counted(snap, counts, gone, keywords["lengths"]), reads=("files", "chunks", "lengths"),
     )
     discard(status, docs, chunks)
     index.compact()
@@ -156,7 +162,8 @@ def add_page_texts(index: Index, texts: DataFrame, model: str, now_iso: str) ->
     own = materialise(texts.select(F.concat(F.lit("pdf://"), "path").alias("path")).distinct(), "own")
     snap = index.snapshot()
     counts = {"new": files.count(), "pruned": checked_join(snap.table("files").select("path"), own, "path", "left_semi").count()}
-    index.commit(snap, append={"files": files, "chunks": chunks, **_inverted(chunks)}, gone={"files": own, "content": own}, meta=_counted(snap, counts, own, chunks), reads=("files", "lengths"))
+    keywords = _inverted(chunks)
+    index.commit(snap, append={"files": files, "chunks": chunks, **keywords}, gone={"files": own, "content": own}, meta=_counted(snap, counts, own, keywords["lengths"]), reads=("files", "lengths"))
     discard(own)
     index.compact()
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import scoring
 from gleaner.operators import ranking as R
-from gleaner.runtime import checked_join, read, spread
+from gleaner.runtime import checked_join, materialise, read, spread
 
 NOW_MS = 1_709_251_200_000
 EPOCH_MS = 1_704_067_200_000
 QUERY = "than thnt thea"
+BLOCK_QUERY = "license than thnt-thea"
 TOP_K = 10
 
 
@@ -59,6 +60,21 @@ def bm25_top200(spark: SparkSession, d: str) -> DataFrame:
     return best.select(F.col("id").alias("doc_id"), "score")
 
 
+def _searched(spark: SparkSession, d: str, query: str, k: int) -> tuple[DataFrame, R.BlockSearch]:
+    rows = spread(read(spark, d, "documents").select("doc_id", "text"))
+    sizes = materialise(rows.select(F.col("doc_id").alias("id"), F.size(R.tokens(F.coalesce("text", F.lit("")))).alias("dl")), "sizes")
+    posts, impacts = R.blocked(R.postings(rows, "doc_id", F.col("text")), sizes, ["id"])
+    n, avgdl = sizes.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    found = R.BlockSearch(materialise(posts.withColumn("part", F.lit(0)), "posts"), impacts.withColumn("part", F.lit(0)), n, avgdl or 0.0)
+    return found.top(query, k), found
+
+
+def bm25_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The best rows of a keyword query with a phrase, from blocks of postings."""
+    best, _ = _searched(spark, d, BLOCK_QUERY, TOP_K)
+    return best.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
     found = R.bm25(spread(read(spark, d, "documents").select("doc_id", "text")), "rights-reserved license", "doc_id", F.col("text"))
     return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
@@ -133,7 +149,7 @@ def per_index_max(spark: SparkSession, d: str) -> DataFrame:
     return shares.select("doc_id", "index_name", "n_chars", "share")
 
 
-QUERIES = {f.__name__: f for f in (knn_l2_topk, knn_score, cosine_similarity, maxsim_by_label, page_vector_counts, bm25_top200, bm25_phrase, inverted_index_stats, hybrid_text_topk, rrf_fusion, recency_boost, recency_score, relative_age, metadata_filter, threshold_cut, dedup_best, per_index_cut, per_index_max)}
+QUERIES = {f.__name__: f for f in (knn_l2_topk, knn_score, cosine_similarity, maxsim_by_label, page_vector_counts, bm25_top200, bm25_blocks, bm25_phrase, inverted_index_stats, hybrid_text_topk, rrf_fusion, recency_boost, recency_score, relative_age, metadata_filter, threshold_cut, dedup_best, per_index_cut, per_index_max)}
 
 _TOKENS = r"list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 _BM25 = f"""
@@ -178,6 +194,20 @@ SQL = {
         stats AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS avgdl FROM t)
         SELECT tfs.doc_id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / avgdl))), 6) AS score
         FROM tfs JOIN dfs USING (phrase) JOIN t USING (doc_id), stats GROUP BY tfs.doc_id""",
+    "bm25_blocks": f"""
+        WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+        places AS (SELECT doc_id, unnest(w) AS term, unnest(list_concat(w[2:], [''])) AS next FROM t),
+        tfs AS (
+            SELECT doc_id, 'p' AS phrase, count(*) AS tf FROM places WHERE term = 'thnt' AND next = 'thea' GROUP BY doc_id
+            UNION ALL SELECT doc_id, term, count(*) FROM places WHERE term IN ('license', 'than') GROUP BY doc_id, term
+        ),
+        dfs AS (SELECT phrase, count(*)::DOUBLE AS df FROM tfs GROUP BY phrase),
+        stats AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS avgdl FROM t),
+        bm AS (
+            SELECT tfs.doc_id, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / avgdl))) AS s
+            FROM tfs JOIN dfs USING (phrase) JOIN t USING (doc_id), stats GROUP BY tfs.doc_id
+        )
+        SELECT doc_id, round(s, 6) AS score FROM bm ORDER BY s DESC, doc_id LIMIT 10""",
     "inverted_index_stats": f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY term",
     "hybrid_text_topk": f"""
         WITH {_HYBRID}, timed AS (SELECT h.*, source, {_DOC_MS} AS ms FROM hybrid h JOIN documents ON doc_id = id),

@@ -24,18 +24,20 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.operators import ranking as R
+
 FILES = "path string, content_hash string, size bigint, mtime_ms bigint, indexed_at string, metadata string"
 CHUNKS = "path string, chunk_index bigint, content string, embedding array<float>, content_hash string, section_context string, content_timestamp_ms bigint"
 PAGES = "document_id string, page_number int, image_hash string, adapter_name string, num_vectors int, source_path string, indexed_at string"
 PAGE_VECTORS = "document_id string, page_number int, vector_index int, embedding array<float>"
-POSTINGS = "term string, path string, chunk_index bigint, tf bigint, positions array<int>"
+POSTINGS = "term string, path string, chunk_index bigint, tf bigint, positions array<int>, block bigint, dl int"
 LENGTHS = "path string, chunk_index bigint, dl int"
-_SCHEMAS = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "lengths": LENGTHS, "page_images": PAGES, "page_vectors": PAGE_VECTORS}
+_SCHEMAS = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "lengths": LENGTHS, "impacts": R.IMPACTS, "page_images": PAGES, "page_vectors": PAGE_VECTORS}
 #: Tables whose rows die together, by the same keys.
 FAMILY = {"files": "files", "chunks": "content", "postings": "content", "lengths": "content", "page_images": "pages", "page_vectors": "pages"}
 KEYS = {"files": ["path"], "content": ["path"], "pages": ["document_id", "page_number"]}
 #: Columns by which a table's segments are sorted, so that a filter on the first reads few row groups.
-SORTED = {"postings": ["term", "path", "chunk_index"]}
+SORTED = {"postings": ["term", "block", "path", "chunk_index"], "impacts": ["term", "block"]}
 MOST_SEGMENTS = 8
 RETENTION_MS = 3_600_000
 #: Tombstones of at most so many rows and stored bytes are broadcast; the pointer knows both.
@@ -80,25 +82,51 @@ class Snapshot:
         few = sum(g["rows"] for g in graves) <= SMALL_ROWS and sum(g["bytes"] for g in graves) <= SMALL_BYTES
         return F.broadcast(dead) if few else dead
 
-    def live(self, name: str, parts: list[dict], upto: int | None = None) -> DataFrame:
-        """The rows of some segments that are not dead, by tombstones up to a commit."""
-        if not parts:
-            return self.index.empty(name)
-        dead = self._dead(FAMILY[name], min(p["seq"] for p in parts), upto)
+    def _tagged(self, name: str, parts: list[dict]) -> DataFrame:
+        """The rows of some segments with their commit as `part`."""
+        return reduce(DataFrame.unionByName, (self._scan(name, [p]).withColumn("part", F.lit(p["seq"])) for p in parts))
+
+    def live(self, name: str, parts: list[dict], upto: int | None = None, how: str = "left_anti", tagged: bool = False) -> DataFrame:
+        """The rows of some segments that are not dead by tombstones up to a commit; the dead ones with `how` left_semi.
+
+        With `tagged` they have the commit of their segment as `part`.
+        """
+        scan = lambda ps: self._tagged(name, ps) if tagged else self._scan(name, ps)
+        none = self.index.empty(name).withColumn("part", F.lit(0)) if tagged else self.index.empty(name)
+        dead = self._dead(FAMILY[name], min(p["seq"] for p in parts), upto) if parts else None
         if dead is None:
-            return self._scan(name, parts)
+            return scan(parts) if parts and how == "left_anti" else none
         last = max(g["seq"] for g in self.state["gone"][FAMILY[name]] if upto is None or g["seq"] <= upto)
         fresh, old = [p for p in parts if p["seq"] >= last], [p for p in parts if p["seq"] < last]
-        dated = reduce(DataFrame.unionByName, (self._scan(name, [p]).withColumn("_seq", F.lit(p["seq"])) for p in old))
-        on = reduce(lambda a, b: a & b, (dated[k].eqNullSafe(dead[k]) for k in KEYS[FAMILY[name]]), dated["_seq"] < dead["_upto"])
-        left = dated.join(dead, on, "left_anti").drop("_seq")
-        return left.unionByName(self._scan(name, fresh)) if fresh else left
+        dated = self._tagged(name, old)
+        on = reduce(lambda a, b: a & b, (dated[k].eqNullSafe(dead[k]) for k in KEYS[FAMILY[name]]), dated["part"] < dead["_upto"])
+        found = dated.join(dead, on, how)
+        found = found if tagged else found.drop("part")
+        return found.unionByName(scan(fresh)) if fresh and how == "left_anti" else found
+
+    def keyword_search(self) -> R.BlockSearch:
+        """A keyword search of the live rows by blocks; the pointer has the corpus statistics."""
+        parts = self.parts("postings")
+        n, total = int(self.meta.get("total_chunks", 0)), int(self.meta.get("total_dl", 0))
+        posts = self.live("postings", parts, tagged=True).select("term", F.struct("path", "chunk_index").alias("id"), "positions", "part", "block", "dl")
+        impacts = self._tagged("impacts", self.parts("impacts")) if self.parts("impacts") else self.index.empty("impacts").withColumn("part", F.lit(0))
+        dead = self.live("postings", parts, how="left_semi").select("term") if parts and self._dead("content", parts[0]["seq"]) is not None else None
+        return R.BlockSearch(posts, impacts, n, total / n if n else 0.0, dead)
 
     def table(self, name: str) -> DataFrame:
         """The live rows of a table; columns added since a segment was written read as null."""
         return self.live(name, self.parts(name))
 
 
+def _arranged(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables of a segment: postings get blocks and lengths, and impacts beside them."""
+    if "postings" not in tables:
+        return tables
+    posts = tables["postings"].drop("block", "dl")
+    found, impacts = R.blocked(posts, tables["lengths"], ["path", "chunk_index"])
+    return tables | {"postings": found.select("term", "path", "chunk_index", "tf", "positions", "block", "dl"), "impacts": impacts}
+
+
 def _of(family: str) -> str:
     return next(name for name, f in FAMILY.items() if f == family)
 
@@ -217,7 +245,7 @@ class Index:
         Keys that go and come in one commit are replaced. `reads` names tables
         that the new rows depend on besides those written.
         """
-        parts = {n: self._write(n, df, SORTED.get(n)) for n, df in {**(append or {}), **(replace or {})}.items()}
+        parts = {n: self._write(n, df, SORTED.get(n)) for n, df in {**_arranged(append or {}), **(replace or {})}.items()}
         graves = {f: self._write(f"gone_{f}", df.select(*KEYS[f]).distinct()) for f, df in (gone or {}).items()}
         writes = {n for n, p in parts.items() if p or n in (replace or {})} | {n for n, f in FAMILY.items() if graves.get(f)}
 
@@ -263,18 +291,20 @@ class Index:
         do not change: updates that run meanwhile are carried over, and are not undone.
         """
         base, sizes = self.snapshot(), self.segments()
-        if len(sizes) < 2 or not (full or len(sizes) > (most or self.most_segments)):
+        graves = [g["seq"] for own in base.state["gone"].values() for g in own]
+        if not sizes or not (full and len(sizes) + len(graves) > 1 or len(sizes) > max(1, most or self.most_segments)):
             return False
         after = [sum(b for _, b in sizes[i + 1 :]) for i in range(len(sizes))]
         start = 0 if full else next((i for i, (_, b) in enumerate(sizes) if b <= after[i]), len(sizes) - 2)
-        first, last = sizes[start][0], sizes[-1][0]
+        first, last = sizes[start][0], max(sizes[-1][0], *graves, 0)
         # With the oldest segment, tombstones of the merged commits have nothing left to act on.
-        merged, used = {}, {}
-        for name in base.state["tables"]:
-            parts = [p for p in base.parts(name) if first <= p["seq"] <= last]
-            if len(parts) > 1 or parts and base._dead(FAMILY[name], parts[0]["seq"], last) is not None:
-                used[name] = {p["at"] for p in parts}
-                merged[name] = self._write(name, base.live(name, parts, last), SORTED.get(name))
+        within = {n: [p for p in base.parts(n) if first <= p["seq"] <= last] for n in _SCHEMAS}
+        due = {n for n, f in FAMILY.items() if len(within[n]) > 1 or within[n] and base._dead(f, within[n][0]["seq"], last) is not None}
+        if within["postings"] and due & {"postings", "lengths"}:
+            due |= {"postings", "lengths"}
+        merged = _arranged({n: base.live(n, within[n], last) for n in due})
+        used = {n: {p["at"] for p in within[n]} for n in merged}
+        merged = {n: self._write(n, df, SORTED.get(n)) for n, df in merged.items()}
         oldest = {f: min((p["seq"] for n, fam in FAMILY.items() if fam == f for p in base.parts(n)), default=0) for f in KEYS}
         graves, buried = {}, {}
         for family, old in base.state["gone"].items():
