@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import sanitize_filename
-from gleaner.operators.rollups import inverse_relations
+from gleaner.operators.rollups import inverse_relations, names_of
 
 # Labels of priorities, and the inverse of each relation type.
 PRIORITIES = {0: "None", 1: "Urgent", 2: "High", 3: "Medium", 4: "Low"}
@@ -72,14 +72,6 @@ def _named(rows: DataFrame, id_col: str, dimension: DataFrame, name: Column, out
     return rows.join(names, F.col(id_col) == F.col("_id"), "left").drop("_id")
 
 
-def _named_array(rows: DataFrame, ids: str, dimension: DataFrame, name: str, out: str) -> DataFrame:
-    """`rows`, one for each id, with the names of an array of ids in its order; ids without a name are dropped."""
-    names = dimension.select(F.col("id").alias("_id"), F.nullif(F.col(name), F.lit("")).alias("_name")).dropDuplicates(["_id"])
-    places = rows.select("id", F.posexplode(ids).alias("_at", "_id")).join(names, "_id").where("_name IS NOT NULL")
-    found = places.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_name"))), lambda x: x["_name"]).alias(out))
-    return rows.join(found, "id", "left")
-
-
 def enriched(issues: DataFrame, users: DataFrame, teams: DataFrame, projects: DataFrame, cycles: DataFrame, labels: DataFrame) -> DataFrame:
     """`issues` (typed) with the names their ids stand for, each by a left join; what has no match is null, labels without one are dropped."""
     out = issues
@@ -88,7 +80,8 @@ def enriched(issues: DataFrame, users: DataFrame, teams: DataFrame, projects: Da
         ("projectId", projects, F.col("name"), "project"), ("cycleId", cycles, cycle_name(F.col("name"), F.col("number")), "cycle"),
     ):
         out = _named(out, id_col, dim, name, new)
-    return _named_array(out, "labelIds", labels, "name", "labels")
+    names = labels.select("id", F.nullif(F.col("name"), F.lit("")).alias("name")).dropDuplicates(["id"])
+    return names_of(out, "labelIds", names, "labels")
 
 
 def frontmatter() -> Column:
@@ -119,7 +112,7 @@ def comment_names(issues: DataFrame, users: DataFrame) -> DataFrame:
     """(id, names): for each issue with comments a map of its writers' ids to their names."""
     names = users.select(F.col("id").alias("_id"), F.col("displayName").alias("_name")).dropDuplicates(["_id"])
     writers = issues.select("id", F.explode(F.array_distinct(F.transform("comments", lambda c: c["userId"]))).alias("_id")).join(names, "_id").where("_name IS NOT NULL")
-    return writers.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("_id", "_name"))).alias("names"))
+    return writers.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("_id", "_name"))).alias("names"))
 
 
 def documents(issues: DataFrame, users: DataFrame, teams: DataFrame, projects: DataFrame, cycles: DataFrame, labels: DataFrame) -> DataFrame:
@@ -133,7 +126,8 @@ def documents(issues: DataFrame, users: DataFrame, teams: DataFrame, projects: D
 
 def project_documents(projects: DataFrame, users: DataFrame, teams: DataFrame) -> DataFrame:
     """(path, frontmatter, body) of projects (id, name, slug, state, description, leadId, teamIds, startDate, targetDate)."""
-    rows = _named_array(_named(projects, "leadId", users, F.col("displayName"), "lead"), "teamIds", teams, "name", "teams")
+    names = teams.select("id", F.nullif(F.col("name"), F.lit("")).alias("name")).dropDuplicates(["id"])
+    rows = names_of(_named(projects, "leadId", users, F.col("displayName"), "lead"), "teamIds", names, "teams")
     filled = lambda c: F.nullif(F.col(c), F.lit(""))
     head = F.struct("id", "name", "slug", "state", "lead", "teams", filled("startDate").alias("startDate"), filled("targetDate").alias("targetDate"))
     page = F.concat(F.lit("# "), "name", F.lit("\n\n"), F.coalesce("description", F.lit("")))

@@ -126,7 +126,7 @@ def html_to_markdown(html: str) -> str:
 
 def body_markdown(plain: str | None, html: str | None, snippet: str | None) -> str:
     """The plain body, else the HTML one as Markdown, else the snippet."""
-    if plain and plain.strip():
+    if plain:
         return plain
     return html_to_markdown(html) if html else snippet or ""
 

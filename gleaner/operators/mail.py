@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import sanitize_filename
-from gleaner.runtime import private
+from gleaner.operators.rollups import names_of
 
 #: A record of a mailbox's history feed.
 _MOVED = "array<struct<message: struct<id: string>>>"
@@ -22,12 +22,8 @@ def without_drafts(messages: DataFrame, include: bool = False) -> DataFrame:
 
 def named_labels(messages: DataFrame, labels: DataFrame, out: str = "labels") -> DataFrame:
     """`messages` (id, labelIds, ...) with the names of their labels in order; a label without a name stays as its id."""
-    at, label, name = private(messages, "at", "label", "name")
-    names = labels.select(F.col("id").alias(label), F.col("name").alias(name)).dropDuplicates([label])
-    places = messages.select("id", F.posexplode("labelIds").alias(at, label)).join(names, label, "left")
-    found = places.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(at, F.coalesce(name, label).alias(name)))).alias(out))
-    found = found.dropDuplicates(["id"]).select("id", F.transform(out, lambda x: x[name]).alias(out))
-    return messages.join(found, "id", "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+    names = labels.select("id", "name").dropDuplicates(["id"])
+    return names_of(messages, "labelIds", names, out, keep_missing=True).withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
 
 def _filled(c: str) -> Column:

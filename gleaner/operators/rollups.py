@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.runtime import checked_join, discard, materialise
+from gleaner.runtime import checked_join, discard, materialise, private
 
 
 def ordered(rows: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:
@@ -42,13 +42,26 @@ def lookup(rows: DataFrame, dimension: DataFrame, id_col: str, dim_id: str, name
     return joined.withColumn(out, F.coalesce("_name", F.col(id_col).cast("string"))).drop("_id", "_name")
 
 
+def names_of(rows: DataFrame, ids_col: str, names: DataFrame, out: str, keep_missing: bool = False) -> DataFrame:
+    """`rows` with `out`: the names (id, name, the columns of `names` in order; each id once) of an array of ids in its order.
+
+    Ids without a name are dropped or kept as they are; null where the array is null or nothing is left. Each
+    different array is looked up once, so it does not matter whether rows repeat or what identifies them.
+    """
+    key, own, at, one, name = private(rows, "key", "own", "at", "one", "name")
+    known = names.toDF(one, name)
+    arrays = rows.select(F.col(ids_col).alias(key)).where(F.size(ids_col) > 0).distinct()
+    # A null id has no name, and takes no part in the join.
+    places = arrays.select(key, F.posexplode(key).alias(at, own)).join(known, F.col(own) == F.col(one), "left")
+    said = F.coalesce(name, F.col(own).cast("string")) if keep_missing else F.col(name)
+    found = places.where(said.isNotNull()).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at), said.alias(name)))), lambda x: x[name]).alias(out))
+    return rows.drop(out).join(found, F.col(ids_col) == F.col(key), "left").drop(key)
+
+
 def lookup_array(rows: DataFrame, dimension: DataFrame, row_id: str, ids_col: str, dim_id: str, name_col: str, out: str, keep_missing: bool = False) -> DataFrame:
     """`rows` with `out`: the names of an array of ids in its order; ids without a name are dropped or kept as they are."""
-    names = dimension.select(F.col(dim_id).alias("_id"), F.col(name_col).alias("_name")).dropDuplicates(["_id"])
-    places = rows.select(row_id, F.posexplode(ids_col).alias("_place", "_id")).join(names, "_id", "left")
-    name = F.coalesce("_name", F.col("_id").cast("string")) if keep_missing else F.col("_name")
-    found = places.where(name.isNotNull()).groupBy(row_id).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", name.alias("_name")))), lambda x: x["_name"]).alias(out))
-    return rows.join(found, row_id, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+    names = dimension.select(F.col(dim_id), F.col(name_col)).dropDuplicates([dim_id])
+    return names_of(rows, ids_col, names, out, keep_missing).withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
 
 def collision_suffix(rows: DataFrame, slug: str, id_col: str, out: str) -> DataFrame:

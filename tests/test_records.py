@@ -113,7 +113,7 @@ def test_mime():
     assert got["attachments"] == [{"attachmentId": "A", "filename": "a.pdf", "mimeType": "application/pdf", "size": 9, "contentId": "cid"}]
     assert mime.decode_body(_b64("x"), "text/plain; charset=nonsense") == "x" and mime.decode_body(None) == ""
     assert mime.html_to_markdown("<h2>T</h2><p>a <b>b</b> <a href='u'>l</a></p><ul><li>1</li><li>2</li></ul>") == "## T\n\na **b** [l](u)\n\n- 1\n- 2"
-    assert mime.body_markdown(" ", None, "snip") == "snip"
+    assert mime.body_markdown(" ", "<p>h</p>", "snip") == " " and mime.body_markdown("", None, "snip") == "snip"
 
 
 def test_mail_threads(spark):
@@ -242,3 +242,19 @@ def test_channel_documents(spark):
     assert {r.id: r.slug for r in channels.slugs(rooms, users).collect()} == {"C1": "general", "C2": "general--C2", "C3": "dm--ann", "C4": "mpim--ann--zed", "C5": "empty"}
     meta = {r.channelId: r for r in channels.summaries(rooms, messages, "now").collect()}
     assert (meta["C1"].messageCount, meta["C5"].messageCount, meta["C5"].oldestMessage) == (5, 0, None)
+
+
+def test_rows_that_repeat_an_id_get_each_name_once(spark):
+    from gleaner.operators import mail, rollups
+
+    labels = spark.createDataFrame([("L1", "One"), ("L2", "Two"), ("L2", "Two")], "id string, name string")
+    rows = spark.createDataFrame([("m", ["L1", "L9", None]), ("m", ["L1", "L9", None]), ("m", ["L2", "L1", "L2"]), (None, ["L1"]), ("n", []), ("o", None)], "id string, labelIds array<string>")
+    got = sorted((repr(r.id), r.labels) for r in mail.named_labels(rows, labels).collect())
+    assert got == [("'m'", ["One", "L9"]), ("'m'", ["One", "L9"]), ("'m'", ["Two", "One", "Two"]), ("'n'", []), ("'o'", []), ("None", ["One"])]
+    nations = spark.createDataFrame([(1, "A"), (2, "B")], "k long, name string")
+    twice = spark.createDataFrame([(7, [2, 1, 5]), (7, [2, 1, 5])], "row long, ids array<bigint>")
+    assert [r.out for r in rollups.lookup_array(twice, nations, "row", "ids", "k", "name", "out").collect()] == [["B", "A"]] * 2
+    assert [r.out for r in rollups.lookup_array(twice, nations, "row", "ids", "k", "name", "out", keep_missing=True).collect()] == [["B", "A", "5"]] * 2
+    users = spark.createDataFrame([("u", "Ann")], "id string, displayName string")
+    said = spark.createDataFrame([("i", [("u", "x")]), ("i", [("u", "x"), ("u", "y")])], "id string, comments array<struct<userId: string, body: string>>")
+    assert [(r.id, r.names) for r in issues.comment_names(said, users).collect()] == [("i", {"u": "Ann"})]
