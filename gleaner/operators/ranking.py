@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,6 +76,7 @@ def _nearest(query: list[float], k: int):
                 continue
             x = _matrix(batch.column(1)) - q
             distance = np.sqrt(np.einsum("ij,ij->i", x, x))
+            distance[np.isnan(distance)] = np.inf
             # All ties of the k-th are kept, so that ids decide among them later.
             keep = distance <= np.partition(distance, k - 1)[k - 1] if len(distance) > k else np.ones(len(distance), bool)
             yield pa.record_batch([batch.column(0), pa.array(distance)], [batch.schema.names[0], "distance"]).filter(pa.array(keep))
@@ -83,17 +85,107 @@ def _nearest(query: list[float], k: int):
 
 
 def knn(rows: DataFrame, query: list[float], k: int, id_col: str, vector_col: str = "embedding") -> DataFrame:
-    """(id_col, distance) of the k rows nearest to `query`; rows without a vector, or with one of another width, take no part.
+    """(id_col, distance) of the k rows nearest to `query`; rows without a vector, or with one of another width or with a component that is null or no number, take no part.
 
     One scan of two columns; a task keeps a bounded heap, or the best of each batch.
     """
     known = rows.where(F.size(vector_col) == len(query)).select(F.col(id_col), F.col(vector_col))
     if len(query) <= UNROLL:
-        found = known.select(F.col(id_col), l2_distance(F.col(vector_col), query).alias("distance"))
+        # Exploded, so that the filter below does not compute it again.
+        found = known.select(F.col(id_col), F.explode(F.array(l2_distance(F.col(vector_col), query))).alias("distance"))
     else:
         kind = known.schema[0].dataType.simpleString()
         found = known.mapInArrow(_nearest(query, k), f"`{id_col}` {kind}, distance double")
-    return found.orderBy("distance", id_col).limit(k)
+    # Neither null nor NaN, which is above all numbers, is below infinity.
+    return found.where(F.col("distance") < math.inf).orderBy("distance", id_col).limit(k)
+
+
+#: Vectors of a cell, about, and the most cells of one table or segment; their centres are vectors of a sample.
+CELL_ROWS, MOST_CELLS = 256, 1024
+CELLS = "cell int, centre array<double>, radius double, n bigint"
+
+
+def _cell_of(centres: np.ndarray):
+    """(cell, reach) of vectors: the nearest centre and the distance from it; cell -1 for those that can't be compared."""
+    sizes = (centres * centres).sum(axis=1)
+
+    def place(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for vectors in parts:
+            cell, reach = np.full(len(vectors), -1, np.int32), np.full(len(vectors), np.nan)
+            rows = [i for i, v in enumerate(vectors) if v is not None and len(v) == centres.shape[1]]
+            for a in range(0, len(rows), 2048):
+                own = np.array(rows[a : a + 2048])
+                x = np.stack([np.asarray(vectors.iloc[i], np.float64) for i in own])
+                good = np.isfinite(x).all(axis=1)
+                own, x = own[good], x[good]
+                best = np.argmin(sizes - 2.0 * (x @ centres.T), axis=1)
+                cell[own], reach[own] = best, np.sqrt(((x - centres[best]) ** 2).sum(axis=1))
+            yield pd.DataFrame({"cell": cell, "reach": reach})
+
+    place.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(place, "cell int, reach double")
+
+
+def celled(rows: DataFrame, vector_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """(`rows` with `cell` and `reach`, cells): vectors dealt to the nearest of a bounded sample of them.
+
+    `rows` are read several times. Vectors that are null, not finite or of another width than
+    most of the sample belong to cell -1, which every search reads.
+    """
+    known = rows.where(F.size(vector_col) > 0).select(F.col(vector_col).alias("v"))
+    wanted = min(MOST_CELLS, -(-known.count() // CELL_ROWS))
+    sample = [tuple(float(x) if x is not None else math.nan for x in r.v) for r in known.orderBy(F.xxhash64("v")).limit(wanted).collect()]
+    sample = sorted({v for v in sample if all(map(math.isfinite, v))})
+    if not sample:
+        return rows.withColumn("cell", F.lit(-1)).withColumn("reach", F.lit(None).cast("double")), rows.sparkSession.createDataFrame([], CELLS)
+    widths = [len(v) for v in sample]
+    centres = np.array([v for v in sample if len(v) == max(sorted(set(widths)), key=widths.count)])
+    located = rows.withColumn("_at", _cell_of(centres)(F.col(vector_col))).select(*(F.col(f"`{c}`") for c in rows.columns if c not in ("cell", "reach")), F.col("_at.cell").alias("cell"), F.col("_at.reach").alias("reach"))
+    named = rows.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
+    sizes = located.where("cell >= 0").groupBy("cell").agg(F.max("reach").alias("radius"), F.count(F.lit(1)).alias("n"))
+    return located, sizes.join(F.broadcast(named), "cell").select("cell", "centre", "radius", "n")
+
+
+class CellSearch:
+    """The k vectors nearest to a query, exactly, without reading cells that are too far.
+
+    `rows` (id, embedding, part, cell, reach) are sorted by (cell, reach) in each part,
+    and `cells` (part, cell, centre, radius, n) describe them. By the triangle
+    inequality a vector of reach r, in a cell whose centre is at distance d, is at least |d - r| away. The
+    nearest cells give a k-th distance; then only cells and rings that may
+    hold something as near are read. `cells`, `cells_read` and `rows_read` tell of the last search.
+    """
+
+    def __init__(self, rows: DataFrame, cells: DataFrame):
+        self.rows, self._cells = rows, cells
+        self.cells = self.cells_read = self.rows_read = 0
+
+    def _within(self, spans: list[tuple[int, int, float, float]]) -> DataFrame:
+        """Rows in rings of cells, and those of no cell."""
+        wanted = self.rows.sparkSession.createDataFrame(spans, "_part int, _cell int, _low double, _high double")
+        rows = self.rows.withColumn("cell", F.coalesce("cell", F.lit(-1)))
+        met = (F.col("part") == F.col("_part")) & (F.col("cell") == F.col("_cell")) & F.col("reach").between(F.col("_low"), F.col("_high"))
+        near = _intervals([(p, c) for p, c, _, _ in spans], "cell")
+        # At most MOST_CELLS rows for each part.
+        ringed = rows.where(near & (F.col("cell") >= 0)).join(F.broadcast(wanted), met, "left_semi")
+        return ringed.unionByName(rows.where("cell = -1"))
+
+    def nearest(self, query: list[float], k: int) -> DataFrame:
+        """(id, distance), ties to the smaller id."""
+        known = self._cells.where(F.size("centre") == len(query)).select("part", "cell", l2_distance(F.col("centre"), query).alias("d"), "radius", "n")
+        cells = sorted(known.collect(), key=lambda r: (r.d, r.part, r.cell))
+        held, first = 0, []
+        for r in cells:
+            if held >= k and len(first) >= 4:
+                break
+            first.append((r.part, r.cell, -math.inf, math.inf))
+            held += r.n
+        best = [r.distance for r in knn(self._within(first), query, k, "id").collect()]
+        limit = best[-1] * (1 + 1e-9) + 1e-12 if len(best) == k else math.inf
+        spans = [(r.part, r.cell, r.d - limit, r.d + limit) for r in cells if r.d - r.radius <= limit]
+        self.cells, self.cells_read = len(cells), len(spans)
+        self.rows_read = sum(r.n for r in cells if r.d - r.radius <= limit)
+        return knn(self._within(spans), query, k, "id")
 
 
 def query_phrases(query: str) -> list[list[str]]:
@@ -280,16 +372,19 @@ class BlockSearch:
         return found
 
 
-def _near(blocks: DataFrame) -> Column:
-    """A filter that a sorted scan can use: intervals of each part that hold its wanted blocks, split at the widest gaps."""
-    rows = blocks.select("part", "block").limit(LISTED + 1).collect()
-    if len(rows) > LISTED:
-        return F.lit(True)
-    rows = sorted((r.part, r.block) for r in rows)
+def _intervals(keys: list[tuple[int, int]], column: str) -> Column:
+    """A filter that a sorted scan can use: intervals of each part that hold its wanted keys, split at the widest gaps."""
+    rows = sorted(keys)
     gaps = sorted(((b[1] - a[1], i) for i, (a, b) in enumerate(zip(rows, rows[1:])) if a[0] == b[0]), reverse=True)
     cuts = sorted({i for _, i in gaps[:INTERVALS]} | {i for i, (a, b) in enumerate(zip(rows, rows[1:])) if a[0] != b[0]} | ({len(rows) - 1} if rows else set()))
     spans = [(rows[a + 1], rows[b]) for a, b in zip([-1, *cuts], cuts)]
-    return reduce(lambda x, y: x | y, [(F.col("part") == low[0]) & F.col("block").between(low[1], high[1]) for low, high in spans], F.lit(False))
+    return reduce(lambda x, y: x | y, [(F.col("part") == low[0]) & F.col(column).between(low[1], high[1]) for low, high in spans], F.lit(False))
+
+
+def _near(blocks: DataFrame) -> Column:
+    """A filter of wanted blocks, as far as they are few."""
+    rows = blocks.select("part", "block").limit(LISTED + 1).collect()
+    return F.lit(True) if len(rows) > LISTED else _intervals([(r.part, r.block) for r in rows], "block")
 
 
 def _phrase_count(phrase: list[str]) -> Column:

@@ -123,7 +123,7 @@ def _updated(spark: SparkSession, d: str) -> I.Index:
 def index_segments(spark: SparkSession, d: str) -> DataFrame:
     """What each commit to an index has written: rows of each table, and tombstones."""
     state = _updated(spark, d).snapshot().state
-    rows = [(p["seq"], name, p["rows"]) for name, parts in state["tables"].items() if name != "impacts" for p in parts]
+    rows = [(p["seq"], name, p["rows"]) for name, parts in state["tables"].items() if name not in ("impacts", "cells") for p in parts]
     rows += [(g["seq"], f"gone_{family}", g["rows"]) for family, graves in state["gone"].items() for g in graves]
     return spark.createDataFrame(rows, "segment int, name string, n long")
 

@@ -115,7 +115,8 @@ def update(index: Index, documents: DataFrame, adapter: TextAdapter, now_iso: st
     docs = materialise(parsed(current.join(of("new", "changed"), "path", "left_semi")), "parsed")
     chunks = chunked(docs).withColumn("content_hash", text.chunk_hash(F.col("content"), adapter.name))
     chunks = materialise(chunks, "chunks")
-    made = chunks.join(_vectors(snap.table("chunks"), chunks, adapter), "content_hash", "left").select(*index.empty("chunks").columns)
+    vectors = materialise(_vectors(snap.table("chunks"), chunks, adapter), "vectors")
+    made = chunks.join(vectors, "content_hash", "left").select("path", "chunk_index", "content", "embedding", "content_hash", "section_context", "content_timestamp_ms")
     files = docs.select("path", "content_hash", "size", "mtime_ms", F.lit(now_iso).alias("indexed_at"), "metadata")
     touched = current.join(of("touched"), "path", "left_semi").select("path", "mtime_ms", "size")
     touched = checked_join(stored_files.drop("mtime_ms", "size"), materialise(touched, "touched"), "path").select(*files.columns)
@@ -126,7 +127,7 @@ def update(index: Index, documents: DataFrame, adapter: TextAdapter, now_iso: st
         snap, append={"files": files.unionByName(touched), "chunks": made, **keywords}, gone={"files": of("changed", "pruned", "touched"), "content": gone},
         meta=meta | _counted(snap, counts, gone, keywords["lengths"]), reads=("files", "chunks", "lengths"),
     )
-    discard(status, docs, chunks)
+    discard(status, docs, chunks, vectors)
     index.compact()
     return counts
 

@@ -32,6 +32,15 @@ def knn_l2_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+def knn_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest vectors once more, from cells that may hold them."""
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    placed, cells = R.celled(rows)
+    table = materialise(placed.repartitionByRange("cell", "reach").sortWithinPartitions("cell", "reach").withColumn("part", F.lit(0)), "cells")
+    found = R.CellSearch(table, materialise(cells.withColumn("part", F.lit(0)), "centres")).nearest(_vector(spark, d, 0), 200)
+    return found.select(F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
 def knn_score(spark: SparkSession, d: str) -> DataFrame:
     distance = R.l2_distance(F.col("embedding"), _vector(spark, d, 0))
     return read(spark, d, "embeddings").select("vec_id", F.round(scoring.distance_score(distance), 6).alias("score"))
@@ -149,7 +158,7 @@ def per_index_max(spark: SparkSession, d: str) -> DataFrame:
     return shares.select("doc_id", "index_name", "n_chars", "share")
 
 
-QUERIES = {f.__name__: f for f in (knn_l2_topk, knn_score, cosine_similarity, maxsim_by_label, page_vector_counts, bm25_top200, bm25_blocks, bm25_phrase, inverted_index_stats, hybrid_text_topk, rrf_fusion, recency_boost, recency_score, relative_age, metadata_filter, threshold_cut, dedup_best, per_index_cut, per_index_max)}
+QUERIES = {f.__name__: f for f in (knn_l2_topk, knn_cells, knn_score, cosine_similarity, maxsim_by_label, page_vector_counts, bm25_top200, bm25_blocks, bm25_phrase, inverted_index_stats, hybrid_text_topk, rrf_fusion, recency_boost, recency_score, relative_age, metadata_filter, threshold_cut, dedup_best, per_index_cut, per_index_max)}
 
 _TOKENS = r"list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 _BM25 = f"""
@@ -176,8 +185,11 @@ _MS = "epoch_ms(ts)"
 _BOOST = "CASE WHEN {ms} >= 1709251200000 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / (1.0 + (1709251200000 - {ms}) / 86400000.0::DOUBLE / {half}::DOUBLE) END"
 _DOC_MS = "(1704067200000 - doc_id * 86400000)"
 
+_NEAREST = f"SELECT vec_id, round(list_distance(embedding::DOUBLE[], {_Q.format(0)}), 6) AS distance FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], {_Q.format(0)}), vec_id LIMIT 200"
+
 SQL = {
-    "knn_l2_topk": f"SELECT vec_id, round(list_distance(embedding::DOUBLE[], {_Q.format(0)}), 6) AS distance FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], {_Q.format(0)}), vec_id LIMIT 200",
+    "knn_l2_topk": _NEAREST,
+    "knn_cells": _NEAREST,
     "knn_score": f"SELECT vec_id, round(greatest(0, 1 - list_distance(embedding::DOUBLE[], {_Q.format(0)}) ** 2 / 2), 6) AS score FROM embeddings",
     "cosine_similarity": f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q.format(1)}), 6) AS similarity FROM embeddings",
     "maxsim_by_label": f"WITH {_MAXSIM} SELECT label, score FROM pages_",

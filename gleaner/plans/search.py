@@ -14,6 +14,8 @@ from gleaner.plans.segments import Index, Snapshot
 
 #: From so many postings on, keyword candidates come from blocks of high bounds, in a few jobs; both ways give the same.
 MANY_POSTINGS = 5_000_000
+#: Likewise for vectors, whose far cells are left out.
+MANY_VECTORS = 200_000
 #: All fields of a result, with their types, in order.
 RESULT = (
     ("score", "double"), ("semantic_score", "double"), ("rrf_score", "double"), ("vec_score", "double"), ("fts_score", "double"), ("index_name", "string"), ("file_path", "string"), ("relative_path", "string"), ("section_context", "string"),
@@ -43,7 +45,11 @@ def _lane(index: Snapshot, query: str, vector: list[float], top_k: int, now_ms:
         scores = index.keyword_search().top(query, R.FTS_CANDIDATES)
     else:
         scores = R.bm25_stored(postings.select("term", key, "tf", "positions"), lengths.select(key, "dl"), query)
-    near = R.knn(vectors.select(key, "embedding"), vector, 20 * top_k, "id").select("id", scoring.distance_score(F.col("distance")).alias("vec_score"))
+    if index.rows("chunks") >= MANY_VECTORS and not (prefilter and filters):
+        near = index.vector_search().nearest(vector, 20 * top_k)
+    else:
+        near = R.knn(vectors.select(key, "embedding"), vector, 20 * top_k, "id")
+    near = near.select("id", scoring.distance_score(F.col("distance")).alias("vec_score"))
     both = R.hybrid_candidates(R.fts_candidates(scores), near).select("id.*", "vec_score", "fts_score", "semantic_score")
     # At most FTS_CANDIDATES + 20 top_k rows.
     both = F.broadcast(both).join(chunks.drop("embedding"), ["path", "chunk_index"]).join(files, "path").where(scoring.matches_filters(F.col("metadata"), filters))

@@ -27,17 +27,17 @@ from pyspark.sql import functions as F
 from gleaner.operators import ranking as R
 
 FILES = "path string, content_hash string, size bigint, mtime_ms bigint, indexed_at string, metadata string"
-CHUNKS = "path string, chunk_index bigint, content string, embedding array<float>, content_hash string, section_context string, content_timestamp_ms bigint"
+CHUNKS = "path string, chunk_index bigint, content string, embedding array<float>, content_hash string, section_context string, content_timestamp_ms bigint, cell int, reach double"
 PAGES = "document_id string, page_number int, image_hash string, adapter_name string, num_vectors int, source_path string, indexed_at string"
 PAGE_VECTORS = "document_id string, page_number int, vector_index int, embedding array<float>"
 POSTINGS = "term string, path string, chunk_index bigint, tf bigint, positions array<int>, block bigint, dl int"
 LENGTHS = "path string, chunk_index bigint, dl int"
-_SCHEMAS = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "lengths": LENGTHS, "impacts": R.IMPACTS, "page_images": PAGES, "page_vectors": PAGE_VECTORS}
+_SCHEMAS = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "lengths": LENGTHS, "impacts": R.IMPACTS, "cells": R.CELLS, "page_images": PAGES, "page_vectors": PAGE_VECTORS}
 #: Tables whose rows die together, by the same keys.
 FAMILY = {"files": "files", "chunks": "content", "postings": "content", "lengths": "content", "page_images": "pages", "page_vectors": "pages"}
 KEYS = {"files": ["path"], "content": ["path"], "pages": ["document_id", "page_number"]}
 #: Columns by which a table's segments are sorted, so that a filter on the first reads few row groups.
-SORTED = {"postings": ["term", "block", "path", "chunk_index"], "impacts": ["term", "block"]}
+SORTED = {"postings": ["term", "block", "path", "chunk_index"], "impacts": ["term", "block"], "chunks": ["cell", "reach"]}
 MOST_SEGMENTS = 8
 RETENTION_MS = 3_600_000
 #: Tombstones of at most so many rows and stored bytes are broadcast; the pointer knows both.
@@ -113,13 +113,22 @@ class Snapshot:
         dead = self.live("postings", parts, how="left_semi").select("term") if parts and self._dead("content", parts[0]["seq"]) is not None else None
         return R.BlockSearch(posts, impacts, n, total / n if n else 0.0, dead)
 
+    def vector_search(self) -> R.CellSearch:
+        """A search of the live vectors by cells."""
+        rows = self.live("chunks", self.parts("chunks"), tagged=True).select(F.struct("path", "chunk_index").alias("id"), "embedding", "part", "cell", "reach")
+        cells = self._tagged("cells", self.parts("cells")) if self.parts("cells") else self.index.empty("cells").withColumn("part", F.lit(0))
+        return R.CellSearch(rows, cells)
+
     def table(self, name: str) -> DataFrame:
         """The live rows of a table; columns added since a segment was written read as null."""
         return self.live(name, self.parts(name))
 
 
 def _arranged(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Tables of a segment: postings get blocks and lengths, and impacts beside them."""
+    """Tables of a segment: postings get blocks and lengths, and impacts beside them; chunks get cells of their vectors."""
+    if "chunks" in tables:
+        chunks, cells = R.celled(tables["chunks"].drop("cell", "reach"))
+        tables = tables | {"chunks": chunks, "cells": cells}
     if "postings" not in tables:
         return tables
     posts = tables["postings"].drop("block", "dl")

@@ -31,6 +31,23 @@ def test_vectors(spark, column):
     assert column(R.cosine(F.array(F.lit(0.0), F.lit(0.0)), [1.0, 0.0])) == 0.0
 
 
+def test_cells_give_the_nearest_and_read_fewer(spark):
+    rng = random.Random(8)
+    middles = [[rng.gauss(0, 5) for _ in range(6)] for _ in range(12)]
+    rows = [(i, [x + rng.gauss(0, 0.3) for x in middles[i % 12]]) for i in range(6000)] + [(7000, None), (7001, [1.0]), (7002, [float("nan")] * 6), (7003, [1.0, None, 1.0, 1.0, 1.0, 1.0])]
+    rows += [(8000 + i, rows[3][1]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, embedding array<float>").repartition(3)
+    placed, cells = R.celled(df)
+    placed, cells = placed.withColumn("part", F.lit(1)).cache(), cells.withColumn("part", F.lit(1)).cache()
+    assert placed.count() == len(rows) and {r.id for r in placed.where("cell = -1").collect()} == {7000, 7001, 7002, 7003}
+    for query, k in ((rows[3][1], 7), (rows[3][1], 50), (middles[5], 3), ([40.0] * 6, 2), ([1.0], 3), (rows[0][1], 9000)):
+        found = R.CellSearch(placed, cells)
+        assert found.nearest(query, k).collect() == R.knn(df, query, k, "id").collect()
+        if k < 50 and len(query) == 6:
+            assert found.cells_read < found.cells and found.rows_read < 3000
+    assert R.CellSearch(placed.limit(0), cells.limit(0)).nearest([1.0] * 6, 3).count() == 0
+
+
 def test_maxsim(spark):
     pages = spark.createDataFrame([("p", [1.0, 0.0, 0.0, 0.0]), ("p", [0.0, 1.0, 0.0, 0.0]), ("q", [0.0, 0.0, 1.0, 0.0]), ("q", None)], "page string, embedding array<float>")
     own = [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]]

@@ -87,6 +87,10 @@ def test_blocks_of_postings_give_the_best_rows(spark, tmp_path):
                 assert 0 < found.blocks_read < found.blocks
             read += found.blocks_read
         assert read
+        if asked is queries:
+            for v in ([0.5, -0.5, 0.5, 0.5], [0.0] * 4, [9.0, 0.0, 0.0, 1.0]):
+                near, all_of = snap.vector_search(), snap.table("chunks").select(key, "embedding")
+                assert near.nearest(v, 9).collect() == R.knn(all_of, v, 9, "id").collect()
         index.compact(full=True)
 
 
@@ -106,7 +110,7 @@ def test_partial_merges_keep_what_tombstones_say(spark, tmp_path):
         sizes = {p for p in puts if rng.random() < 0.5}
         dims |= {p: step for p in sizes}
         index.commit(
-            index.snapshot(), append={"chunks": spark.createDataFrame([(p, 0, str(step), None, "h", None, None) for p in puts], index.empty("chunks").schema), "lengths": spark.createDataFrame([(p, 0, step) for p in sizes], index.empty("lengths").schema)},
+            index.snapshot(), append={"chunks": spark.createDataFrame([(p, 0, str(step), None, "h", None, None, None, None) for p in puts], index.empty("chunks").schema), "lengths": spark.createDataFrame([(p, 0, step) for p in sizes], index.empty("lengths").schema)},
             gone={"content": spark.createDataFrame([(p,) for p in gone], "path string")},
         )
         if rng.random() < 0.5:
