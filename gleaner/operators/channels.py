@@ -7,11 +7,12 @@ it becomes one text, and `page_lines` gives a channel of any size as sorted rows
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import chat
 from gleaner.functions.text import format_bytes
+from gleaner.operators.ranking import previous
 from gleaner.operators.rollups import collision_suffix, ordered
 
 NO_MESSAGES = "_No messages._\n"
@@ -64,8 +65,7 @@ def page_lines(messages: DataFrame, replies: DataFrame) -> DataFrame:
     """
     skip = chat.should_skip(F.col("subtype"), F.col("text"), F.size("files") > 0, F.col("botId").isNotNull() | F.col("botProfile").isNotNull())
     rows = messages.where(~skip).join(_reply_lines(replies), ["channelId", "ts"], "left")
-    order = Window.partitionBy("channelId").orderBy("ts")
-    before = F.lag("day").over(order)
+    rows, before = previous(rows, ["channelId"], ["ts"], F.col("day"), "_day_before"), F.col("_day_before")
     head = F.when(before.isNull(), F.array(F.concat(F.lit("## "), "day"), F.lit(""))).when(before != F.col("day"), F.array(F.lit(""), F.concat(F.lit("## "), "day"), F.lit("")))
     none = F.array().cast("array<string>")
     own = F.array(F.concat(_said(F.col("author"), F.col("time")), F.lit(":")), F.col("said"))

@@ -17,6 +17,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -440,9 +441,28 @@ def global_rank(rows: DataFrame, order: list[Column], by: tuple[str, ...] = (),
     return found.select(*(F.col(f"`{c}`") for c in rows.columns), (F.col(at) + F.col(before)).alias(out))
 
 
-def rrf(lanes: DataFrame, id_col: str = "id", k: int = RRF_K) -> DataFrame:
-    """(id, rrf_score) from (lane, id, score): reciprocal ranks added over lanes; ids that repeat within a lane add up."""
-    ranks = ranked(lanes, "score", id_col, by=("lane",))
+def previous(rows: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """`rows` with `out`: `value` of the row before, in `order` within `keys`; null for the first. Groups may have any size.
+
+    What a window does in one task for a group is done by global ranks: each row
+    meets the one of the rank before, so a group of any size spreads. Rows are
+    told apart by their place in the input where the order leaves ties.
+    """
+    rank, own, before, *names = private(rows.withColumn(out, F.lit(None)), "rank", "own", "before", *(f"k{i}" for i in range(len(keys))))
+    ranks = materialise(global_rank(rows.withColumn(own, value), [F.asc(c) for c in order], by=tuple(keys), out=rank), "ordered")
+    earlier = ranks.select(*(F.col(c).alias(n) for c, n in zip(keys, names)), (F.col(rank) + 1).alias(before), F.col(own).alias(out))
+    on = F.col(rank) == F.col(before)
+    for c, n in zip(keys, names):
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    return ranks.drop(own).join(earlier, on, "left").drop(rank, before, *names)
+
+
+def rrf(lanes: DataFrame, id_col: str = "id", k: int = RRF_K, large: bool = False) -> DataFrame:
+    """(id, rrf_score) from (lane, id, score): reciprocal ranks added over lanes; ids that repeat within a lane add up.
+
+    A lane is ranked in one task, as fits the candidates of a search; with `large`, by ranges, for lanes of any size.
+    """
+    ranks = global_rank(lanes, [F.desc("score"), F.asc(id_col)], by=("lane",)) if large else ranked(lanes, "score", id_col, by=("lane",))
     return ranks.groupBy(id_col).agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("rrf_score"))
 
 
@@ -487,6 +507,116 @@ def maxsim(pages: DataFrame, query: list[list[float]], page_col: str, vector_col
     return best.select(page_col, _sum([F.col(n) for n in names]).alias("score"))
 
 
+PAGE_BOUNDS = "width int, centre array<double>, radius double"
+
+
+def _units(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors of one width on the unit sphere; zero ones stay zero."""
+    x = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)
+    size = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    with np.errstate(invalid="ignore"):
+        return np.divide(x, size, out=np.zeros_like(x), where=size != 0)
+
+
+def _by_width(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    widths = pc.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    for width in sorted(set(widths.tolist())):
+        yield int(width), batch.filter(pa.array(widths == width))
+
+
+def _runs_of(pages: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a batch's rows by page, and where each page begins in it."""
+    code = pages.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    return order, np.flatnonzero(np.concatenate(([True], np.diff(code[order]) != 0)))
+
+
+def _middles(page: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for width, part in _by_width(batch, 1) if batch.num_rows else ():
+                order, first = _runs_of(part.column(0))
+                n = np.diff(np.append(first, len(order)))
+                middle = np.add.reduceat(_units(part.column(1), width)[order], first, axis=0) / n[:, None]
+                yield pa.record_batch([part.column(0).take(pa.array(order[first])), pa.array([width] * len(n), pa.int32()), pa.array(n), pa.array(list(middle), pa.list_(pa.float64()))], [page, "width", "n", "centre"])
+
+    return run
+
+
+def _radii(page: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for width, part in _by_width(batch, 1) if batch.num_rows else ():
+                away = _units(part.column(1), width) - part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                order, first = _runs_of(part.column(0))
+                far = np.maximum.reduceat(np.sqrt(np.einsum("ij,ij->i", away, away))[order], first)
+                # A vector that is not finite bounds nothing: its page is always opened.
+                far = np.where(np.isfinite(far), far, np.inf)
+                yield pa.record_batch([part.column(0).take(pa.array(order[first])), pa.array([width] * len(far), pa.int32()), pa.array(far)], [page, "width", "radius"])
+
+    return run
+
+
+def page_bounds(pages: DataFrame, page_col: str, vector_col: str = "embedding") -> DataFrame:
+    """(page_col, width, centre, radius): a ball around the unit vectors of each page and width.
+
+    The centre is the mean of the page's largest run of rows in a batch, so that
+    means are never gathered; the radius is the greatest distance from it.
+    """
+    kind = pages.schema[page_col].dataType.simpleString()
+    known = pages.where(F.size(vector_col) > 0).select(F.col(page_col), F.col(vector_col))
+    means = known.mapInArrow(_middles(page_col), f"`{page_col}` {kind}, width int, n long, centre array<double>")
+    centres = materialise(means.groupBy(page_col, "width").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre")), "middles")
+    page, width = private(known, "page", "width")
+    met = F.col(page_col).eqNullSafe(F.col(page)) & (F.size(vector_col) == F.col(width))
+    beside = checked_join(known, centres.select(F.col(page_col).alias(page), F.col("width").alias(width), "centre"), met).select(page_col, vector_col, "centre")
+    radii = beside.mapInArrow(_radii(page_col), f"`{page_col}` {kind}, width int, radius double").groupBy(F.col(page_col).alias(page), F.col("width").alias(width)).agg(F.max("radius").alias("radius"))
+    return centres.join(radii, F.col(page_col).eqNullSafe(F.col(page)) & (F.col("width") == F.col(width))).select(page_col, "width", "centre", "radius")
+
+
+def _bounds(query: list[list[float]], page: str):
+    """The most that a page's late interaction with `query` can be, by its ball."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = np.array(query, np.float64)
+        size = np.sqrt((q * q).sum(axis=1, keepdims=True))
+        q = np.divide(q, size, out=np.zeros_like(q), where=size > 0).T
+        for batch in batches:
+            if batch.num_rows:
+                near = _matrix(batch.column(1)) @ q + batch.column(2).to_numpy(zero_copy_only=False)[:, None]
+                yield pa.record_batch([batch.column(0), pa.array(np.minimum(np.nan_to_num(near, nan=1.0), 1.0).sum(axis=1) + 1e-9)], [page, "bound"])
+
+    return run
+
+
+class PageSearch:
+    """The k best pages by late interaction, exactly, opening those only whose bound may reach the k-th score.
+
+    `pages` and `bounds` are as `page_bounds` has them. `pages_known` and `pages_read` tell of the last search.
+    """
+
+    def __init__(self, pages: DataFrame, bounds: DataFrame, page_col: str, vector_col: str = "embedding"):
+        self.pages, self.bounds, self.page, self.vector = pages, bounds, page_col, vector_col
+        self.pages_known = self.pages_read = 0
+
+    def _scores(self, query: list[list[float]], wanted: DataFrame) -> DataFrame:
+        (page,) = private(self.pages, "page")
+        own = checked_join(self.pages, wanted.select(F.col(self.page).alias(page)), F.col(self.page).eqNullSafe(F.col(page)), "left_semi")
+        return maxsim(own, query, self.page, self.vector).orderBy(F.desc("score"), self.page)
+
+    def top(self, query: list[list[float]], k: int) -> DataFrame:
+        """(page_col, score), ties to the smaller page."""
+        kind = self.bounds.schema[self.page].dataType.simpleString()
+        known = self.bounds.where(F.col("width") == len(query[0])).select(self.page, "centre", "radius")
+        bounds = materialise(known.mapInArrow(_bounds(query, self.page), f"`{self.page}` {kind}, bound double"), "bounds")
+        first = materialise(bounds.orderBy(F.desc("bound"), self.page).limit(2 * k + 8), "pilot")
+        best = [r.score for r in self._scores(query, first).limit(k).collect()]
+        least = best[-1] if len(best) == k and best[-1] == best[-1] else -math.inf
+        wanted = materialise(bounds.where(F.col("bound") >= least), "opened")
+        self.pages_known, self.pages_read = bounds.count(), wanted.count()
+        return self._scores(query, wanted).limit(k)
+
+
 def keep_best(rows: DataFrame, keys: list[str], score: str, *ties: str) -> DataFrame:
     """The best row of each key by falling score."""
     order = Window.partitionBy(*keys).orderBy(F.desc(score), *ties)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.ranking import previous
 from gleaner.runtime import checked_join, discard, materialise, private
 
 
@@ -30,9 +31,9 @@ def first_last(rows: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def group_breaks(rows: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
-    """`rows` with `is_break`: whether the value differs from the row before within the keys; the first row breaks."""
-    before = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("is_break", before.isNull() | (before != value))
+    """`rows` with `is_break`: whether the value differs from the row before within the keys; the first row breaks. Groups may have any size."""
+    (before,) = private(rows, "before")
+    return previous(rows, keys, order, value, before).withColumn("is_break", F.col(before).isNull() | (F.col(before) != value)).drop(before)
 
 
 def lookup(rows: DataFrame, dimension: DataFrame, id_col: str, dim_id: str, name_col: str, out: str) -> DataFrame:

@@ -56,6 +56,13 @@ def maxsim_by_label(spark: SparkSession, d: str) -> DataFrame:
     return found.select("label", F.round("score", 6).alias("score"))
 
 
+def maxsim_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The best pages by late interaction, opened in the order of their bounds."""
+    rows = read(spark, d, "embeddings").select("label", "embedding")
+    found = R.PageSearch(rows, R.page_bounds(rows, "label"), "label").top([_vector(spark, d, i) for i in range(4)], 3)
+    return found.select("label", F.round("score", 6).alias("score"))
+
+
 def page_vector_counts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n_vectors"))
 
@@ -114,7 +121,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     query = [_vector(spark, d, i) for i in range(4)]
     pages = R.maxsim(read(spark, d, "embeddings"), query, "label").select(F.lit("vision").alias("lane"), F.concat(F.lit("vision:"), F.col("label").cast("string")).alias("id"), F.round("score", 6).alias("score"))
     lanes = lane("vec", "vec_score").unionByName(lane("fts", "fts_score")).unionByName(pages)
-    return R.rrf(lanes).select("id", F.round("rrf_score", 9).alias("rrf_score"))
+    return R.rrf(lanes, large=True).select("id", F.round("rrf_score", 9).alias("rrf_score"))
 
 
 def recency_boost(spark: SparkSession, d: str) -> DataFrame:
@@ -158,7 +165,7 @@ def per_index_max(spark: SparkSession, d: str) -> DataFrame:
     return shares.select("doc_id", "index_name", "n_chars", "share")
 
 
-QUERIES = {f.__name__: f for f in (knn_l2_topk, knn_cells, knn_score, cosine_similarity, maxsim_by_label, page_vector_counts, bm25_top200, bm25_blocks, bm25_phrase, inverted_index_stats, hybrid_text_topk, rrf_fusion, recency_boost, recency_score, relative_age, metadata_filter, threshold_cut, dedup_best, per_index_cut, per_index_max)}
+QUERIES = {f.__name__: f for f in (knn_l2_topk, knn_cells, knn_score, cosine_similarity, maxsim_by_label, maxsim_bounds, page_vector_counts, bm25_top200, bm25_blocks, bm25_phrase, inverted_index_stats, hybrid_text_topk, rrf_fusion, recency_boost, recency_score, relative_age, metadata_filter, threshold_cut, dedup_best, per_index_cut, per_index_max)}
 
 _TOKENS = r"list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 _BM25 = f"""
@@ -193,6 +200,7 @@ SQL = {
     "knn_score": f"SELECT vec_id, round(greatest(0, 1 - list_distance(embedding::DOUBLE[], {_Q.format(0)}) ** 2 / 2), 6) AS score FROM embeddings",
     "cosine_similarity": f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q.format(1)}), 6) AS similarity FROM embeddings",
     "maxsim_by_label": f"WITH {_MAXSIM} SELECT label, score FROM pages_",
+    "maxsim_bounds": f"WITH {_MAXSIM} SELECT label, score FROM pages_ ORDER BY score DESC, label LIMIT 3",
     "page_vector_counts": "SELECT label, count(*) AS n_vectors FROM embeddings GROUP BY label",
     "bm25_top200": f"WITH {_BM25} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 200",
     "bm25_phrase": f"""

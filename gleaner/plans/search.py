@@ -64,7 +64,12 @@ def _vision(index: Snapshot, query: list[list[float]], top_k: int) -> DataFrame
     if not index.meta.get("vision_adapter"):
         return None
     page = F.concat_ws("\0", "document_id", F.col("page_number").cast("string"))
-    best = R.maxsim(index.table("page_vectors").withColumn("page", page), query, "page")
+    vectors = index.table("page_vectors").withColumn("page", page)
+    if index.rows("page_vectors") >= MANY_VECTORS:
+        bounds = index.table("page_bounds").select(page.alias("page"), "width", "centre", "radius")
+        best = R.PageSearch(vectors, bounds, "page").top(query, 2 * top_k)
+    else:
+        best = R.maxsim(vectors, query, "page")
     rows = best.join(index.table("page_images").withColumn("page", page), "page").withColumn("index_name", F.lit(index.index.name)).withColumn("result_type", F.lit("vision")).withColumn("file_path", F.col("source_path"))
     return _result(R.cut_per_index(rows, 2 * top_k, "score", "page"))
 

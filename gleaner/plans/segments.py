@@ -32,9 +32,9 @@ PAGES = "document_id string, page_number int, image_hash string, adapter_name st
 PAGE_VECTORS = "document_id string, page_number int, vector_index int, embedding array<float>"
 POSTINGS = "term string, path string, chunk_index bigint, tf bigint, positions array<int>, block bigint, dl int"
 LENGTHS = "path string, chunk_index bigint, dl int"
-_SCHEMAS = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "lengths": LENGTHS, "impacts": R.IMPACTS, "cells": R.CELLS, "page_images": PAGES, "page_vectors": PAGE_VECTORS}
+_SCHEMAS = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "lengths": LENGTHS, "impacts": R.IMPACTS, "cells": R.CELLS, "page_images": PAGES, "page_vectors": PAGE_VECTORS, "page_bounds": f"document_id string, page_number int, {R.PAGE_BOUNDS}"}
 #: Tables whose rows die together, by the same keys.
-FAMILY = {"files": "files", "chunks": "content", "postings": "content", "lengths": "content", "page_images": "pages", "page_vectors": "pages"}
+FAMILY = {"files": "files", "chunks": "content", "postings": "content", "lengths": "content", "page_images": "pages", "page_vectors": "pages", "page_bounds": "pages"}
 KEYS = {"files": ["path"], "content": ["path"], "pages": ["document_id", "page_number"]}
 #: Columns by which a table's segments are sorted, so that a filter on the first reads few row groups.
 SORTED = {"postings": ["term", "block", "path", "chunk_index"], "impacts": ["term", "block"], "chunks": ["cell", "reach"]}
@@ -125,10 +125,15 @@ class Snapshot:
 
 
 def _arranged(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Tables of a segment: postings get blocks and lengths, and impacts beside them; chunks get cells of their vectors."""
+    """Tables of a segment: postings get blocks and lengths, and impacts beside them; chunks get cells of their vectors; pages get bounds."""
     if "chunks" in tables:
         chunks, cells = R.celled(tables["chunks"].drop("cell", "reach"))
         tables = tables | {"chunks": chunks, "cells": cells}
+    if "page_vectors" in tables and "page_bounds" not in tables:
+        page = F.to_json(F.struct("document_id", "page_number")).alias("page")
+        bounds = R.page_bounds(tables["page_vectors"].select(page, "embedding"), "page")
+        bounds = bounds.withColumn("page", F.from_json("page", "document_id string, page_number int"))
+        tables = tables | {"page_bounds": bounds.select("page.*", "width", "centre", "radius")}
     if "postings" not in tables:
         return tables
     posts = tables["postings"].drop("block", "dl")

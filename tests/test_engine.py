@@ -54,6 +54,39 @@ def test_maxsim(spark):
     assert {r.page: r.score for r in R.maxsim(pages, own, "page").collect()} == {"p": 2.0, "q": 0.0}
 
 
+def test_bounds_of_pages_give_the_best_and_open_fewer(spark):
+    rng = random.Random(6)
+    middles = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(60)]
+    rows = [(f"p{p}" if p else None, [x + rng.gauss(0, 0.05) for x in middles[p]]) for p in range(60) for _ in range(20)]
+    rows += [("z", [0.0] * 5), ("z", None), ("w", [1.0]), ("p3", [2.0]), ("p1", [float("inf")] * 5)] + [("p4", rows[85][1])] * 400
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "page string, embedding array<float>").repartition(4)
+    bounds = R.page_bounds(df, "page").cache()
+    assert bounds.count() == 63
+    for query, k in (([middles[7], middles[9]], 3), ([middles[7]], 1), ([[1.0]], 5), ([middles[0], [0.0] * 5], 70)):
+        found = R.PageSearch(df.where("page IS NULL OR page <> 'p1'"), bounds, "page")
+        got = [(r.page, round(r.score, 9)) for r in found.top(query, k).collect()]
+        want = R.maxsim(df.where("page IS NULL OR page <> 'p1'"), query, "page").orderBy(F.desc("score"), "page").limit(k)
+        assert got == [(r.page, round(r.score, 9)) for r in want.collect()] and got
+        if k < 4:
+            assert found.pages_read < found.pages_known / 2
+
+
+def test_rows_before_and_large_lanes(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(400), i, rng.choice([None, 1, 2])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, ts int, id int, v int").repartition(5)
+    got = {r.id: r.before for r in R.previous(df, ["k"], ["ts", "id"], F.col("v"), "before").collect()}
+    last, want = {}, {}
+    for k, ts, i, v in sorted(rows, key=lambda r: (r[0] or "", r[0] is None, r[1], r[2])):
+        want[i] = last.get(k)
+        last[k] = v
+    assert got == want
+    lanes = df.select(F.coalesce("k", F.lit("c")).alias("lane"), (F.col("id") % 700).alias("id"), F.col("ts").alias("score"))
+    one, two = ({r.id: round(r.rrf_score, 12) for r in R.rrf(lanes, large=large).collect()} for large in (False, True))
+    assert one == two and R.rrf(lanes.limit(0), large=True).count() == 0
+
+
 def test_large_queries_take_the_matrix_path(spark):
     rng = random.Random(2)
     rows = [(f"p{i % 7}" if i % 11 else None, i, [rng.gauss(0, 1) for _ in range(300)]) for i in range(200)] + [("p0", 900, None), ("p1", 901, [0.0] * 300), ("p2", 902, [1.0])]
