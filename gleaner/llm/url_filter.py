@@ -31,7 +31,7 @@ _BAD_PATHS = ("/en/101", "/de/33", "/fr/222.html", "/es/9/", "/buy-cheap-now", "
 
 # Syllables of the made-up names of ordinary hosts.
 _SYLLABLES = ("an", "ber", "co", "del", "en", "fi", "gor", "hat", "in", "kel", "lor", "mon", "ner", "ol", "per", "ri", "sen", "tor", "ul", "ver", "wes", "th", "er", "on", "st", "re", "ti", "ble", "ing", "ou", "sh", "ly")
-ORDINARY = 400
+ORDINARY = 240
 
 
 def _names() -> list[str]:
@@ -48,12 +48,16 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     """The small labelled table (url, label, word): label 1 for those to block.
 
     Ordinary hosts are most of them, as they are of the web: real words in pairs, and
-    made-up names of many shapes. Hosts to block are pairs of words of advertising.
+    made-up names of many shapes. Hosts to block have words of advertising: in pairs,
+    alone, and beside another name or a letter.
     Paths of either kind go with both, more often with their own. `word` is the host's
     first word, by which hosts can be held out.
     """
     hosts = [(f"{first}-{words[(i + j) % len(words)]}", first, label, i + j) for words, label in ((_GOOD_WORDS, 0), (_BAD_WORDS, 1)) for i, first in enumerate(words) for j in (1, 3, 6)]
-    hosts += [(name, name, 0, i) for i, name in enumerate(_names())]
+    names = _names()
+    hosts += [(name, name, 0, i) for i, name in enumerate(names)]
+    for i, word in enumerate(_BAD_WORDS):
+        hosts += [(word, word, 1, i), (f"{word}-{names[i]}", word, 1, i + 1), (f"{word}-{names[-i - 1]}", word, 1, i + 2), (f"{word}-{'xzqwk'[i % 5]}", word, 1, i + 3)]
     rows = []
     for host, word, label, i in hosts:
         own, other = (_BAD_PATHS, _GOOD_PATHS) if label else (_GOOD_PATHS, _BAD_PATHS)
