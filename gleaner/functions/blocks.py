@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_DEPTH = 20
+#: Frames that rendering may nest: some four for each level of blocks.
+DEEPEST = 20_000
 _LISTS = {"bulleted_list_item", "numbered_list_item", "to_do"}
 # Prefixes of plain text blocks, and labels of linked ones without a caption.
 _HEADINGS = {"heading_1": "# ", "heading_2": "## ", "heading_3": "### "}
@@ -217,8 +219,8 @@ def page_title(properties: dict) -> str:
     return next((t for p in properties.values() if p.get("type") == "title" and (t := plain_text(p.get("title")))), "Untitled")
 
 
-def tree(rows: list[dict], root: str | None = None, most_depth: int = MOST_DEPTH) -> list[dict]:
-    """Blocks (id, parent_id, ordinal, type, content JSON) as nested children, in order; cycles and too deep ones are cut.
+def tree(rows: list[dict], root: str | None = None, most_depth: int | None = None) -> list[dict]:
+    """Blocks (id, parent_id, ordinal, type, content JSON) as nested children, in order; cycles are cut, and what is deeper than `most_depth` if that is given.
 
     A synced block that names its origin has the origin's children; child pages and databases are not entered.
     """
@@ -230,7 +232,7 @@ def tree(rows: list[dict], root: str | None = None, most_depth: int = MOST_DEPTH
     def grow(at: str | None, depth: int, seen: frozenset) -> list[dict]:
         out = []
         for r in below.get(at, []):
-            if r["id"] in seen or depth > most_depth:
+            if r["id"] in seen or most_depth is not None and depth > most_depth:
                 continue
             content = json.loads(r["content"]) if isinstance(r["content"], str) else r["content"] or {}
             origin = ((content.get("synced_from") or {}).get("block_id") if r["type"] == "synced_block" else None) or r["id"]
@@ -241,13 +243,14 @@ def tree(rows: list[dict], root: str | None = None, most_depth: int = MOST_DEPTH
     return grow(root, 0, frozenset())
 
 
-def render_pages(blocks: DataFrame, page_col: str = "page_id") -> DataFrame:
-    """(page_col, markdown) from blocks (page_col, id, parent_id, ordinal, type, content), one row for each page."""
+def render_pages(blocks: DataFrame, page_col: str = "page_id", most_depth: int | None = None) -> DataFrame:
+    """(page_col, markdown) from blocks (page_col, id, parent_id, ordinal, type, content), one row for each page; whole, unless `most_depth` is given."""
     packed = blocks.groupBy(page_col).agg(F.collect_list(F.struct("id", "parent_id", "ordinal", "type", "content")).alias("blocks"))
 
     @F.pandas_udf("string")
     def markdown(pages: pd.Series) -> pd.Series:
         draw = Renderer()
-        return pages.map(lambda rows: draw.blocks(tree([dict(r) for r in rows])))
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
+        return pages.map(lambda rows: draw.blocks(tree([dict(r) for r in rows], most_depth=most_depth)))
 
     return packed.select(page_col, markdown("blocks").alias("markdown"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import sanitize_filename
 from gleaner.operators.rollups import inverse_relations, names_of
+from gleaner.runtime import materialise
 
 # Labels of priorities, and the inverse of each relation type.
 PRIORITIES = {0: "None", 1: "Urgent", 2: "High", 3: "Medium", 4: "Low"}
@@ -116,7 +117,8 @@ def comment_names(issues: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def documents(issues: DataFrame, users: DataFrame, teams: DataFrame, projects: DataFrame, cycles: DataFrame, labels: DataFrame) -> DataFrame:
-    """(path, frontmatter, body) of typed issues."""
+    """(path, frontmatter, body) of typed issues, which are written out once: names of people and labels are looked up from them again."""
+    issues = materialise(issues, "issues")
     rows = enriched(issues, users, teams, projects, cycles, labels).join(comment_names(issues, users), "id", "left")
     keys = teams.select(F.col("id").alias("_team"), F.col("key").alias("_key")).dropDuplicates(["_team"])
     rows = rows.join(keys, F.col("teamId") == F.col("_team"), "left")

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from gleaner.runtime import clear_scratch  # noqa: E402
+
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -18,7 +20,8 @@ SESSION.sparkContext.setLogLevel("ERROR")
 
 @pytest.fixture(scope="session")
 def spark():
-    return SESSION
+    yield SESSION
+    clear_scratch(SESSION)
 
 
 @pytest.fixture(scope="session")

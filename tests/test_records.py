@@ -67,6 +67,10 @@ def test_pages_from_adjacency_rows(spark):
     assert {r.page_id: r.markdown for r in render_pages(df).collect()} == {"p1": "- top\nin\n\nin", "p2": "# H"}
     cycle = [{"id": "a", "parent_id": "a", "ordinal": 0, "type": "paragraph", "content": "{}"}]
     assert tree(cycle) == []
+    deep = [{"id": f"b{i}", "parent_id": f"b{i - 1}" if i else None, "ordinal": 0, "type": "bulleted_list_item", "content": json.dumps({"rich_text": [{"plain_text": f"item {i}"}]})} for i in range(400)]
+    frame = spark.createDataFrame([("p", *r.values()) for r in deep], "page_id string, id string, parent_id string, ordinal int, type string, content string")
+    whole = render_pages(frame).first().markdown
+    assert all(f"item {i}" in whole for i in range(400)) and "item 21" not in render_pages(frame, most_depth=20).first().markdown
 
 
 def test_chat_blocks(column):
