@@ -109,7 +109,8 @@ def test_a_low_recall_doubles_the_overlap(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(vector_dedup, "PER_CENTRE", 16)
     monkeypatch.setattr(vector_dedup, "audited_recall", lambda *a, **k: seen.append(1) or 0.0)
-    vector_dedup.near_vectors(spark.createDataFrame(vectors(2, 60), VECTORS), overlap=1).count()
+    with pytest.raises(RuntimeError, match="recall 0.0000"):  # and no incomplete result comes back
+        vector_dedup.near_vectors(spark.createDataFrame(vectors(2, 60), VECTORS), overlap=1).count()
     assert len(seen) >= 2
 
 
