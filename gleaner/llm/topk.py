@@ -26,9 +26,9 @@ from gleaner.runtime import materialise, private, with_row_ids
 
 K = 10
 SCALE = 1024
-#: Vectors and components of a shard at most; queries of a block; shards of a chain.
+#: Vectors and components of a shard at most; bytes of the queries of a block; shards of a chain.
 SHARD, SHARD_CELLS = 4096, 1 << 20
-QUERY_BLOCK = 512
+QUERY_BYTES = 8 << 20
 CHAIN = 4
 #: Bounds of a long: components beyond take no part, scores beyond are given as the bound.
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
@@ -81,14 +81,27 @@ def threshold_search(
     return rows[best], scores[best]
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """`x` in the narrowest whole numbers that hold it, so that a shard is sent to each query block in few bytes."""
+    low, high = x.min(initial=0), x.max(initial=0)
+    return x.astype(next(t for t in ("<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def _wide(raw: bytes, rows: int, width: int) -> np.ndarray:
+    """The matrix of `_narrow`'s bytes, as longs."""
+    cell = len(raw) // max(1, rows * width)
+    return np.frombuffer(raw, f"<i{max(2, cell)}").reshape(rows, width).astype(np.int64)
+
+
 def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each shard or query block: its uids, ids and matrix, the sorted lists of a shard, and the floors of queries."""
     for g in groups(batches, ["block"]):
         x = np.array(g.column("vector").to_pylist(), np.int64)
         is_shard = not g.column("is_query")[0].as_py()
-        order = np.argsort(-x, axis=0, kind="stable").T.astype("<i4") if is_shard else np.zeros(0, "<i4")
+        place = "<u2" if len(x) <= 1 << 16 else "<u4"
+        order = np.argsort(-x, axis=0, kind="stable").T.astype(place) if is_shard else np.zeros(0, place)
         first = [g.column(c).combine_chunks().slice(0, 1) for c in ("block", "is_query", "width")]
-        raw = [g.column("uid").to_numpy().tobytes(), g.column("id").to_numpy().tobytes(), x.tobytes(), order.tobytes()]
+        raw = [g.column("uid").to_numpy().tobytes(), g.column("id").to_numpy().tobytes(), _narrow(x).tobytes(), order.tobytes()]
         floors = pa.array([g.column("floor").to_pylist()], pa.list_(pa.int64()))
         yield pa.record_batch([*first, *(pa.array([v], pa.binary()) for v in raw), floors], ["block", "is_query", "width", "uids", "ids", "matrix", "lists", "floors"])
 
@@ -102,14 +115,14 @@ class _Block:
     def __init__(self, row: dict, k: int):
         self.k = k
         self.uids, self.ids = (np.frombuffer(row[c], np.int64) for c in ("uids", "ids"))
-        self.q = np.frombuffer(row["matrix"], np.int64).reshape(-1, row["width"])
+        self.q = _wide(row["matrix"], len(self.uids), row["width"])
         self.floors = row["floors"]
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, object))] * len(self.uids)
 
     def pass_by(self, row: dict) -> None:
         uids, ids = (np.frombuffer(row[c], np.int64) for c in ("uids", "ids"))
-        x = np.frombuffer(row["matrix"], np.int64).reshape(-1, row["width"])
-        order = np.frombuffer(row["lists"], "<i4").reshape(row["width"], -1)
+        x = _wide(row["matrix"], len(uids), row["width"])
+        order = np.frombuffer(row["lists"], "<u2" if len(uids) <= 1 << 16 else "<u4").reshape(row["width"], -1)
         q = self.q
         largest = lambda m: float(np.abs(m.astype(np.float64)).max(initial=0))
         if row["width"] * largest(q) * largest(x) < 2**53:
@@ -179,7 +192,7 @@ def _quantised(scale: int):
 
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE,
-    shard: int = SHARD, query_block: int = QUERY_BLOCK, chain: int = CHAIN,
+    shard: int = SHARD, query_block: int | None = None, chain: int = CHAIN,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where `is_query` holds, the k highest integer inner products.
 
@@ -190,6 +203,9 @@ def top_k(
     each is a query and a candidate for the others; fewer candidates than k are
     all given; an empty table gives no rows; a score beyond a long is given as
     the nearest long, and ranks among such by id between chains.
+
+    A shard is sent once to each block of `query_block` queries, by default as
+    many as fill QUERY_BYTES, so what is shuffled grows with shards times blocks.
     """
     (uid,) = private(vectors, "uid")
     tagged = with_row_ids(vectors.where(F.col(id_col).isNotNull()), id_col, uid)
@@ -199,7 +215,7 @@ def top_k(
     asked = materialise(known.join(asked, "uid", "left_semi"), "queries")
     counted = lambda rows: {r.width: r.n for r in rows.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}
     shards_of = {w: -(-n // max(1, min(shard, SHARD_CELLS // w))) for w, n in counted(known).items()}
-    blocks_of = {w: -(-n // query_block) for w, n in counted(asked).items()}
+    blocks_of = {w: -(-n // (query_block or max(1, QUERY_BYTES // (8 * w)))) for w, n in counted(asked).items()}
     by_width = lambda table: F.coalesce(*(F.when(F.col("width") == w, F.lit(n)) for w, n in table.items()), F.lit(1)).cast("long")
 
     def dealt(rows: DataFrame, parts: dict[int, int], query: bool) -> DataFrame:
