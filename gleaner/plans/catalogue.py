@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import connectors, engine, etl, exports, ranking, records
+from gleaner.plans import connectors, engine, etl, exports, increments, ranking, records
 
-FAMILIES = (ranking, etl, records, connectors, exports, engine)
+FAMILIES = (ranking, etl, records, connectors, exports, engine, increments)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

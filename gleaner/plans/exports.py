@@ -12,7 +12,7 @@ from gleaner.functions.frontmatter import yaml_to_json
 from gleaner.operators import mail
 from gleaner.operators import rollups as R
 from gleaner.runtime import read, scratch_path
-from gleaner.sources import files, sinks
+from gleaner.sources import files, publish, sinks
 
 
 def _s(c: str | Column) -> Column:
@@ -189,7 +189,7 @@ def files_round_trip(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     name = F.concat(F.when(k % 5 == 0, "_skip/").when(k % 5 == 1, "sub/.hidden/").when(k % 5 == 2, "sub/deep/").otherwise(""), F.lit("f"), _s(k), F.when(k % 3 == 0, ".mD").when(k % 3 == 1, ".txt").otherwise(".pdf"))
     rows = read(spark, d, "supplier").select(name.alias("path"), F.concat("s_name", F.lit(" é")).alias("content"))
-    sinks.write_documents(rows, root)
+    publish.write_documents(rows, root)
     found = files.read_documents(spark, root)
     walked = files.walk_files(spark, root).select("path", F.lit(True).alias("walked"))
     return found.join(walked, "path", "left").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size", "content", F.coalesce("walked", F.lit(False)).alias("walked"))

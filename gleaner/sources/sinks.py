@@ -1,14 +1,13 @@
-"""Writers: documents as Markdown with frontmatter, JSON lines, sidecars, and the state of a sync."""
+"""Writers: documents as Markdown with frontmatter, JSON lines, sidecars, and the state of a sync (folders of documents: `publish`)."""
 
 from __future__ import annotations
 
 import json
 import os
 import tempfile
-import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,32 +37,6 @@ def atomic_write(path: str, content: str | bytes) -> None:
     os.replace(temporary, path)
 
 
-def _put(root: str, path: str, content: str | bytes) -> None:
-    """Write a file below a root on any store that pyarrow knows; a reader sees all of it or none."""
-    if root.startswith("file:") or "://" not in root:
-        base = "/" + root.removeprefix("file:").lstrip("/") if root.startswith("file:") else root
-        return atomic_write(os.path.join(base, path), content)
-    from pyarrow import fs
-
-    store, inner = fs.FileSystem.from_uri(f"{root.rstrip('/')}/{path}")
-    store.create_dir(os.path.dirname(inner), recursive=True)
-    temporary = f"{os.path.dirname(inner)}/.tmp-{uuid.uuid4().hex}"
-    with store.open_output_stream(temporary) as f:
-        f.write(content if isinstance(content, bytes) else content.encode())
-    store.move(temporary, inner)
-
-
-def write_documents(rows: DataFrame, root: str) -> None:
-    """Write (path, content) rows, texts or bytes, as files below a shared folder, each atomically, from the executors."""
-
-    def put(part: Iterable) -> None:
-        for row in part:
-            content = row["content"]
-            _put(root, row["path"], bytes(content) if isinstance(content, (bytes, bytearray)) else content)
-
-    rows.select("path", "content").foreachPartition(put)
-
-
 def remove_documents(rows: DataFrame, root: str) -> None:
     """Remove the files of (path) rows from the executors; those that are gone already are no error."""
 

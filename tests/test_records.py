@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import chat, issues, mime
 from gleaner.functions.blocks import Renderer, page_title, property_value, render_pages, rich_text, tree
 from gleaner.operators import channels, rollups
-from gleaner.sources import dumps, sinks
+from gleaner.sources import dumps, publish, sinks
 
 C = F.col("c")
 
@@ -195,8 +195,8 @@ def test_dumps(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a/b.md", "A"), ("c.md", "é")], "path string, content string")
-    sinks.write_documents(rows, f"file://{tmp_path}")
-    sinks.write_documents(rows, f"file://{tmp_path}")
+    publish.write_documents(rows, f"file://{tmp_path}")
+    publish.write_documents(rows, f"file://{tmp_path}")
     assert (tmp_path / "a/b.md").read_text() == "A" and (tmp_path / "c.md").read_text() == "é"
     sinks.remove_documents(spark.createDataFrame([("c.md",), ("c.md",)], "path string"), str(tmp_path))
     assert not (tmp_path / "c.md").exists()
