@@ -21,6 +21,9 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 ARROW_BATCH = "4m"
 _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What rows of a Parquet file may take in memory for each byte stored; short strings such as names and ids are packed so well.
+PACKED = "16.0"
+_PACKED = "spark.sql.sources.fileCompressionFactor"
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -31,9 +34,21 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(_ARROW, ARROW_BATCH)
 
 
+def bound_broadcasts(spark: SparkSession) -> None:
+    """The planner takes a file for as large as its rows may be in memory, unless the session says how large.
+
+    By bytes stored it would send a million packed names through the driver; what proves small is still broadcast, by AQE.
+    """
+    if spark.conf.get("spark.gleaner.packed", None) is None:
+        spark.conf.set("spark.gleaner.packed", PACKED)
+        if float(spark.conf.get(_PACKED, "1.0")) == 1.0:
+            spark.conf.set(_PACKED, PACKED)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The Parquet table `table` below `sf_dir`, on any file system Spark reads."""
     bound_batches(spark)
+    bound_broadcasts(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

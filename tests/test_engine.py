@@ -5,11 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import embedding as E
+from gleaner.functions import issues
 from gleaner.functions.embedding import HashingAdapter, by_kind, clear, embed, finite, get, names, register
 from gleaner.operators import ranking as R
 from gleaner.plans import index as I
 from gleaner.plans import sync
 from gleaner.plans.search import fuse, merge_text, search
+from gleaner.runtime import measured, read
 from gleaner.sources import dumps, files, sinks
 from gleaner.streaming import incremental
 
@@ -359,3 +361,15 @@ def test_crashes_between_pointers_lose_nothing(spark, tmp_path):
     assert index.table("files").count() == 1 and len(index._pointers()) == 3 and before.count() == 1
     index.vacuum(0)
     assert index.table("files").count() == 1 and len(index._pointers()) == 2
+
+
+def test_packed_names_do_not_go_through_the_driver(spark, tmp_path):
+    """A file far below the broadcast threshold whose rows are above it is joined by a shuffle."""
+    names = spark.range(250_000).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("id"), F.format_string("Customer#%09d", "id").alias("displayName"))
+    names.coalesce(1).write.parquet(str(tmp_path / "names.parquet"))
+    dimension = read(spark, str(tmp_path), "names")
+    stored = sum(f.stat().st_size for f in (tmp_path / "names.parquet").glob("*.parquet"))
+    assert stored < 10 << 20 < measured(dimension)[1]
+    rows = spark.range(250_000).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("assigneeId"), F.repeat(F.lit("x"), 100).alias("title"))
+    joined = issues._named(rows, "assigneeId", dimension, F.col("displayName"), "assignee")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
