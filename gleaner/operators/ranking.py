@@ -333,8 +333,8 @@ class BlockSearch:
     def _score(self, counts: DataFrame, idf: list[float]) -> DataFrame:
         return counts.select("id", _sum([F.lit(w) * _impact(F.get("tf", F.lit(j)), F.col("dl"), self.avgdl) for j, w in enumerate(idf)]).alias("score"))
 
-    def top(self, query: str, k: int, pilot: int = 8) -> DataFrame:
-        """(id, score) of the best k rows, ties to the smaller id."""
+    def top(self, query: str, k: int, pilot: int = 8, tied: bool = False) -> DataFrame:
+        """(id, score) of the best k rows, ties to the smaller id; with `tied`, all that tie with the k-th too."""
         phrases = query_phrases(query)
         none = self.postings.select("id", F.lit(0.0).alias("score")).limit(0)
         if not phrases or not self.n:
@@ -367,8 +367,14 @@ class BlockSearch:
         best = [r.score for r in self._score(self._counts(phrases, first), idf).orderBy(F.desc("score")).limit(k).collect()]
         wanted = materialise(ranges.where(F.col("bound") >= (best[-1] if len(best) == k else 0.0)), "wanted")
         self.blocks_read = wanted.count()
-        found = self._score(self._counts(phrases, wanted), idf).orderBy(F.desc("score"), "id").limit(k)
-        found = materialise(found, "best")
+        scored = self._score(self._counts(phrases, wanted), idf)
+        if tied:
+            scored = materialise(scored, "scored")
+            last = scored.orderBy(F.desc("score")).limit(k).agg(F.min("score")).first()[0]
+            found = materialise(scored.where(F.col("score") >= last), "best")
+            discard(scored)
+        else:
+            found = materialise(scored.orderBy(F.desc("score"), "id").limit(k), "best")
         discard(held, bounds, ranges, first, wanted)
         return found
 
@@ -402,6 +408,13 @@ def fts_candidates(scores: DataFrame, most: int = FTS_CANDIDATES) -> DataFrame:
     return best.withColumn("fts_score", F.when(top > 0, F.col("score") / top).otherwise(0.0)).select("id", "fts_score")
 
 
+def newest_candidates(scores: DataFrame, times: DataFrame, most: int = FTS_CANDIDATES) -> DataFrame:
+    """`fts_candidates` whose ties go to the newer row by `times` (id, ms), those without a time last, then to the smaller id."""
+    age = F.coalesce(-F.col("ms"), F.lit((1 << 63) - 1))
+    aged = scores.join(times.select("id", "ms"), "id", "left").select(F.struct(age.alias("age"), "id").alias("id"), "score")
+    return fts_candidates(aged, most).select("id.id", "fts_score")
+
+
 def hybrid_candidates(keyword: DataFrame, vector: DataFrame) -> DataFrame:
     """(id, vec_score, fts_score, semantic_score): the union of both candidate sets; a missing side counts 0."""
     both = keyword.join(vector, "id", "full").select("id", F.coalesce("vec_score", F.lit(0.0)).alias("vec_score"), F.coalesce("fts_score", F.lit(0.0)).alias("fts_score"))

@@ -32,25 +32,29 @@ def _lane(index: Snapshot, query: str, vector: list[float], top_k: int, now_ms:
     """The best 2 top_k chunks of one index: both candidate sets, then filters, then scores.
 
     Keyword candidates come from the stored postings and vector candidates from
-    two columns of the chunks; contents and metadata are joined to candidates only.
+    a few columns of the chunks; contents and metadata are joined to candidates only.
+    Candidates that tie at the cut are taken by their time, the newer first, since
+    that is the better result; then by path.
     """
     meta = index.meta
     key = F.struct("path", "chunk_index").alias("id")
     files, chunks = index.table("files").select("path", "metadata"), index.table("chunks")
-    postings, lengths, vectors = index.table("postings"), index.table("lengths"), chunks.select("path", "chunk_index", "embedding")
+    newest = F.struct(F.coalesce(-F.col("content_timestamp_ms"), F.lit((1 << 63) - 1)).alias("age"), "path", "chunk_index").alias("id")
+    times = chunks.select(key, F.col("content_timestamp_ms").alias("ms"))
+    postings, lengths, vectors = index.table("postings"), index.table("lengths"), chunks.select("path", "chunk_index", "content_timestamp_ms", "embedding")
     if prefilter and filters:
         allowed = files.where(scoring.matches_filters(F.col("metadata"), filters)).select("path")
         postings, lengths, vectors = (t.join(allowed, "path", "left_semi") for t in (postings, lengths, vectors))
     if index.rows("postings") >= MANY_POSTINGS and not (prefilter and filters):
-        scores = index.keyword_search().top(query, R.FTS_CANDIDATES)
+        scores = index.keyword_search().top(query, R.FTS_CANDIDATES, tied=True)
     else:
         scores = R.bm25_stored(postings.select("term", key, "tf", "positions"), lengths.select(key, "dl"), query)
     if index.rows("chunks") >= MANY_VECTORS and not (prefilter and filters):
-        near = index.vector_search().nearest(vector, 20 * top_k)
+        near = index.vector_search(newest).nearest(vector, 20 * top_k)
     else:
-        near = R.knn(vectors.select(key, "embedding"), vector, 20 * top_k, "id")
-    near = near.select("id", scoring.distance_score(F.col("distance")).alias("vec_score"))
-    both = R.hybrid_candidates(R.fts_candidates(scores), near).select("id.*", "vec_score", "fts_score", "semantic_score")
+        near = R.knn(vectors.select(newest, "embedding"), vector, 20 * top_k, "id")
+    near = near.select(F.struct("id.path", "id.chunk_index").alias("id"), scoring.distance_score(F.col("distance")).alias("vec_score"))
+    both = R.hybrid_candidates(R.newest_candidates(scores, times), near).select("id.*", "vec_score", "fts_score", "semantic_score")
     # At most FTS_CANDIDATES + 20 top_k rows.
     both = F.broadcast(both).join(chunks.drop("embedding"), ["path", "chunk_index"]).join(files, "path").where(scoring.matches_filters(F.col("metadata"), filters))
     boost = scoring.recency_boost(F.col("content_timestamp_ms"), now_ms, half_life)

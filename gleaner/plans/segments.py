@@ -21,7 +21,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import ranking as R
@@ -113,9 +113,9 @@ class Snapshot:
         dead = self.live("postings", parts, how="left_semi").select("term") if parts and self._dead("content", parts[0]["seq"]) is not None else None
         return R.BlockSearch(posts, impacts, n, total / n if n else 0.0, dead)
 
-    def vector_search(self) -> R.CellSearch:
-        """A search of the live vectors by cells."""
-        rows = self.live("chunks", self.parts("chunks"), tagged=True).select(F.struct("path", "chunk_index").alias("id"), "embedding", "part", "cell", "reach")
+    def vector_search(self, key: Column | None = None) -> R.CellSearch:
+        """A search of the live vectors by cells; ties go to the smaller `key`, the path and chunk unless given."""
+        rows = self.live("chunks", self.parts("chunks"), tagged=True).select((F.struct("path", "chunk_index") if key is None else key).alias("id"), "embedding", "part", "cell", "reach")
         cells = self._tagged("cells", self.parts("cells")) if self.parts("cells") else self.index.empty("cells").withColumn("part", F.lit(0))
         return R.CellSearch(rows, cells)
 

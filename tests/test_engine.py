@@ -9,6 +9,7 @@ from gleaner.functions import issues
 from gleaner.functions.embedding import HashingAdapter, by_kind, clear, embed, finite, get, names, register
 from gleaner.operators import ranking as R
 from gleaner.plans import index as I
+from gleaner.plans import search as S
 from gleaner.plans import sync
 from gleaner.plans.search import fuse, merge_text, search
 from gleaner.runtime import measured, read
@@ -373,3 +374,19 @@ def test_packed_names_do_not_go_through_the_driver(spark, tmp_path):
     rows = spark.range(250_000).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("assigneeId"), F.repeat(F.lit("x"), 100).alias("title"))
     joined = issues._named(rows, "assigneeId", dimension, F.col("displayName"), "assignee")
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_ties_at_the_cut_of_candidates_go_to_the_newer(spark, tmp_path, monkeypatch):
+    """250 equal documents, of which 200 become candidates by word and 20 by vector; the newest have the largest paths."""
+    index = I.Index(spark, str(tmp_path), "ties")
+    rows = [(f"/d/{i:03}.md", 60, NOW + i, "the very same words about one kangaroo in a pouch, repeated until they are long enough to be a chunk") for i in range(250)]
+    adapter = HashingAdapter()
+    I.update(index, spark.createDataFrame(rows, "path string, size bigint, mtime_ms bigint, content string"), adapter, "2024-01-01", "/d")
+    vector = adapter.embed_query("kangaroo pouch")
+    find = lambda: [r.relative_path for r in search(spark, str(tmp_path), "kangaroo", ["ties"], vector=vector, now_ms=NOW, top_k=1).collect()]
+    ids = lambda: sorted(r.file_path for r in S._lane(index.snapshot(), "kangaroo", vector, 100, NOW + 10**12, 0.15, 90.0, None, False).collect())
+    want = [f"/d/{i:03}.md" for i in range(50, 250)]
+    assert ids() == want and len(find()) == 1
+    monkeypatch.setattr(S, "MANY_POSTINGS", 0)
+    monkeypatch.setattr(S, "MANY_VECTORS", 0)
+    assert ids() == want
