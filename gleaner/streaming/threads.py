@@ -1,9 +1,9 @@
 """State of threads that outlives a run: counts, marks and participants of each thread, and what is newer than its mark.
 
 State is kept by Structured Streaming in RocksDB below the query's checkpoint,
-so a restarted stream goes on where it stopped. A thread's state is split by its
-authors over `SALTS` keys: a thread that holds a third of all messages is not
-one task's, and each key's participants are its own.
+so a restarted stream goes on where it stopped. A thread's state is kept by its
+authors and messages are combined before the shuffle: a thread that holds a third
+of all messages is not one task's, and no row of a thread passes through Python.
 """
 
 from __future__ import annotations
@@ -14,44 +14,10 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-SALTS = 16
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-LOG = "thread string, salt int, author string, message_count long, first_at long, last_at long"
-
-
-class _Rollup(StatefulProcessor):
-    """Count, first and last time of a key, and when each of its authors first wrote; gives what a batch changed."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sums = handle.getValueState("sums", "n long, first_at long, last_at long")
-        self.authors = handle.getMapState("authors", "author string", "first_at long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        n, first, last = self.sums.get() if self.sums.exists() else (0, None, None)
-        changed: dict[str, int] = {}
-        for part in rows:
-            n += len(part)
-            times = part["at"].dropna()
-            if len(times):
-                low, high = int(times.min()), int(times.max())
-                first, last = low if first is None else min(first, low), high if last is None else max(last, high)
-            for author, at in part.dropna(subset=["author", "at"]).groupby("author")["at"].min().items():
-                known = changed.get(author)
-                if known is None and self.authors.containsKey((author,)):
-                    known = self.authors.getValue((author,))[0]
-                if known is None or at < known:
-                    changed[author] = int(at)
-                    self.authors.updateValue((author,), (int(at),))
-        self.sums.update((n, first, last))
-        out = [(key[0], int(key[1]), None, n, first, last)] + [(key[0], int(key[1]), author, None, at, None) for author, at in changed.items()]
-        frame = pd.DataFrame(out, columns=["thread", "salt", "author", "message_count", "first_at", "last_at"])
-        yield frame.astype({c: "Int64" for c in ("message_count", "first_at", "last_at")})
-
-    def close(self) -> None:
-        pass
 
 
 class _Since(StatefulProcessor):
@@ -78,42 +44,44 @@ class _Since(StatefulProcessor):
         pass
 
 
-def _start(spark: SparkSession, out: DataFrame, target: str, checkpoint: str, every: str | None) -> StreamingQuery:
-    """Append a stream to a folder of Parquet files, each batch exactly once, with its state in RocksDB."""
+def _start(spark: SparkSession, writer: DataStreamWriter, checkpoint: str, every: str | None) -> StreamingQuery:
+    """Start a stream with its state in RocksDB."""
     own = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKS)
     try:
-        writer = out.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint)
+        writer = writer.option("checkpointLocation", checkpoint)
         return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
     finally:
         spark.conf.set(_PROVIDER, own) if own else spark.conf.unset(_PROVIDER)
 
 
-def rollup_stream(rows: DataFrame, thread: str, author: str, at: str, target: str, checkpoint: str, every: str | None = None, salts: int = SALTS) -> StreamingQuery:
+def rollup_stream(rows: DataFrame, thread: str, author: str, at: str, target: str, checkpoint: str, every: str | None = None, salts: int | None = None) -> StreamingQuery:
     """Keep the state of each thread of a stream of messages; `target` gets a log of what each batch changed.
 
-    `at` is a long. Messages may come in any order and in any batches: `thread_states`
+    The log has (thread, author, message_count, first_at, last_at) of each thread and author
+    that a batch touched, as they are after it, in a folder of the batch's number: a batch that is
+    retried replaces its own folder. `at` is a long. Messages may come in any order and in any batches: `thread_states`
     of the log is what a roll-up of all of them gives. Defined cases: a null
     thread is a thread; a null author or time counts as a message alone; a
     message given twice counts twice, as in a batch (see `incremental.deduplicated`).
+    `salts` is of no effect: state is kept by thread and author, and messages are combined before the shuffle.
     """
-    keyed = rows.select(F.col(thread).cast("string").alias("thread"), F.pmod(F.xxhash64(F.col(author).cast("string")), F.lit(salts)).cast("int").alias("salt"), F.col(author).cast("string").alias("author"), F.col(at).cast("long").alias("at"))
-    out = keyed.groupBy("thread", "salt").transformWithStateInPandas(_Rollup(), LOG, "Append", "None")
-    return _start(rows.sparkSession, out, target, checkpoint, every)
+    keyed = rows.select(F.col(thread).cast("string").alias("thread"), F.col(author).cast("string").alias("author"), F.col(at).cast("long").alias("at"))
+    state = keyed.groupBy("thread", "author").agg(F.count(F.lit(1)).alias("message_count"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    each = lambda batch, n: batch.write.mode("overwrite").parquet(f"{target}/batch={n}")
+    return _start(rows.sparkSession, state.writeStream.outputMode("update").foreachBatch(each), checkpoint, every)
 
 
 def thread_states(log: DataFrame) -> DataFrame:
     """(thread, message_count, first_at, last_at, participant_count): the state of each thread from the log of `rollup_stream`."""
-    sums = log.where("author IS NULL").groupBy("thread", "salt").agg(F.max("message_count").alias("n"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
-    authors = log.where("author IS NOT NULL").groupBy("thread", "author").agg(F.lit(1).alias("one")).groupBy(F.col("thread").alias("t")).agg(F.count(F.lit(1)).alias("participant_count"))
-    whole = sums.groupBy("thread").agg(F.sum("n").alias("message_count"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
-    joined = whole.join(authors, F.col("thread").eqNullSafe(F.col("t")), "left").drop("t")
-    return joined.withColumn("participant_count", F.coalesce("participant_count", F.lit(0).cast("long")))
+    own = log.groupBy("thread", "author").agg(F.max("message_count").alias("n"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+    took_part = F.col("author").isNotNull() & F.col("first_at").isNotNull()
+    return own.groupBy("thread").agg(F.sum("n").alias("message_count"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.count_if(took_part).alias("participant_count"))
 
 
 def participants(log: DataFrame) -> DataFrame:
     """(thread, author, first_at): when each participant of a thread first wrote, one row each."""
-    return log.where("author IS NOT NULL").groupBy("thread", "author").agg(F.min("first_at").alias("first_at"))
+    return log.where("author IS NOT NULL AND first_at IS NOT NULL").groupBy("thread", "author").agg(F.min("first_at").alias("first_at"))
 
 
 def since_stream(rows: DataFrame, key: str, at: str, target: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -125,4 +93,4 @@ def since_stream(rows: DataFrame, key: str, at: str, target: str, checkpoint: st
     """
     marked = rows.withColumnsRenamed({key: "key", at: "at"})
     out = marked.groupBy("key").transformWithStateInPandas(_Since(), marked.schema, "Append", "None").withColumnsRenamed({"key": key, "at": at})
-    return _start(rows.sparkSession, out, target, checkpoint, every)
+    return _start(rows.sparkSession, out.writeStream.format("parquet").outputMode("append").option("path", target), checkpoint, every)

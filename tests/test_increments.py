@@ -94,3 +94,18 @@ def test_a_committed_write_is_finished_by_recovery(spark, tmp_path, monkeypatch)
     assert publish.recover(spark, str(tmp_path)) == (1, 1)
     assert _files(tmp_path) == {"a.md": "1", "b.md": "2"}
     assert publish.recover(spark, str(tmp_path)) == (0, 0)
+
+
+def test_a_log_has_a_row_for_each_author_and_a_folder_for_each_batch(spark, tmp_path):
+    """State is kept without Python; a batch's folder holds whole states, so writing it again changes nothing."""
+    source, target, point = (str(tmp_path / n) for n in ("in", "log", "point"))
+    schema = "thread string, author string, at long"
+    for rows in ([("a", "x", 5), ("a", "x", 7), ("a", None, 1), ("b", "y", None)], [("a", "x", 3)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        query = threads.rollup_stream(spark.readStream.schema(schema).parquet(source), "thread", "author", "at", target, point)
+        query.awaitTermination()
+    assert {tuple(r) for r in spark.read.parquet(f"{target}/batch=0").collect()} == {("a", "x", 2, 5, 7), ("a", None, 1, 1, 1), ("b", "y", 1, None, None)}
+    assert [tuple(r) for r in spark.read.parquet(f"{target}/batch=1").collect()] == [("a", "x", 3, 3, 7)]
+    log = spark.read.parquet(target)
+    assert {tuple(r) for r in threads.thread_states(log).collect()} == {("a", 4, 1, 7, 1), ("b", 1, None, None, 0)}
+    assert [tuple(r) for r in threads.participants(log).collect()] == [("a", "x", 3)]
