@@ -11,7 +11,7 @@ from gleaner.functions.embedding import embed_images
 from gleaner.functions.frontmatter import yaml_to_json
 from gleaner.operators import mail
 from gleaner.operators import rollups as R
-from gleaner.runtime import read, scratch_path
+from gleaner.runtime import read, scratch_path, spread
 from gleaner.sources import files, publish, sinks
 
 
@@ -178,7 +178,7 @@ def mail_formats(spark: SparkSession, d: str) -> DataFrame:
 def yaml_metadata(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
     said = F.format_string("n: %d\nday: 2024-01-02\nyes: no\ntags: [a, b]\ntext: 'x: y'\n", k)
-    rows = read(spark, d, "events").select("event_id", F.when(k % 5 == 0, "just words").otherwise(said).alias("yaml")).withColumn("metadata", yaml_to_json("yaml"))
+    rows = spread(read(spark, d, "events").select("event_id")).select("event_id", F.when(k % 5 == 0, "just words").otherwise(said).alias("yaml")).withColumn("metadata", yaml_to_json("yaml"))
     field = lambda c: F.get_json_object("metadata", f"$.{c}").alias(c)
     return rows.select("event_id", field("n"), field("day"), field("yes"), field("tags"), field("text"))
 

@@ -127,3 +127,20 @@ def test_recency_and_age(column):
 def test_filters(column, meta, filters, want):
     assert column(scoring.matches_filters(C, filters), c=meta) is want
     assert scoring.parse_filter("k=a=b") == ("k", "a=b") and scoring.parse_filter("none") is None
+
+
+def test_yaml_of_plain_texts_is_read_by_the_fast_loader_alike(monkeypatch):
+    import yaml
+
+    from gleaner.functions import frontmatter as M
+
+    plain = ["n: 1\nday: 2024-01-02\nyes: no\ntags: [a, b]\ntext: 'x: y'\n", "a: {b: 0o17, c: 1_0}\nd: &x [1.5, ~]\ne: *x", "just words", "a: [", "é: ü", "a: \"\\u00e9\""]
+    odd = ["a: b \t", "a: !", "a: |\n  x\n", "\ufeffa: 1", "a: " + "[" * 5000]
+    asked = []
+    real = yaml.load
+    monkeypatch.setattr(M.yaml, "load", lambda text, Loader: (asked.append(Loader), real(text, Loader=Loader))[1])
+    got = [M.parse_yaml(t) for t in plain]
+    assert asked == [M._Fast] * len(plain) and got[0] == '{"n": 1, "day": "2024-01-02", "yes": "no", "tags": ["a", "b"], "text": "x: y"}'
+    monkeypatch.setattr(M, "_Fast", M._Core)
+    assert got == [M.parse_yaml(t) for t in plain]
+    assert not any(M._ALIKE.fullmatch(t) for t in odd)
