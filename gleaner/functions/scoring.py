@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import let
+
 DAY_MS = 86_400_000
 # The metadata fields that may hold a document's time, first parseable wins.
 TIME_FIELDS = ("last_edited_time", "updatedAt", "updated_at", "last_edited", "createdAt", "created_at", "created_time", "date", "last-reviewed")
@@ -45,9 +47,9 @@ def parse_timestamp(value: Column) -> Column:
 
 def content_timestamp(metadata: Column, mtime_ms: Column) -> Column:
     """The first parseable time field of a JSON text, else the file's time, else null."""
-    fields = F.from_json(metadata, "map<string,string>")
-    wanted = F.transform(F.array(*(F.lit(k) for k in TIME_FIELDS)), lambda k: parse_timestamp(F.try_element_at(fields, k)))
-    return F.coalesce(F.get(F.filter(wanted, lambda t: t.isNotNull()), F.lit(0)), F.floor(mtime_ms).cast("long"))
+    # Read once for a row; fields behind the first that can be parsed are not looked at.
+    first = lambda fields: F.coalesce(*(let(F.try_element_at(fields, F.lit(k)), lambda v: F.when(v.isNotNull(), parse_timestamp(v))) for k in TIME_FIELDS))
+    return F.coalesce(let(F.from_json(metadata, "map<string,string>"), first), F.floor(mtime_ms).cast("long"))
 
 
 def matches_filters(metadata: Column, filters: dict[str, object] | None) -> Column:

@@ -144,3 +144,13 @@ def test_yaml_of_plain_texts_is_read_by_the_fast_loader_alike(monkeypatch):
     monkeypatch.setattr(M, "_Fast", M._Core)
     assert got == [M.parse_yaml(t) for t in plain]
     assert not any(M._ALIKE.fullmatch(t) for t in odd)
+
+
+def test_times_are_taken_from_metadata_that_is_read_once(spark, column):
+    from gleaner.functions import scoring
+
+    made = scoring.content_timestamp(F.col("m"), F.col("t"))
+    for m, want in (('{"date":"2024-01-02","updatedAt":"no time"}', 1_704_153_600_000), ('{"createdAt":1700000000,"date":"2020-01-01"}', 1_700_000_000_000), ('{"date":null}', 7), ("{", 7), (None, 7)):
+        assert column(made, m=m, t=7) == want
+    plan = spark.createDataFrame([("{}", 7)], "m string, t long").repartition(2).select(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array(from_json" in plan and plan.count("from_json") == 1
