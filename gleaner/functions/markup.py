@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import LEAST, TARGET, let, paragraph_chunks, strip
+from gleaner.functions.text import BLANK, LEAST, TARGET, let, paragraph_chunks, strip, trim
 
 _BLOCKS = "p|div|h[1-6]|li|tr|blockquote"
 # The entities that are decoded, in the order in which they are.
@@ -41,10 +41,10 @@ def is_html(c: Column) -> Column:
 def remove_quoted_replies(c: Column) -> Column:
     """Lines before the first `On ... wrote:`, without those that are quoted by `>`."""
     def before_stop(lines: Column) -> Column:
-        flags = F.transform(lines, lambda x: strip(x).rlike(r"(?i)\AOn .+wrote:\s*\z"))
+        flags = F.transform(lines, lambda x: x.rlike(rf"(?i)\A[{BLANK}]*On .+wrote:[{BLANK}]*\z"))
         return let(F.array_position(flags, True), lambda stop: strip(F.array_join(F.when(stop > 0, F.slice(lines, F.lit(1), (stop - 1).cast("int"))).otherwise(lines), "\n")))
 
-    return let(F.filter(F.split(c, "\n"), lambda x: ~strip(x).startswith(">")), before_stop)
+    return let(F.filter(F.split(c, "\n"), lambda x: ~x.rlike(rf"\A[{BLANK}]*>")), before_stop)
 
 
 def thread_messages(body: Column) -> Column:
@@ -72,7 +72,7 @@ def message_chunks(body: Column, subject: Column, sender: Column, date: Column)
     def numbered(context: Column, parts: Column) -> Column:
         many = F.size(parts) > 1
         named = F.transform(parts, lambda p, i: F.struct(p.alias("text"), F.when(many, F.concat(context, F.lit(" (part "), (i + 1).cast("string"), F.lit(")"))).otherwise(context).alias("context")))
-        return F.transform(F.filter(named, lambda x: F.length(strip(x["text"])) >= LEAST), lambda x: made(x["context"], x["text"]))
+        return F.transform(F.filter(named, lambda x: F.length(trim(x["text"])) >= LEAST), lambda x: made(x["context"], x["text"]))
 
     def cut(m: Column) -> Column:
         none = F.filter(F.array(made(m["context"], m["clean"])), lambda x: F.lit(False))

@@ -31,7 +31,8 @@ def strip(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return strip(c) == ""
+    """Whether there is white space only; looks no further than the first other character."""
+    return ~c.rlike(rf"[^{BLANK}]")
 
 
 def frontmatter_parts(raw: Column) -> Column:
@@ -60,7 +61,7 @@ def sections(body: Column) -> Column:
         rest = F.when(F.instr(part, "\n") > 0, F.regexp_replace(part, r"\A[^\n]*\n", "")).otherwise("")
         return F.struct(
             F.when(headed, strip(F.regexp_extract(part, rf"\A#{{1,4}}[{BLANK}]+({_INLINE}+)", 1))).alias("heading"),
-            strip(F.when(headed, rest).otherwise(part)).alias("content"),
+            let(F.when(headed, rest).otherwise(part), trim).alias("content"),
         )
 
     return F.filter(F.transform(parts, section), lambda s: s["content"] != "")
@@ -76,7 +77,12 @@ def _state(out: Column, buffer: Column) -> Column:
 
 
 def _emit(out: Column, buffer: Column) -> Column:
-    return F.when(is_blank(buffer), out).otherwise(F.concat(out, F.array(strip(buffer))))
+    return F.when(is_blank(buffer), out).otherwise(F.concat(out, F.array(trim(buffer))))
+
+
+def trim(c: Column) -> Column:
+    """`strip` of a value that has a name: the whole is searched only where an end is white space."""
+    return F.when(F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1))).rlike(f"[{BLANK}]"), strip(c)).otherwise(c)
 
 
 def sentence_chunks(text: Column) -> Column:
@@ -85,7 +91,7 @@ def sentence_chunks(text: Column) -> Column:
     def step(acc: Column, s: Column) -> Column:
         out, buffer = acc["out"], acc["buffer"]
         full = (F.length(buffer) + F.length(s) > TARGET) & ~is_blank(buffer)
-        return F.when(full, _state(F.concat(out, F.array(strip(buffer))), F.concat(F.right(buffer, F.lit(OVERLAP)), s))).otherwise(
+        return F.when(full, _state(F.concat(out, F.array(trim(buffer))), F.concat(F.right(buffer, F.lit(OVERLAP)), s))).otherwise(
             _state(out, F.concat(buffer, F.when(buffer == "", "").otherwise(" "), s))
         )
 
@@ -114,7 +120,7 @@ def document_chunks(title_: Column, body: Column) -> Column:
 
     def of_section(name: Column, s: Column) -> Column:
         context = F.nullif(F.concat_ws(" § ", F.nullif(name, F.lit("")), F.nullif(s["heading"], F.lit(""))), F.lit(""))
-        kept = F.filter(paragraph_chunks(s["content"]), lambda c: F.length(strip(c)) >= LEAST)
+        kept = F.filter(paragraph_chunks(s["content"]), lambda c: F.length(trim(c)) >= LEAST)
         made = lambda ctx: F.transform(kept, lambda c: F.struct(F.concat(F.coalesce(F.concat(F.lit("["), ctx, F.lit("] ")), F.lit("")), c).alias("content"), ctx.alias("section_context")))
         return let(context, made)
 
