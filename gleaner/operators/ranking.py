@@ -282,21 +282,71 @@ def postings(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
 
 #: Documents of a block of postings; blocks listed by number in a filter, and the intervals that they are joined to there.
 BLOCK, LISTED, INTERVALS = 64, 10_000, 32
+#: Postings of a batch that goes back from Python.
+POSTINGS = 1 << 18
 IMPACTS = "term string, block bigint, n bigint, max_tf bigint, min_dl int"
 
 
-def blocked(posts: DataFrame, sizes: DataFrame, ids: list[str], size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(postings with `block` and `dl`, impacts) from postings (term, ids, ...) and lengths (ids, dl).
+def _inverted(ids: list[str]):
+    """Postings of rows (ids, block, words), a batch at a time: words are numbered in their order, and places sorted by word and row.
+
+    So the pages of a file hold few words each, and a scan for some words passes over the others.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("words")
+            ends = words.offsets.to_numpy().astype(np.int64)
+            sizes = np.diff(ends)
+            numbered = words.flatten().dictionary_encode()
+            known = pc.array_sort_indices(numbered.dictionary)
+            rank = np.empty(len(known), np.int64)
+            rank[known.to_numpy()] = np.arange(len(known))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(row)) - np.repeat(ends[:-1] - ends[0], sizes)
+            key = rank[numbered.indices.to_numpy()] * len(sizes) + row
+            order = np.argsort(key, kind="stable")
+            starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+            stops = np.append(starts[1:], len(order))
+            for a in range(0, len(starts), POSTINGS):
+                low, high = starts[a : a + POSTINGS], stops[a : a + POSTINGS]
+                first, own = order[low], pa.array(row[order[low]])
+                at = pa.ListArray.from_arrays(pa.array(np.append(low, high[-1]) - low[0], pa.int32()), pa.array(place[order[low[0] : high[-1]]], pa.int32()))
+                columns = {"term": numbered.dictionary.take(numbered.indices.take(pa.array(first)))} | {c: batch.column(c).take(own) for c in ids}
+                columns |= {"tf": pa.array(high - low, pa.int64()), "positions": at, "block": batch.column("block").take(own), "dl": pa.array(sizes[row[first]], pa.int32())}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def block_postings(rows: DataFrame, ids: list[str], text: Column, size: int = BLOCK) -> DataFrame:
+    """(term, ids, tf, positions, block, dl): `blocked` postings of rows whose ids are unique; rows with a null id have none.
+
+    Only the rows are moved, into the order of their ids: a row's words are split
+    once and meet where the row is.
+    """
+    placed = rows.select(*ids, F.coalesce(text, F.lit("")).alias("words")).dropna(subset=ids).repartitionByRange(*ids).sortWithinPartitions(*ids)
+    words = placed.select(*ids, F.floor(F.monotonically_increasing_id() / size).alias("block"), tokens(F.col("words")).alias("words"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.select(*ids).schema)
+    return words.mapInArrow(_inverted(ids), f"term string, {kinds}, tf bigint, positions array<int>, block bigint, dl int")
+
+
+def blocked(posts: DataFrame, sizes: DataFrame, ids: list[str], size: int = BLOCK) -> DataFrame:
+    """Postings with `block` and `dl` from postings (term, ids, ...) and lengths (ids, dl).
 
     A block is a run of `size` documents in the order of their ids, so that documents
-    of one folder share blocks. Impacts tell of each term and block how many documents
-    hold it, its highest frequency, and their smallest length: together they
-    bound the score of any document of the block, whatever the corpus statistics become.
+    of one folder share blocks.
     """
     placed = sizes.repartitionByRange(*ids).sortWithinPartitions(*ids).withColumn("block", F.floor(F.monotonically_increasing_id() / size))
-    found = posts.join(materialise(placed, "placed"), ids)
-    impacts = found.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").cast("int").alias("min_dl"))
-    return found, impacts
+    return posts.join(materialise(placed, "placed"), ids)
+
+
+def impacts(posts: DataFrame) -> DataFrame:
+    """Of each term and block of stored postings how many documents hold it, its highest frequency, and their smallest length.
+
+    Together they bound the score of any document of the block, whatever the corpus statistics become.
+    """
+    return posts.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").cast("int").alias("min_dl"))
 
 
 def _impact(tf: Column, dl: Column, avgdl: float) -> Column:

@@ -49,12 +49,11 @@ def chunked(documents: DataFrame) -> DataFrame:
 
 
 def _inverted(chunks: DataFrame) -> dict[str, DataFrame]:
-    """The postings and lengths of `chunks` (path, chunk_index, content)."""
-    key = F.struct("path", "chunk_index")
-    rows = chunks.select(key.alias("key"), F.concat_ws(" ", "content", "path").alias("text"))
+    """The postings in blocks and the lengths of `chunks` (path, chunk_index, content)."""
+    rows = chunks.select("path", "chunk_index", F.concat_ws(" ", "content", "path").alias("text"))
     return {
-        "postings": R.postings(rows, "key", F.col("text")).select("term", "id.*", "tf", "positions"),
-        "lengths": materialise(rows.select("key.*", F.size(R.tokens(F.col("text"))).alias("dl")), "lengths"),
+        "postings": R.block_postings(rows, ["path", "chunk_index"], F.col("text")),
+        "lengths": materialise(rows.select("path", "chunk_index", F.size(R.tokens(F.col("text"))).alias("dl")), "lengths"),
     }
 
 

@@ -77,11 +77,12 @@ def bm25_top200(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _searched(spark: SparkSession, d: str, query: str, k: int) -> tuple[DataFrame, R.BlockSearch]:
-    rows = spread(read(spark, d, "documents").select("doc_id", "text"))
-    sizes = materialise(rows.select(F.col("doc_id").alias("id"), F.size(R.tokens(F.coalesce("text", F.lit("")))).alias("dl")), "sizes")
-    posts, impacts = R.blocked(R.postings(rows, "doc_id", F.col("text")), sizes, ["id"])
-    n, avgdl = sizes.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    found = R.BlockSearch(materialise(posts.withColumn("part", F.lit(0)), "posts"), impacts.withColumn("part", F.lit(0)), n, avgdl or 0.0)
+    rows, words = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), F.coalesce("text", F.lit(""))
+    posts = materialise(R.block_postings(rows, ["id"], F.col("text")).withColumn("part", F.lit(0)), "posts")
+    # Every word is in one posting, but for those of rows without an id, which count as rows of the corpus too.
+    n, held = rows.count(), posts.agg(F.sum("tf")).first()[0] or 0
+    bare = rows.where("id IS NULL").agg(F.sum(F.size(R.tokens(words)))).first()[0] or 0
+    found = R.BlockSearch(posts, R.impacts(posts).withColumn("part", F.lit(0)), n, (held + bare) / n if n else 0.0)
     return found.top(query, k), found
 
 

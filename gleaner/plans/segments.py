@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import ranking as R
+from gleaner.runtime import discard, materialise
 
 FILES = "path string, content_hash string, size bigint, mtime_ms bigint, indexed_at string, metadata string"
 CHUNKS = "path string, chunk_index bigint, content string, embedding array<float>, content_hash string, section_context string, content_timestamp_ms bigint, cell int, reach double"
@@ -125,7 +126,7 @@ class Snapshot:
 
 
 def _arranged(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Tables of a segment: postings get blocks and lengths, and impacts beside them; chunks get cells of their vectors; pages get bounds."""
+    """Tables of a segment: postings get blocks and lengths unless they have them, and impacts beside them; chunks get cells of their vectors; pages get bounds."""
     if "chunks" in tables:
         chunks, cells = R.celled(tables["chunks"].drop("cell", "reach"))
         tables = tables | {"chunks": chunks, "cells": cells}
@@ -136,9 +137,12 @@ def _arranged(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         tables = tables | {"page_bounds": bounds.select("page.*", "width", "centre", "radius")}
     if "postings" not in tables:
         return tables
-    posts = tables["postings"].drop("block", "dl")
-    found, impacts = R.blocked(posts, tables["lengths"], ["path", "chunk_index"])
-    return tables | {"postings": found.select("term", "path", "chunk_index", "tf", "positions", "block", "dl"), "impacts": impacts}
+    posts = tables["postings"]
+    if "block" not in posts.columns:
+        posts = R.blocked(posts, tables["lengths"], ["path", "chunk_index"])
+    # Read by the sort of the postings, which samples them first, and by the impacts.
+    posts = materialise(posts.select("term", "path", "chunk_index", "tf", "positions", "block", "dl"), "postings")
+    return tables | {"postings": posts, "impacts": R.impacts(posts)}
 
 
 def _of(family: str) -> str:
@@ -259,7 +263,9 @@ class Index:
         Keys that go and come in one commit are replaced. `reads` names tables
         that the new rows depend on besides those written.
         """
-        parts = {n: self._write(n, df, SORTED.get(n)) for n, df in {**_arranged(append or {}), **(replace or {})}.items()}
+        arranged = _arranged(append or {})
+        parts = {n: self._write(n, df, SORTED.get(n)) for n, df in {**arranged, **(replace or {})}.items()}
+        discard(arranged.get("postings"))
         graves = {f: self._write(f"gone_{f}", df.select(*KEYS[f]).distinct()) for f, df in (gone or {}).items()}
         writes = {n for n, p in parts.items() if p or n in (replace or {})} | {n for n, f in FAMILY.items() if graves.get(f)}
 
@@ -316,9 +322,11 @@ class Index:
         due = {n for n, f in FAMILY.items() if len(within[n]) > 1 or within[n] and base._dead(f, within[n][0]["seq"], last) is not None}
         if within["postings"] and due & {"postings", "lengths"}:
             due |= {"postings", "lengths"}
-        merged = _arranged({n: base.live(n, within[n], last) for n in due})
+        live = {n: base.live(n, within[n], last) for n in due}
+        merged = arranged = _arranged(live | ({"postings": live["postings"].drop("block", "dl")} if "postings" in live else {}))
         used = {n: {p["at"] for p in within[n]} for n in merged}
         merged = {n: self._write(n, df, SORTED.get(n)) for n, df in merged.items()}
+        discard(arranged.get("postings"))
         oldest = {f: min((p["seq"] for n, fam in FAMILY.items() if fam == f for p in base.parts(n)), default=0) for f in KEYS}
         graves, buried = {}, {}
         for family, old in base.state["gone"].items():

@@ -180,3 +180,30 @@ def test_index_stream_leaves_page_texts_once(spark, tmp_path):
     assert index.meta()["total_files"] == "3" and index.meta()["total_chunks"] == "3"
     I.add_page_texts(index, spark.createDataFrame([("/data/doc.pdf", 1, "other words"), ("/data/doc.pdf", 2, "more")], "path string, page_number int, text string"), "m", "t")
     assert index.table("chunks").where(F.col("path").startswith("pdf")).count() == 2 and index.meta()["total_files"] == "3" and index.meta()["total_chunks"] == "4"
+
+
+def test_postings_move_rows_only(spark):
+    """A row's words meet where the row is, as a shuffle of all words would bring them together."""
+    rng = random.Random(3)
+    text = lambda i: "" if i % 9 == 0 else None if i % 13 == 0 else " ".join(rng.choice(WORDS + ["Été", "x1"]) for _ in range(i % 40)) + " -- été."
+    docs = spark.createDataFrame([(i if i != 7 else None, text(i)) for i in range(300)], "id int, text string").repartition(3)
+    found = R.block_postings(docs, ["id"], F.col("text"), size=8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == plan.count("Exchange ") - plan.count("Exchange RoundRobin") == 1 and "Generate" not in plan
+    rows = found.collect()
+    want = {(r.term, r.id): (r.tf, r.positions) for r in R.postings(docs.where("id IS NOT NULL"), "id", F.col("text")).collect()}
+    assert len(rows) == len(want) and {(r.term, r.id): (r.tf, r.positions) for r in rows} == want
+    assert {r.id: r.dl for r in rows} == {r.id: r.dl for r in R.term_counts(docs.where("id IS NOT NULL"), "id", F.col("text"), []).where("dl > 0").collect()}
+    held = {b: sorted({r.id for r in rows if r.block == b}) for b in {r.block for r in rows}}
+    assert max(map(len, held.values())) <= 8 and all(a[-1] < b[0] for a, b in zip(sorted(held.values()), sorted(held.values())[1:]))
+    assert R.block_postings(docs.limit(0), ["id"], F.col("text")).count() == 0
+
+
+def test_new_postings_are_not_joined_to_lengths(spark, tmp_path, monkeypatch):
+    index = I.Index(spark, f"file://{tmp_path}", "p")
+    with monkeypatch.context() as patched:
+        patched.setattr(R, "blocked", lambda *a: pytest.fail("postings in blocks are placed once more"))
+        I.update(index, spark.createDataFrame(documents(random.Random(2), ["/d/a.md", "/d/b.md"], 1), DOCS), HashingAdapter(4), "t")
+    index.commit(index.snapshot(), append={n: index.table(n).drop("block", "dl") if n == "postings" else index.table(n) for n in ("postings", "lengths")})
+    first, second = index.snapshot().parts("impacts")
+    assert first["rows"] == second["rows"] > 0
