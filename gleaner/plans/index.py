@@ -11,7 +11,7 @@ from gleaner.functions.frontmatter import yaml_to_json
 from gleaner.operators import ranking as R
 from gleaner.operators.rollups import diff_status
 from gleaner.plans.segments import FILES, Index, Snapshot
-from gleaner.runtime import checked_join, discard, materialise
+from gleaner.runtime import checked_join, discard, materialise, spread
 
 SCHEMA_VERSION = 6
 __all__ = ["FILES", "Index", "add_page_texts", "chunked", "freshness", "index_age", "list_indexes", "parsed", "reindex", "update", "update_pages"]
@@ -112,7 +112,8 @@ def update(index: Index, documents: DataFrame, adapter: TextAdapter, now_iso: st
     counts = {r.status: r["count"] for r in status.groupBy("status").count().collect()}
     of = lambda *kinds: status.where(F.col("status").isin(*kinds)).select("path")
     docs = materialise(parsed(current.join(of("new", "changed"), "path", "left_semi")), "parsed")
-    chunks = chunked(docs).withColumn("content_hash", text.chunk_hash(F.col("content"), adapter.name))
+    # Small files come in few partitions, and chunking costs far more than moving them.
+    chunks = chunked(spread(docs)).withColumn("content_hash", text.chunk_hash(F.col("content"), adapter.name))
     chunks = materialise(chunks, "chunks")
     vectors = materialise(_vectors(snap.table("chunks"), chunks, adapter), "vectors")
     made = chunks.join(vectors, "content_hash", "left").select("path", "chunk_index", "content", "embedding", "content_hash", "section_context", "content_timestamp_ms")

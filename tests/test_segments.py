@@ -207,3 +207,11 @@ def test_new_postings_are_not_joined_to_lengths(spark, tmp_path, monkeypatch):
     index.commit(index.snapshot(), append={n: index.table(n).drop("block", "dl") if n == "postings" else index.table(n) for n in ("postings", "lengths")})
     first, second = index.snapshot().parts("impacts")
     assert first["rows"] == second["rows"] > 0
+
+
+def test_few_large_partitions_are_chunked_on_all_cores(spark, tmp_path, monkeypatch):
+    chunked, seen = I.chunked, []
+    monkeypatch.setattr(I, "chunked", lambda docs: seen.append(docs.rdd.getNumPartitions()) or chunked(docs))
+    rows = spark.createDataFrame(documents(random.Random(2), [f"/d/{i}.md" for i in range(20)], 1), DOCS).coalesce(1)
+    I.update(I.Index(spark, f"file://{tmp_path}", "s"), rows, HashingAdapter(4), "t")
+    assert seen == [spark.sparkContext.defaultParallelism]
